@@ -86,7 +86,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _derive(source: DataFrame, view: str, sql: str) -> DataFrame:
+def derive(source: DataFrame, view: str, sql: str) -> DataFrame:
     # The recipe names one driver table; bind it to this DataFrame, not to a
     # session-wide view, so that two folders can be read in one session.
     text = sql.replace("{", "{{").replace("}", "}}").replace(f"FROM {view}", "FROM {src}")
@@ -96,7 +96,7 @@ def _derive(source: DataFrame, view: str, sql: str) -> DataFrame:
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``seq, path, ext, content``: one synthetic source file per part."""
     parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
-    files = _derive(parts, "part", CODE_FILES_SQL)
+    files = derive(parts, "part", CODE_FILES_SQL)
     return files.select(
         "seq",
         "path",
@@ -112,17 +112,17 @@ def obfuscated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # Spark reads a backslash in a SQL literal as an escape, DuckDB does not.
     sql = OBFUSCATED_FILES_SQL.replace("\\", "\\\\")
-    return _derive(parts, "part", sql).select("seq", "path", F.lit("js").alias("ext"), "content")
+    return derive(parts, "part", sql).select("seq", "path", F.lit("js").alias("ext"), "content")
 
 
 def runtime_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``seq, ts, type, location, details``: one runtime event per event row."""
-    return _derive(table(spark, sf_dir, "events"), "events", RUNTIME_EVENTS_SQL)
+    return derive(table(spark, sf_dir, "events"), "events", RUNTIME_EVENTS_SQL)
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``cache_key, prompt, response``: one stored answer per conversation turn."""
-    return _derive(table(spark, sf_dir, "conversations"), "conversations", RESPONSES_SQL)
+    return derive(table(spark, sf_dir, "conversations"), "conversations", RESPONSES_SQL)
 
 
 def prose_files(spark: SparkSession, sf_dir: str) -> DataFrame:

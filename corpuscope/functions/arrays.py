@@ -3,11 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the Column a function of column *names* returns.
+
+    A Column is an immutable description, but describing a deep one takes
+    thousands of small calls to the JVM. Kept per JVM gateway.
+    """
+
+    @wraps(build)
+    def cached(*names: str) -> Column:
+        context = SparkContext._active_spark_context
+        key = (build.__module__, build.__qualname__, names, id(context and context._gateway))
+        if key not in _BUILT:
+            _BUILT[key] = build(*names)
+        return _BUILT[key]
+
+    return cached
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often body uses it."""
     return F.transform(F.array(value), body)[0]

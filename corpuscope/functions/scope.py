@@ -1,10 +1,11 @@
 """Bracket matching and span nesting over an array column.
 
 Running sums over an array are the one thing Spark SQL cannot do inside a row in
-linear time, so these two Arrow UDFs do them with numpy. Everything around them
-(lexing, classification, scoring) is built-in expressions. Doing it inside the
-row matters at scale: exploding tokens and running windows over them would
-shuffle and sort several times the size of the corpus.
+linear time, so these two Arrow UDFs do them with numpy, a whole batch of files
+at once and without a Python loop. Everything around them (lexing,
+classification, scoring) is built-in expressions. Doing it inside the row matters
+at scale: exploding tokens and running windows over them would shuffle and sort
+several times the size of the corpus.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import sys
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,6 @@ from pyspark.sql import types as T
 OPEN, CLOSE, SEMI, COMMA, DECLARE, STATEMENT = 1, -1, 2, 3, 4, 5
 
 
-
 def _int_arrays(*names: str) -> T.StructType:
     return T.StructType([T.StructField(name, T.ArrayType(T.IntegerType())) for name in names])
 
@@ -30,106 +30,144 @@ SCOPE_TYPE = _int_arrays("match", "parent", "stop", "head")
 NEST_TYPE = _int_arrays("inner", "depth", "outer")
 
 
-def match_brackets(classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each token, given its class:
+def _pick(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values[at], and -1 where ``at`` is negative."""
+    if not len(values):
+        return np.full(len(at), -1, dtype=np.int64)
+    return np.where(at >= 0, values[np.maximum(at, 0)], -1)
+
+
+def match_brackets(cls: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For the token classes of several files, file r being starts[r]:starts[r+1].
 
-    match   index of the partner bracket (the last index for an unclosed one, -1
-            for tokens that are not brackets)
-    parent  index of the innermost enclosing open bracket, -1 at top level
-    stop    index of the next separator or statement keyword on the same level,
-            or of the bracket closing it (the token count when there is none)
-    head    index of the previous ``;`` or statement keyword on the same level,
-            -1 when there is none
+    All results are positions within the token's own file:
+
+    match   the partner bracket (the last token for an unclosed one, -1 for
+            tokens that are not brackets)
+    parent  the innermost enclosing open bracket, -1 at top level
+    stop    the next separator or statement keyword on the same level, or the
+            bracket closing it (the token count when there is none)
+    head    the previous ``;`` or statement keyword on the same level, else -1
     """
-    cls = np.asarray(classes, dtype=np.int8)
     n = len(cls)
+    if n == 0:
+        return (np.zeros(0, dtype=np.int64),) * 4
+    lengths = np.diff(starts)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    first, end = starts[:-1][row], starts[1:][row]
     pos = np.arange(n, dtype=np.int64)
     is_open, is_close = cls == OPEN, cls == CLOSE
+    bracket = is_open | is_close
+    balance = np.cumsum(is_open.astype(np.int64) - is_close)
+    before = np.concatenate([[0], balance])[starts[:-1]]
     # Opens up to and including the token, closes strictly before it.
-    level = np.cumsum(is_open) - (np.cumsum(is_close) - is_close)
-    level = np.where(is_open | is_close, level, np.cumsum(is_open) - np.cumsum(is_close))
+    level = balance + is_close - before[row]
+    inside = level - bracket
+    low = min(level.min(), inside.min())
+    span = max(level.max(), inside.max()) - low + 1
+    width = n + 1
 
     match = np.full(n, -1, dtype=np.int64)
-    brackets = np.flatnonzero(is_open | is_close)
-    brackets = brackets[np.argsort(level[brackets], kind="stable")]
+    match[is_open] = end[is_open] - 1
+    group = row * span + (level - low)
+    brackets = np.flatnonzero(bracket)
+    brackets = brackets[np.argsort(group[brackets], kind="stable")]
     left, right = brackets[:-1], brackets[1:]
-    pairs = is_open[left] & is_close[right] & (level[left] == level[right])
-    match[is_open] = n - 1
+    pairs = is_open[left] & is_close[right] & (group[left] == group[right])
     match[left[pairs]] = right[pairs]
     match[right[pairs]] = left[pairs]
 
-    def last_before(sorted_keys, queries, values, side):
-        at = np.searchsorted(sorted_keys, queries, side=side) - 1
-        return np.where(at >= 0, values[np.maximum(at, 0)], -1) if len(values) else np.full(n, -1)
-
-    width = n + 1
     opens = np.flatnonzero(is_open)
-    order = np.argsort(level[opens], kind="stable")
-    opens = opens[order]
-    inside = np.where(is_open | is_close, level - 1, level)
-    parent = last_before(level[opens] * width + opens, inside * width + pos, opens, "left")
-    found = (parent >= 0) & (inside > 0)
-    found &= level[np.maximum(parent, 0)] == inside
-    parent = np.where(found, parent, -1)
-
-    def on_level(marks):
-        marks = marks[np.argsort(parent[marks], kind="stable")]
-        return marks, (parent[marks] + 1) * width + marks
-
-    query = (parent + 1) * width + pos
-    stop = np.where(parent >= 0, match[np.maximum(parent, 0)], n)
+    opens = opens[np.argsort(group[opens], kind="stable")]
+    around = row * span + (inside - low)
+    at = np.searchsorted(group[opens] * width + opens, around * width + pos, side="left") - 1
+    parent = _pick(opens, at)
+    parent = np.where((inside > 0) & (_pick(group, parent) == around), parent, -1)
+
+    home = np.where(parent >= 0, parent, n + row)
+
+    def on_level(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        marks = marks[np.argsort(home[marks], kind="stable")]
+        return marks, home[marks] * width + marks
+
+    query = home * width + pos
+    stop = np.where(parent >= 0, match[np.maximum(parent, 0)], end)
     marks, keys = on_level(np.flatnonzero(cls >= SEMI))
     if len(marks):
-        at = np.minimum(np.searchsorted(keys, query, side="right"), len(marks) - 1)
-        hit = (keys[at] > query) & (parent[marks[at]] == parent)
-        stop = np.where(hit, marks[at], stop)
+        at = np.searchsorted(keys, query, side="right")
+        found = marks[np.minimum(at, len(marks) - 1)]
+        stop = np.where((at < len(marks)) & (home[found] == home), found, stop)
     marks, keys = on_level(np.flatnonzero((cls >= SEMI) & (cls != COMMA)))
-    head = last_before(keys, query, marks, "left")
-    head = np.where((head >= 0) & (parent[np.maximum(head, 0)] == parent), head, -1)
-    return match, parent, stop, head
+    head = _pick(marks, np.searchsorted(keys, query, side="left") - 1)
+    head = np.where((head >= 0) & (home[np.maximum(head, 0)] == home), head, -1)
+
+    def local(index: np.ndarray) -> np.ndarray:
+        return np.where(index >= 0, index - first, -1)
+
+    return local(match), local(parent), stop - first, local(head)
 
 
-def nest_spans(pos, end, weight) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For nodes sorted by ``pos``, where ``end`` >= 0 marks a function's span:
+def nest_spans(
+    pos: np.ndarray, end: np.ndarray, weight: np.ndarray, starts: np.ndarray
+) -> tuple[np.ndarray, ...]:
+    """For the nodes of several files, each file's sorted by ``pos``; ``end`` >= 0
+    marks a function's span:
 
     inner  sum of ``weight`` over the nodes inside a function (0 for others)
     depth  number of functions around the node
-    outer  index of the innermost function around the node, -1 when none
+    outer  the innermost function around the node, as an index into its file's
+           nodes, -1 when none
     """
-    pos = np.asarray(pos, dtype=np.int64)
-    end = np.asarray(end, dtype=np.int64)
     n = len(pos)
-    total = np.concatenate([[0], np.cumsum(np.asarray(weight, dtype=np.int64))])
+    if n == 0:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    lengths = np.diff(starts)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    # Lay the files out one after the other on one axis; spans stay inside theirs.
+    width = int(max(pos.max(), end.max())) + 2
+    start, stop = row * width + pos, row * width + end
     is_fn = end >= 0
     fns = np.flatnonzero(is_fn)
-    last = np.searchsorted(pos, end, side="right")
-    inner = np.where(is_fn, total[np.maximum(last, np.arange(n) + 1)] - total[1:], 0)
-    depth = np.searchsorted(pos[fns], pos, side="left") - np.searchsorted(np.sort(end[fns]), pos, side="left")
-    outer = np.full(n, -1, dtype=np.int64)
-    if len(fns):
-        width = int(max(pos[-1], end.max())) + 2
-        ranked = fns[np.argsort(depth[fns], kind="stable")]
-        keys = depth[ranked] * width + pos[ranked]
-        at = np.searchsorted(keys, (depth - 1) * width + pos, side="left") - 1
-        outer = np.where((depth > 0) & (at >= 0), ranked[np.maximum(at, 0)], -1)
-    return inner, depth, outer
-
-
-def _frame(rows, names) -> pd.DataFrame:
-    columns = list(zip(*rows)) if rows else [[] for _ in names]
-    return pd.DataFrame({name: pd.Series(list(col), dtype=object) for name, col in zip(names, columns)})
-
-
-@F.pandas_udf(SCOPE_TYPE)
-def _scope_udf(classes: pd.Series) -> pd.DataFrame:
-    rows = [tuple(a.astype(np.int32) for a in match_brackets(c)) for c in classes]
-    return _frame(rows, ("match", "parent", "stop", "head"))
-
-
-@F.pandas_udf(NEST_TYPE)
-def _nest_udf(pos: pd.Series, end: pd.Series, weight: pd.Series) -> pd.DataFrame:
-    rows = [tuple(a.astype(np.int32) for a in nest_spans(*args)) for args in zip(pos, end, weight)]
-    return _frame(rows, ("inner", "depth", "outer"))
+    index = np.arange(n)
+    total = np.concatenate([[0], np.cumsum(weight)])
+    last = np.maximum(np.searchsorted(start, stop, side="right"), index + 1)
+    inner = np.where(is_fn, total[last] - total[index + 1], 0)
+    depth = np.searchsorted(start[fns], start, side="left") - np.searchsorted(
+        np.sort(stop[fns]), start, side="left"
+    )
+    axis = int(start.max()) + 2
+    ranked = fns[np.argsort(depth[fns], kind="stable")]
+    at = np.searchsorted(
+        depth[ranked] * axis + start[ranked], (depth - 1) * axis + start, side="left"
+    )
+    outer = np.where(depth > 0, _pick(ranked, at - 1), -1)
+    return inner, depth, np.where(outer >= 0, outer - starts[:-1][row], -1)
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Flat values (int64) of a list column and the bounds of each row in them."""
+    offsets = column.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    return values.astype(np.int64), offsets - offsets[0]
+
+
+def _struct_of_lists(names: list[str], starts: np.ndarray, values: tuple[np.ndarray, ...]) -> pa.Array:
+    offsets = pa.array(starts.astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in values]
+    return pa.StructArray.from_arrays(lists, names=names)
+
+
+@F.arrow_udf(SCOPE_TYPE)
+def _scope_udf(classes: pa.Array) -> pa.Array:
+    cls, starts = _lists(classes)
+    return _struct_of_lists(["match", "parent", "stop", "head"], starts, match_brackets(cls, starts))
+
+
+@F.arrow_udf(NEST_TYPE)
+def _nest_udf(pos: pa.Array, end: pa.Array, weight: pa.Array) -> pa.Array:
+    first, starts = _lists(pos)
+    spans = nest_spans(first, _lists(end)[0], _lists(weight)[0], starts)
+    return _struct_of_lists(["inner", "depth", "outer"], starts, spans)
 
 
 # Marked so that Catalyst never copies the call into a pushed-down filter or a

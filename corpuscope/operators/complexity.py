@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.functions.arrays import built_once
 from corpuscope.operators.structure import weight_twice
 from corpuscope.rules import FUNCTION_KINDS, NODE_WEIGHTS
 
 
-def complexity_of(nodes: Column) -> Column:
+@built_once
+def complexity_of(nodes: str) -> Column:
     """Module score from the in-row ``nodes`` array."""
     outside = F.aggregate(
         F.transform(nodes, lambda n: weight_twice(n.kind, 0)), F.lit(0), lambda a, w: a + w

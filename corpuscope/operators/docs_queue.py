@@ -87,7 +87,7 @@ def documentation_worklist(files: DataFrame, cache: DataFrame, root: str = "/")
     Only pending rows carry a prompt: equal texts are one unit of work.
     """
     deps = F.array_distinct(
-        F.transform(dependency_structs(F.col("toks")), lambda d: d.specifier)
+        F.transform(dependency_structs("toks"), lambda d: d.specifier)
     )
     described = with_tokens(files).select(
         "path",

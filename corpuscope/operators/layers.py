@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.functions.arrays import built_once
 from corpuscope.rules import (
     BUSY_CLASSES,
     BUSY_COMPLEXITY,
@@ -28,6 +29,7 @@ def _any_export(words: tuple[str, ...]) -> Column:
     return F.exists("exports", lambda e: _holds(F.lower(e), words))
 
 
+@built_once
 def raw_layer() -> Column:
     """Label of the first matching rule, content rules first."""
     path, name = F.lower("path"), F.lower("name")

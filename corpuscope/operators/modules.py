@@ -23,21 +23,20 @@ def module_table(files: DataFrame) -> DataFrame:
     One scan, no shuffle, no join: each file is lexed once and every feature is
     read off its own arrays. A file that cannot hold code gets the empty form.
     """
-    parsed = with_structure(files).withColumn("deps", dependency_structs(F.col("toks")))
-    nodes = F.col("nodes")
+    parsed = with_structure(files).withColumn("deps", dependency_structs("toks"))
     return parsed.select(
         "seq",
         "path",
         module_name(F.col("path")).alias("name"),
         F.array_distinct(F.transform("deps", lambda d: d.specifier)).alias("dependencies"),
-        export_names(nodes).alias("exports"),
-        function_names(nodes).alias("functions"),
-        class_names(nodes).alias("classes"),
+        export_names("nodes").alias("exports"),
+        function_names("nodes").alias("functions"),
+        class_names("nodes").alias("classes"),
         F.when(is_parseable(), F.coalesce(utf16_length(F.col("content")), F.lit(0)))
         .otherwise(0)
         .cast("bigint")
         .alias("size"),
-        complexity_of(nodes).alias("complexity"),
+        complexity_of("nodes").alias("complexity"),
     )
 
 

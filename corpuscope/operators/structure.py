@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions import scope
-from corpuscope.functions.arrays import between, explode_structs, indexes, let
+from corpuscope.functions.arrays import between, built_once, explode_structs, indexes, let
 from corpuscope.operators.tokens import with_tokens
 from corpuscope.rules import FUNCTION_KINDS, NODE_WEIGHTS
 
@@ -61,6 +61,7 @@ def _word(value: Column) -> Column:
     return F.coalesce(value.rlike(_WORD), F.lit(False))
 
 
+@built_once
 def token_classes(toks: str) -> Column:
     """One small code per token of column ``toks``, the input of ``scope_index``.
 
@@ -345,21 +346,16 @@ def _found_nodes(env: Column) -> Column:
     return let(own.cast(_NODE), with_calls)
 
 
-def with_structure(files: DataFrame) -> DataFrame:
-    """Add ``toks`` and ``nodes`` to ``seq, path, ext, content``. No shuffle."""
-    scoped = with_tokens(files).withColumn("scope", scope.scope_index(token_classes("toks")))
-    found = let(F.struct("toks", "scope"), _found_nodes)
-    nodes = scoped.withColumn("found", found).withColumn(
-        "nest",
-        scope.nest_index(
-            F.transform("found", lambda n: n.pos),
-            F.transform("found", lambda n: n.end),
-            F.transform("found", lambda n: weight_twice(n.kind, 1)),
-        ),
-    )
-    nested = F.arrays_zip("nest.inner", "nest.depth", "nest.outer")
-    full = F.zip_with(
-        "found",
+@built_once
+def _nodes_in(toks: str, scope_index: str) -> Column:
+    return let(F.struct(F.col(toks).alias("toks"), F.col(scope_index).alias("scope")), _found_nodes)
+
+
+@built_once
+def _nested_nodes(found: str, nest: str) -> Column:
+    nested = F.arrays_zip(f"{nest}.inner", f"{nest}.depth", f"{nest}.outer")
+    return F.zip_with(
+        found,
         nested,
         lambda n, x: F.struct(
             n.pos.alias("pos"),
@@ -372,15 +368,29 @@ def with_structure(files: DataFrame) -> DataFrame:
             x.getField("outer").alias("outer"),
         ),
     )
-    return nodes.withColumn("nodes", full).drop("scope", "found", "nest")
 
 
-def export_names(nodes: Column) -> Column:
+def with_structure(files: DataFrame) -> DataFrame:
+    """Add ``toks`` and ``nodes`` to ``seq, path, ext, content``. No shuffle."""
+    scoped = with_tokens(files).withColumn("scope", scope.scope_index(token_classes("toks")))
+    nodes = scoped.withColumn("found", _nodes_in("toks", "scope")).withColumn(
+        "nest",
+        scope.nest_index(
+            F.transform("found", lambda n: n.pos),
+            F.transform("found", lambda n: n.end),
+            F.transform("found", lambda n: weight_twice(n.kind, 1)),
+        ),
+    )
+    return nodes.withColumn("nodes", _nested_nodes("found", "nest")).drop("scope", "found", "nest")
+
+
+@built_once
+def export_names(nodes: str) -> Column:
     kept = F.filter(nodes, lambda n: (n.kind == "export_default") | (n.exported & n.getField("name").isNotNull()))
     return F.transform(kept, lambda n: n.getField("name"))
 
 
-def _names_of(nodes: Column, kinds: tuple[str, ...]) -> Column:
+def _names_of(nodes: str, kinds: tuple[str, ...]) -> Column:
     # An exported declaration is listed once for the export, once for itself.
     kept = F.filter(nodes, lambda n: n.kind.isin(*kinds) & n.getField("name").isNotNull())
     return F.flatten(
@@ -391,11 +401,13 @@ def _names_of(nodes: Column, kinds: tuple[str, ...]) -> Column:
     )
 
 
-def function_names(nodes: Column) -> Column:
+@built_once
+def function_names(nodes: str) -> Column:
     return _names_of(nodes, FUNCTION_KINDS)
 
 
-def class_names(nodes: Column) -> Column:
+@built_once
+def class_names(nodes: str) -> Column:
     return _names_of(nodes, ("class_decl",))
 
 
@@ -403,9 +415,9 @@ def module_symbols(files: DataFrame) -> DataFrame:
     """``path, exports, functions, classes``."""
     return with_structure(files).select(
         "path",
-        export_names(F.col("nodes")).alias("exports"),
-        function_names(F.col("nodes")).alias("functions"),
-        class_names(F.col("nodes")).alias("classes"),
+        export_names("nodes").alias("exports"),
+        function_names("nodes").alias("functions"),
+        class_names("nodes").alias("classes"),
     )
 
 

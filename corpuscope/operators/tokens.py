@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.functions.arrays import explode_structs, explode_values
+from corpuscope.functions.arrays import built_once, explode_structs, explode_values
 from corpuscope.rules import (
     PARSEABLE_EXTENSIONS,
     WEBPACK_SPLIT,
@@ -33,7 +33,8 @@ _REGEX = (
 _WORDS = r"[A-Za-z_$][\w$]*+"
 _MARKS = r"=>|&&|\|\||\?\?|\?\.(?!\d)|\.\.\.|\d[\w.]*+"
 _OTHER = r"[^\s\w\x{a0}\x{feff}\x{2028}\x{2029}]"
-TOKEN_RE = "|".join((_COMMENT, _STRINGS, _REGEX, _WORDS, _MARKS, _OTHER))
+# Group 1 is the token; a comment matches outside of it and so yields "".
+TOKEN_RE = f"{_COMMENT}|(" + "|".join((_STRINGS, _REGEX, _WORDS, _MARKS, _OTHER)) + ")"
 
 # Tokens are joined with this separator to match whole statements by one regex.
 SEP = "\x01"
@@ -61,8 +62,7 @@ def only_parseable(files: DataFrame) -> DataFrame:
 
 def tokenize(content: Column) -> Column:
     """Tokens of a source text in order, comments dropped."""
-    tokens = F.regexp_extract_all(content, F.lit(TOKEN_RE), F.lit(0))
-    return F.filter(tokens, lambda t: ~(t.startswith("//") | t.startswith("/*")))
+    return F.array_remove(F.regexp_extract_all(content, F.lit(TOKEN_RE), F.lit(1)), "")
 
 
 def with_tokens(files: DataFrame) -> DataFrame:
@@ -72,7 +72,8 @@ def with_tokens(files: DataFrame) -> DataFrame:
     return files.withColumn("toks", F.coalesce(toks, empty))
 
 
-def dependency_structs(toks: Column) -> Column:
+@built_once
+def dependency_structs(toks: str) -> Column:
     """``array<struct<specifier, kind>>`` in source order, repeats kept."""
     text = F.concat(F.lit(SEP), F.array_join(toks, SEP), F.lit(SEP))
     found = F.regexp_extract_all(text, F.lit(DEPENDENCY_RE), F.lit(0))
@@ -97,7 +98,7 @@ def code_tokens(files: DataFrame) -> DataFrame:
 
 def extract_dependencies(files: DataFrame) -> DataFrame:
     """``path, specifier, kind, ord``: one row per import, re-export or require."""
-    listed = with_tokens(files).select("path", dependency_structs(F.col("toks")).alias("deps"))
+    listed = with_tokens(files).select("path", dependency_structs("toks").alias("deps"))
     return explode_structs(listed, F.col("deps"), ["path"], "specifier", pos="ord").select(
         "path", "specifier", "kind", "ord"
     )

@@ -72,13 +72,11 @@ def _layer_case() -> str:
 
 
 _LAYER_NAMES = ", ".join(f"'{name}'" for name, _ in rules.LAYERS)
-_CLASSIFIED = (
-    _MODULES
-    + f""",
+_LAYERED = f""",
 labelled AS (SELECT *, {_layer_case()} AS raw_label FROM mods),
 layered AS (SELECT *, CASE WHEN raw_label IN ({_LAYER_NAMES}) THEN raw_label ELSE 'Unknown' END AS layer FROM labelled)
 """
-)
+_CLASSIFIED = _MODULES + _LAYERED
 _BAND = (
     "CASE WHEN complexity <= 10 THEN 'low' WHEN complexity <= 20 THEN 'medium' "
     "WHEN complexity <= 30 THEN 'high' ELSE 'critical' END"
@@ -526,9 +524,10 @@ ORACLES["architecture_nodes"] = (
     + f"""SELECT {_NODE.format('path')} AS node, name, complexity, {_BAND} AS band, layer, {_COLORS} AS color FROM layered"""
 )
 ORACLES["architecture_report_sizes"] = (
-    _CLASSIFIED
+    _RESOLVED_ALL
+    + _LAYERED
     + """SELECT 'nodes' AS section, count(*) AS n FROM mods
-UNION ALL SELECT 'edges', count(*) FROM deps
+UNION ALL SELECT 'edges', count(*) FROM resolved WHERE dst_path IS NOT NULL
 UNION ALL SELECT 'layers', count(DISTINCT layer) FROM layered
 UNION ALL SELECT 'layer_critical', CAST(sum(least(k, 5)) AS BIGINT) FROM (SELECT count(*) AS k FROM layered WHERE complexity > 30 GROUP BY layer)
 UNION ALL SELECT 'matrix', count(*) FROM (SELECT DISTINCT d.path, m.path FROM deps d, mods m

@@ -14,7 +14,7 @@ from corpuscope.operators.instrumentation import instrumentation_sites
 from corpuscope.plans import fixtures as fx
 from corpuscope.plans.reports import architecture_report, diagram_nodes, runtime_report
 from corpuscope.schemas import EVENTS_TABLE
-from corpuscope.session import run_dir
+from corpuscope.session import materialize, run_dir
 from corpuscope.sources import events as event_log
 from corpuscope.sources import responses as response_cache
 from corpuscope.sources.files import scan_code_files
@@ -38,6 +38,11 @@ def _modules(spark: SparkSession, sf: str) -> DataFrame:
     return modules.module_table(fx.code_files(spark, sf))
 
 
+def _stored_modules(spark: SparkSession, sf: str) -> DataFrame:
+    """The module table, written once: a graph query reads it several times."""
+    return materialize(_modules(spark, sf), "modules")
+
+
 def _classified(spark: SparkSession, sf: str) -> DataFrame:
     return layers.classify_layer(_modules(spark, sf))
 
@@ -252,28 +257,28 @@ def files_with_deps(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def resolve_dependencies(spark: SparkSession, sf: str) -> DataFrame:
-    found = _modules(spark, sf)
+    found = _stored_modules(spark, sf)
     return graph.resolve_dependencies(graph.module_edges(found), found)
 
 
 @_query
 def dependency_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """Edges with the leading ``./`` taken off, so that they spell module names."""
-    found = _modules(spark, sf)
+    found = _stored_modules(spark, sf)
     edges = graph.module_edges(found).withColumn("specifier", F.regexp_replace("specifier", r"^\./", ""))
     return graph.dependency_matrix(found, edges)
 
 
 @_query
 def internal_edges(spark: SparkSession, sf: str) -> DataFrame:
-    found = _modules(spark, sf)
+    found = _stored_modules(spark, sf)
     resolved = graph.resolve_dependencies(graph.module_edges(found), found)
     return graph.internal_edges(resolved)
 
 
 @_query
 def external_dependencies(spark: SparkSession, sf: str) -> DataFrame:
-    found = _modules(spark, sf)
+    found = _stored_modules(spark, sf)
     edges = graph.module_edges(found)
     resolved = graph.resolve_dependencies(edges, found, match_empty_dir=False)
     return graph.external_dependencies(edges, resolved).select("path", "specifier")
@@ -392,7 +397,7 @@ def refactoring_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def layer_critical_modules(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.layer_critical_modules(_classified(spark, sf))
+    return reports.layer_critical_modules(layers.classify_layer(_stored_modules(spark, sf)))
 
 
 @_query

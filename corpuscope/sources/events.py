@@ -26,10 +26,18 @@ def read_runtime_events(spark: SparkSession, path: str, lines: bool = False) ->
     )
 
 
-def _json_value(text: Column) -> Column:
-    """JSON text as a value of its own; any other text as a JSON string."""
-    as_string = F.parse_json(F.to_json(F.struct(text.alias("v"))))
-    return F.coalesce(F.try_parse_json(text), F.variant_get(as_string, "$.v", "variant"))
+def _json_member(name: str, value: Column) -> Column:
+    """``"name":value`` with the value as JSON, null included."""
+    text = F.to_json(F.struct(value.alias(name)), {"ignoreNullFields": "false"})
+    return F.regexp_replace(text, r"^\{|\}$", "")
+
+
+def _details_member(details: Column) -> Column:
+    """JSON text goes out as it is (key order kept), other text as a JSON string."""
+    raw = F.concat(F.lit('"details":'), details)
+    return F.when(F.try_parse_json(details).isNotNull(), raw).otherwise(
+        _json_member("details", details)
+    )
 
 
 def write_runtime_events(events: DataFrame, path: str) -> None:
@@ -39,10 +47,12 @@ def write_runtime_events(events: DataFrame, path: str) -> None:
         if "stack_trace" in events.columns
         else F.array().cast("array<string>")
     )
-    events.select(
-        "type",
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
-        "location",
-        _json_value(F.col("details")).alias("details"),
-        stack.alias("stackTrace"),
-    ).write.json(path)
+    members = [
+        _json_member("type", F.col("type")),
+        _json_member("timestamp", F.unix_millis(F.col("ts").cast("timestamp"))),
+        _json_member("location", F.col("location")),
+        _details_member(F.col("details")),
+        _json_member("stackTrace", stack),
+    ]
+    line = F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+    events.select(line.alias("value")).write.text(path)

@@ -127,7 +127,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prose_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``seq, path, ext, content`` over the whole text of ``documents``."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("seq"),
         F.concat(F.lit("/docs/"), F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".ts")).alias("path"),
         F.lit("ts").alias("ext"),
@@ -137,7 +137,7 @@ def prose_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``seq, path, ext, content`` over the whole HTML of ``pages``."""
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages")).select(
         F.col("page_id").alias("seq"),
         F.concat(F.lit("/site/page"), F.col("page_id"), F.lit(".html")).alias("path"),
         F.lit("html").alias("ext"),

@@ -59,15 +59,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin thin rows over all cores before a step that makes them wide.
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a small scan over all cores; leave a large one alone.
 
-    Use it where a small input expands (a few megabytes of keys that become code
-    or tokens); a large scan already has enough splits.
+    For a plain scan in front of costly per-row work. A scan with at least one
+    split per core, as any large table has, is returned as it is: no shuffle.
     """
-    spark = df.sparkSession
-    target = max(
-        spark.sparkContext.defaultParallelism,
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-    )
-    return df.repartition(target)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(2 * cores)

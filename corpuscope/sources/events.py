@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from corpuscope.schemas import EVENT_LOG_JSON
 
 
+def _one_line(details: Column) -> Column:
+    """Indented JSON on one line, key order kept; other text as it is.
+
+    Inside valid JSON a raw line break never belongs to a string.
+    """
+    joined = F.regexp_replace(details, r"\s*[\r\n]+\s*", "")
+    return F.when(F.try_parse_json(details).isNotNull(), joined).otherwise(details)
+
+
 def read_runtime_events(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """``seq, ts, type, location, details, stack_trace`` from exported logs.
 
@@ -21,7 +30,7 @@ def read_runtime_events(spark: SparkSession, path: str, lines: bool = False) ->
         F.timestamp_millis("timestamp").alias("ts"),
         "type",
         "location",
-        "details",
+        _one_line(F.col("details")).alias("details"),
         F.col("stackTrace").alias("stack_trace"),
     )
 
@@ -34,7 +43,7 @@ def _json_member(name: str, value: Column) -> Column:
 
 def _details_member(details: Column) -> Column:
     """JSON text goes out as it is (key order kept), other text as a JSON string."""
-    raw = F.concat(F.lit('"details":'), details)
+    raw = F.concat(F.lit('"details":'), _one_line(details))
     return F.when(F.try_parse_json(details).isNotNull(), raw).otherwise(
         _json_member("details", details)
     )

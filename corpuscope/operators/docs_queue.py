@@ -9,8 +9,9 @@ from corpuscope.functions.metrics import content_key
 from corpuscope.functions.paths import relative_path
 from corpuscope.functions.text import first_markdown_section
 from corpuscope.operators.graph import dependency_list
-from corpuscope.operators.joins import salted_lookup
+from corpuscope.operators.joins import hot_split_join
 from corpuscope.operators.tokens import dependency_structs, with_tokens
+from corpuscope.session import materialize
 
 PROMPT_HEAD = (
     "Describe the source file below for a code audit. Cover its purpose, inputs and outputs, "
@@ -37,11 +38,13 @@ def with_content_key(files: DataFrame) -> DataFrame:
 def cached_responses(keyed: DataFrame, cache: DataFrame) -> DataFrame:
     """``path, cache_key, response``: the stored answer of each file that has one.
 
-    Copies of one text share a key, so the key may be hot on the file side.
+    The keys are taken in one pass over the contents and stored. Copies of one
+    text share a key, so a key may be hot on the file side; answers are wide, so
+    only those of hot keys are repeated.
     """
-    rows = keyed.select("path", "cache_key")
+    rows = materialize(keyed.select("path", "cache_key"), "content-keys")
     answers = cache.select("cache_key", "response").dropDuplicates(["cache_key"])
-    return salted_lookup(rows, answers, "cache_key", ["path"], "inner").select(
+    return hot_split_join(rows, answers, "cache_key", ["path"], "inner").select(
         "path", "cache_key", "response"
     )
 
@@ -60,14 +63,8 @@ def first_markdown_sections(responses: DataFrame) -> DataFrame:
     )
 
 
-def documentation_status(files: DataFrame, cache: DataFrame) -> DataFrame:
-    """``path, cache_key, status``; file contents are read but not shuffled.
-
-    cached   a stored answer exists
-    pending  the first file (by ``seq``) of a text nobody has described yet
-    shared   a copy of a pending file's text
-    """
-    rows = with_content_key(files).select("seq", "path", "cache_key")
+def _with_status(rows: DataFrame, cache: DataFrame) -> DataFrame:
+    """Add ``status`` to stored rows with ``seq`` and ``cache_key``."""
     firsts = rows.groupBy("cache_key").agg(F.min("seq").alias("first_seq"))
     known = cache.select("cache_key", F.lit(True).alias("known")).distinct()
     keys = firsts.join(known, "cache_key", "left")
@@ -76,27 +73,43 @@ def documentation_status(files: DataFrame, cache: DataFrame) -> DataFrame:
         .when(F.col("seq") == F.col("first_seq"), "pending")
         .otherwise("shared")
     )
-    return salted_lookup(rows, keys, "cache_key", ["seq"], "inner").select(
-        "path", "cache_key", status.alias("status")
-    )
+    joined = hot_split_join(rows, keys, "cache_key", ["seq"], "inner")
+    return joined.withColumn("status", status).drop("first_seq", "known")
+
+
+def documentation_status(files: DataFrame, cache: DataFrame) -> DataFrame:
+    """``path, cache_key, status``; contents are read once and never shuffled.
+
+    cached   a stored answer exists
+    pending  the first file (by ``seq``) of a text nobody has described yet
+    shared   a copy of a pending file's text
+    """
+    rows = materialize(with_content_key(files).select("seq", "path", "cache_key"), "content-keys")
+    return _with_status(rows, cache).select("path", "cache_key", "status")
 
 
 def documentation_worklist(files: DataFrame, cache: DataFrame, root: str = "/") -> DataFrame:
     """``rel, cache_key, prompt, deps, status``.
 
-    Only pending rows carry a prompt: equal texts are one unit of work.
+    Only pending rows carry a prompt: equal texts are one unit of work. A first
+    pass over the contents stores thin rows; contents are then joined with the
+    pending rows alone, which an incremental run keeps small enough to broadcast.
     """
-    deps = F.array_distinct(
-        F.transform(dependency_structs("toks"), lambda d: d.specifier)
-    )
-    described = with_tokens(files).select(
+    deps = F.array_distinct(F.transform(dependency_structs("toks"), lambda d: d.specifier))
+    thin = with_tokens(files).select(
+        "seq",
         "path",
         relative_path(F.col("path"), root).alias("rel"),
+        content_key(F.col("content")).alias("cache_key"),
         dependency_list(deps).alias("deps"),
-        "content",
     )
-    status = documentation_status(files, cache)
-    prompt = F.when(F.col("status") == "pending", prompt_for(F.col("content")))
-    return described.join(status, "path").select(
-        "rel", "cache_key", prompt.alias("prompt"), "deps", "status"
+    rows = _with_status(materialize(thin, "worklist"), cache)
+    pending = rows.where(F.col("status") == "pending").join(
+        files.select("path", "content"), "path"
+    )
+    asked = pending.withColumn("prompt", prompt_for(F.col("content")))
+    rest = rows.where(F.col("status") != "pending").withColumn(
+        "prompt", F.lit(None).cast("string")
     )
+    columns = ["rel", "cache_key", "prompt", "deps", "status"]
+    return asked.select(columns).unionByName(rest.select(columns))

@@ -11,7 +11,7 @@ from corpuscope.functions.paths import (
     parent_dir,
     strip_code_suffix,
 )
-from corpuscope.operators.joins import salted_lookup
+from corpuscope.operators.joins import hot_split_join, salted_lookup
 
 NO_DEPENDENCIES = "_No dependencies_"
 
@@ -148,14 +148,18 @@ def _resolve_specifiers(specs: DataFrame, modules: DataFrame, match_empty_dir: b
         rest.select("specifier", "dep_dir"), _first(by_dir, "dep_dir"), "dep_dir", ["specifier"], "inner"
     )
 
-    heads = rest.select("dep_name").where(F.col("dep_name") != "").distinct()
+    # With the empty directory the first module of all has already answered.
+    named = rest.where(F.col("dep_name") != "")
+    if match_empty_dir:
+        named = named.where(F.col("dep_dir") != "")
+    heads = named.select("dep_name").distinct()
     name_parts = _spelled(names, _substrings(F.col("name")), "dep_name")
     head_names = heads.select("dep_name", F.explode(_substrings(F.col("dep_name"))).alias("name"))
     by_name = heads.join(name_parts, "dep_name").unionByName(
         head_names.join(names, "name").select("dep_name", "seq")
     )
     name_hits = salted_lookup(
-        rest.select("specifier", "dep_name"), _first(by_name, "dep_name"), "dep_name", ["specifier"], "inner"
+        named.select("specifier", "dep_name"), _first(by_name, "dep_name"), "dep_name", ["specifier"], "inner"
     )
 
     partial = dir_hits.select("specifier", "seq").unionByName(name_hits.select("specifier", "seq"))
@@ -172,12 +176,16 @@ def resolve_dependencies(
     reverse, or whose name contains the segment, or the reverse. A specifier
     without a slash has the empty directory, with which every directory ends, so
     it resolves to the first module; ``match_empty_dir=False`` drops that case.
+
+    ``modules`` is read several times: give it a stored table, not a plan that
+    lexes the corpus.
     """
     specs = distinct_specifiers(deps)
     hits = _resolve_specifiers(specs, modules, match_empty_dir)
-    targets = salted_lookup(
-        hits, modules.select("seq", F.col("path").alias("dst_path")), "seq", ["specifier"], "inner"
-    ).drop("seq")
+    winners = modules.select("seq", F.col("path").alias("dst_path")).join(
+        hits.select("seq").distinct(), "seq"
+    )
+    targets = salted_lookup(hits, winners, "seq", ["specifier"], "inner").drop("seq")
     edges = deps.select(F.col("path").alias("src_path"), "specifier")
     return salted_lookup(edges, targets, "specifier", ["src_path"]).select(
         "src_path", "specifier", "dst_path", "pass"
@@ -217,7 +225,7 @@ def dependency_matrix(modules: DataFrame, deps: DataFrame) -> DataFrame:
     targets = modules.select(F.col("path").alias("dst"), F.explode(spellings).alias("specifier"))
     edges = deps.select(F.col("path").alias("src"), "specifier").distinct()
     return (
-        edges.join(targets, "specifier")
+        hot_split_join(edges, targets, "specifier", ["src"], "inner")
         .select("src", "dst")
         .distinct()
         .withColumn("has_dep", F.lit(True))

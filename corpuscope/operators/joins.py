@@ -1,13 +1,20 @@
-"""A join that keeps a hot key from landing in one task."""
+"""Joins that keep a hot key from landing in one task."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 JOIN_SALTS = 16
+# Any key outside the HOT_KEYS most frequent ones holds less than 1/HOT_KEYS of
+# the rows, so this list is all the broadcast below ever needs.
+HOT_KEYS = 256
+
+
+def _salt(spread_by: Sequence[str], salts: int) -> Column:
+    return F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
 
 
 def salted_lookup(
@@ -18,14 +25,43 @@ def salted_lookup(
     how: str = "left",
     salts: int = JOIN_SALTS,
 ) -> DataFrame:
-    """Join ``rows`` (any skew on ``on``) with ``lookup`` (one row per ``on``).
+    """Join ``rows`` (any skew on ``on``) with a ``lookup`` of few, thin rows.
 
     Rows of one key are dealt over ``salts`` tasks by a hash of ``spread_by``,
-    and the lookup row is repeated once per salt. A lookup that turns out small
+    and each lookup row is repeated once per salt. A lookup that turns out small
     is still broadcast by Spark from its own size statistics.
     """
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    copies = lookup.withColumn(
-        "__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)]))
+    copies = lookup.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    salted = rows.withColumn("__salt", _salt(spread_by, salts))
+    return salted.join(copies, [on, "__salt"], how).drop("__salt")
+
+
+def hot_keys(rows: DataFrame, on: str, k: int = HOT_KEYS) -> DataFrame:
+    """The k most frequent values of ``on``: at most k rows, whatever the input."""
+    counted = rows.groupBy(on).agg(F.count("*").alias("__n"))
+    return counted.orderBy(F.desc("__n"), on).limit(k).select(on)
+
+
+def hot_split_join(
+    rows: DataFrame,
+    lookup: DataFrame,
+    on: str,
+    spread_by: Sequence[str],
+    how: str = "left",
+    salts: int = JOIN_SALTS * 4,
+) -> DataFrame:
+    """Join ``rows`` (any skew on ``on``) with a large or wide ``lookup``.
+
+    Only rows of the most frequent keys are dealt over ``salts`` tasks, and only
+    the lookup rows of those keys are repeated. ``rows`` is read twice: give it a
+    stored or thin table.
+    """
+    hot = F.broadcast(hot_keys(rows, on).withColumn("__hot", F.lit(True)))
+    salted = rows.join(hot, on, "left").withColumn(
+        "__salt", F.when(F.col("__hot"), _salt(spread_by, salts)).otherwise(0)
+    )
+    every = F.array(*[F.lit(i) for i in range(salts)])
+    copies = lookup.join(hot, on, "left").withColumn(
+        "__salt", F.explode(F.when(F.col("__hot"), every).otherwise(F.array(F.lit(0))))
     )
-    return rows.withColumn("__salt", salt).join(copies, [on, "__salt"], how).drop("__salt")
+    return salted.drop("__hot").join(copies.drop("__hot"), [on, "__salt"], how).drop("__salt")

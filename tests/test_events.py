@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscope.operators import docs_queue, events
-from corpuscope.operators.joins import salted_lookup
+from corpuscope.operators.joins import hot_keys, hot_split_join, salted_lookup
 from corpuscope.operators.ranking import top_n_by
 from corpuscope.plans import fixtures as fx
 from corpuscope.plans.reports import runtime_report
@@ -84,6 +84,14 @@ def test_salted_lookup_keeps_all_rows(spark):
     assert salted_lookup(rows, lookup, "key", ["id"], "inner").count() == 2001
 
 
+def test_hot_split_join_keeps_all_rows(spark):
+    rows = spark.range(3000).selectExpr("id", "IF(id % 3 < 2, 'hot', concat('k', id)) AS key")
+    lookup = spark.createDataFrame([("hot", 1), ("k2", 2), ("k2", 3)], "key string, v int")
+    got = hot_split_join(rows, lookup, "key", ["id"]).groupBy("v").count().orderBy("v").collect()
+    assert got == [(None, 999), (1, 2000), (2, 1), (3, 1)]
+    assert hot_keys(rows, "key", 1).collect() == [("hot",)]
+
+
 def test_exported_log(spark, tmp_path):
     log = [
         {"type": "api_call", "timestamp": 1500, "location": "fetch", "details": {"url": "/a", "n": [1]}, "stackTrace": ["s1", "s2"]},

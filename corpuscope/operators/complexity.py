@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.functions.arrays import built_once
+from corpuscope.functions.arrays import built_once, explode_structs
 from corpuscope.operators.structure import weight_twice
 from corpuscope.rules import FUNCTION_KINDS, NODE_WEIGHTS
 
@@ -39,18 +39,40 @@ def _weight(slot: int) -> Column:
 
 
 def _own_scores(nodes: DataFrame) -> DataFrame:
-    """``path, fn_id, fn_ancestors, own``: 1 + R per function of a nodes table."""
-    inside = (
-        nodes.select("path", F.explode("fn_ancestors").alias("fn_id"), _weight(1).alias("w"))
-        .groupBy("path", "fn_id")
-        .agg(F.sum("w").alias("w"))
-    )
-    functions = nodes.where(F.col("kind").isin(*FUNCTION_KINDS)).select(
-        "path", F.col("node_id").alias("fn_id"), "fn_ancestors"
+    """``path, fn_id, depth, fn_ancestors, own``: 1 + R per function of a nodes table.
+
+    A null ``fn_id`` row carries the weight outside of functions. Each node sends
+    its weight to the functions around it, and each function announces itself, so
+    one grouping does it and no join.
+    """
+    is_function = F.col("kind").isin(*FUNCTION_KINDS)
+
+    def part(fn_id: Column, w: Column, announced: Column) -> Column:
+        ancestors = F.when(announced, F.col("fn_ancestors"))
+        return F.struct(
+            fn_id.cast("bigint").alias("fn_id"),
+            w.alias("w"),
+            F.size(ancestors).alias("depth"),
+            ancestors.alias("fn_ancestors"),
+        )
+
+    no, nothing = F.lit(False), F.lit(0.0)
+    around = F.transform("fn_ancestors", lambda a: part(a, F.col("w_fn"), no))
+    itself = F.array(
+        part(F.lit(None), F.col("w_top"), no),
+        F.when(is_function, part(F.col("node_id"), nothing, F.lit(True))),
     )
-    own = 1 + F.floor(F.coalesce("w", F.lit(0.0)) + 0.5)
-    return functions.join(inside, ["path", "fn_id"], "left").select(
-        "path", "fn_id", "fn_ancestors", own.alias("own")
+    weighted = nodes.withColumns({"w_top": _weight(0), "w_fn": _weight(1)})
+    sent = explode_structs(weighted, F.concat(around, F.array_compact(itself)), ["path"], "w")
+    own = F.when(F.col("fn_id").isNull(), F.col("w")).otherwise(1 + F.floor(F.col("w") + 0.5))
+    return (
+        sent.groupBy("path", "fn_id")
+        .agg(
+            F.sum("w").alias("w"),
+            F.max("depth").alias("depth"),
+            F.first("fn_ancestors", ignorenulls=True).alias("fn_ancestors"),
+        )
+        .select("path", "fn_id", "depth", "fn_ancestors", own.alias("own"))
     )
 
 
@@ -59,22 +81,25 @@ def function_complexity(nodes: DataFrame) -> DataFrame:
 
     ``fn_ancestors`` lists the enclosing functions, innermost first.
     """
-    own = _own_scores(nodes)
-    nested = own.select(
-        "path", F.posexplode("fn_ancestors").alias("k", "fn_id"), "own"
-    ).select("path", "fn_id", (F.pow(F.lit(2.0), F.col("k")) * F.col("own")).alias("part"))
-    parts = nested.unionByName(own.select("path", "fn_id", F.col("own").cast("double").alias("part")))
-    return parts.groupBy("path", "fn_id").agg(F.sum("part").cast("bigint").alias("complexity"))
+    own = _own_scores(nodes).where(F.col("fn_id").isNotNull())
+    itself = F.array(F.struct(F.col("fn_id").alias("target"), F.col("own").alias("part")))
+    nested = F.transform(
+        "fn_ancestors",
+        lambda a, k: F.struct(a.alias("target"), (F.pow(F.lit(2.0), k) * F.col("own")).alias("part")),
+    )
+    parts = explode_structs(own, F.concat(itself, nested), ["path"], "target")
+    return parts.groupBy("path", F.col("target").alias("fn_id")).agg(
+        F.sum("part").cast("bigint").alias("complexity")
+    )
 
 
 def module_complexity(nodes: DataFrame) -> DataFrame:
     """``path, complexity`` from a nodes table, one row per path that has nodes."""
-    functions = _own_scores(nodes).select(
-        "path", (F.pow(F.lit(2.0), F.size("fn_ancestors")) * F.col("own")).alias("part")
+    copies = F.when(F.col("fn_id").isNull(), 1.0).otherwise(
+        F.pow(F.lit(2.0), F.col("depth"))
     )
-    outside = nodes.select("path", _weight(0).alias("part"))
     return (
-        functions.unionByName(outside)
+        _own_scores(nodes)
         .groupBy("path")
-        .agg(F.floor(F.sum("part") + 0.5).cast("bigint").alias("complexity"))
+        .agg(F.floor(F.sum(copies * F.col("own")) + 0.5).cast("bigint").alias("complexity"))
     )

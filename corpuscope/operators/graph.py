@@ -12,6 +12,7 @@ from corpuscope.functions.paths import (
     strip_code_suffix,
 )
 from corpuscope.operators.joins import hot_split_join, salted_lookup
+from corpuscope.session import materialize
 
 NO_DEPENDENCIES = "_No dependencies_"
 
@@ -129,9 +130,9 @@ def _resolve_specifiers(specs: DataFrame, modules: DataFrame, match_empty_dir: b
         .where(F.col("base") != "")
         .join(bases, "base")
     )
-    exact = _first(exact, "specifier").withColumn("pass", F.lit(1))
-
-    rest = parts.join(exact.select("specifier"), "specifier", "left_anti")
+    # Distinct specifiers are few next to edges; stored once, read by every test.
+    tried = materialize(parts.join(_first(exact, "specifier"), "specifier", "left"), "specifiers")
+    rest = tried.where(F.col("seq").isNull()).drop("seq")
     dirs = _first(located, "dir")
     names = _first(located, "name")
 
@@ -163,7 +164,9 @@ def _resolve_specifiers(specs: DataFrame, modules: DataFrame, match_empty_dir: b
     )
 
     partial = dir_hits.select("specifier", "seq").unionByName(name_hits.select("specifier", "seq"))
-    return exact.unionByName(_first(partial, "specifier").withColumn("pass", F.lit(2)))
+    exact = tried.where(F.col("seq").isNotNull()).select("specifier", "seq", F.lit(1).alias("pass"))
+    found = exact.unionByName(_first(partial, "specifier").withColumn("pass", F.lit(2)))
+    return materialize(found, "resolved-specifiers")
 
 
 def resolve_dependencies(

@@ -64,16 +64,20 @@ def first_markdown_sections(responses: DataFrame) -> DataFrame:
 
 
 def _with_status(rows: DataFrame, cache: DataFrame) -> DataFrame:
-    """Add ``status`` to stored rows with ``seq`` and ``cache_key``."""
-    firsts = rows.groupBy("cache_key").agg(F.min("seq").alias("first_seq"))
+    """Add ``status`` to stored rows with ``seq``, ``path`` and ``cache_key``.
+
+    Rows without a walk order choose their first file by a digest of the path.
+    """
+    order = F.coalesce(F.col("seq"), F.xxhash64("path"))
+    firsts = rows.groupBy("cache_key").agg(F.min(order).alias("first_seq"))
     known = cache.select("cache_key", F.lit(True).alias("known")).distinct()
     keys = firsts.join(known, "cache_key", "left")
     status = (
         F.when(F.col("known"), "cached")
-        .when(F.col("seq") == F.col("first_seq"), "pending")
+        .when(order == F.col("first_seq"), "pending")
         .otherwise("shared")
     )
-    joined = hot_split_join(rows, keys, "cache_key", ["seq"], "inner")
+    joined = hot_split_join(rows, keys, "cache_key", ["path"], "inner")
     return joined.withColumn("status", status).drop("first_seq", "known")
 
 

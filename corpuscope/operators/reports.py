@@ -50,16 +50,17 @@ def most_complex_modules(modules: DataFrame, k: int = 10) -> DataFrame:
     top = (
         modules.select(
             "seq",
+            "path",
             "name",
             "complexity",
             F.size("functions").alias("functions"),
             F.size("classes").alias("classes"),
             size_kb(F.col("size")).alias("size_kb"),
         )
-        .orderBy(F.desc("complexity"), "seq")
+        .orderBy(F.desc("complexity"), "seq", "path")
         .limit(k)
     )
-    rank = F.row_number().over(Window.orderBy(F.desc("complexity"), "seq"))
+    rank = F.row_number().over(Window.orderBy(F.desc("complexity"), "seq", "path"))
     return top.select(
         rank.alias("rank"), "name", "complexity", "functions", "classes", "size_kb"
     )
@@ -68,10 +69,10 @@ def most_complex_modules(modules: DataFrame, k: int = 10) -> DataFrame:
 def refactoring_candidates(modules: DataFrame, k: int = 5) -> DataFrame:
     """``band, rank, name, complexity``: up to k critical and k high modules."""
     banded = modules.select(
-        complexity_band(F.col("complexity")).alias("band"), "seq", "name", "complexity"
+        complexity_band(F.col("complexity")).alias("band"), "seq", "path", "name", "complexity"
     ).where(F.col("band").isin("critical", "high"))
-    order = [F.desc("complexity"), F.asc("seq")]
-    top = top_n_by(banded, ["band"], order, k, unique=["seq"], rank="rank")
+    order = [F.desc("complexity"), F.asc("seq"), F.asc("path")]
+    top = top_n_by(banded, ["band"], order, k, unique=["path"], rank="rank")
     return top.select("band", "rank", "name", "complexity")
 
 
@@ -82,10 +83,12 @@ def layer_critical_modules(classified: DataFrame, k: int = 5) -> DataFrame:
     count is a plain aggregate (one row per layer), not a window over the layer.
     """
     critical = classified.where(F.col("complexity") > CRITICAL_ABOVE).select(
-        "layer", "seq", "name", "complexity"
+        "layer", "seq", "path", "name", "complexity"
     )
     totals = critical.groupBy("layer").agg(
         F.greatest(F.count("*") - k, F.lit(0)).alias("remaining")
     )
-    top = top_n_by(critical, ["layer"], [F.asc("seq")], k, unique=["seq"], rank="rank")
+    top = top_n_by(
+        critical, ["layer"], [F.asc("seq"), F.asc("path")], k, unique=["path"], rank="rank"
+    )
     return top.join(totals, "layer").select("layer", "rank", "name", "complexity", "remaining")

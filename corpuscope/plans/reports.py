@@ -10,7 +10,7 @@ from corpuscope.functions.paths import node_key
 from corpuscope.operators import events as ev
 from corpuscope.operators import graph, reports
 from corpuscope.operators.layers import classify_layer, layer_color
-from corpuscope.operators.modules import module_table
+from corpuscope.operators.modules import module_table, with_walk_order
 from corpuscope.session import materialize
 
 
@@ -30,9 +30,12 @@ def architecture_report(files: DataFrame) -> dict[str, DataFrame]:
     """All tables of the architecture report.
 
     The corpus is lexed once: module rows are written to the shared folder and
-    every table reads only the columns it needs from there.
+    every table reads only the columns it needs from there. Files without a walk
+    order are ordered by path, after lexing.
     """
     modules = materialize(classify_layer(module_table(files)), "modules")
+    if not modules.where(F.col("seq").isNull()).isEmpty():
+        modules = materialize(with_walk_order(modules.drop("seq")), "modules")
     edges = graph.module_edges(modules)
     resolved = graph.resolve_dependencies(edges, modules)
     return {

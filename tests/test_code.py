@@ -133,7 +133,7 @@ def _score(fn):
 
 
 def test_closed_form_equals_recursion(files):
-    """The reference way: every function scanned again inside each enclosing one."""
+    """The direct way: every function scanned again inside each enclosing one."""
     samples = []
 
     @settings(max_examples=60, database=None)

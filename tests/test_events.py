@@ -140,6 +140,9 @@ def test_worklist(spark, files):
     assert {k: v.status for k, v in work.items()} == {"a.js": "pending", "b.js": "pending", "c.js": "shared", "d.html": "cached"}
     assert work["a.js"].deps == "- `x`\n- `y`" and work["b.js"].deps == "_No dependencies_"
     assert 'import "x"' in work["a.js"].prompt and work["c.js"].prompt is None
+    unordered = df.withColumn("seq", F.lit(None).cast("bigint"))
+    counts = docs_queue.documentation_status(unordered, cache).groupBy("status").count()
+    assert {r.status: r["count"] for r in counts.collect()} == {"pending": 2, "shared": 1, "cached": 1}
     sections = docs_queue.cached_sections(docs_queue.with_content_key(df), cache).collect()
     assert [(r.path, r.section) for r in sections] == [("/r/d.html", "# t\nx")]
 

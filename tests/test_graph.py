@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from corpuscope.operators import graph, layers, reports
+from corpuscope.plans.reports import architecture_report
 from corpuscope.rules import PATH_RULES
 
 MODULE = "seq long, path string, name string, exports array<string>, functions array<string>, classes array<string>, size long, complexity long"
@@ -142,3 +145,11 @@ def test_empty_project(spark):
 def test_dependency_list(spark):
     df = spark.createDataFrame([("a", ["x", "y"]), ("b", [])], "path string, dependencies array<string>")
     assert {r.path: r.dep_list for r in graph.deps_per_file(df).collect()} == {"a": "- `x`\n- `y`", "b": "_No dependencies_"}
+
+
+def test_report_orders_files_by_path_when_they_have_no_order(spark, files):
+    df = files(("/q/z.js", 'import "lodash"'), ("/q/b.js", "if (a) {}"), ("/q/a.js", "if (a) {}"))
+    report = architecture_report(df.withColumn("seq", F.lit(None).cast("bigint")))
+    assert [r.name for r in report["most_complex"].collect()] == ["a", "b", "z"]
+    assert [r.dst_key for r in report["edges"].collect()] == ["node__q_a_js"]
+    assert report["nodes"].count() == 3 and report["matrix"].isEmpty()

@@ -32,7 +32,8 @@ def scan_code_files(
 
     The extension test is on the path, before any content is decoded. Unreadable
     files are skipped. Spark's file index passes over names that start with
-    ``_`` or ``.``; such a folder is read when given as a root of its own.
+    ``_`` or ``.``; such a folder is read when given as a root of its own, and a
+    root may be a glob: ``["/site", "/site/_next", "/site/*/_*"]``.
 
     ``seq`` follows the path. It needs a sort that moves the contents, so it is
     null unless ``walk_order`` is set; for a large corpus call

@@ -121,6 +121,17 @@ def test_scan_folder(spark, tmp_path):
     ]
 
 
+def test_scan_reads_hidden_folders_given_as_roots(spark, tmp_path):
+    for folder in ("_next", "pages/_lib"):
+        (tmp_path / "site" / folder).mkdir(parents=True)
+        (tmp_path / "site" / folder / "m.js").write_text("x")
+    (tmp_path / "site" / "a.js").write_text("y")
+    root = str(tmp_path / "site")
+    assert scan_code_files(spark, root).count() == 1
+    roots = [root, f"{root}/_next", f"{root}/*/_*"]
+    assert scan_code_files(spark, roots).select("path").distinct().count() == 3
+
+
 def test_response_cache(spark, tmp_path):
     (tmp_path / "k1.json").write_text(json.dumps({"prompt": "p", "response": "# a\n# b"}))
     (tmp_path / "k2.json").write_text(json.dumps({"prompt": "p"}))

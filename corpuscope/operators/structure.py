@@ -169,8 +169,12 @@ class _File:
 
     def next_at_or_after(self, i: Column, token: str) -> Column:
         """Index of the first ``token`` at or after ``i``, null when it is not near."""
-        near = F.array_position(F.slice(self.toks, i + 1, F.lit(_SEARCH)), token)
-        return F.when(near > 0, (i + near - 1).cast("int"))
+        near = F.filter(between(i, i + _SEARCH), lambda k: _is(self.tok(k), token))
+        return (
+            F.when(_is(self.tok(i), token), i)
+            .when(_is(self.tok(i + 1), token), i + 1)
+            .otherwise(F.array_min(near))
+        )
 
     def body_open(self, close: Column) -> Column:
         """The ``{`` of a body after a parameter list, past a return type; or null."""
@@ -275,7 +279,7 @@ class _File:
         return F.when(_is(after, "{", ":"), let(key, build))
 
     def callback_call(self, fn: Column) -> Column:
-        """The call that takes function node ``fn`` as a whole argument, else null."""
+        """Position of the call that takes function node ``fn`` as a whole argument."""
         before = self.tok(fn.pos - 1)
         paren = F.when(_is(before, "("), fn.pos - 1).when(_is(before, ","), self.parent(fn.pos))
 
@@ -299,7 +303,7 @@ class _File:
             declares = _is(self.tok(o - 2), "function")
             whole = _is(self.tok(fn.end + 1), ",", ")")
             valid = _is(self.tok(o), "(") & callable_ & whole & ~constructed & ~optional & ~declares
-            return F.when(valid, _node(o, F.lit("callback_call")))
+            return F.when(valid, o)
 
         return F.when(fn.kind.isin("fn_expr", "arrow"), let(paren, build))
 
@@ -340,8 +344,10 @@ def _found_nodes(env: Column) -> Column:
     own = F.filter(F.transform(file.candidates(), file.classify), lambda n: n.isNotNull())
 
     def with_calls(nodes: Column) -> Column:
-        calls = F.filter(F.transform(nodes, file.callback_call), lambda n: n.isNotNull())
-        return F.array_sort(F.concat(nodes, F.array_distinct(calls.cast(_NODE))))
+        # Distinct over plain positions: over structs Spark compares all pairs.
+        calls = F.array_distinct(F.array_compact(F.transform(nodes, file.callback_call)))
+        listed = F.transform(calls, lambda o: _node(o, F.lit("callback_call")))
+        return F.array_sort(F.concat(nodes, listed.cast(_NODE)))
 
     return let(own.cast(_NODE), with_calls)
 

@@ -72,8 +72,10 @@ def token_classes(toks: str) -> Column:
 
     def classify(t: Column, i: Column) -> Column:
         inert = _is(F.get(toks, i - 1), ".", "?.") | _is(F.get(toks, i + 1), ":")
+        # Most tokens are none of these: one set lookup lets them go.
         return (
-            F.when(t.isin("(", "[", "{"), scope.OPEN)
+            F.when(~t.isin("(", "[", "{", ")", "]", "}", ";", ",", *_DECLARE, *_STATEMENT), 0)
+            .when(t.isin("(", "[", "{"), scope.OPEN)
             .when(t.isin(")", "]", "}"), scope.CLOSE)
             .when(t == ";", scope.SEMI)
             .when(t == ",", scope.COMMA)

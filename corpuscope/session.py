@@ -30,20 +30,33 @@ def local_session(app: str = "corpuscope", cores: str = "*", **conf: str) -> Spa
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a temporary folder.
+    A local session that names none (a test) gets one temporary folder for its
+    application; the session's settings stay as they are. A cluster must name one:
+    each executor's own temporary folder would hold a part that no other can read.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="corpuscope-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        folder = _LOCAL_DIRS.setdefault(app, None) or tempfile.mkdtemp(prefix="corpuscope-")
+        _LOCAL_DIRS[app] = folder
     return folder.rstrip("/")
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder name (not yet created) below :func:`shared_dir`."""
+    """A fresh sub-folder name (not yet created) below :func:`shared_dir`.
+
+    Whoever runs the job removes the shared folder's contents after it, as results
+    read from these tables may be used for as long as the session lives.
+    """
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 

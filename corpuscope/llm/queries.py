@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscope.llm import bpe
-from corpuscope.llm.common import table
+from corpuscope.llm import bpe, langid
+from corpuscope.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,3 +21,12 @@ def _query(fn):
 @_query
 def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"))
+
+
+@_query
+def op9_langid(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    unseen = held_out("doc_id", 3)
+    model = langid.fit(docs, train=~unseen)
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", unseen.alias("held_out"), "lang_pred", "score")

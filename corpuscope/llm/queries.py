@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscope.llm import bpe, langid
+from corpuscope.llm import bpe, langid, mixing
 from corpuscope.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,39 @@ def op9_langid(spark: SparkSession, sf: str) -> DataFrame:
     model = langid.fit(docs, train=~unseen)
     out = langid.predict(docs.select("doc_id", "text"), model)
     return out.select("doc_id", unseen.alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op5_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    sha256(concat('mix:', CAST(doc_id AS VARCHAR))) AS key
+  FROM documents),
+sums AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS rank FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, CASE rank % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
+    source_size * 2.0::DOUBLE AS cap FROM sums),
+levels AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) /
+    (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM weighed WINDOW b AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT level, cap / weight AS ratio, rank FROM levels WHERE level * weight < cap ORDER BY 2, 3 LIMIT 1),
+targets AS (
+  SELECT l.source, l.source_size, CASE WHEN c.level IS NULL OR l.cap / l.weight < c.ratio
+    OR (l.cap / l.weight = c.ratio AND l.rank < c.rank) THEN l.cap ELSE least(l.cap, c.level * l.weight) END AS target
+  FROM levels l LEFT JOIN cut c ON true),
+placed AS (
+  SELECT s.*, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS budget,
+    CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - s.size AS start
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CAST(CASE WHEN source_size = 0 THEN 0 ELSE (budget // source_size) * size +
+    greatest(0, least(size, budget % source_size - start)) END AS BIGINT) AS taken
+FROM placed"""

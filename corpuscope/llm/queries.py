@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuscope.llm import bpe, langid, mixing
+from corpuscope.llm import bpe, kd_sharding, langid, mixing
 from corpuscope.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +67,10 @@ SELECT doc_id, size, source_size, target,
   CAST(CASE WHEN source_size = 0 THEN 0 ELSE (budget // source_size) * size +
     greatest(0, least(size, budget % source_size - start)) END AS BIGINT) AS taken
 FROM placed"""
+
+
+@_query
+def op3_kd_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    placed = kd_sharding.shards(table(spark, sf, "documents"), n_leaves=24)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)

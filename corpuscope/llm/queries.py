@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import bpe, kd_sharding, langid, mixing
+from corpuscope.llm import bpe, kd_sharding, langid, mixing, warc
 from corpuscope.llm.common import held_out, table
+from corpuscope.session import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +75,22 @@ def op3_kd_sharding(spark: SparkSession, sf: str) -> DataFrame:
     placed = kd_sharding.shards(table(spark, sf, "documents"), n_leaves=24)
     law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
     return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
+@_query
+def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
+    folder = run_dir(spark, "warc")
+    warc.write_archives(warc.with_revisits(table(spark, sf, "pages")), folder)
+    return warc.page_records(warc.read_archives(spark, folder))
+
+
+ORACLES["op1_warc"] = """
+WITH sized AS (
+  SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS payload_bytes,
+    sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM sized)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM firsts"""

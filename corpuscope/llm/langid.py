@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -34,6 +34,8 @@ MAX_TRAIN_DOCS = 10_000
 EM_ROUNDS = 2
 # Weight of the vocabulary's own scores, in pieces.
 PRIOR_STRENGTH = 300.0
+# Distinct words counted in a worker before the counts are handed on.
+COUNTED_AT_ONCE = 200_000
 # Documents and characters scored at once in a worker.
 DOCS_AT_ONCE = 256
 CHARS_AT_ONCE = 1_000_000
@@ -48,21 +50,28 @@ def _words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def labelled_words(labelled: DataFrame) -> DataFrame:
+def labelled_words(labelled: DataFrame, fold: Callable[[bytes], bytes] = _fold) -> DataFrame:
     """(lang, word, n) summed over the labelled documents (columns lang, text)."""
     source = labelled.select("lang", F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[str, Counter] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen.setdefault(lang, Counter()).update(map(_fold, _words(text)))
-            rows = [(lang, w.decode(), n) for lang, counts in seen.items() for w, n in counts.items()]
-            langs, words, counts = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts, pa.int64())],
-                ["lang", "word", "n"],
-            )
+        seen: dict[str, Counter] = {}
+
+        def batch() -> pa.RecordBatch:
+            langs = pa.array([lang for lang, counts in seen.items() for _ in counts], pa.string())
+            words = pa.array(list(chain.from_iterable(seen.values())), pa.binary()).cast(pa.string())
+            n = pa.array(list(chain.from_iterable(c.values() for c in seen.values())), pa.int64())
+            return pa.RecordBatch.from_arrays([langs, words, n], ["lang", "word", "n"])
+
+        for part in batches:
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1)):
+                words = _words(text.as_py() or b"")
+                seen.setdefault(lang, Counter()).update(words if fold is bytes.lower else map(fold, words))
+                if sum(map(len, seen.values())) >= COUNTED_AT_ONCE:
+                    yield batch()
+                    seen.clear()
+        if seen:
+            yield batch()
 
     partial = source.mapInArrow(run, "lang string, word string, n long")
     return partial.groupBy("lang", "word").agg(F.sum("n").alias("n"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import bpe, kd_sharding, langid, mixing, warc
+from corpuscope.llm import bpe, kd_sharding, langid, lattice_lm, mixing, warc
 from corpuscope.llm.common import held_out, table
 from corpuscope.session import run_dir
 
@@ -94,3 +94,14 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id > first THEN first END AS refers_to
 FROM firsts"""
+
+
+@_query
+def op10_lattice_lm(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    unseen = held_out("doc_id", 5)
+    model = lattice_lm.fit(docs, train=~unseen)
+    scored = lattice_lm.score(docs, model)
+    return scored.select(
+        "doc_id", unseen.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import bpe, kd_sharding, langid, lattice_lm, mixing, warc
+from corpuscope.llm import bpe, jaccard_join, kd_sharding, langid, lattice_lm, mixing, warc
 from corpuscope.llm.common import held_out, table
 from corpuscope.session import run_dir
 
@@ -105,3 +105,9 @@ def op10_lattice_lm(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select(
         "doc_id", unseen.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@_query
+def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    linked = jaccard_join.link(table(spark, sf, "documents"))
+    return linked.select("doc_id", "text_class", "class_id", "n_links", "kept")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import bpe, jaccard_join, kd_sharding, langid, lattice_lm, mixing, warc
+from corpuscope.llm import bpe, embedding_dedup, jaccard_join, kd_sharding, langid, lattice_lm, mixing, warc
 from corpuscope.llm.common import held_out, table
 from corpuscope.session import run_dir
 
@@ -111,3 +111,25 @@ def op10_lattice_lm(spark: SparkSession, sf: str) -> DataFrame:
 def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     linked = jaccard_join.link(table(spark, sf, "documents"))
     return linked.select("doc_id", "text_class", "class_id", "n_links", "kept")
+
+
+@_query
+def op7_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf, "embeddings"))
+
+
+ORACLES["op7_embedding_dedup"] = """
+WITH RECURSIVE units AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM units a JOIN units b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(l.y, e.vec_id)) AS component_id,
+  e.vec_id <= coalesce(l.y, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN least l ON e.vec_id = l.x LEFT JOIN counts c ON e.vec_id = c.x"""

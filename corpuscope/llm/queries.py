@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import bpe, embedding_dedup, jaccard_join, kd_sharding, langid, lattice_lm, mixing, warc
+from corpuscope.llm import bpe, embedding_dedup, jaccard_join, kd_sharding, langid, lattice_lm, mixing, suffix_dedup, warc
 from corpuscope.llm.common import held_out, table
 from corpuscope.session import run_dir
 
@@ -133,3 +133,8 @@ counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
 SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(l.y, e.vec_id)) AS component_id,
   e.vec_id <= coalesce(l.y, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN least l ON e.vec_id = l.x LEFT JOIN counts c ON e.vec_id = c.x"""
+
+
+@_query
+def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents")).drop("row")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import bpe, embedding_dedup, jaccard_join, kd_sharding, langid, lattice_lm, mixing, suffix_dedup, warc
+from corpuscope.llm import bpe, embedding_dedup, jaccard_join, kd_sharding, langid, lattice_lm, mixing, suffix_dedup, syncmers, warc
 from corpuscope.llm.common import held_out, table
 from corpuscope.session import run_dir
 
@@ -138,3 +138,8 @@ FROM embeddings e LEFT JOIN least l ON e.vec_id = l.x LEFT JOIN counts c ON e.ve
 @_query
 def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf, "documents")).drop("row")
+
+
+@_query
+def op8_syncmers(spark: SparkSession, sf: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf, "documents"))

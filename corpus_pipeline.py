@@ -3,23 +3,66 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuscope.llm import bpe
+from corpuscope.llm import bpe, jaccard_join, langid, mixing, suffix_dedup
 from corpuscope.llm.common import table
 from corpuscope.session import materialize
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# A document stays when its likeliest language is more likely than all others together.
+MIN_LANG_SCORE = 0.5
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS[:-1], F.length("text").cast("long").alias("n_chars"))
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in no language that the labelled ones teach."""
+    found = langid.predict(docs, langid.fit(docs), out=("__lang", "__score"))
+    sure = (F.col("__lang") != langid.UNKNOWN) & (F.col("__score") > MIN_LANG_SCORE)
+    return found.where(sure).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each group of near copies."""
+    kept = jaccard_join.link(docs).where("kept").select(F.col("row").alias("__row"))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row").select(*COLUMNS)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages that an earlier document has; documents of nothing else go."""
+    left = suffix_dedup.remove_repeats(docs, with_text=True, keep=("lang", "source"))
+    return _columns(left.where((F.col("text") != "") | (F.col("n_removed") == 0)))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats, keeps, cuts or drops documents to each source's budget of words."""
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    mixed = mixing.mix(rows, keep=("__row",))
+    return _columns(mixing.take(rows, mixed, "__row"))
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE ids of every document that is left, checked by decoding."""
     return bpe.round_trip(docs)
 
 
-STAGES = [("bpe_encoding", encode)]
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("suffix_array_dedup", remove_repeats),
+    ("source_mixing", mix_sources),
+    ("bpe_encoding", encode),
+]
 
+# The first three stages are no SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each is stored and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)

@@ -117,14 +117,13 @@ def shards(
     )
     spread = F.xxhash64("id", "crc", "size", "row")
     thin = thin.withColumn(_TIE, F.shiftrightunsigned(spread, 64 - _TIE_BITS)).withColumn("spread", spread)
-    thin = materialize(thin, "kd-rows")
+    placed = thin = materialize(thin.withColumn("node", F.lit(0)), "kd-rows")
     columns = [f"d{i}" for i in range(len(dims))]
     total = thin.agg(F.sum("size")).head()[0] or 0
     if n_leaves is None:
         if not target_bytes:
             raise ValueError("give n_leaves or target_bytes")
         n_leaves = max(1, -(-total // target_bytes))
-    placed = thin.withColumn("node", F.lit(0))
     level = [_Node(0, n_leaves)]
     whole: dict[str, float] = {}
     while any(n.leaves > 1 for n in level):

@@ -137,11 +137,12 @@ def take(docs: DataFrame, mixed: DataFrame, row: str, text_col: str = "text") ->
 
     ``row`` identifies a row in both tables (``keep`` it in :func:`mix`).
     """
-    counts = mixed.select(row, "epochs", "part", "size")
+    counts = mixed.select(row, *[F.col(c).alias(f"__{c}") for c in ("epochs", "part", "size")])
     joined = docs.join(counts, row)
-    whole = F.array_repeat(F.lit(-1).cast("long"), F.col("epochs").cast("int"))
-    tail = F.when(F.col("part") > 0, F.array(F.when(F.col("part") < F.col("size"), F.col("part")).otherwise(F.lit(-1))))
-    times = F.concat(whole, F.coalesce(tail, F.array().cast("array<bigint>")))
-    rows = joined.withColumn("__words", F.explode(times))
+    whole = F.array_repeat(F.lit(-1).cast("long"), F.col("__epochs").cast("int"))
+    # All words of a row are the row itself, with its white space.
+    part = F.when(F.col("__part") < F.col("__size"), F.col("__part")).otherwise(F.lit(-1))
+    tail = F.when(F.col("__part") > 0, F.array(part)).otherwise(F.array().cast("array<bigint>"))
+    rows = joined.withColumn("__words", F.explode(F.concat(whole, tail)))
     text = F.when(F.col("__words") < 0, F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("__words")))
-    return rows.withColumn(text_col, text).drop("__words", "epochs", "part", "size", row)
+    return rows.withColumn(text_col, text).drop("__words", "__epochs", "__part", "__size", row)

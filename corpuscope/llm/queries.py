@@ -137,7 +137,7 @@ FROM embeddings e LEFT JOIN least l ON e.vec_id = l.x LEFT JOIN counts c ON e.ve
 
 @_query
 def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf, "documents")).drop("row")
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents"))
 
 
 @_query

@@ -27,12 +27,13 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from corpuscope.llm.shingles import buffers, mix
 from corpuscope.session import materialize, run_dir
@@ -201,16 +202,25 @@ def earliest(segments: list[bytes], owners: np.ndarray, length: int = LENGTH, sh
 # --- the operator ---------------------------------------------------------------------
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """(id, row, n_bytes, n_removed, n_spans, kept_sha256[, text]) of every row.
+def remove_repeats(
+    docs: DataFrame,
+    length: int = LENGTH,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_text: bool = False,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256[, text][, kept columns]) of every row.
 
-    ``text`` is what is left; ``row`` numbers the input's rows.
+    ``text`` is what is left; bytes of a character that lost others of its bytes are
+    left out there. ``keep`` names columns of the input to carry along.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("text"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("ord"), F.sha2(text, 256).alias("digest"),
+        F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("none")).alias("kept"),
     )
     name = f"suffix_texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -232,29 +242,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     known = texts.select("row", "ord", "digest").join(firsts, "digest")
     known = known.select("row", "first_row", (F.col("ord") > F.col("first_ord")).alias("copy"))
     known = known.join(spans.withColumnRenamed("row", "first_row"), "first_row", "left")
-    told = texts.select("row", "id", "text", "digest").join(known.select("row", "copy", "spans"), "row")
-    kind = told.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    names = ["id", "row", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    if with_text:
-        schema, names = schema + ", text binary", [*names, "text"]
+    told = texts.select("row", "id", "text", "digest", "kept").join(known.select("row", "copy", "spans"), "row")
+    figures = [StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
+    left = [StructField("text", StringType())] if with_text else []
+    schema = StructType([texts.schema["id"], texts.schema["kept"], *figures, StructField("kept_sha256", StringType()), *left])
+    names = schema.fieldNames()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             out = []
-            for row, id_, data, digest, copy, spans_ in zip(*(part.column(i) for i in range(6))):
+            for data, digest, copy, spans_ in zip(*(part.column(i) for i in range(2, 6))):
                 data = data.as_py()
                 kept, n_spans = _keep(data, copy.as_py(), spans_, length)
                 sha = digest.as_py() if n_spans == 0 else hashlib.sha256(kept).hexdigest()
-                out.append((id_.as_py(), row.as_py(), len(data), len(data) - len(kept), n_spans, sha, kept))
-            columns = list(zip(*out)) if out else [()] * 7
-            types = [part.column(1).type, *[pa.int64()] * 4, pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[: len(names)], types)], names)
-
-    made = told.select("row", "id", "text", "digest", "copy", "spans").mapInArrow(cut, schema)
-    if with_text:
-        made = made.withColumn("text", F.col("text").cast("string"))
-    return made.withColumnRenamed("id", id_col)
+                out.append((len(data), len(data) - len(kept), n_spans, sha, kept.decode("utf-8", "ignore") if with_text else None))
+            columns = list(zip(*out)) if out else [()] * 5
+            types = [*[pa.int64()] * 3, pa.string(), pa.string()]
+            made = [pa.array(c, t) for c, t in zip(columns, types)][: len(names) - 2]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names)
+
+    made = told.select("id", "kept", "text", "digest", "copy", "spans").mapInArrow(cut, schema)
+    carried = [F.col(f"kept.c{i}").alias(c) for i, c in enumerate(keep)]
+    return made.select(F.col("id").alias(id_col), *names[2:], *carried)
 
 
 def _keep(data: bytes, copy: bool, spans: pa.Scalar, length: int) -> tuple[bytes, int]:

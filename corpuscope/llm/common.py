@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscope.session import run_dir
+
 # What counts as white space between words: space and the five ASCII controls.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,3 +37,17 @@ def hash_block(hash64: Column, blocks: Column) -> Column:
     # The top 31 bits, made non-negative, times the number of blocks stays below 2^63.
     top = F.shiftrightunsigned(hash64.bitwiseXOR(F.lit(-(2**63))), 33)
     return F.shiftright(top * blocks, 31)
+
+
+def bucketed(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Writes wide rows once, bucketed by ``key``, and reads them back.
+
+    Joins of thin tables on that key then come to the rows; the rows are not shuffled.
+    """
+    spark = rows.sparkSession
+    table_name = f"{name}_{uuid.uuid4().hex}"
+    # As many buckets as the shuffles of this session have partitions.
+    writer = rows.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+    path = run_dir(spark, name)
+    writer.option("path", path).option("compression", "zstd").saveAsTable(table_name)
+    return spark.table(table_name)

@@ -51,7 +51,7 @@ def coordinate(column: Column, kind: T.DataType) -> Column:
         # them apart. Fractions count by their whole part.
         ends = (F.lit(-(2**60)), F.lit(2**60))
         value = F.greatest(ends[0], F.least(ends[1], F.floor(column).cast("long"))) + F.lit(2**61)
-    return F.coalesce(value, F.lit(0)).cast("long")
+    return F.when(column.isNull(), F.lit(0)).otherwise(value).cast("long")
 
 
 class _Node:

@@ -26,7 +26,6 @@ more than once and must give the same rows in the same splits, as stored tables
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -35,8 +34,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from corpuscope.llm.common import bucketed
 from corpuscope.llm.shingles import buffers, mix
-from corpuscope.session import materialize, run_dir
+from corpuscope.session import materialize
 
 LENGTH = 50
 PIECE_BYTES = 16
@@ -215,18 +215,13 @@ def remove_repeats(
     ``text`` is what is left; bytes of a character that lost others of its bytes are
     left out there. ``keep`` names columns of the input to carry along.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("text"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("ord"), F.sha2(text, 256).alias("digest"),
         F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("none")).alias("kept"),
     )
-    name = f"suffix_texts_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = rows.write.bucketBy(buckets, "row").option("path", run_dir(spark, "suffix-texts"))
-    writer.option("compression", "zstd").saveAsTable(name)
-    texts = spark.table(name)
+    texts = bucketed(rows, "row", "suffix_texts")
 
     first = F.min(F.struct("ord", "row")).alias("first")
     firsts = texts.groupBy("digest").agg(first).select("digest", F.col("first.ord").alias("first_ord"), F.col("first.row").alias("first_row"))

@@ -14,13 +14,12 @@ table gives an empty result. A text is handled in one row: some 40 bytes a code
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions.arrays import let
-from corpuscope.session import materialize, run_dir
+from corpuscope.llm.common import bucketed
+from corpuscope.session import materialize
 
 INNER = 8
 # Inner substrings in a k-mer; the first and the last one cover the k-mer between them.
@@ -94,16 +93,12 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Its last third (rounded down) is replaced by as many first code points of the next
     text. Texts are written once, bucketed by row; only the borrowed parts are shuffled.
     """
-    spark = docs.sparkSession
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    name = f"syncmer_texts_{uuid.uuid4().hex}"
-    writer = rows.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "row")
-    writer.option("path", run_dir(spark, "syncmer-texts")).option("compression", "zstd").saveAsTable(name)
-    texts = spark.table(name)
+    texts = bucketed(rows, "row", "syncmer_texts")
     order = materialize(neighbours(texts.select("row", "id")), "syncmer-next")
     lent = texts.select("row", F.floor(F.col("n_chars") / 3).cast("int").alias("lent")).join(order, "row")
     lent = lent.select(F.col("next_row").alias("row"), F.col("row").alias("to"), "lent")

@@ -21,13 +21,14 @@ other; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.llm.common import bucketed
 from corpuscope.llm.components import components
 from corpuscope.llm.shingles import in_pieces, mix, shingle_hashes, text_sets
 from corpuscope.session import materialize
@@ -106,16 +107,19 @@ def link(
     small: int = SMALL_NODE,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, row, text_class, class_id, n_links, kept) of every row.
+    """(id, text_class, class_id, n_links, kept[, columns named in keep]) of every row.
 
     ``text_class`` is the least id among equal texts, ``class_id`` the least id that
     links reach; ``n_links`` counts the other documents linked directly, copies
-    included; ``kept`` marks one row of each class. ``row`` numbers the input's rows.
+    included; ``kept`` marks one row of each class.
     """
-    text = F.col(text_col)
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.cast("binary").alias("text"))
-    base = base.withColumn("digest", F.sha2("text", 256))
+    base = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"),
+        F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("none")).alias("kept"),
+    )
+    base = bucketed(base.withColumn("digest", F.sha2("text", 256)), "row", "jaccard_texts")
     kind = base.schema["id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +129,8 @@ def link(
             column = pa.array([None if b else s.tobytes() for b, s in zip(blank, found)], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), column], ["row", "id", "digest", "sketch"])
 
-    rows = materialize(base.mapInArrow(sketch, f"row long, id {kind}, digest string, sketch binary"), "jaccard-rows")
+    source = base.select("row", "id", "text", "digest")
+    rows = materialize(source.mapInArrow(sketch, f"row long, id {kind}, digest string, sketch binary"), "jaccard-rows")
     classes = rows.where(F.col("sketch").isNotNull()).groupBy("digest").agg(
         F.min("row").alias("rep"), F.count("*").alias("n"), F.min_by("sketch", "row").alias("sketch")
     )
@@ -150,10 +155,15 @@ def link(
     by_rep = joined.groupBy("rep").agg(F.min("id").alias("text_class"))
     by_root = joined.groupBy("root").agg(least)
     out = joined.join(by_rep, "rep").join(by_root, "root")
-    return out.select(
+    out = out.select(
         F.col("id").alias(id_col), "row", "text_class", F.col("least.id").alias("class_id"), "n_links",
         (F.col("row") == F.col("least.row")).alias("kept"),
     )
+    if not keep:
+        return out.drop("row")
+    carried = base.select("row", *[F.col(f"kept.c{i}").alias(f"__keep{i}") for i in range(len(keep))])
+    out = out.join(carried, "row").drop("row")
+    return out.select("*", *[F.col(f"__keep{i}").alias(c) for i, c in enumerate(keep)]).drop(*[f"__keep{i}" for i in range(len(keep))])
 
 
 def _nodes(classes: DataFrame, similarity: float, target: float, depth: int, small: int) -> DataFrame:
@@ -179,7 +189,7 @@ def _nodes(classes: DataFrame, similarity: float, target: float, depth: int, sma
     final = []
     for level in range(1, depth + 1):
         # Sizes aggregate map-side; most nodes hold one set and go no further.
-        sizes = live.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        sizes = materialize(live.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-sizes")
         sized = materialize(live.join(sizes, "node").select("rep", "node", "size"), "jaccard-sized")
         if level == depth:
             final.append(sized)
@@ -277,9 +287,9 @@ def by_group(key: str, work):
 
 def _verified(candidates: DataFrame, base: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """(rep, links, root) per group: documents linked by exact sets, and a common root."""
-    needed = candidates.select("rep").distinct()
+    needed = candidates.select(F.col("rep").alias("row")).distinct()
     # Only texts with candidates become sets; a class is read from its first row.
-    texts = base.select(F.col("row").alias("rep"), "text").join(needed, "rep")
+    texts = base.select("row", "text").join(needed, "row").select(F.col("row").alias("rep"), "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:

@@ -109,8 +109,7 @@ def op10_lattice_lm(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def op4_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
-    linked = jaccard_join.link(table(spark, sf, "documents"))
-    return linked.select("doc_id", "text_class", "class_id", "n_links", "kept")
+    return jaccard_join.link(table(spark, sf, "documents"))
 
 
 @_query

@@ -20,13 +20,18 @@ from pyspark.sql import types as T
 
 # Token classes, as computed by ``operators.structure.token_classes``.
 OPEN, CLOSE, SEMI, COMMA, DECLARE, STATEMENT = 1, -1, 2, 3, 4, 5
+# Brackets and words that matter to signatures: a brace that may open a body (no type
+# literal), a parenthesis, a word that begins another declaration, an arrow, and a
+# closing parenthesis before ":".
+BODY, PAREN, BEGIN, ARROW, TYPED = -2, -3, -4, -5, -6
 
 
 def _int_arrays(*names: str) -> T.StructType:
     return T.StructType([T.StructField(name, T.ArrayType(T.IntegerType())) for name in names])
 
 
-SCOPE_TYPE = _int_arrays("match", "parent", "stop", "head")
+SCOPE_FIELDS = ("match", "parent", "stop", "head", "paren", "body", "typed")
+SCOPE_TYPE = _int_arrays(*SCOPE_FIELDS)
 NEST_TYPE = _int_arrays("inner", "depth", "outer")
 
 
@@ -48,15 +53,22 @@ def match_brackets(cls: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...
     stop    the next separator or statement keyword on the same level, or the
             bracket closing it (the token count when there is none)
     head    the previous ``;`` or statement keyword on the same level, else -1
+    paren   the ``(`` at or after the token on the same level that opens a parameter
+            list (no function type), within the same statement, else -1
+    body    the ``{`` after the token on the same level that opens a body, within the
+            same statement, else -1
+    typed   the ``)`` before the token on the same level that has a type behind it,
+            within the same statement, else -1
     """
     n = len(cls)
     if n == 0:
-        return (np.zeros(0, dtype=np.int64),) * 4
+        return (np.zeros(0, dtype=np.int64),) * len(SCOPE_FIELDS)
     lengths = np.diff(starts)
     row = np.repeat(np.arange(len(lengths)), lengths)
     first, end = starts[:-1][row], starts[1:][row]
     pos = np.arange(n, dtype=np.int64)
-    is_open, is_close = cls == OPEN, cls == CLOSE
+    is_open = (cls == OPEN) | (cls == BODY) | (cls == PAREN)
+    is_close = (cls == CLOSE) | (cls == TYPED)
     bracket = is_open | is_close
     balance = np.cumsum(is_open.astype(np.int64) - is_close)
     before = np.concatenate([[0], balance])[starts[:-1]]
@@ -101,10 +113,27 @@ def match_brackets(cls: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...
     head = _pick(marks, np.searchsorted(keys, query, side="left") - 1)
     head = np.where((head >= 0) & (home[np.maximum(head, 0)] == home), head, -1)
 
+    # A statement ends at ``;``, at a keyword, or where another declaration begins.
+    bounds = (cls >= SEMI) & (cls != COMMA) | (cls == BEGIN)
+
+    def near(wanted: np.ndarray, side: str, step: int) -> np.ndarray:
+        """The nearest wanted token in the statement: ahead (step 0) or behind (-1)."""
+        marks, keys = on_level(np.flatnonzero(bounds | wanted))
+        if not len(marks):
+            return np.full(n, -1, dtype=np.int64)
+        at = np.searchsorted(keys, query, side=side) + step
+        found = marks[np.clip(at, 0, len(marks) - 1)]
+        usable = (at >= 0) & (at < len(marks)) & (home[found] == home) & wanted[found]
+        return np.where(usable, found, -1)
+
+    after = np.append(cls[1:], 0)
+    lists = (cls == PAREN) & (after[match] != ARROW)
+    paren, body, typed = near(lists, "left", 0), near(cls == BODY, "right", 0), near(cls == TYPED, "left", -1)
+
     def local(index: np.ndarray) -> np.ndarray:
         return np.where(index >= 0, index - first, -1)
 
-    return local(match), local(parent), stop - first, local(head)
+    return local(match), local(parent), stop - first, local(head), local(paren), local(body), local(typed)
 
 
 def nest_spans(
@@ -160,7 +189,7 @@ def _struct_of_lists(names: list[str], starts: np.ndarray, values: tuple[np.ndar
 @F.arrow_udf(SCOPE_TYPE)
 def _scope_udf(classes: pa.Array) -> pa.Array:
     cls, starts = _lists(classes)
-    return _struct_of_lists(["match", "parent", "stop", "head"], starts, match_brackets(cls, starts))
+    return _struct_of_lists(list(SCOPE_FIELDS), starts, match_brackets(cls, starts))
 
 
 @F.arrow_udf(NEST_TYPE)

@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions import scope
 from corpuscope.functions.arrays import between, built_once, explode_structs, indexes, let
-from corpuscope.operators.tokens import with_tokens
+from corpuscope.operators.tokens import ID_PART, ID_START, with_tokens
 from corpuscope.rules import FUNCTION_KINDS, NODE_WEIGHTS
 
 _NODE = "array<struct<pos:int,kind:string,end:int,name:string,exported:boolean>>"
 
-_WORD = r"^[A-Za-z_$][\w$]*$"
+_WORD = f"^{ID_START}{ID_PART}*$"
 _DECLARE = ("var", "let", "const")
 _STATEMENT = ("return", "if", "for", "while", "throw", "switch", "try", "do", "import", "export")
 _CONTROL = ("if", "for", "while", "switch", "with", "catch", "function")
@@ -50,7 +50,10 @@ _CANDIDATES = (
     "if", "?", "&&", "||", "switch", "case", "while", "do", "for", "try", "catch", "await",
     "class", "function", "=>", "export", "(",
 )
-_SEARCH = 60  # how far a type annotation may push a parameter list or a body
+# Before an opening brace, one of these makes it part of a type or an expression.
+_TYPE_BEFORE = (":", "|", "&", "is", "<", ",", "=>", "extends", "?")
+# A word that begins another declaration, so that a signature before it has ended.
+_BEGINS = ("function", "class", "interface", "declare", "abstract", "enum", "namespace")
 
 
 def _is(value: Column, *options: str) -> Column:
@@ -74,9 +77,14 @@ def token_classes(toks: str) -> Column:
         inert = _is(F.get(toks, i - 1), ".", "?.") | _is(F.get(toks, i + 1), ":")
         # Most tokens are none of these: one set lookup lets them go.
         return (
-            F.when(~t.isin("(", "[", "{", ")", "]", "}", ";", ",", *_DECLARE, *_STATEMENT), 0)
-            .when(t.isin("(", "[", "{"), scope.OPEN)
+            F.when(~t.isin("(", "[", "{", ")", "]", "}", ";", ",", "=>", *_DECLARE, *_STATEMENT, *_BEGINS), 0)
+            .when(t == "(", scope.PAREN)
+            .when(t == "{", F.when(_is(F.get(toks, i - 1), *_TYPE_BEFORE), scope.OPEN).otherwise(scope.BODY))
+            .when(t == "[", scope.OPEN)
+            .when((t == ")") & _is(F.get(toks, i + 1), ":"), scope.TYPED)
             .when(t.isin(")", "]", "}"), scope.CLOSE)
+            .when(t == "=>", scope.ARROW)
+            .when(t.isin(*_BEGINS), F.when(inert | _is(F.get(toks, i + 1), "(", ",", ")", "="), 0).otherwise(scope.BEGIN))
             .when(t == ";", scope.SEMI)
             .when(t == ",", scope.COMMA)
             .when(t.isin(*_DECLARE), F.when(inert, 0).otherwise(scope.DECLARE))
@@ -169,20 +177,18 @@ class _File:
             _node(i, F.lit("export_default"), name=F.lit("default")),
         ).when(class_decl, _node(i, F.lit("class_decl"), name=F.when(named, nxt), exported=exported))
 
-    def next_at_or_after(self, i: Column, token: str) -> Column:
-        """Index of the first ``token`` at or after ``i``, null when it is not near."""
-        near = F.filter(between(i, i + _SEARCH), lambda k: _is(self.tok(k), token))
-        return (
-            F.when(_is(self.tok(i), token), i)
-            .when(_is(self.tok(i + 1), token), i + 1)
-            .otherwise(F.array_min(near))
-        )
+    def _found(self, index: Column) -> Column:
+        return F.when(index >= 0, index)
+
+    def paren(self, i: Column) -> Column:
+        """The ``(`` of the parameter list at or after ``i``, past type parameters; or null."""
+        return self._found(F.get(self._scope.paren, i))
 
     def body_open(self, close: Column) -> Column:
         """The ``{`` of a body after a parameter list, past a return type; or null."""
         after = self.tok(close + 1)
         return F.when(_is(after, "{"), close + 1).when(
-            _is(after, ":"), self.next_at_or_after(close + 2, "{")
+            _is(after, ":"), self._found(F.get(self._scope.body, close + 1))
         )
 
     def assigned_name(self, start: Column) -> Column:
@@ -204,7 +210,7 @@ class _File:
         parts = F.struct(
             start.alias("start"),
             F.when(_word(self.tok(name_at)), self.tok(name_at)).alias("name"),
-            self.body_open(self.match(self.next_at_or_after(name_at, "("))).alias("body"),
+            self.body_open(self.match(self.paren(name_at))).alias("body"),
         )
 
         def build(p: Column) -> Column:
@@ -222,12 +228,7 @@ class _File:
     def arrow_node(self, i: Column) -> Column:
         """An arrow function; null for a function type."""
         prev = self.tok(i - 1)
-        typed_close = F.array_max(
-            F.filter(
-                between(F.greatest(i - _SEARCH, F.lit(0)), i - 2),
-                lambda k: _is(self.tok(k), ")") & _is(self.tok(k + 1), ":"),
-            )
-        )
+        typed_close = self._found(F.get(self._scope.typed, i))
         typed = _is(self.tok(i - 2), ":") & _is(self.tok(i - 3), ")") & ~_is(self.tok(self.match(i - 3) - 1), "?")
         first = (
             F.when(_is(prev, ")"), self.match(i - 1))

@@ -3,7 +3,7 @@
 Strings, templates, comments and regex literals are consumed as whole tokens, so
 keywords inside them do not count. Known limits against a full parser: code in a
 template's ``${}``, text between JSX tags, a regex literal right after ``)`` or
-``}``, non-ASCII identifiers.
+``}``. Identifiers may use any letters.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.functions.arrays import built_once, explode_structs, explode_values
+from corpuscope.functions.arrays import built_once, explode_structs, explode_values, let
 from corpuscope.rules import (
     PARSEABLE_EXTENSIONS,
     WEBPACK_SPLIT,
@@ -26,29 +26,34 @@ _STRINGS = (
     r"|'(?:\\[\s\S]|[^'\\\n])*+'"
     r"|`(?:\\[\s\S]|[^`\\])*+`"
 )
-_REGEX = (
-    r"(?=/)(?<=(?:^|[(,=:\[!&|?{;+\-~^%]|return|typeof|case)\s{0,20})"
-    r"/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\[\n])++/[A-Za-z]*+"
-)
-_WORDS = r"[A-Za-z_$][\w$]*+"
+# A regex literal stands behind one of these; the two are matched as one token, with any
+# white space between them, and split afterwards.
+_BEFORE_REGEX = r"(?:\A|&&|\|\||\?\?|[(,=:\[!&|?{;+\-~^%]|(?<![\w$.])(?:return|typeof|case)(?![\w$]))"
+_LITERAL = r"/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\[\n])++/[A-Za-z]*+"
+_REGEX = _BEFORE_REGEX + r"\s*+" + _LITERAL
+ID_START = r"[\p{L}\p{Nl}_$]"
+ID_PART = r"[\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}$\x{200c}\x{200d}]"
+_WORDS = f"{ID_START}{ID_PART}*+"
 _MARKS = r"=>|&&|\|\||\?\?|\?\.(?!\d)|\.\.\.|\d[\w.]*+"
-_OTHER = r"[^\s\w\x{a0}\x{feff}\x{2028}\x{2029}]"
+_OTHER = r"[^\s\w\p{L}\p{Nl}\x{a0}\x{feff}\x{2028}\x{2029}]"
 # Group 1 is the token; a comment matches outside of it and so yields "".
-TOKEN_RE = f"{_COMMENT}|(" + "|".join((_STRINGS, _REGEX, _WORDS, _MARKS, _OTHER)) + ")"
+TOKEN_RE = f"{_COMMENT}|(" + "|".join((_REGEX, _STRINGS, _WORDS, _MARKS, _OTHER)) + ")"
 
 # Tokens are joined with this separator to match whole statements by one regex.
 SEP = "\x01"
 _STRING_TOKEN = r"""["'][^\x01]*+(?<=["'])(?=\x01)"""
 _FROM = (
-    r"\x01(?:import|export)\x01[\w$*{},\x01]*+"
+    r"\x01(?:import|export)\x01(?:" + ID_PART + r"|[*{},\x01])*+"
     r"(?:(?<=\x01from\x01)|(?<=\x01import\x01))" + _STRING_TOKEN
 )
 _CALL = (
     r"(?=\x01(?:require|__webpack_require__)\x01\(\x01[\"'])"
-    r"(?<!\x01\.)(?<!\x01\?\.)(?<!\x01new)(?<!\x01import\x01[\w$]{1,200}\x01=)"
+    r"(?<!\x01\.)(?<!\x01\?\.)(?<!\x01new)"
     r"\x01[\w$]++\x01\(\x01" + _STRING_TOKEN + r"(?:\x01,)?\x01\)"
 )
-DEPENDENCY_RE = f"{_FROM}|{_CALL}"
+# ``import name = require("x")`` is consumed by itself and dropped.
+_ASSIGNED = r"\x01import\x01" + ID_PART + r"++\x01=(?=\x01(?:require|__webpack_require__)\x01\()\x01[\w$]++\x01\("
+DEPENDENCY_RE = f"{_ASSIGNED}|{_FROM}|{_CALL}"
 
 
 def is_parseable(ext: str = "ext") -> Column:
@@ -62,7 +67,23 @@ def only_parseable(files: DataFrame) -> DataFrame:
 
 def tokenize(content: Column) -> Column:
     """Tokens of a source text in order, comments dropped."""
-    return F.array_remove(F.regexp_extract_all(content, F.lit(TOKEN_RE), F.lit(1)), "")
+    found = F.array_remove(F.regexp_extract_all(content, F.lit(TOKEN_RE), F.lit(1)), "")
+
+    # Of all tokens only a regex literal with what stands before it has a slash inside
+    # and no quote in front.
+    def has_literal(t: Column) -> Column:
+        return (F.length(t) > 1) & (F.instr(t, "/") > 0) & ~F.substring(t, 1, 1).isin('"', "'", "`", "/")
+
+    def parts(t: Column) -> Column:
+        at = F.instr(t, "/")
+        before = F.regexp_replace(t.substr(F.lit(1), at - 1), r"\s+$", "")
+        both = F.array_remove(F.array(before, t.substr(at, F.length(t))), "")
+        return F.when(has_literal(t), both).otherwise(F.array(t))
+
+    def split(toks: Column) -> Column:
+        return F.when(F.exists(toks, has_literal), F.flatten(F.transform(toks, parts))).otherwise(toks)
+
+    return let(found, split)
 
 
 def with_tokens(files: DataFrame) -> DataFrame:
@@ -77,6 +98,7 @@ def dependency_structs(toks: str) -> Column:
     """``array<struct<specifier, kind>>`` in source order, repeats kept."""
     text = F.concat(F.lit(SEP), F.array_join(toks, SEP), F.lit(SEP))
     found = F.regexp_extract_all(text, F.lit(DEPENDENCY_RE), F.lit(0))
+    found = F.filter(found, lambda m: ~m.endswith("\x01("))
 
     def describe(m: Column) -> Column:
         literal = F.regexp_extract(m, r"[\"']([^\x01]*)[\"'](?:\x01,)?(?:\x01\))?$", 1)

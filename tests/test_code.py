@@ -233,3 +233,48 @@ def test_utf16_size(files):
 def test_code_operators_do_not_shuffle(files):
     plan = modules.module_table(files(("/a.js", NESTED)))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+# --- no fixed distances: long signatures, overloads, object types, other letters --------
+
+
+def _listed(files, code):
+    return structure.module_symbols(files(("/p/a.ts", code))).head()["functions"]
+
+
+LONG_TYPE = "Promise<Map<" + ", ".join(f"T{i}" for i in range(60)) + ">>"
+
+
+@pytest.mark.parametrize(
+    "code, functions",
+    [
+        (f"function f(a): {LONG_TYPE} {{ if (x) {{}} }}", ["f"]),
+        ("function f<" + ", ".join(f"T{i} extends U" for i in range(40)) + ">(a) { if (x) {} }", ["f"]),
+        ("function f(a: string): void; function f(a: any) { if (x) {} }", ["f"]),
+        ("declare function f(a: string): void; if (q) { if (x) {} }", []),
+        ("function f(a): { a: number } { if (x) {} }", ["f"]),
+        ("function f(a): a is { k: 1 } { if (x) {} }", ["f"]),
+        ("function café() { if (x) {} }", ["café"]),
+    ],
+)
+def test_signatures_of_any_length(files, code, functions):
+    assert _listed(files, code) == functions
+
+
+def test_a_long_typed_arrow_is_found(files):
+    types = ", ".join(f"A{i}" for i in range(50))
+    got = structure.code_nodes(files(("/p/a.ts", f"const f = (a: X): Map<{types}> => {{ if (a) {{}} }}"))).collect()
+    assert sorted(r["kind"] for r in got) == ["arrow", "if"]
+
+
+def test_a_regex_literal_after_many_blanks(files):
+    code = "x =" + " " * 300 + "/['\"]/; if (a) {}"
+    got = structure.code_nodes(files(("/p/a.ts", code))).collect()
+    assert [r["kind"] for r in got] == ["if"]
+
+
+def test_imports_with_any_name(files):
+    name = "n" * 500
+    code = f"import déjà from 'lib-a'; import {name} = require('lib-b'); const ñ = require('lib-c');"
+    got = [(r["specifier"], r["kind"]) for r in tokens.extract_dependencies(files(("/p/a.ts", code))).orderBy("ord").collect()]
+    assert got == [("lib-a", "import"), ("lib-c", "require")]

@@ -79,7 +79,8 @@ def _own_scores(nodes: DataFrame) -> DataFrame:
 def function_complexity(nodes: DataFrame) -> DataFrame:
     """``path, fn_id, complexity`` from ``path, node_id, kind, fn_ancestors``.
 
-    ``fn_ancestors`` lists the enclosing functions, innermost first.
+    ``fn_ancestors`` lists the enclosing functions, innermost first. A score beyond
+    a bigint (some sixty nested functions double it each) is null.
     """
     own = _own_scores(nodes).where(F.col("fn_id").isNotNull())
     itself = F.array(F.struct(F.col("fn_id").alias("target"), F.col("own").alias("part")))
@@ -89,7 +90,7 @@ def function_complexity(nodes: DataFrame) -> DataFrame:
     )
     parts = explode_structs(own, F.concat(itself, nested), ["path"], "target")
     return parts.groupBy("path", F.col("target").alias("fn_id")).agg(
-        F.sum("part").cast("bigint").alias("complexity")
+        F.sum("part").try_cast("bigint").alias("complexity")
     )
 
 

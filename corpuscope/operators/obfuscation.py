@@ -105,9 +105,14 @@ def detect_obfuscation(
     return explode_structs(files, F.array_compact(hits), ["path"], "pattern")
 
 
-def ranked_patterns(detected: DataFrame) -> DataFrame:
-    """Detected patterns with their ``rank`` by falling confidence per file."""
-    order = Window.partitionBy("path").orderBy(F.desc("confidence"), "pattern")
+def ranked_patterns(detected: DataFrame, patterns: Sequence[Pattern] | None = None) -> DataFrame:
+    """Detected patterns with their ``rank`` by falling confidence per file.
+
+    Equal confidence goes by the order of the rules, as in :func:`deobfuscate`.
+    """
+    names = [p.name for p in (default_patterns() if patterns is None else patterns)]
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("pattern"))
+    order = Window.partitionBy("path").orderBy(F.desc("confidence"), place)
     return detected.withColumn("rank", F.row_number().over(order))
 
 

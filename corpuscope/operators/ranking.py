@@ -12,14 +12,6 @@ from pyspark.sql import functions as F
 SALTS = 64
 
 
-def _allow_group_limit(df: DataFrame, n: int) -> None:
-    # Spark only cuts groups map-side up to this many rows (1000 unless raised).
-    name = "spark.sql.optimizer.windowGroupLimitThreshold"
-    conf = df.sparkSession.conf
-    if int(conf.get(name, "1000")) < n:
-        conf.set(name, str(n))
-
-
 def top_n_by(
     df: DataFrame,
     keys: Sequence[str],
@@ -35,8 +27,11 @@ def top_n_by(
     that holds most of the rows is cut down in parallel before it meets in one
     task. ``unique`` names the columns the salt is drawn from; they should spread
     evenly and must not be random, so that a re-run task salts alike.
+
+    Spark cuts groups map-side up to ``spark.sql.optimizer.windowGroupLimitThreshold``
+    rows (1000 unless raised). A session that asks for a larger ``n`` of hot keys
+    should raise it; the result is the same without.
     """
-    _allow_group_limit(df, n)
     salt = F.pmod(F.xxhash64(*unique), F.lit(SALTS)).cast("int")
     first = Window.partitionBy(*keys, "__salt").orderBy(*order)
     kept = (

@@ -129,7 +129,7 @@ ORACLES["scan_folder"] = (
 )
 ORACLES["event_log_roundtrip"] = (
     _EVENTS
-    + "SELECT type, location, epoch_us(ts) // 1000 AS ms, array_to_string(json_keys(details), ', ') AS details FROM ev"
+    + "SELECT seq, type, location, epoch_us(ts) // 1000 AS ms, array_to_string(json_keys(details), ', ') AS details FROM ev"
 )
 ORACLES["response_cache_append"] = (
     "SELECT DISTINCT left(sha256(text), 32) AS cache_key, CAST(length(text) AS INT) AS chars FROM documents"

@@ -75,7 +75,7 @@ def event_log_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     event_log.write_runtime_events(fx.runtime_events(spark, sf), folder)
     back = event_log.read_runtime_events(spark, folder, lines=True)
     return back.select(
-        "type", "location", F.unix_millis("ts").alias("ms"), ev.details_summary(F.col("details")).alias("details")
+        "seq", "type", "location", F.unix_millis("ts").alias("ms"), ev.details_summary(F.col("details")).alias("details")
     )
 
 
@@ -556,6 +556,7 @@ def stream_event_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def stream_latest_events(spark: SparkSession, sf: str) -> DataFrame:
+    streaming.use_rocksdb(spark)
     kept = streaming.stream_latest_events(_event_stream(spark, sf), LATEST_PER_TYPE, "type")
     table = streaming.drain_to_table(kept, "append", "latest-events")
     return ev.latest_events(table, LATEST_PER_TYPE, "type").select("seq", "type", "location")

@@ -5,7 +5,6 @@ from __future__ import annotations
 # --- fixed values: file kinds -------------------------------------------------
 CODE_EXTENSIONS = ("js", "ts", "jsx", "tsx", "html")
 PARSEABLE_EXTENSIONS = ("js", "ts", "jsx", "tsx")
-DOCUMENTED_SIZE_LIMIT = 1_024_000
 
 # --- fixed values: construct weights, as (anywhere in file, inside a function) --
 NODE_WEIGHTS = {

@@ -1,61 +1,9 @@
-"""Explicit schemas. Nothing in this package infers a schema."""
+"""Explicit schemas of the files that the sources read."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-CODE_FILES = T.StructType(
-    [
-        T.StructField("seq", T.LongType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("ext", T.StringType()),
-        T.StructField("content", T.StringType()),
-    ]
-)
-
-DEPS = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("specifier", T.StringType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("ord", T.IntegerType()),
-    ]
-)
-
-MODULES = T.StructType(
-    [
-        T.StructField("seq", T.LongType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("dependencies", T.ArrayType(T.StringType())),
-        T.StructField("exports", T.ArrayType(T.StringType())),
-        T.StructField("functions", T.ArrayType(T.StringType())),
-        T.StructField("classes", T.ArrayType(T.StringType())),
-        T.StructField("size", T.LongType()),
-        T.StructField("complexity", T.LongType()),
-    ]
-)
-
-NODES = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("node_id", T.LongType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("fn_ancestors", T.ArrayType(T.LongType())),
-    ]
-)
-
-RUNTIME_EVENTS = T.StructType(
-    [
-        T.StructField("seq", T.LongType()),
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("type", T.StringType()),
-        T.StructField("location", T.StringType()),
-        T.StructField("details", T.StringType()),
-        T.StructField("stack_trace", T.ArrayType(T.StringType())),
-    ]
-)
-
 RESPONSES = T.StructType(
     [
         T.StructField("cache_key", T.StringType()),
@@ -73,6 +21,7 @@ EVENT_LOG_JSON = T.StructType(
         T.StructField("details", T.StringType()),
         T.StructField("stackTrace", T.ArrayType(T.StringType())),
         T.StructField("id", T.StringType()),
+        T.StructField("seq", T.LongType()),
     ]
 )
 

@@ -18,20 +18,22 @@ def _one_line(details: Column) -> Column:
 
 
 def read_runtime_events(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """``seq, ts, type, location, details, stack_trace`` from exported logs.
+    """``seq, ts, type, location, details, stack_trace, id`` from exported logs.
 
     An export is one JSON array per file, which one task reads as a whole; logs
     written by ``write_runtime_events`` hold one event per line and split freely
-    (``lines=True``). ``seq`` follows the order inside each file.
+    (``lines=True``). ``seq`` is the one the log was written with; in a log without
+    one it follows the order inside each file.
     """
     raw = spark.read.schema(EVENT_LOG_JSON).json(path, multiLine=not lines)
     return raw.select(
-        F.monotonically_increasing_id().alias("seq"),
+        F.coalesce("seq", F.monotonically_increasing_id()).alias("seq"),
         F.timestamp_millis("timestamp").alias("ts"),
         "type",
         "location",
         _one_line(F.col("details")).alias("details"),
         F.col("stackTrace").alias("stack_trace"),
+        "id",
     )
 
 
@@ -63,5 +65,6 @@ def write_runtime_events(events: DataFrame, path: str) -> None:
         _details_member(F.col("details")),
         _json_member("stackTrace", stack),
     ]
+    members += [_json_member(name, F.col(name)) for name in ("id", "seq") if name in events.columns]
     line = F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
     events.select(line.alias("value")).write.text(path)

@@ -30,7 +30,7 @@ def scan_code_files(
 ) -> DataFrame:
     """``seq, path, ext, content`` for every file below ``root`` with one of ``exts``.
 
-    The extension test is on the path, before any content is decoded. Unreadable
+    The extension test prunes the listing, before any content is read. Unreadable
     files are skipped. Spark's file index passes over names that start with
     ``_`` or ``.``; such a folder is read when given as a root of its own, and a
     root may be a glob: ``["/site", "/site/_next", "/site/*/_*"]``.
@@ -39,10 +39,13 @@ def scan_code_files(
     null unless ``walk_order`` is set; for a large corpus call
     ``with_walk_order`` on the module rows instead.
     """
-    roots = [root] if isinstance(root, str) else list(root)
+    roots, exts = [root] if isinstance(root, str) else list(root), list(exts)
+    # Case-blind, and applied to names while listing: other files are never opened.
+    names = ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in exts)
     found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", f"*.{{{names}}}")
         .option("ignoreCorruptFiles", "true")
         .option("ignoreMissingFiles", "true")
         .load(roots)

@@ -56,6 +56,11 @@ class _KeepLatest(StatefulProcessor):
         pass
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """Choose the state store that :func:`stream_latest_events` needs, for a session."""
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+
+
 def stream_latest_events(
     stream: DataFrame, n: int = MAX_EVENTS, key: str = "type", salts: int = 8
 ) -> DataFrame:
@@ -66,9 +71,8 @@ def stream_latest_events(
     the output holds the last n of every key and some older ones. Reading it
     through ``operators.events.latest_events(df, n, key)`` gives exactly them.
     """
-    conf = stream.sparkSession.conf
-    if conf.get(_PROVIDER, None) != _ROCKSDB:
-        conf.set(_PROVIDER, _ROCKSDB)
+    if stream.sparkSession.conf.get(_PROVIDER, None) != _ROCKSDB:
+        raise ValueError(f"set {_PROVIDER} to {_ROCKSDB}, or call use_rocksdb(spark) first")
     salted = stream.withColumn("__salt", F.pmod(F.xxhash64("seq"), F.lit(salts)).cast("int"))
     return salted.groupBy(key, "__salt").transformWithStateInPandas(
         statefulProcessor=_KeepLatest(n, stream.columns),

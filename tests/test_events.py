@@ -106,7 +106,17 @@ def test_exported_log(spark, tmp_path):
     out = str(tmp_path / "lines")
     write_runtime_events(df, out)
     back = read_runtime_events(spark, out, lines=True)
-    assert back.drop("seq").exceptAll(df.drop("seq")).count() == 0 and back.count() == 3
+    assert back.exceptAll(df).count() == 0 and back.count() == 3
+
+
+def test_a_log_of_several_files_keeps_order_and_id(spark, tmp_path):
+    rows = [(i, f"e{i}", "t", f"l{i % 7}") for i in range(5000)]
+    df = spark.createDataFrame(rows, "seq long, id string, type string, location string").selectExpr(
+        "*", "timestamp_millis(seq) AS ts", "CAST(NULL AS string) AS details"
+    )
+    write_runtime_events(df.repartition(6), str(tmp_path / "log"))
+    back = read_runtime_events(spark, str(tmp_path / "log"), lines=True)
+    assert [(r.seq, r.id, r.type, r.location) for r in back.orderBy("seq").collect()] == rows
 
 
 def test_scan_folder(spark, tmp_path):
@@ -171,6 +181,7 @@ def test_stream_twins(spark, sf_dir):
     stream = fx.derive(raw, "events", fx.RUNTIME_EVENTS_SQL)
     counts = streaming.drain_to_table(streaming.stream_event_counts(stream), "complete", "counts")
     assert counts.exceptAll(streaming.stream_event_counts(batch)).count() == 0 and counts.count() > 0
+    streaming.use_rocksdb(spark)
     kept = streaming.drain_to_table(streaming.stream_latest_events(stream, 20, "type"), "append", "kept")
     assert events.latest_events(kept, 20, "type").exceptAll(events.latest_events(batch, 20, "type")).count() == 0
 
@@ -182,6 +193,7 @@ def test_stream_over_several_batches(spark, tmp_path):
     for part in order:
         spark.createDataFrame([(i, "t") for i in part], "seq long, type string").coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema("seq long, type string").option("maxFilesPerTrigger", 1).parquet(source)
+    streaming.use_rocksdb(spark)
     kept = streaming.drain_to_table(streaming.stream_latest_events(stream, 10, "type", salts=2), "append", "kept")
     latest = events.latest_events(kept, 10, "type").orderBy("seq").collect()
     assert [r.seq for r in latest] == list(range(130, 140))

@@ -28,10 +28,10 @@ K = INNER + INNERS - 1
 KEPT = 64
 
 
-def anchors(text: Column) -> Column:
-    """Sorted distinct 32-bit hashes of a text's closed syncmers."""
+def placed_anchors(text: Column) -> Column:
+    """struct(places, hashes): where a text's closed syncmers start (from 0, rising), and
+    their 32-bit hashes."""
     pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{INNER}}}))."), F.lit(1))
-    hashes = F.transform(pieces, lambda p: F.xxhash64(p))
 
     def least(a: Column, shift: int) -> Column:
         # Padding is null, and null is never the least.
@@ -39,23 +39,32 @@ def anchors(text: Column) -> Column:
 
     def found(h: Column) -> Column:
         # Least of four in a row; two of them cover the six inner ones of a k-mer.
-        return let(least(least(h, 1), 2), lambda four: F.transform(
-            F.filter(
-                F.sequence(F.lit(0), F.size(h) - INNERS),
-                lambda i: F.least(F.get(h, i), F.get(h, i + (INNERS - 1))) <= F.least(F.get(four, i + 1), F.get(four, i + 3)),
-            ),
-            lambda i: F.shiftrightunsigned(F.xxhash64(F.get(h, i), F.get(h, i + (INNERS - 1))), 32),
+        places = let(least(least(h, 1), 2), lambda four: F.filter(
+            F.sequence(F.lit(0), F.size(h) - INNERS),
+            lambda i: F.least(F.get(h, i), F.get(h, i + (INNERS - 1))) <= F.least(F.get(four, i + 1), F.get(four, i + 3)),
         ))
 
-    none = F.array().cast("array<bigint>")
-    return F.array_sort(F.array_distinct(let(hashes, lambda h: F.when(F.size(h) >= INNERS, found(h)).otherwise(none))))
+        def hashed(i: Column) -> Column:
+            return F.shiftrightunsigned(F.xxhash64(F.get(h, i), F.get(h, i + (INNERS - 1))), 32)
+
+        return let(places, lambda p: F.struct(p.alias("places"), F.transform(p, hashed).alias("hashes")))
+
+    none = F.struct(F.array().cast("array<int>").alias("places"), F.array().cast("array<bigint>").alias("hashes"))
+    hashes = F.transform(pieces, lambda p: F.xxhash64(p))
+    return let(hashes, lambda h: F.when(F.size(h) >= INNERS, found(h)).otherwise(none))
+
 
+def anchors(text: Column) -> Column:
+    """Sorted distinct hashes of a text's closed syncmers."""
+    return F.array_sort(F.array_distinct(placed_anchors(text)["hashes"]))
 
-def sketch(text: Column, kept: int = KEPT) -> Column:
-    """The least anchors of a text."""
+
+def sketch(hashes: Column, text: Column, kept: int = KEPT) -> Column:
+    """The least of a text's anchor hashes; of a text without any, its own hash."""
     whole = F.when(F.length(text) > 0, F.array(F.shiftrightunsigned(F.xxhash64(text), 32)))
     none = F.array().cast("array<bigint>")
-    return let(anchors(text), lambda a: F.when(F.size(a) > 0, F.slice(a, 1, kept)).otherwise(F.coalesce(whole, none)))
+    least = F.slice(F.array_sort(F.array_distinct(hashes)), 1, kept)
+    return F.when(F.size(hashes) > 0, least).otherwise(F.coalesce(whole, none))
 
 
 def as_string(hashes: Column) -> Column:
@@ -111,9 +120,21 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
     pairs = edited_pairs(docs, id_col, text_col)
+    # Anchors know no context: those of the edited text are the ones that start early
+    # enough in the text to lie before the cut, and those of what stands from just
+    # before the cut on. Only that part is read again.
+    stays = F.col("n_chars") - F.floor(F.col("n_chars") / 3)
+    tail = F.col("edited").substr(F.greatest(F.lit(1), stays - (K - 2)).cast("int"), F.length("edited"))
     made = pairs.select(
+        "id", "row", "next_row", "n_chars", "text", "edited", stays.alias("stays"),
+        placed_anchors(F.col("text")).alias("own"), placed_anchors(tail)["hashes"].alias("tail"),
+    )
+    before = F.size(F.filter(F.col("own.places"), lambda i: i + K <= F.col("stays")))
+    edited = F.concat(F.slice(F.col("own.hashes"), F.lit(1), before), F.col("tail"))
+    made = made.select(
         "id", "row", "next_row", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
-        sketch(F.col("text")).alias("sketch"), sketch(F.col("edited")).alias("edited_sketch"),
+        sketch(F.col("own.hashes"), F.col("text")).alias("sketch"),
+        sketch(edited, F.col("edited")).alias("edited_sketch"),
     )
     made = materialize(made, "syncmer-sketches")
     others = made.select(F.col("row").alias("next_row"), F.col("sketch").alias("next_sketch"))

@@ -45,21 +45,26 @@ AT_ONCE = 1 << 20
 # Strings in one segment at most; a longer run is cut (strings stay whole).
 RUN = 64
 # Bytes of one shard, suffix sorted alone, and of the shards merged at once.
-SHARD_BYTES = 1 << 17
-BIN_BYTES = 1 << 19
+SHARD_BYTES = 1 << 15
+BIN_BYTES = 1 << 17
 _LAST = 2**63 - 1
 
 
 # --- strings filed under their least piece hash -----------------------------------
 
 
+def _piece_hashes(eight: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the 16 bytes at each place, from the 8 bytes at each place."""
+    return mix(mix(eight[: n - 15]) ^ (eight[8 : n - 7] * np.uint64(0x94D049BB133111EB)))
+
+
 def _least_hashes(piece: np.ndarray, length: int) -> np.ndarray:
     """For each start of a string in ``piece``, the least hash of its 16-byte pieces."""
     n = len(piece)
     padded = np.zeros(n + 8, np.uint8)
     padded[:n] = piece
     eight = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1)).copy().view(np.uint64).ravel()
-    least = mix(mix(eight[: n - 15]) ^ (eight[8 : n - 7] * np.uint64(0x94D049BB133111EB)))
+    least = _piece_hashes(eight, n)
     width, span = length - PIECE_BYTES + 1, 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
@@ -140,23 +145,24 @@ def merge_transforms(transforms: list[np.ndarray], ends: list[int], depth: int)
     interleave = np.repeat(sources, [len(t) for t in transforms])
     n_ends = sum(ends)
     first_ends = np.repeat(sources, ends)
+    # Buckets of first symbols are the same at every step; each end of a string is a
+    # symbol of its own.
+    buckets = np.r_[0, np.cumsum(np.bincount(symbols))]
+    border = np.zeros(len(symbols), bool)
     block = np.zeros(len(symbols), np.int32)
-    for _ in range(depth):
-        places = np.argsort(interleave, kind="stable")
-        here = np.empty_like(symbols)
-        here[places] = symbols
+    here = np.empty_like(symbols)
+    for step in range(depth):
+        here[np.argsort(interleave, kind="stable")] = symbols
         # Rows move to the bucket of the symbol before them, keeping their order.
         moved = np.argsort(here, kind="stable")
         refined = interleave[moved]
         refined[:n_ends] = first_ends
         of = block[moved]
-        sorted_symbols = here[moved]
-        border = np.empty(len(symbols), bool)
-        border[0] = True
-        border[1:] = (sorted_symbols[1:] != sorted_symbols[:-1]) | (of[1:] != of[:-1])
-        border[: n_ends + 1] = True  # each end of a string is a symbol of its own
+        np.not_equal(of[1:], of[:-1], out=border[1:])
+        border[buckets[buckets < len(symbols)]] = True
+        border[: n_ends + 1] = True
         renewed = np.cumsum(border, dtype=np.int32)
-        done = np.array_equal(refined, interleave) and np.array_equal(renewed, block)
+        done = step % 8 == 7 and renewed[-1] == block[-1] and np.array_equal(refined, interleave) and np.array_equal(renewed, block)
         interleave, block = refined, renewed
         if done:
             break
@@ -324,8 +330,8 @@ def _key(segment: bytes, hash_: int) -> int:
 
 
 def _earliest(followed: DataFrame, length: int) -> DataFrame:
-    """(key, least): for each segment that a later text has too, or has in part, the
-    earliest document of each of its strings (one number if all agree)."""
+    """(key, first, last, least): for each segment that a later text has too, or has in
+    part, the earliest document of its strings, a row per stretch that has one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -367,7 +373,47 @@ def _earliest(followed: DataFrame, length: int) -> DataFrame:
         if rest is not None and len(rest):
             yield from _bins(rest, length)
 
-    return dealt.mapInArrow(merge, "key long, least array<long>")
+    return dealt.mapInArrow(merge, "key long, first int, last int, least long")
+
+
+def _may_share(segments: list[bytes], hashes: np.ndarray, length: int) -> np.ndarray:
+    """Which segments can share a string with another one of their hash.
+
+    A shared string holds the least piece at one place in both, and of the other bytes
+    half or more lie on one side of it: there the segments agree on that many bytes next
+    to the piece. A segment that agrees with no other on either side shares nothing.
+    """
+    side = -(-(length - PIECE_BYTES) // 2)
+    sizes = np.array([len(s) for s in segments])
+    ends = np.cumsum(sizes)
+    joined = np.frombuffer(b"".join(segments) + bytes(8), np.uint8)
+    n = len(joined) - 8
+    eight = np.lib.stride_tricks.as_strided(joined, (n + 1, 8), (1, 1)).copy().view(np.uint64).ravel()
+    pieces = _piece_hashes(eight, n)
+    segment = np.repeat(np.arange(len(segments)), sizes)[: len(pieces)]
+    at = np.flatnonzero(pieces.view(np.int64) == hashes[segment])
+    at = at[at + PIECE_BYTES <= ends[segment[at]]]
+    of = segment[at]
+    begin = ends[of] - sizes[of]
+
+    def agree(start: np.ndarray, whole: np.ndarray, tag: int) -> tuple[np.ndarray, np.ndarray]:
+        start, owner = start[whole], of[whole]
+        key = mix(hashes[owner].view(np.uint64) + np.uint64(tag))
+        for k in [*range(0, side - 8, 8), side - 8]:
+            key = mix(key ^ eight[start + k])
+        return key, owner
+
+    left = agree(at - side, at - side >= begin, 1)
+    right = agree(at + PIECE_BYTES, at + PIECE_BYTES + side <= ends[of], 2)
+    keys, owners = np.concatenate([left[0], right[0]]), np.concatenate([left[1], right[1]])
+    order = np.lexsort((owners, keys))
+    keys, owners = keys[order], owners[order]
+    near = (keys[1:] == keys[:-1]) & (owners[1:] != owners[:-1])
+    out = np.zeros(len(segments), bool)
+    # Of a run of equal keys with several owners every row is next to another owner's,
+    # or stands in a run of rows of its own owner that is.
+    out[owners[1:][near]] = out[owners[:-1][near]] = True
+    return out
 
 
 def _bins(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
@@ -375,35 +421,48 @@ def _bins(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     segments = table["segment"].to_pylist()
     low, high = table["low"].to_numpy(), table["high"].to_numpy()
     # Equal segments (from different tasks) stand together: one of each, with its range.
-    new = np.r_[True, [a != b for a, b in zip(segments[1:], segments[:-1])]] | np.r_[True, hashes[1:] != hashes[:-1]]
+    new = np.r_[True, hashes[1:] != hashes[:-1]]
+    new[1:] |= np.fromiter((a != b for a, b in zip(segments[1:], segments[:-1])), bool, len(segments) - 1)
     firsts = np.flatnonzero(new)
     low, high = np.minimum.reduceat(low, firsts), np.maximum.reduceat(high, firsts)
     segments, hashes = [segments[i] for i in firsts.tolist()], hashes[firsts]
-    keys, least = [], []
+    out = _Earliest()
     begins = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-    ends = np.r_[begins[1:], len(hashes)]
-    # A hash with one segment has no other strings to merge with.
-    alone = np.flatnonzero(ends - begins == 1)
-    for i in begins[alone].tolist():
-        if low[i] < high[i]:
-            keys.append(_key(segments[i], int(hashes[i])))
-            least.append([low[i]])
-    sizes = np.cumsum([0, *[len(s) for s in segments]])
-    bin_, filled = [], 0
-    groups = [(int(b), int(e)) for b, e in zip(begins, ends) if e - b > 1]
-    for g, (b, e) in enumerate(groups):
-        bin_ += range(b, e)
-        filled += int(sizes[e] - sizes[b])
-        if g + 1 < len(groups) and filled < BIN_BYTES:
-            continue
-        for i, found in zip(bin_, earliest([segments[i] for i in bin_], low[bin_], length)):
+    group = np.cumsum(np.r_[True, hashes[1:] != hashes[:-1]]) - 1
+    merged = _may_share(segments, hashes, length)
+    # The others share no string: all their strings are their own earliest owner's.
+    for i in np.flatnonzero(~merged & (low < high)).tolist():
+        out.add(segments[i], hashes[i], length, [0], [low[i]])
+    sizes = np.array([len(s) for s in segments])
+    filled = np.cumsum(np.where(merged, sizes, 0))[np.r_[begins[1:] - 1, len(hashes) - 1]]
+    # Bins of whole hashes, of about as many bytes each.
+    bin_of = (filled // BIN_BYTES)[group]
+    at = np.flatnonzero(merged)
+    for bin_ in np.split(at, np.flatnonzero(np.diff(bin_of[at])) + 1) if len(at) else []:
+        for i, found in zip(bin_.tolist(), earliest([segments[i] for i in bin_.tolist()], low[bin_], length)):
             # What is not earlier than the segment's last user takes nothing.
             if found.min() < high[i]:
-                keys.append(_key(segments[i], int(hashes[i])))
-                least.append(found[:1].tolist() if (found == found[0]).all() else found.tolist())
-        bin_, filled = [], 0
-    if keys:
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(least, pa.list_(pa.int64()))], ["key", "least"])
+                cut = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+                out.add(segments[i], hashes[i], length, cut.tolist(), found[cut].tolist())
+    if out.keys:
+        yield out.batch()
+
+
+class _Earliest:
+    """Rows (key, from, to, least): stretches of starts with one earliest owner."""
+
+    def __init__(self):
+        self.keys, self.first, self.last, self.least = [], [], [], []
+
+    def add(self, segment: bytes, hash_: int, length: int, cut: list[int], least: list[int]) -> None:
+        self.keys += [_key(segment, int(hash_))] * len(cut)
+        self.first += cut
+        self.last += [*(c - 1 for c in cut[1:]), len(segment) - length]
+        self.least += least
+
+    def batch(self) -> pa.RecordBatch:
+        columns = [pa.array(self.keys, pa.int64()), pa.array(self.first, pa.int32()), pa.array(self.last, pa.int32())]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(self.least, pa.int64())], ["key", "first", "last", "least"])
 
 
 def _spans(followed: DataFrame, mins: DataFrame, length: int) -> DataFrame:
@@ -416,28 +475,15 @@ def _spans(followed: DataFrame, mins: DataFrame, length: int) -> DataFrame:
                 raw = data.tobytes() if len(data) < 1 << 26 else data
                 keys = [_key(bytes(raw[s : s + c + length - 1]), k) for s, c, k in zip(start.tolist(), count.tolist(), h.tolist())]
                 columns = [pa.array(keys, pa.int64()), pa.array(rows[text]), pa.array(ords[text])]
-                columns += [pa.array((start - offsets[text]).astype(np.int64)), pa.array(count.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "row", "ord", "start", "count"])
+                columns.append(pa.array((start - offsets[text]).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays(columns, ["key", "row", "ord", "start"])
 
-    placed = followed.select("row", "ord", "text", "hashes").mapInArrow(place, "key long, row long, ord long, start long, count int")
+    placed = followed.select("row", "ord", "text", "hashes").mapInArrow(place, "key long, row long, ord long, start long")
     # A segment that very many texts have is a hot key; Spark splits its side.
     met = placed.join(mins, "key")
 
-    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            rows, spans = [], []
-            for row, ord_, start, count, least in zip(*(part.column(i) for i in range(5))):
-                values = least.values.to_numpy()
-                gone = np.flatnonzero((values if len(values) > 1 else np.repeat(values, count.as_py())) < ord_.as_py())
-                if len(gone) == 0:
-                    continue
-                # Starts closer than a length leave no gap.
-                breaks = np.flatnonzero(np.diff(gone) > length)
-                begins, ends = gone[np.r_[0, breaks + 1]], gone[np.r_[breaks, len(gone) - 1]] + length
-                for b, e in zip(begins.tolist(), ends.tolist()):
-                    rows.append(row.as_py())
-                    spans.append((start.as_py() + b) << 32 | (start.as_py() + e))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(spans, pa.int64())], ["row", "span"])
-
-    found = met.select("row", "ord", "start", "count", "least").mapInArrow(cover, "row long, span long")
+    found = met.where(F.col("least") < F.col("ord"))
+    begin = (F.col("start") + F.col("first")).cast("long")
+    span = F.shiftleft(begin, 32).bitwiseOR(F.col("start") + F.col("last") + F.lit(length))
+    found = found.select("row", span.alias("span"))
     return found.groupBy("row").agg(F.collect_list("span").alias("spans"))

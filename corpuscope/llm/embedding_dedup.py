@@ -1,9 +1,12 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by projection passes.
 
-Each pass draws random hyperplanes, writes the sides a vector lies on as one key and
-sorts all vectors by it; every vector is compared with the next few in that order, and
-verified pairs are joined over all passes. The number of passes follows from the number
-of vectors and the target recall. Equal vectors are one class and sorted once.
+Each pass draws random hyperplanes; vectors on the same sides of all of them share a cell,
+and all pairs of a cell are compared, whatever its size: a crowded one block against
+block, in many tasks. So the recall holds for any data: a pair at the threshold shares
+the cell of a pass with a chance that its angle and the number of planes alone give, and
+the number of passes follows from that chance. How many planes are drawn follows from
+the cost of the cells they would make of all the rows; where planes do not separate the
+vectors, that is none, and one pass compares all pairs. Equal vectors are one class.
 
 Inside a component all members are then compared exactly, block against block, so link
 counts miss nothing there, however many near copies it has; pairs leave no task.
@@ -29,21 +32,21 @@ from corpuscope.session import materialize
 
 COSINE = 0.95
 TARGET_RECALL = 0.9999
+# Cells are not cut to fewer vectors than half of this, on average.
 WINDOW = 48
-KEY_BITS = 62
 BLOCK = 512
-# Rows compared at once in a worker.
-ROWS_AT_ONCE = 2048
-
+# Passes whose cells are counted, over all rows, to choose the number of planes.
+COUNTED = 2
+# Bits of a key at most, and signs computed at once in a worker.
+KEY_BITS = 62
+SIGNS_AT_ONCE = 1 << 22
 
-def passes_needed(vectors: int, cosine: float, window: int, target: float) -> int:
-    """Passes after which a pair at the threshold has met with the target probability.
 
-    It meets when it agrees on the bits that single out a window's worth of vectors.
-    """
-    bits = max(0.0, math.log2(max(vectors, 1) / window)) + 1.0
-    meets = (1.0 - math.acos(cosine) / math.pi) ** bits
-    return max(1, math.ceil(math.log(1.0 - target) / math.log(1.0 - min(meets, 0.99))))
+def passes_needed(bits: int, cosine: float, target: float) -> int:
+    """Passes of cells of ``bits`` planes after which a pair at the threshold has met
+    with the target probability."""
+    meets = (1.0 - math.acos(min(1.0, cosine)) / math.pi) ** bits
+    return 1 if meets >= target else math.ceil(math.log(1.0 - target) / math.log1p(-meets))
 
 
 def unit_vectors(column: pa.Array) -> list[np.ndarray | None]:
@@ -90,8 +93,10 @@ def near_duplicates(
         F.min("row").alias("rep"), F.count("*").alias("n"), F.min_by("unit", "row").alias("unit")
     )
     classes = materialize(classes, "embed-classes")
-    passes = passes_needed(classes.count(), cosine, window, target_recall)
-    edges = materialize(_sorted_passes(classes, passes, cosine, window), "embed-edges")
+    most = min(KEY_BITS, max(0, math.ceil(math.log2(max(classes.count(), 1) / window))))
+    bits = _cheapest_bits(classes, most, cosine, target_recall)
+    passes = passes_needed(bits, cosine, target_recall)
+    edges = materialize(_cell_links(classes, passes, bits, cosine), "embed-edges")
     roots = components(edges)
     links = _links(classes.join(roots.withColumnRenamed("node", "rep"), "rep"), cosine)
 
@@ -108,49 +113,67 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", kept.alias("kept"))
 
 
-def _sorted_passes(classes: DataFrame, passes: int, cosine: float, window: int) -> DataFrame:
-    """(a, b): links found in neighbour windows, joined up within each run of rows."""
+def _cells(classes: DataFrame, passes: int, bits: int) -> DataFrame:
+    """(rep, pass, dim, key): the sides of a pass's planes that each vector lies on."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
-        weights = 1 << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64)
-        for part in batches:
-            reps, units = part.column(0).to_numpy(), part.column(1)
-            size = np.array([len(u) // 8 for u in units.to_pylist()])
-            for dim in np.unique(size).tolist():
-                at = np.flatnonzero(size == dim)
-                mine = units.take(pa.array(at))
-                matrix = np.frombuffer(b"".join(mine.to_pylist()), np.float64).reshape(len(at), dim)
-                for p in range(passes):
-                    if (dim, p) not in planes:
-                        planes[dim, p] = np.random.default_rng([p, dim]).standard_normal((dim, KEY_BITS))
-                    made = ((matrix @ planes[dim, p]) > 0) @ weights
-                    columns = [pa.array(np.full(len(at), p, np.int32)), pa.array(np.full(len(at), dim, np.int32))]
-                    columns += [pa.array(made), pa.array(reps[at]), mine]
-                    yield pa.RecordBatch.from_arrays(columns, ["pass", "dim", "key", "rep", "unit"])
-
-    keyed = classes.select("rep", "unit").mapInArrow(keys, "pass int, dim int, key long, rep long, unit binary")
-    # Ranges of the order; a pair at a seam is met in another pass.
-    ordered = keyed.repartitionByRange("pass", "dim", "key", "rep").sortWithinPartitions("pass", "dim", "key", "rep")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            for low in range(0, len(batch), ROWS_AT_ONCE):
-                part = pa.Table.from_batches([batch.slice(low, ROWS_AT_ONCE)])
-                table = pa.concat_tables([rest, part]).combine_chunks() if rest is not None else part
-                made = _window_links(table, cosine, window)
-                if made is not None:
-                    yield made
-                # The next rows are compared with the last of these.
-                rest = table.slice(max(0, len(table) - window))
-
-    return ordered.mapInArrow(compare, "a long, b long").distinct()
-
-
-def _window_links(table: pa.Table, cosine: float, window: int) -> pa.RecordBatch | None:
-    group = table["pass"].to_numpy().astype(np.int64) * (1 << 31) + table["dim"].to_numpy()
-    reps, units = table["rep"].to_numpy(), table["unit"].combine_chunks()
+        weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
+        at_once = max(1, SIGNS_AT_ONCE // max(1, passes * bits))
+        for whole in batches:
+            for low in range(0, len(whole), at_once):
+                part = whole.slice(low, at_once)
+                reps, units = part.column(0).to_numpy(), part.column(1)
+                size = np.array([len(u) // 8 for u in units.to_pylist()])
+                for dim in np.unique(size).tolist():
+                    at = np.flatnonzero(size == dim)
+                    matrix = np.frombuffer(b"".join(units.take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), dim)
+                    if dim not in planes:
+                        drawn = [np.random.default_rng([p, dim]).standard_normal((bits, dim)) for p in range(passes)]
+                        planes[dim] = np.concatenate(drawn).T
+                    signs = (matrix @ planes[dim] > 0).reshape(len(at), passes, bits)
+                    columns = [pa.array(np.repeat(reps[at], passes)), pa.array(np.tile(np.arange(passes, dtype=np.int32), len(at)))]
+                    columns += [pa.array(np.full(len(at) * passes, dim, np.int32)), pa.array((signs @ weights).ravel())]
+                    yield pa.RecordBatch.from_arrays(columns, ["rep", "pass", "dim", "key"])
+
+    return classes.select("rep", "unit").mapInArrow(keys, "rep long, pass int, dim int, key long")
+
+
+def _cheapest_bits(classes: DataFrame, most: int, cosine: float, target: float) -> int:
+    """The number of planes, up to ``most``, with the least cost by the cells that
+    they make of all rows. Any number has the same recall."""
+    if most == 0:
+        return 0
+    cells = _cells(classes, COUNTED, most).groupBy("pass", "dim", "key").agg(F.count("*").alias("n"))
+    cells = cells.withColumn("bits", F.explode(F.sequence(F.lit(0), F.lit(most))))
+    cells = cells.groupBy("pass", "dim", "bits", F.expr(f"shiftright(key, {most} - bits)").alias("key")).agg(F.sum("n").alias("n"))
+    # Each row of a cell is compared with all others, and carried to as many tasks as the
+    # cell has blocks; carrying it costs about as much as comparing it with a block.
+    carried = F.when(F.col("n") > 1, F.ceil(F.col("n") / F.lit(BLOCK)) * F.lit(BLOCK)).otherwise(F.lit(0))
+    cost = F.sum(F.col("n").cast("double") * (F.col("n") + carried)).alias("cost")
+    costs = {r.bits: r.cost for r in cells.groupBy("bits").agg(cost).collect()}  # a row per number
+    return min(costs, key=lambda b: (costs[b] * passes_needed(b, cosine, target), b), default=0)
+
+
+def _cell_links(classes: DataFrame, passes: int, bits: int, cosine: float) -> DataFrame:
+    """(a, b): links between vectors that share a cell, joined up within each task's blocks."""
+    cells = materialize(_cells(classes, passes, bits), "embed-cells")
+    # Sizes aggregate map-side; both sides of the join are plain exchanges.
+    sizes = cells.groupBy("pass", "dim", "key").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int"))
+    met = cells.join(sizes, ["pass", "dim", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select(
+        "rep", F.xxhash64("pass", "dim", "key", F.least("block", "other"), F.greatest("block", "other")).alias("grp"),
+        (F.col("block") > F.col("other")).alias("late"), (F.col("block") == F.col("other")).alias("same"),
+    )
+    dealt = met.join(classes.select("rep", "unit"), "rep").repartition("grp").sortWithinPartitions("grp", "rep")
+    return dealt.mapInArrow(by_group("grp", lambda part: _group_links(part, cosine)), "a long, b long").distinct()
+
+
+def _group_links(part: pa.Table, cosine: float) -> pa.RecordBatch | None:
+    reps, late = part["rep"].to_numpy(), part["late"].to_numpy()
+    same, units = part["same"].to_numpy().any(), part["unit"].to_pylist()
     root = np.arange(len(reps))
 
     def find(x: int) -> int:
@@ -159,14 +182,20 @@ def _window_links(table: pa.Table, cosine: float, window: int) -> pa.RecordBatch
             x = root[x]
         return x
 
-    for g in np.unique(group):
-        at = np.flatnonzero(group == g)
-        matrix = np.frombuffer(b"".join(units.take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), -1)
-        for shift in range(1, min(window, len(at) - 1) + 1):
-            near = np.flatnonzero(np.einsum("ij,ij->i", matrix[:-shift], matrix[shift:]) >= cosine)
-            for i in near.tolist():
-                a, b = find(at[i]), find(at[i + shift])
-                root[max(a, b)] = min(a, b)
+    # One length only, but for two cells of one hash.
+    size = np.array([len(u) for u in units])
+    for length in np.unique(size).tolist():
+        mine = size == length
+        first = np.flatnonzero(mine if same else mine & ~late)
+        second = first if same else np.flatnonzero(mine & late)
+        a, b = (np.frombuffer(b"".join(units[i] for i in at.tolist()), np.float64).reshape(len(at), length // 8) for at in (first, second))
+        for i, near in enumerate(a @ b.T >= cosine):
+            # Rows linked to one row are joined at once.
+            tops = {find(int(first[i])), *map(find, second[near].tolist())}
+            if len(tops) > 1:
+                least = min(tops)
+                for top in tops:
+                    root[top] = least
     tops = np.array([find(i) for i in range(len(reps))])
     linked = np.flatnonzero(tops != np.arange(len(reps)))
     if len(linked) == 0:

@@ -264,3 +264,24 @@ def test_clusters_larger_than_window_and_block(spark, monkeypatch):
     roots = roots_of(range(len(vectors)), zip(*np.nonzero(near)))
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, window=6).collect()}
     assert got == {i: (int(near[i].sum()), roots[i]) for i in range(len(vectors))}
+
+
+@pytest.mark.parametrize("most", [None, 7])
+def test_pairs_in_a_dense_cone_meet(spark, monkeypatch, most):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    if most:  # by passes of many planes, too
+        monkeypatch.setattr(embedding_dedup, "_cheapest_bits", lambda *_: most, raising=False)
+    rng = np.random.default_rng(3)
+    # A narrow cone below the threshold, and a second vector at about 0.953 to every tenth.
+    cone = rng.standard_normal(64) * 2.6 + rng.standard_normal((3000, 64))
+    cone /= np.linalg.norm(cone, axis=1, keepdims=True)
+    planted = cone[::10] + 0.0395 * rng.standard_normal((len(cone[::10]), 64))
+    vectors = np.concatenate([cone, planted])
+    df = materialize(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"), "vec-test")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert 60 < near.any(axis=1).sum() < len(vectors) / 2
+    roots = roots_of(range(len(vectors)), zip(*np.nonzero(near)))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, window=4).collect()}
+    assert got == {i: (int(near[i].sum()), roots[i]) for i in range(len(vectors))}

@@ -1,11 +1,15 @@
 """WARC archives: writing records, and a reader that salvages damaged files.
 
-Archives are plain (records follow each other) or gzip with one member per record.
-The reader trusts nothing: a record counts only if its version line, header block,
-length, end mark and block digest (where given) hold, and in gzip files only if the
-member inflates with a right checksum. After a failed check it searches for the next
-place where a record or member can start, goes on there, and reports the bytes passed
-over as a quarantined gap.
+Archives are plain (records follow each other) or gzip; the writer makes one member per
+record, the reader takes members of any number of records, such as a plain archive that
+was gzipped as a whole. The reader trusts nothing: a record counts only if its version
+line, header block, length, end mark and block digest (where given) hold. After a failed
+check it searches for the next place where a record or member can start, goes on there,
+and reports the bytes passed over as a quarantined gap. Inside a member it searches the
+inflated bytes in the same way, also those of a member that is cut off or damaged. If a
+member fails its checksum, only records whose own digest holds count, as the damage may
+be anywhere; of those before a place that does not inflate, a record without a digest
+has ``digest_ok`` false, as nothing vouches for its bytes.
 
 Writing goes through Spark's text sink, so it reaches any file system Spark can write.
 Its line separator is the last byte of each record: LF for plain files; for gzip the
@@ -29,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+CUT_OFF = "member runs past the end"
 GZIP_START = b"\x1f\x8b\x08"
 # Payloads shorter than this are never made revisits.
 MIN_REVISIT_BYTES = 100
@@ -174,26 +179,43 @@ def _find(data: memoryview, what: bytes, start: int) -> int:
     return found.start() if found else -1
 
 
-def _inflate(data: memoryview, start: int) -> tuple[bytes, int]:
-    """The member at ``start``, checked by its trailer, and where it ends."""
+def _inflate(data: memoryview, start: int) -> tuple[bytes, int, str | None]:
+    """The member at ``start``, or its bytes before an error; where it ends, or the error
+    is; and what is wrong."""
     machine = zlib.decompressobj(31)
     parts = []
-    at = start
-    try:
-        while not machine.eof:
-            if at >= len(data):
-                raise Damage("member runs past the end")
-            piece = data[at : at + 65_536]
+    at, step = start, 65_536
+    while not machine.eof:
+        if at >= len(data):
+            return b"".join(parts), at, CUT_OFF
+        piece = data[at : at + step]
+        before = machine.copy() if step > 1 else None
+        try:
             parts.append(machine.decompress(piece))
-            at += len(piece)
-    except zlib.error as error:
-        raise Damage(f"member does not inflate: {error}") from error
-    return b"".join(parts), at - len(machine.unused_data)
+        except zlib.error as error:
+            if before is None:
+                return b"".join(parts), at, f"member does not inflate: {error}"
+            machine, step = before, 1  # up to the error byte by byte
+            continue
+        at += len(piece)
+    return b"".join(parts), at - len(machine.unused_data), None
+
+
+def _inflated_by(data: memoryview, start: int, end: int, size: int) -> int:
+    """The place, up to the error at ``end``, by which a member has given ``size`` bytes."""
+    machine = zlib.decompressobj(31)
+    at = start
+    while size > 0 and at < end:
+        piece = data[at : min(at + 65_536, end)]
+        size -= len(machine.decompress(piece, size))
+        at += len(piece) - len(machine.unconsumed_tail)
+    return at
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
     """(start, end, record, None) of every sound record and (start, end, None, why) of
-    every gap; together they cover the file, in order."""
+    every gap; together they cover the file, in order. What stands in a gzip member has
+    the member's range; a gap there tells its range in the inflated bytes."""
     view = memoryview(data)
     at = 0
     gap: tuple[int, str] | None = None
@@ -202,11 +224,25 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
     while at < len(view):
         try:
             if bytes(view[at : at + 3]) == GZIP_START:
-                content, end = _inflate(view, at)
-                found = list(_inside(content))
+                content, end, why = _inflate(view, at)
+                found = list(_inside(content, bool(why) and "incorrect data check" in why))
+                sound = [b for _, b, record, _ in found if record]
+                if why and not sound:
+                    raise Damage(why)
+                if why:
+                    # The search goes on behind what the last sound record was made of.
+                    next_ = starts.search(view, max(at + 1, _inflated_by(view, at, end, sound[-1])))
+                    end = next_.start() if next_ else len(view)
+                    if not found[-1][3]:
+                        found.append((sound[-1], len(content), None, why))
+                    else:
+                        found[-1] = (*found[-1][:3], f"{why}; {found[-1][3]}")
+                    for _, _, record, _ in found:
+                        if record and why != CUT_OFF:
+                            record["digest_ok"] = bool(record["digest_ok"])
             else:
                 record, end = parse_record(view, at)
-                found = [record]
+                found = [(at, end, record, None)]
         except Damage as damage:
             gap = gap or (at, str(damage))
             next_ = starts.search(view, at + 1)
@@ -215,8 +251,8 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
         if gap:
             yield gap[0], at, None, gap[1]
             gap = None
-        for record in found:
-            yield at, end, record, None
+        for low, high, record, why in found:
+            yield at, end, record, why and f"{why} (bytes {low} to {high} of the inflated member)"
         at = end
     if gap:
         yield gap[0], len(view), None, gap[1]
@@ -224,19 +260,35 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
         yield 0, 0, None, "empty file"
 
 
-def _inside(content: bytes) -> Iterator[dict]:
-    """Records of one member; a member that holds anything else is damaged."""
+def _inside(content: bytes, digested: bool) -> Iterator[tuple[int, int, dict | None, str | None]]:
+    """Sound records and gaps of a member's inflated bytes, as of a plain file; if
+    ``digested``, only records with a digest are sound."""
     view, at = memoryview(content), 0
+    gap: tuple[int, str] | None = None
     while at < len(view):
-        record, at = parse_record(view, at)
-        yield record
+        try:
+            record, end = parse_record(view, at)
+            if digested and not record["digest_ok"]:
+                raise Damage("no digest")
+        except Damage as damage:
+            gap = gap or (at, str(damage))
+            next_ = VERSION.search(view, at + 1)
+            at = next_.start() if next_ else len(view)
+            continue
+        if gap:
+            yield gap[0], at, None, gap[1]
+            gap = None
+        yield at, end, record, None
+        at = end
+    if gap:
+        yield gap[0], at, None, gap[1]
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records and gaps of all archives under a path.
 
     Gaps have ``gap`` (why) and the byte range; records have the other columns. In
-    gzip files the range is the member's. A file is one task's work, so archives
+    gzip files the range is the member's, and ``gap`` also tells the inflated one. A file is one task's work, so archives
     should be cut to some hundred megabytes, as is usual.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")

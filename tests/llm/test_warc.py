@@ -1,6 +1,7 @@
 """Round trips, SQL, and damaged archives."""
 
 import gzip
+import hashlib
 import random
 
 import pytest
@@ -63,6 +64,49 @@ def test_a_damaged_member_is_passed_over():
     assert gaps == [(len(members[0]), len(members[0]) + len(members[1]))]
 
 
+def noise(i: int) -> bytes:
+    return random.Random(i).randbytes(3000)
+
+
+def test_a_damaged_record_in_a_member_of_several_is_passed_over():
+    records = [record(i, noise(i)) for i in range(5)]
+    sizes = [len(r) for r in records]
+    records[2] = records[2].replace(b"Content-Length: 3000", b"Content-Length: 9999")
+    member = gzip.compress(b"".join(records))
+    after = gzip.compress(record(9, b"after"))
+    ids, gaps = seen(member + after)
+    assert ids == names(0, 1, 3, 4, 9) and gaps == [(0, len(member))]
+    why = next(w for _, _, r, w in warc.salvage(member + after) if r is None)
+    assert why.endswith(f"(bytes {sum(sizes[:2])} to {sum(sizes[:3])} of the inflated member)")
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_a_cut_archive_of_one_stream_keeps_its_records(level):
+    member = gzip.compress(b"".join(record(i, noise(i)) for i in range(60)), level)
+    cut = member[: len(member) // 2]
+    ids, gaps = seen(cut)
+    assert 28 <= len(ids) <= 30 and ids == names(*range(len(ids))) and gaps == [(0, len(cut))]
+    assert all(r["block"] == noise(i) and r["digest_ok"] is None for i, (_, _, r, _) in enumerate(warc.salvage(cut)) if r)
+
+
+def test_a_stream_with_an_error_keeps_the_records_that_hold():
+    digest = b"WARC-Block-Digest: sha256:%s\r\nContent-Length"
+    records = [record(i, noise(i)) for i in range(60)]
+    records = [r.replace(b"Content-Length", digest % hashlib.sha256(noise(i)).hexdigest().encode()) if i % 2 else r for i, r in enumerate(records)]
+    after = gzip.compress(record(99, b"after"))
+    member = gzip.compress(b"".join(records))
+    wrong_sum = member[:-8] + bytes(b ^ 0xFF for b in member[-8:-4]) + member[-4:]
+    found = [r for _, _, r, _ in warc.salvage(wrong_sum + after) if r]
+    assert [r["fields"]["warc-record-id"] for r in found] == names(*range(1, 60, 2), 99)
+    assert [r["digest_ok"] for r in found] == [True] * 30 + [None]
+    ids, gaps = seen(wrong_sum + after)
+    assert set(gaps) == {(0, len(wrong_sum))}
+    garbled = member[:100_000] + b"\xff" * 3_000 + member[103_000:]
+    ids, gaps = seen(garbled + after)
+    assert set(names(*range(30), 99)) <= set(ids) and len(gaps) >= 1
+    assert [r["digest_ok"] for _, _, r, _ in warc.salvage(garbled) if r][:30] == [i % 2 == 1 for i in range(30)]
+
+
 def test_length_too_long_digest_wrong_cut_and_junk():
     good = record(1, b"abc")
     long = record(0, b"x").replace(b"Content-Length: 1", b"Content-Length: 9")

@@ -14,6 +14,10 @@ depth. The block borders of each step are the common prefixes, so after 50 steps
 blocks are the repeated intervals, and the earliest document of a block is known. No
 suffixes of different shards are ever compared.
 
+Crowded hashes. A hash of very many runs (a common phrase among ever other words) would
+be one task's work. Its strings are looked up one by one instead: the earliest document
+of each is a map-side aggregate over 128-bit digests, which no hash can crowd.
+
 Texts are written once, bucketed by row, so that the thin results come to them and
 texts are not shuffled.
 
@@ -47,6 +51,8 @@ RUN = 64
 # Bytes of one shard, suffix sorted alone, and of the shards merged at once.
 SHARD_BYTES = 1 << 15
 BIN_BYTES = 1 << 17
+# Runs of one hash that are merged in one task at most.
+CROWDED = 20_000
 _LAST = 2**63 - 1
 
 
@@ -235,9 +241,18 @@ def remove_repeats(
     heads = texts.select("row", "ord", "text").join(firsts.select(F.col("first_row").alias("row")), "row", "left_semi")
 
     shared = materialize(_shared_hashes(heads.select("row", "text"), length), "suffix-hashes")
-    followed = heads.join(shared, "row")
+    crowded = materialize(_crowded(shared), "suffix-crowded")
+    found = None
+    if crowded.limit(1).count():
+        each = shared.select("row", F.explode("hashes").alias("hash"))
+        by_row = F.collect_list("hash").alias("hashes")
+        alone = each.join(crowded, "hash", "left_semi").groupBy("row").agg(by_row)
+        found = _looked_up(heads.join(materialize(alone, "suffix-alone"), "row"), length)
+        shared = materialize(each.join(crowded, "hash", "left_anti").groupBy("row").agg(by_row), "suffix-merged")
+    followed = heads.join(shared.select("row", "hashes"), "row")
     mins = materialize(_earliest(followed, length), "suffix-earliest")
-    spans = _spans(followed, mins, length)
+    merged = _found(followed, mins, length)
+    spans = (merged if found is None else merged.union(found)).groupBy("row").agg(F.collect_list("span").alias("spans"))
 
     # Copies of a text: of a later document all is gone; of the same one, the same.
     known = texts.select("row", "ord", "digest").join(firsts, "digest")
@@ -286,7 +301,8 @@ def _keep(data: bytes, copy: bool, spans: pa.Scalar, length: int) -> tuple[bytes
 
 
 def _shared_hashes(heads: DataFrame, length: int) -> DataFrame:
-    """(row, hashes): the hashes of each text that another text has too."""
+    """(row, hashes, often): the hashes of each text that another text has too; those of
+    several runs in the text stand in ``often`` with the number of further runs."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -298,21 +314,54 @@ def _shared_hashes(heads: DataFrame, length: int) -> DataFrame:
             order = np.lexsort((text, hashes))
             text, hashes = text[order], hashes[order]
             new = np.r_[True, (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])]
-            text, hashes = text[new], hashes[new]
+            text, hashes, n = text[new], hashes[new], np.diff(np.r_[np.flatnonzero(new), len(new)])
             # A hash of several texts here is settled: two rows tell the others about it.
             begin = np.r_[True, hashes[1:] != hashes[:-1]]
             nth = np.arange(len(hashes)) - np.maximum.accumulate(np.where(begin, np.arange(len(hashes)), 0))
             settled = nth > 1
-            columns = [pa.array(hashes), pa.array(rows[text]), pa.array(settled)]
-            yield pa.RecordBatch.from_arrays(columns, ["hash", "row", "settled"])
+            columns = [pa.array(hashes), pa.array(rows[text]), pa.array(settled), pa.array(n - 1)]
+            yield pa.RecordBatch.from_arrays(columns, ["hash", "row", "settled", "more"])
 
-    filed = heads.mapInArrow(file, "hash long, row long, settled boolean")
+    filed = heads.mapInArrow(file, "hash long, row long, settled boolean, more long")
     # Settled rows need no company: they are dealt by their row, not by a hot hash.
     filed = filed.withColumn("deal", F.when(F.col("settled"), F.xxhash64("hash", "row")).otherwise(F.col("hash")))
     company = Window.partitionBy("deal")
     met = filed.withColumn("lo", F.min("row").over(company)).withColumn("hi", F.max("row").over(company))
     met = met.where(F.col("settled") | (F.col("lo") < F.col("hi")))
-    return met.groupBy("row").agg(F.collect_list("hash").alias("hashes"))
+    often = F.collect_list(F.when(F.col("more") > 0, F.struct("hash", "more"))).alias("often")
+    return met.groupBy("row").agg(F.collect_list("hash").alias("hashes"), often)
+
+
+def _crowded(shared: DataFrame) -> DataFrame:
+    """(hash): those of more than CROWDED runs, counted map-side."""
+    once = shared.select(F.explode("hashes").alias("hash"), F.lit(1).cast("long").alias("n"))
+    more = shared.select(F.explode("often").alias("o")).select("o.hash", F.col("o.more").alias("n"))
+    return once.union(more).groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") > CROWDED).select("hash")
+
+
+def _looked_up(followed: DataFrame, length: int) -> DataFrame:
+    """(row, span): strings of the followed hashes that an earlier document has."""
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            rows, ords = part.column(0).to_numpy(), part.column(1).to_numpy()
+            for data, offsets, text, start, count, _ in _followed_runs(part, length):
+                nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                at, of = np.repeat(start, count) + nth, np.repeat(text, count)
+                raw = memoryview(data)
+                for low in range(0, len(at), 1 << 16):
+                    a, o = at[low : low + (1 << 16)], of[low : low + (1 << 16)]
+                    digests = [hashlib.blake2b(raw[s : s + length], digest_size=16).digest() for s in a.tolist()]
+                    columns = [pa.array(digests, pa.binary()), pa.array(rows[o]), pa.array(ords[o]), pa.array((a - offsets[o]).astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["digest", "row", "ord", "start"])
+
+    placed = followed.select("row", "ord", "text", "hashes").mapInArrow(strings, "digest binary, row long, ord long, start long")
+    placed = materialize(placed, "suffix-strings")
+    owners = placed.groupBy("digest").agg(F.min("ord").alias("least"), F.max("ord").alias("last")).where("least < last")
+    # A string that very many texts have is a hot key; Spark splits its side.
+    met = placed.join(owners.select("digest", "least"), "digest").where(F.col("least") < F.col("ord"))
+    span = F.shiftleft("start", 32).bitwiseOR(F.col("start") + F.lit(length))
+    return met.select("row", span.alias("span"))
 
 
 def _followed_runs(part: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -465,8 +514,8 @@ class _Earliest:
         return pa.RecordBatch.from_arrays([*columns, pa.array(self.least, pa.int64())], ["key", "first", "last", "least"])
 
 
-def _spans(followed: DataFrame, mins: DataFrame, length: int) -> DataFrame:
-    """(row, spans): removed stretches of each text, start and end packed in a long."""
+def _found(followed: DataFrame, mins: DataFrame, length: int) -> DataFrame:
+    """(row, span): removed stretches of each text, start and end packed in a long."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -485,5 +534,4 @@ def _spans(followed: DataFrame, mins: DataFrame, length: int) -> DataFrame:
     found = met.where(F.col("least") < F.col("ord"))
     begin = (F.col("start") + F.col("first")).cast("long")
     span = F.shiftleft(begin, 32).bitwiseOR(F.col("start") + F.col("last") + F.lit(length))
-    found = found.select("row", span.alias("span"))
-    return found.groupBy("row").agg(F.collect_list("span").alias("spans"))
+    return found.select("row", span.alias("span"))

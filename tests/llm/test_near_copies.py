@@ -212,6 +212,33 @@ def test_removal_of_shifted_and_overlapping_passages(spark):
     assert {d: sorted(v) for d, v in got.items()} == brute_removed(docs)
 
 
+def test_a_crowded_hash_is_no_single_task(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWDED", 20, raising=False)
+    gathered = []
+    merge_of = suffix_dedup._earliest
+    monkeypatch.setattr(suffix_dedup, "_earliest", lambda followed, length: gathered.append(followed) or merge_of(followed, length))
+    rng = random.Random(13)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    # A line too short to repeat, a longer one that does, one many times in one text.
+    short, long = "all rights reserved, see the licence here", "this longer line of sixty bytes is in many of the texts here"
+    docs = [(d, noise(60) + short + noise(60) + (long if d % 3 == 0 else "") + noise(30)) for d in range(60)]
+    docs += [(70, "".join(noise(20) + "printed in the same text" for _ in range(30))), (71, noise(40) + "printed in the same text" + noise(40))]
+    docs += [(72, docs[4][1][20:120]), (9, noise(80) + long)]
+    df = materialize(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), "crowd-test")
+    got = {}
+    for r in suffix_dedup.remove_repeats(df).collect():
+        got.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
+    assert {d: sorted(v) for d, v in got.items()} == brute_removed(docs)
+    left = Counter()
+    for r in gathered[0].select("row", "text", "hashes").collect():
+        data, offsets = buffers(pa.array([bytes(r.text)], pa.binary()))
+        left.update(h for *_, hashes in suffix_dedup.runs(data, offsets) for h in hashes.tolist() if h in r.hashes)
+    assert max(left.values(), default=0) <= 20
+
+
 def test_removal_of_odd_rows(odd, empty):
     rows = suffix_dedup.remove_repeats(odd, with_text=True, keep=("size", "lang")).collect()
     assert rows[0].asDict().keys() == {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "size", "lang"}

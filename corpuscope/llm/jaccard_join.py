@@ -45,18 +45,26 @@ SKETCH_SLACK = 5.0
 _SEED = np.uint64(0xA0761D6478BD642F)
 
 
-def runs_needed(similarity: float, depth: int, target: float) -> int:
+def runs_needed(similarity: float, depth: int, target: float, positions: int = POSITIONS) -> int:
     """Runs after which a pair at the threshold has met with the target probability.
 
     A pair is lost in one run if no path down to ``depth`` keeps it: the chance is that
     of extinction of a branching process whose nodes keep a pair in one chosen position
-    with the pair's similarity.
+    with the share of positions in which the pair's sketches agree. All runs choose from
+    the same positions, so the miss of all is averaged over that share, not the loss of one.
     """
-    lost = 0.0
+    agreed = np.arange(positions + 1)
+    weight = np.array([math.comb(positions, k) * similarity**k * (1.0 - similarity) ** (positions - k) for k in agreed.tolist()])
+    share, lost = agreed / positions, np.zeros(positions + 1)
     for _ in range(depth):
-        gone = 1.0 - similarity + similarity * lost
+        gone = 1.0 - share + share * lost
         lost = 0.75 * gone + 0.25 * gone * gone
-    return max(1, math.ceil(math.log(1.0 - target) / math.log(lost)))
+    if weight[0] >= 1.0 - target:
+        raise ValueError("too few positions for this recall at so low a similarity")
+    runs = 1
+    while float(weight @ lost**runs) > 1.0 - target:
+        runs += 1
+    return runs
 
 
 def sketches(column: pa.Array, positions: int = POSITIONS) -> np.ndarray:

@@ -111,6 +111,16 @@ def test_runs_follow_from_the_target():
     assert jaccard_join.runs_needed(0.8, 1, 0.9) < jaccard_join.runs_needed(0.8, 4, 0.9) < jaccard_join.runs_needed(0.8, 4, 0.9999)
 
 
+def test_runs_allow_for_sketches_that_agree_on_few_positions():
+    runs, rng = jaccard_join.runs_needed(0.8, 4, 0.9999), np.random.default_rng(6)
+    share = rng.binomial(64, 0.8, 400_000) / 64
+    lost = 0.0
+    for _ in range(4):
+        gone = 1.0 - share + share * lost
+        lost = 0.75 * gone + 0.25 * gone * gone
+    assert (lost**runs).mean() <= 1.1e-4 < (lost ** (runs - 2)).mean()
+
+
 def test_join_of_odd_rows(odd, empty):
     rows = jaccard_join.link(odd, keep=("text", "row")).collect()
     assert len(rows) == odd.count()

@@ -19,7 +19,12 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language that the labelled ones teach."""
+    """Drops texts without a letter, and texts for which no learned language is likelier
+    than all others together, such as short ones of words that several share.
+
+    The score compares the learned languages only: a text in another language, or
+    gibberish, mostly gets nearly 1 for one of them and stays.
+    """
     found = langid.predict(docs, langid.fit(docs), out=("__lang", "__score"))
     sure = (F.col("__lang") != langid.UNKNOWN) & (F.col("__score") > MIN_LANG_SCORE)
     return found.where(sure).select(*COLUMNS)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import bpe, embedding_dedup, jaccard_join, kd_sharding, langid, lattice_lm, mixing, suffix_dedup, syncmers, warc
+from corpuscope.llm import bpe, embedding_dedup, id_shards, jaccard_join, kd_sharding, langid, lattice_lm, mixing, suffix_dedup, syncmers, warc
 from corpuscope.llm.common import held_out, table
 from corpuscope.session import run_dir
 
@@ -142,3 +142,12 @@ def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @_query
 def op8_syncmers(spark: SparkSession, sf: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf, "documents"))
+
+
+@_query
+def op13_id_shards(spark: SparkSession, sf: str) -> DataFrame:
+    docs, folder = table(spark, sf, "documents"), run_dir(spark, "id-shards")
+    id_shards.write_shards(docs, folder)
+    id_shards.build_index(spark, folder)
+    found = id_shards.fetch(spark, folder, docs)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

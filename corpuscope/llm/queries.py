@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import bpe, embedding_dedup, id_shards, jaccard_join, kd_sharding, langid, lattice_lm, mixing, suffix_dedup, syncmers, warc
+from corpuscope.llm import bpe, centroids, embedding_dedup, id_shards, jaccard_join, kd_sharding, langid, lattice_lm, mixing, suffix_dedup, syncmers, warc
 from corpuscope.llm.common import held_out, table
 from corpuscope.session import run_dir
 
@@ -151,3 +151,37 @@ def op13_id_shards(spark: SparkSession, sf: str) -> DataFrame:
     id_shards.build_index(spark, folder)
     found = id_shards.fetch(spark, folder, docs)
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@_query
+def op12_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf, "embeddings"))
+
+
+def _centroid_sql(rounds: int) -> str:
+    far = "list_sum(list_transform(range(1, 65), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i])))"
+    steps = [
+        """kept AS (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256(concat('1:', CAST(vec_id AS VARCHAR))), v) - 1 AS k, v FROM kept QUALIFY k < 16)""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (
+  SELECT p.vec_id, p.row, p.v, c.k, CAST({far} AS BIGINT) AS far FROM kept p, c{r} c
+  QUALIFY row_number() OVER (PARTITION BY p.row ORDER BY far, c.k) = 1)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (
+  SELECT k, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY k, i)""")
+            steps.append(f"""c{r + 1} AS (
+  SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{r} GROUP BY k
+  UNION ALL SELECT k, v FROM c{r} WHERE k NOT IN (SELECT k FROM a{r}))""")
+    return f"""WITH {", ".join(steps)}
+SELECT a.vec_id, CAST(a.k AS INTEGER) AS cluster, a.far AS distance,
+  CAST(sum(a.far) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(a.far) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.k = c.k"""
+
+
+ORACLES["op12_centroids"] = _centroid_sql(centroids.ROUNDS)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import bpe, centroids, embedding_dedup, id_shards, jaccard_join, kd_sharding, langid, lattice_lm, mixing, suffix_dedup, syncmers, warc
+from corpuscope.llm import bpe, centroids, embedding_dedup, id_shards, jaccard_join, kd_sharding, langid, lattice_lm, lexical, mixing, suffix_dedup, syncmers, warc
 from corpuscope.llm.common import held_out, table
 from corpuscope.session import run_dir
 
@@ -185,3 +185,34 @@ FROM a{rounds} a JOIN c{rounds} c ON a.k = c.k"""
 
 
 ORACLES["op12_centroids"] = _centroid_sql(centroids.ROUNDS)
+
+
+@_query
+def op11_lexical(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+ORACLES["op11_lexical"] = r"""
+WITH cut AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+docs AS (SELECT doc_id, row, terms, len(terms) AS n FROM cut WHERE len(terms) > 0),
+stats AS (SELECT count(*) AS N_all, CAST(sum(n) AS BIGINT) AS L FROM docs),
+postings AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM docs) GROUP BY row, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(N_all) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM postings, stats GROUP BY term),
+asked AS (
+  SELECT item_id, item, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT *, row_number() OVER () AS item FROM benchmark)),
+times AS (SELECT item_id, item, term, count(*) AS k FROM asked GROUP BY item_id, item, term),
+scored AS (
+  SELECT t.item_id, t.item, d.doc_id, d.row, CAST(sum(t.k * w.w * (
+    (1000000000 * p.tf) // (1000 * p.tf + 12 * (100 - 25 + ((25 * d.n * s.N_all) // s.L))))) AS BIGINT) AS score
+  FROM times t JOIN postings p ON t.term = p.term JOIN weights w ON t.term = w.term JOIN docs d ON d.row = p.row, stats s
+  GROUP BY t.item_id, t.item, d.doc_id, d.row)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20"""

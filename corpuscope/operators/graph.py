@@ -11,7 +11,8 @@ from corpuscope.functions.paths import (
     parent_dir,
     strip_code_suffix,
 )
-from corpuscope.operators.joins import hot_split_join, salted_lookup
+from corpuscope.functions.windows import KEYS, lengths_of, window_keys
+from corpuscope.operators.joins import grid_join
 from corpuscope.session import materialize
 
 NO_DEPENDENCIES = "_No dependencies_"
@@ -75,40 +76,35 @@ def deps_per_file(modules: DataFrame) -> DataFrame:
     return modules.select("path", dependency_list(F.col("dependencies")).alias("dep_list"))
 
 
-def _suffixes(text: Column) -> Column:
-    """All suffixes of a text, the empty one included."""
-    n = F.length(text)
-    return F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.substring(text, i, n))
-
-
-def _substrings(text: Column) -> Column:
-    """Distinct non-empty substrings of a short text."""
-    n = F.length(text)
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    each = F.transform(
-        starts,
-        lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(text, i, k)),
-    )
-    return F.array_distinct(F.flatten(each))
-
-
 def _first(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.min("seq").alias("seq"))
 
 
-def _spelled(df: DataFrame, array: Column, key: str) -> DataFrame:
-    """Earliest module per spelling; map-side minimum before the shuffle."""
-    return _first(df.select(F.explode(array).alias(key), "seq"), key)
+def _answered(asked: DataFrame, held: DataFrame, suffixes: bool) -> DataFrame:
+    """``text, seq``: for each of the ``asked`` texts the earliest of the ``held`` ones
+    (``text, seq``) that contains it or is contained in it, or, with ``suffixes``, ends
+    with it or is an end of it.
+
+    Both tests are equi joins on hashes of substrings. Of either side only substrings
+    are made whose length occurs on the other one, and those of the held texts are
+    reduced map-side to the earliest module.
+    """
+    asked = materialize(asked.withColumn("id", F.monotonically_increasing_id()), "asked-texts")
+    within = window_keys(held, "text", "seq", lengths_of(asked, "text"), suffixes)
+    within = within.groupBy(*KEYS).agg(F.min("id").alias("seq"))
+    outside = window_keys(asked, "text", "id", None).join(within, [*KEYS]).select("id", "seq")
+    whole = window_keys(held, "text", "seq", None).withColumnRenamed("id", "seq")
+    # A substring that many texts share is one row of ``whole``: Spark splits the other side.
+    inside = window_keys(asked, "text", "id", lengths_of(held, "text"), suffixes).join(whole, [*KEYS]).select("id", "seq")
+    first = outside.unionByName(inside).groupBy("id").agg(F.min("seq").alias("seq"))
+    return asked.join(first, "id").select("text", "seq")
 
 
 def _resolve_specifiers(specs: DataFrame, modules: DataFrame, match_empty_dir: bool) -> DataFrame:
     """``specifier, seq, pass`` for every specifier some module answers.
 
     Every test is a string containment between a specifier and a module, which
-    as a theta join would compare all pairs. Instead one side is spelled out
-    (suffixes of directories, substrings of file names; both are short) and
-    reduced to the earliest module per spelling, so each test is an equi join on
-    a unique key.
+    as a theta join would compare all pairs; see ``_answered``.
     """
     last = last_segment(F.col("specifier"))
     parts = specs.select(
@@ -133,42 +129,36 @@ def _resolve_specifiers(specs: DataFrame, modules: DataFrame, match_empty_dir: b
     # Distinct specifiers are few next to edges; stored once, read by every test.
     tried = materialize(parts.join(_first(exact, "specifier"), "specifier", "left"), "specifiers")
     rest = tried.where(F.col("seq").isNull()).drop("seq")
-    dirs = _first(located, "dir")
-    names = _first(located, "name")
-
-    dir_tails = _spelled(dirs, _suffixes(F.col("dir")), "dep_dir")
-    tails = rest.select("dep_dir").distinct()
-    tail_dirs = tails.select("dep_dir", F.explode(_suffixes(F.col("dep_dir"))).alias("dir"))
+    dirs = materialize(_first(located.withColumnRenamed("dir", "text"), "text"), "module-dirs")
+    names = materialize(_first(located.withColumnRenamed("name", "text"), "text"), "module-names")
     if not match_empty_dir:
-        dir_tails = dir_tails.where(F.col("dep_dir") != "")
-        tail_dirs = tail_dirs.where(F.col("dir") != "")
-    by_dir = tails.join(dir_tails, "dep_dir").unionByName(
-        tail_dirs.join(dirs, "dir").select("dep_dir", "seq")
-    )
-    dir_hits = salted_lookup(
-        rest.select("specifier", "dep_dir"), _first(by_dir, "dep_dir"), "dep_dir", ["specifier"], "inner"
-    )
-
+        dirs = dirs.where(F.col("text") != "")
+    tails = rest.select(F.col("dep_dir").alias("text")).distinct()
+    if not match_empty_dir:
+        tails = tails.where(F.col("text") != "")
     # With the empty directory the first module of all has already answered.
     named = rest.where(F.col("dep_name") != "")
     if match_empty_dir:
         named = named.where(F.col("dep_dir") != "")
-    heads = named.select("dep_name").distinct()
-    name_parts = _spelled(names, _substrings(F.col("name")), "dep_name")
-    head_names = heads.select("dep_name", F.explode(_substrings(F.col("dep_name"))).alias("name"))
-    by_name = heads.join(name_parts, "dep_name").unionByName(
-        head_names.join(names, "name").select("dep_name", "seq")
-    )
-    name_hits = salted_lookup(
-        named.select("specifier", "dep_name"), _first(by_name, "dep_name"), "dep_name", ["specifier"], "inner"
-    )
-
-    partial = dir_hits.select("specifier", "seq").unionByName(name_hits.select("specifier", "seq"))
+    heads = named.select(F.col("dep_name").alias("text")).distinct()
+    by_dir = _answered(tails, dirs, suffixes=True).withColumnRenamed("text", "dep_dir")
+    by_name = _answered(heads, names, suffixes=False).withColumnRenamed("text", "dep_name")
+    # Lookups are unique per key; a directory that most specifiers have is split by Spark.
+    partial = rest.join(by_dir, "dep_dir").select("specifier", "seq")
+    partial = partial.unionByName(named.join(by_name, "dep_name").select("specifier", "seq"))
     exact = tried.where(F.col("seq").isNotNull()).select("specifier", "seq", F.lit(1).alias("pass"))
     found = exact.unionByName(_first(partial, "specifier").withColumn("pass", F.lit(2)))
     return materialize(found, "resolved-specifiers")
 
 
+def _holds(specifier: Column, path: Column, name: Column) -> Column:
+    """The loose test itself, for one specifier and one module."""
+    dep_name, dep_dir = strip_code_suffix(last_segment(specifier)), parent_dir(specifier)
+    folder = parent_dir(path)
+    by_dir = folder.endswith(dep_dir) | dep_dir.endswith(folder)
+    return by_dir | ((dep_name != "") & (F.contains(name, dep_name) | F.contains(dep_name, name)))
+
+
 def resolve_dependencies(
     deps: DataFrame, modules: DataFrame, match_empty_dir: bool = True
 ) -> DataFrame:
@@ -185,14 +175,15 @@ def resolve_dependencies(
     """
     specs = distinct_specifiers(deps)
     hits = _resolve_specifiers(specs, modules, match_empty_dir)
-    winners = modules.select("seq", F.col("path").alias("dst_path")).join(
-        hits.select("seq").distinct(), "seq"
-    )
-    targets = salted_lookup(hits, winners, "seq", ["specifier"], "inner").drop("seq")
+    winners = modules.select("seq", F.col("path").alias("dst_path"), F.col("name").alias("__name"))
+    winners = winners.join(hits.select("seq").distinct(), "seq")
+    sound = (F.col("pass") == 1) | _holds(F.col("specifier"), F.col("dst_path"), F.col("__name"))
+    target = F.when(sound, F.col("dst_path")).otherwise(F.raise_error(F.lit("two substrings share a hash")))
+    # A module that answers very many specifiers, and a specifier that very many files
+    # have, are hot on the left side only: both joins are left to Spark's skew handling.
+    targets = hits.join(winners, "seq").select("specifier", target.alias("dst_path"), "pass")
     edges = deps.select(F.col("path").alias("src_path"), "specifier")
-    return salted_lookup(edges, targets, "specifier", ["src_path"]).select(
-        "src_path", "specifier", "dst_path", "pass"
-    )
+    return edges.join(targets, "specifier", "left").select("src_path", "specifier", "dst_path", "pass")
 
 
 def internal_edges(resolved: DataFrame) -> DataFrame:
@@ -210,8 +201,10 @@ def external_dependencies(deps: DataFrame, resolved: DataFrame) -> DataFrame:
     return deps.join(inside, ["path", "specifier"], "left_anti")
 
 
-def dependency_matrix(modules: DataFrame, deps: DataFrame) -> DataFrame:
-    """``src, dst, has_dep``: the pairs that hold. Pairs not listed do not.
+def matrix_factors(modules: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``src, specifier``, ``specifier, dst``): the matrix as a product of two tables,
+    as long as the edges and the spellings, where the matrix itself may have a row for
+    every source and target that meet in one name.
 
     A source depends on a target when one of its specifiers is the target's path,
     name, or path without ``.ts`` or ``.js``.
@@ -225,11 +218,16 @@ def dependency_matrix(modules: DataFrame, deps: DataFrame) -> DataFrame:
             F.regexp_replace(path, r"\.js$", ""),
         )
     )
-    targets = modules.select(F.col("path").alias("dst"), F.explode(spellings).alias("specifier"))
-    edges = deps.select(F.col("path").alias("src"), "specifier").distinct()
-    return (
-        hot_split_join(edges, targets, "specifier", ["src"], "inner")
-        .select("src", "dst")
-        .distinct()
-        .withColumn("has_dep", F.lit(True))
-    )
+    targets = modules.select(F.explode(spellings).alias("specifier"), F.col("path").alias("dst")).distinct()
+    return deps.select(F.col("path").alias("src"), "specifier").distinct(), targets
+
+
+def dependency_matrix(modules: DataFrame, deps: DataFrame) -> DataFrame:
+    """``src, dst, has_dep``: the pairs that hold. Pairs not listed do not.
+
+    The two factors are joined on a grid, so that a name which both many sources and
+    many targets have is many tasks.
+    """
+    edges, targets = (materialize(side, "matrix-side") for side in matrix_factors(modules, deps))
+    pairs = grid_join(edges, targets, "specifier", ["src"], ["dst"])
+    return pairs.select("src", "dst").distinct().withColumn("has_dep", F.lit(True))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscope.operators import docs_queue, events
-from corpuscope.operators.joins import hot_keys, hot_split_join, salted_lookup
+from corpuscope.operators.joins import hot_keys, hot_split_join
 from corpuscope.operators.ranking import top_n_by
 from corpuscope.plans import fixtures as fx
 from corpuscope.plans.reports import runtime_report
@@ -77,13 +77,6 @@ def test_top_n_with_a_hot_key(spark, n):
     assert [r.seq for r in events.latest_events(df, n).orderBy(F.desc("seq")).collect()] == list(range(5999, max(5999 - n, -1), -1))
 
 
-def test_salted_lookup_keeps_all_rows(spark):
-    rows = spark.range(3000).selectExpr("id", "IF(id % 3 < 2, 'hot', concat('k', id)) AS key")
-    lookup = spark.createDataFrame([("hot", 1), ("k2", 2)], "key string, v int")
-    assert salted_lookup(rows, lookup, "key", ["id"]).groupBy("v").count().orderBy("v").collect() == [(None, 999), (1, 2000), (2, 1)]
-    assert salted_lookup(rows, lookup, "key", ["id"], "inner").count() == 2001
-
-
 def test_hot_split_join_keeps_all_rows(spark):
     rows = spark.range(3000).selectExpr("id", "IF(id % 3 < 2, 'hot', concat('k', id)) AS key")
     lookup = spark.createDataFrame([("hot", 1), ("k2", 2), ("k2", 3)], "key string, v int")

@@ -2,11 +2,18 @@
 
 import random
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpuscope.functions import windows
 from corpuscope.operators import graph, layers, reports
+from corpuscope.operators.joins import grid_join
+from corpuscope.plans import queries as plan_queries
 from corpuscope.plans.reports import architecture_report
 from corpuscope.rules import PATH_RULES
+from corpuscope.session import materialize
 
 MODULE = "seq long, path string, name string, exports array<string>, functions array<string>, classes array<string>, size long, complexity long"
 
@@ -90,6 +97,77 @@ def test_resolution_equals_all_pairs(spark):
         assert got == {s: _resolve(s, keep) for s in set(specs)}
 
 
+def test_long_texts_take_memory_in_proportion(spark):
+    """20,000 characters on either side: 200 million substrings if spelled out."""
+    long = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(20_000))
+    mods = [(0, "/z/none.js", "none"), (1, f"/q/{long}x.js", f"{long}x"), (2, "/q/" + long[500:540] + ".js", long[500:540])]
+    specs = ["deep/" + long, "deep/" + long[100:15_000], "deep/" + long[505:520], "deep/q" + long[::-1], "far/" + "/".join(long[:9_000]) + "/zz9"]
+    got = {r.specifier: (r.dst_path, r["pass"]) for r in graph.resolve_dependencies(
+        spark.createDataFrame([("/s", s) for s in specs], "path string, specifier string"),
+        spark.createDataFrame(mods, "seq long, path string, name string"),
+    ).collect()}
+    assert got == {s: _resolve(s, mods) for s in specs}
+
+
+@settings(max_examples=100, deadline=None, database=None)
+@given(st.lists(st.text(st.sampled_from("ab/é😀"), max_size=9), max_size=6), st.lists(st.integers(0, 9), max_size=4))
+def test_window_hashes_tell_substrings_apart(texts, lengths):
+    rolling = windows.Rolling(texts)
+    text = "".join(texts)
+    seen = {}
+    for n in set(lengths):
+        for found, every in ((rolling.substrings(n), False), (rolling.suffixes(n), True)):
+            rows, starts = found
+            got = sorted((r, text[s : s + n]) for r, s in zip(rows.tolist(), starts.tolist()))
+            if every:
+                want = [(r, t[len(t) - n :]) for r, t in enumerate(texts) if len(t) >= n]
+            else:
+                want = [(r, t[i : i + n]) for r, t in enumerate(texts) for i in range(len(t) - n + 1)] if n else [(r, "") for r in range(len(texts))]
+            assert got == sorted(want)
+            for (_, part), key in zip([(r, text[s : s + n]) for r, s in zip(rows.tolist(), starts.tolist())], zip(*rolling.keys(starts, n))):
+                assert seen.setdefault(part, key) == key
+    assert len({(len(part), key) for part, key in seen.items()}) == len(seen)
+
+
+def test_equal_hashes_are_noticed(spark, monkeypatch):
+    """With one hash for all substrings of a length, the wrong module is found and refused."""
+    import numpy as np
+
+    monkeypatch.setattr(windows.Rolling, "keys", lambda self, starts, n: (np.zeros(len(starts), np.int64),) * 2)
+    mods = spark.createDataFrame([(0, "/p/aa.js", "aa"), (1, "/q/bb.js", "bb")], "seq long, path string, name string")
+    deps = spark.createDataFrame([("/s", "x/bbb")], "path string, specifier string")
+    with pytest.raises(Exception, match="two substrings share a hash"):
+        graph.resolve_dependencies(deps, mods).collect()
+
+
+def test_grid_join_keeps_all_pairs(spark):
+    left = spark.range(3000).selectExpr("id AS src", "IF(id % 3 < 2, 'hot', IF(id % 2 = 0, NULL, concat('k', id % 50))) AS name")
+    right = spark.range(900).selectExpr("id AS dst", "IF(id % 2 = 0, 'hot', concat('k', id % 70)) AS name")
+    want = left.join(right, "name")
+    for block in (7, 100, 10_000):
+        got = grid_join(materialize(left, "left"), materialize(right, "right"), "name", ["src"], ["dst"], block=block)
+        assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).count() == 0
+
+
+def test_grid_join_cuts_a_key_that_is_hot_on_both_sides(spark):
+    left = materialize(spark.range(4000).selectExpr("id AS src", "'hot' AS name"), "left")
+    right = materialize(spark.range(2000).selectExpr("id AS dst", "'hot' AS name"), "right")
+    pairs = grid_join(left, right, "name", ["src"], ["dst"], block=500)
+    cells = pairs.groupBy(F.expr("xxhash64(src) % 8"), F.expr("xxhash64(dst) % 4")).count().collect()
+    assert sum(r["count"] for r in cells) == 8_000_000
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "__line" in plan and "__column" in plan
+
+
+def test_matrix_is_the_product_of_its_factors(spark, sf_dir):
+    modules = plan_queries._stored_modules(spark, sf_dir)
+    deps = plan_queries._deps(spark, sf_dir)
+    sources, targets = graph.matrix_factors(modules, deps)
+    product = sources.join(targets, "specifier").select("src", "dst").distinct()
+    matrix = graph.dependency_matrix(modules, deps).select("src", "dst")
+    assert product.exceptAll(matrix).count() == 0 and matrix.exceptAll(product).count() == 0
+
+
 def test_hot_specifier_keeps_every_edge(spark):
     mods = spark.createDataFrame([(0, "/p/a.js", "a"), (1, "/q/b.js", "b")], "seq long, path string, name string")
     deps = spark.range(5000).selectExpr("concat('/s', id) AS path", "IF(id % 3 = 0, 'react', concat('./x', id)) AS specifier")

@@ -1,6 +1,6 @@
 """Token-id shards with a minimal perfect hash index for keyed access.
 
-Documents are encoded by the tokenizers library, sorted by key, and written as raw id
+Documents are sorted by key, encoded by the tokenizers library, and written as raw id
 payloads, many shards at once. A shard file is
 
     ids of all its documents | key bytes | key lengths (u32) | ids a document (u64)
@@ -15,9 +15,12 @@ takes the place that no other key of the level wants, and the count of set bits
 it is its slot. A slot holds a fingerprint and the place, never the key; so a lookup is
 a few bit tests, and a key that was never stored is turned away by its fingerprint with
 a chance of one in four billion per lookup, and by the shard's own key in every case.
+Places found are sorted by shard, and of a shard only its table and the bytes of the
+documents asked for are read: payloads go through no shuffle after they are written.
 
 Files are written by Spark's text sink, so on any file system that Spark reaches: its
-line separator is the last byte of each document's ids, which is the same for all.
+line separator is the last byte of each document's ids, which is the same for all. They
+are read by byte range, from a path that executors share or a URI of ``pyarrow.fs``.
 
 Defined results: a null text is an empty one (its end id only); a null key is a key of
 its own, the first; repeated keys are documents of their own, one after the other, and
@@ -30,32 +33,45 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuscope.llm.bpe import byte_letters
 from corpuscope.llm.jaccard_join import by_group
 from corpuscope.llm.shingles import mix
 from corpuscope.session import materialize
+from corpuscope.sources.folders import local_path
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-SHARD_BYTES = 32 << 20
+# Bytes of text that go into a shard; small inputs make a few shards for every core.
+SHARD_TEXT = 128 << 20
+SHARDS_A_CORE = 4
 KEYS_PER_PART = 1 << 16
 # Bits of a level for each key that comes to it: two let 61 % of them settle there.
 BITS_PER_KEY = 2
 MAX_LEVELS = 64
 MAGIC = b"IDSHARD\0"
 _TRAILER = struct.Struct("<QQQQ8s")
-# Words whose ids a worker remembers, and the longest one; a full memo starts anew.
-MEMO_WORDS = 400_000
+# Words of a generation of a worker's memo (it keeps two), and the longest one kept.
+MEMO_WORDS = 200_000
 MEMO_CHARS = 48
-# Texts are read in slices of about this many characters, cut between words.
+# Characters of text that are encoded at once, and bytes of a reader's one request.
 SLICE_CHARS = 1 << 20
+READ_BYTES = 4 << 20
+# Punctuation that is cut off the end of a word before it is encoded.
+_ENDS = ".,;:!?"
+# White space to Python, not to the library.
+_CONTROLS = "\x1c\x1d\x1e\x1f"
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
+_BYTE_LETTERS = dict(enumerate(byte_letters()))
+_MARK = "<|"  # what the library's special tokens begin with
 
 
 # --- encoding -------------------------------------------------------------------
@@ -77,38 +93,111 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         # White space that the library keeps would have to be encoded with its words.
         a, b = self._ids(["a", "b"])
-        self.by_word = all(self._ids([s, f"a{s}b"]) == [[], a + b] for s in " \t\n\v\f\r")
+        self.by_word = all(self._ids([s, f"a{s}b"]) == [[], a + b] for s in " \t\n\v\f\r\x85\xa0\u2028\u3000")
+        # Words of letters up to 255 are one piece to this kind of library, in lower case,
+        # spelled by the letters of their bytes, and punctuation behind them is another: its
+        # model takes them as they are, where that holds.
+        letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+        probe = [x + y for x in letters for y in ("", "a", x)]
+        self.ends = {end: self._ids([end])[0] for end in _ENDS}
+        self.plain = [self._one(w) for w in probe] == self._ids(probe)
+        self.plain &= self._ids(["a" + end for end in _ENDS]) == [a + self.ends[end] for end in _ENDS]
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.memos: dict[int, dict[str, bytes]] = {2: {}, 4: {}}  # by bytes an id
+        # Two generations of remembered words, by bytes an id.
+        self.memos: dict[int, list[dict[str, bytes]]] = {2: [{}, {}], 4: [{}, {}]}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _one(self, word: str) -> list[int]:
+        """The ids of a word of letters up to 255."""
+        spelled = word.lower()
+        if not spelled.isascii():
+            spelled = spelled.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return [token.id for token in self.model.tokenize(spelled)]
+
+    def _new(self, words: list[str]) -> list[list[int]]:
+        if not self.plain:
+            return self._ids(words)
+        one, ends = self._one, self.ends
+        found: list[list[int] | None] = []
+        for word in words:
+            if word.isalpha() and _latin(word):
+                found.append(one(word))
+                continue
+            head = word.rstrip(_ENDS)
+            if head.isalpha() and _latin(head):
+                end = word[len(head) :]
+                found.append(one(head) + (ends.get(end) or self._ids([end])[0]))
+            else:
+                found.append(None)
+        others = iter(self._ids([w for w, f in zip(words, found) if f is None]))
+        return [next(others) if f is None else f for f in found]
+
     def width(self, end_id: int) -> int:
         """Bytes an id: two if all ids fit and the end id leaves its second byte zero, else four."""
         return 2 if self.size <= 1 << 16 and end_id < 1 << 8 else 4
 
-    def encode(self, text: str, width: int) -> bytes:
-        """The ids of a whole text, packed."""
-        kind = f"<u{width}"
+    def encode(self, texts: list[str], width: int) -> list[bytes]:
+        """The ids of whole texts, packed."""
+        out, waiting, size = [], [], 0
+        for text in texts:
+            # Short texts are looked up together, long ones in slices.
+            waiting.append(text)
+            size += len(text)
+            if size >= SLICE_CHARS:
+                out += self._encode(waiting, width)
+                waiting, size = [], 0
+        return out + self._encode(waiting, width)
+
+    def _encode(self, texts: list[str], width: int) -> list[bytes]:
         if not self.by_word:
-            return np.array(self._ids([text])[0], kind).tobytes()
-        parts, memo = [], self.memos[width]
-        for low, high in _slices(text):
-            words = _WORDS.findall(text, low, high)
-            new = list(set(words).difference(memo))
-            found = {}
-            if new:
-                packed = [np.array(ids, kind).tobytes() for ids in self._ids(new)]
-                if len(memo) + len(new) > MEMO_WORDS:
-                    found = {w: memo[w] for w in set(words).intersection(memo)}
-                    memo.clear()
-                found.update(zip(new, packed))
-                memo.update((w, p) for w, p in zip(new, packed) if len(w) <= MEMO_CHARS and len(memo) < MEMO_WORDS)
-            parts += [memo.get(w) or found.get(w, b"") for w in words] if found else [memo[w] for w in words]
-        return b"".join(parts)
+            return [np.array(ids, f"<u{width}").tobytes() for ids in self._ids(texts)]
+        if len(texts) == 1 and len(texts[0]) > SLICE_CHARS:
+            slices = [texts[0][low:high] for low, high in _slices(texts[0])]
+            return [b"".join([self._looked_up([s], width)[0] for s in slices])]
+        return self._looked_up(texts, width)
+
+    def _looked_up(self, texts: list[str], width: int) -> list[bytes]:
+        lists = [_words(t, self.plain) for t in texts]
+        young, old = self.memos[width]
+        if len(young) > MEMO_WORDS:
+            self.memos[width] = young, old = [{}, young]
+        new = set().union(*lists).difference(young)
+        young.update([(w, old[w]) for w in new if w in old])
+        new = list(new.difference(old))
+        ids = self._new(new)
+        ends = np.cumsum([len(i) for i in ids]) * width
+        packed = np.fromiter((i for found in ids for i in found), f"<u{width}").tobytes()
+        made = zip(new, [packed[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())])
+        young.update(made)
+        out = [b"".join(map(young.__getitem__, words)) for words in lists]
+        for word in new:
+            if len(word) > MEMO_CHARS:
+                del young[word]
+        return out
+
+
+def _latin(text: str) -> bool:
+    """Whether all characters are below 256."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return False
+
+
+def _words(text: str, lower: bool) -> list[str]:
+    """A text cut at white space, in lower case where the library does that letter by
+    letter, so that fewer words are new."""
+    if lower and _MARK not in text and (_latin(text)):
+        text = text.lower()
+    return _WORDS.findall(text) if any(c in text for c in _CONTROLS) else text.split()
 
 
 def _slices(text: str) -> Iterator[tuple[int, int]]:
@@ -145,7 +234,7 @@ def write_shards(
     path: str,
     vocabulary: str = VOCABULARY,
     end_id: int = END_ID,
-    shard_bytes: int = SHARD_BYTES,
+    shard_text: int = SHARD_TEXT,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> None:
@@ -153,33 +242,27 @@ def write_shards(
     spark = docs.sparkSession
     width = encoder(vocabulary).width(end_id)
     end = np.array([end_id], f"<u{width}").tobytes()
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(vocabulary)
-        for batch in batches:
-            packed = [coder.encode(text.as_py(), width) + end for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "ids"])
-
-    kind = source.schema["id"].dataType.simpleString()
-    encoded = source.mapInArrow(run, f"id {kind}, ids binary").withColumn("row", F.monotonically_increasing_id())
-    # Stored, as the sort first looks at its keys: else texts would be encoded twice.
-    encoded = materialize(encoded, "id-encoded")
-    total = encoded.agg(F.sum(F.octet_length("ids"))).head()[0] or 0
-    # At least a shard for each core, as long as shards have a megabyte.
-    few = min(spark.sparkContext.defaultParallelism, -(-total // (1 << 20)))
-    n = max(1, few, -(-total // shard_bytes))
-    # The row breaks ties, so a repeated key is cut over shards like any other rows.
-    ordered = encoded.repartitionByRange(n, "id", "row").sortWithinPartitions("id", "row")
-    rows = ordered.select(key_bytes(F.col("id")).alias("key"), "ids")
+    source = docs.select(
+        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row")
+    )
+    total = source.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    # No fewer than some for each core, as long as a shard gets a megabyte.
+    few = min(SHARDS_A_CORE * spark.sparkContext.defaultParallelism, -(-total // (1 << 20)))
+    n = max(1, few, -(-total // shard_text))
+    # Texts are the only thing that is shuffled. The row breaks ties, so a repeated key is
+    # cut over shards like any other rows.
+    ordered = source.repartitionByRange(n, "id", "row").sortWithinPartitions("id", "row")
+    rows = ordered.select(key_bytes(F.col("id")).alias("key"), "text")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(vocabulary)
         keys, lengths = [], []
         for batch in batches:
-            ids = batch.column(1).to_pylist()
             keys += batch.column(0).to_pylist()
-            lengths += [len(x) // width for x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in ids], pa.binary())], ["value"])
+            for low in range(0, len(batch), 512):
+                ids = [x + end for x in coder.encode(batch.column(1).slice(low, 512).to_pylist(), width)]
+                lengths += [len(x) // width for x in ids]
+                yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in ids], pa.binary())], ["value"])
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array([_table(keys, lengths, width)[:-1]], pa.binary())], ["value"])
 
@@ -197,38 +280,58 @@ def _table(keys: list[bytes], lengths: list[int], width: int) -> bytes:
 
 
 class Shard:
-    """A shard file's bytes: ``ids(doc)`` and ``key(doc)`` of its documents."""
+    """A shard file, read by byte range: its documents' keys and lengths, and ``ids``."""
 
-    def __init__(self, data):
-        self.data = memoryview(data)
-        self.n_docs = 0
-        if len(self.data) == 0:
+    def __init__(self, file, size: int):
+        self.file, self.n_docs = file, 0
+        if size == 0:
             return  # a task without rows
-        self.n_docs, n_ids, n_bytes, self.width, magic = _TRAILER.unpack(self.data[-_TRAILER.size :])
-        at = [n_ids * self.width, n_bytes, 4 * self.n_docs, 8 * self.n_docs, _TRAILER.size]
-        if magic != MAGIC or sum(at) != len(self.data):
+        if size < _TRAILER.size:
+            raise ValueError("this is no whole shard file")
+        self.n_docs, n_ids, n_bytes, self.width, magic = _TRAILER.unpack(self._read(size - _TRAILER.size, _TRAILER.size))
+        sizes = [n_ids * self.width, n_bytes, 4 * self.n_docs, 8 * self.n_docs, _TRAILER.size]
+        if magic != MAGIC or sum(sizes) != size:
             raise ValueError("this is no whole shard file")
-        at = np.cumsum(at).tolist()
-        self.keys = self.data[at[0] : at[1]]
-        self.key_ends = np.cumsum(np.frombuffer(self.data[at[1] : at[2]], "<u4"), dtype=np.int64)
-        self.lengths = np.frombuffer(self.data[at[2] : at[3]], "<u8").astype(np.int64)
+        table = self._read(sizes[0], size - sizes[0] - _TRAILER.size)
+        self.keys = table[:n_bytes]
+        self.key_ends = np.cumsum(np.frombuffer(table, "<u4", self.n_docs, n_bytes), dtype=np.int64)
+        self.lengths = np.frombuffer(table, "<u8", self.n_docs, n_bytes + sizes[2]).astype(np.int64)
         self.ends = np.cumsum(self.lengths)
 
+    def _read(self, start: int, size: int) -> bytes:
+        self.file.seek(start)
+        data = self.file.read(size)
+        if len(data) != size:
+            raise ValueError("the shard file is cut off")
+        return data
+
     def key(self, doc: int) -> bytes:
         low = int(self.key_ends[doc - 1]) if doc else 0
-        return bytes(self.keys[low : int(self.key_ends[doc])])
+        return self.keys[low : int(self.key_ends[doc])]
+
+    def ids(self, first: int, last: int) -> np.ndarray:
+        """The ids of documents ``first`` to ``last``, as unsigned 32-bit integers."""
+        low = int(self.ends[first] - self.lengths[first]) * self.width
+        high = int(self.ends[last]) * self.width
+        return np.frombuffer(self._read(low, high - low), f"<u{self.width}").astype("<u4")
+
 
-    def ids(self, doc: int) -> np.ndarray:
-        """The document's ids, as unsigned 32-bit integers."""
-        high = int(self.ends[doc]) * self.width
-        low = high - int(self.lengths[doc]) * self.width
-        return np.frombuffer(self.data[low:high], f"<u{self.width}").astype("<u4")
+@contextmanager
+def open_shard(path: str) -> Iterator[Shard]:
+    local = local_path(path)
+    if local is not None:
+        with open(local, "rb") as file:
+            yield Shard(file, os.path.getsize(local))
+    else:
+        system, base = pafs.FileSystem.from_uri(path)
+        with system.open_input_file(base) as file:
+            yield Shard(file, file.size())
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, content) of every shard file."""
+def shard_files(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, path) of every shard file; contents are not read."""
     files = spark.read.format("binaryFile").load(f"{path}/shards")
-    return files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content")
+    return files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "path")
 
 
 # --- index ----------------------------------------------------------------------
@@ -304,25 +407,12 @@ def build_index(spark: SparkSession, path: str, keys_per_part: int = KEYS_PER_PA
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                shard = Shard(content.as_buffer())
-                if not shard.n_docs:
-                    continue
-                ends = shard.key_ends
-                keys = pa.Array.from_buffers(
-                    pa.large_binary(), shard.n_docs, [None, pa.py_buffer(np.r_[0, ends].tobytes()), pa.py_buffer(bytes(shard.keys))]
-                ).cast(pa.binary())
-                encoded = keys.dictionary_encode().indices.to_numpy()
-                first = np.flatnonzero(np.r_[True, encoded[1:] != encoded[:-1]])
-                docs = np.diff(np.r_[first, shard.n_docs])
-                ids = np.add.reduceat(shard.lengths, first)
-                columns = [keys.take(pa.array(first)), pa.array(np.full(len(first), number, np.int32)), pa.array(first)]
-                columns += [pa.array((shard.ends - shard.lengths)[first]), pa.array(docs), pa.array(ids)]
-                whole = pa.RecordBatch.from_arrays(columns, ["key", "shard", "doc", "offset", "n_docs", "n_ids"])
-                yield from (whole.slice(at, 10_000) for at in range(0, len(whole), 10_000))
-
-    files = read_files(spark, path)
-    found = files.mapInArrow(runs, "key binary, shard int, doc long, offset long, n_docs long, n_ids long")
+            for number, name in zip(*[c.to_pylist() for c in batch.columns]):
+                with open_shard(name) as shard:
+                    yield from _runs(number, shard)
+
+    files = shard_files(spark, path)
+    found = files.repartition("shard").mapInArrow(runs, "key binary, shard int, doc long, offset long, n_docs long, n_ids long")
     found = materialize(found, "id-runs")
     shards = found.groupBy("shard").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_ids").alias("n_ids"))
     # One row per shard meets here.
@@ -353,6 +443,21 @@ def build_index(spark: SparkSession, path: str, keys_per_part: int = KEYS_PER_PA
     index.write.parquet(f"{path}/index")
 
 
+def _runs(number: int, shard: Shard) -> Iterator[pa.RecordBatch]:
+    """The runs of documents of one key in a shard."""
+    if not shard.n_docs:
+        return
+    buffers = [None, pa.py_buffer(np.r_[0, shard.key_ends].tobytes()), pa.py_buffer(shard.keys)]
+    keys = pa.Array.from_buffers(pa.large_binary(), shard.n_docs, buffers).cast(pa.binary())
+    codes = keys.dictionary_encode().indices.to_numpy()
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    columns = [keys.take(pa.array(first)), pa.array(np.full(len(first), number, np.int32)), pa.array(first)]
+    columns += [pa.array((shard.ends - shard.lengths)[first]), pa.array(np.diff(np.r_[first, shard.n_docs]))]
+    columns.append(pa.array(np.add.reduceat(shard.lengths, first)))
+    whole = pa.RecordBatch.from_arrays(columns, ["key", "shard", "doc", "offset", "n_docs", "n_ids"])
+    yield from (whole.slice(at, 10_000) for at in range(0, len(whole), 10_000))
+
+
 def locate(spark: SparkSession, path: str, keys: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(key, shard, last, doc, offset) of the keys that the index has; each key once.
 
@@ -386,34 +491,55 @@ def fetch(spark: SparkSession, path: str, keys: DataFrame, id_col: str = "doc_id
     """(id, shard, doc, start, n_tokens, ids) of the documents that have the given keys.
 
     ``start`` counts the ids of all documents before; ``ids`` are little-endian unsigned
-    32-bit integers. Places found by the index meet their shard file in one task.
+    32-bit integers. Places are sorted by shard, so a file is opened once.
     """
     kind = keys.schema[id_col].dataType.simpleString()
     found = locate(spark, path, keys, id_col)
-    shard = F.explode(F.sequence("shard", "last"))
-    found = found.select("key", F.col("shard").alias("first"), "doc", shard.alias("shard"))
-    found = found.select("key", "shard", F.when(F.col("shard") == F.col("first"), F.col("doc")).otherwise(0).alias("doc"))
-    names = ["key", "shard", "doc", "offset", "n_tokens", "ids"]
-    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-
-    def read(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
-        if len(left) and len(right):
-            number, data = right["shard"][0].as_py(), Shard(right["content"][0].as_buffer())
-            for key, doc in zip(left["key"].to_pylist(), left["doc"].to_pylist()):
-                while doc < data.n_docs and data.key(doc) == key:
-                    n = int(data.lengths[doc])
-                    rows.append((key, number, doc, int(data.ends[doc]) - n, n, data.ids(doc).tobytes()))
-                    doc += 1
-        columns = zip(*rows) if rows else [[]] * len(names)
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-    files = read_files(spark, path)
+    found = found.select("key", F.col("shard").alias("first"), "doc", F.explode(F.sequence("shard", "last")).alias("shard"))
+    doc = F.when(F.col("shard") == F.col("first"), F.col("doc")).otherwise(0)
+    found = found.select("key", "shard", doc.alias("doc")).join(shard_files(spark, path), "shard")
+    places = found.select("shard", "doc", "key", "path").repartition("shard").sortWithinPartitions("shard", "doc")
     schema = "key binary, shard int, doc long, offset long, n_tokens long, ids binary"
-    rows = found.groupBy("shard").cogroup(files.groupBy("shard")).applyInArrow(read, schema)
+    rows = places.mapInArrow(_documents, schema)
     directory = spark.read.parquet(f"{path}/directory").select("shard", F.col("start").alias("base"))
     rows = rows.join(directory, "shard")
     text = F.when(F.substring("key", 1, 1) == F.lit(b"k"), F.expr("substring(key, 2)").cast("string"))
     return rows.select(
         text.cast(kind).alias(id_col), "shard", "doc", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids"
     )
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents at places that come sorted by shard and document."""
+    for batch in batches:
+        shards, docs, keys, paths = (c.to_pylist() for c in batch.columns)
+        at = 0
+        while at < len(docs):
+            number = shards[at]
+            with open_shard(paths[at]) as shard:
+                wanted: list[int] = []
+                while at < len(docs) and shards[at] == number:
+                    doc = docs[at]
+                    while doc < shard.n_docs and shard.key(doc) == keys[at]:
+                        wanted.append(doc)
+                        doc += 1
+                    at += 1
+                yield from _read_documents(number, shard, wanted)
+
+
+def _read_documents(number: int, shard: Shard, wanted: list[int]) -> Iterator[pa.RecordBatch]:
+    """Neighbours are read at once, up to a bounded number of bytes."""
+    at = 0
+    while at < len(wanted):
+        end, room = at + 1, READ_BYTES // shard.width - int(shard.lengths[wanted[at]])
+        while end < len(wanted) and wanted[end] == wanted[end - 1] + 1 and shard.lengths[wanted[end]] <= room:
+            room -= int(shard.lengths[wanted[end]])
+            end += 1
+        docs = np.array(wanted[at:end])
+        ids = shard.ids(wanted[at], wanted[end - 1])
+        ends = np.r_[0, np.cumsum(shard.lengths[docs])] * 4
+        packed = pa.Array.from_buffers(pa.large_binary(), len(docs), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)])
+        columns = [pa.array([shard.key(d) for d in wanted[at:end]], pa.binary()), pa.array(np.full(len(docs), number, np.int32))]
+        columns += [pa.array(docs), pa.array((shard.ends - shard.lengths)[docs]), pa.array(shard.lengths[docs]), packed.cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "shard", "doc", "offset", "n_tokens", "ids"])
+        at = end

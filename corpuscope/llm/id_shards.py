@@ -34,6 +34,7 @@ import re
 import struct
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,7 @@ MAX_LEVELS = 64
 MAGIC = b"IDSHARD\0"
 _TRAILER = struct.Struct("<QQQQ8s")
 # Words of a generation of a worker's memo (it keeps two), and the longest one kept.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 150_000
 MEMO_CHARS = 48
 # Characters of text that are encoded at once, and bytes of a reader's one request.
 SLICE_CHARS = 1 << 20
@@ -122,12 +123,16 @@ class Encoder:
     def _new(self, words: list[str]) -> list[list[int]]:
         if not self.plain:
             return self._ids(words)
-        one, ends = self._one, self.ends
+        one, ends, tokenize = self._one, self.ends, self.model.tokenize
         found: list[list[int] | None] = []
         for word in words:
-            if word.isalpha() and _latin(word):
-                found.append(one(word))
-                continue
+            if word.isalpha():
+                if word.isascii():
+                    found.append([token.id for token in tokenize(word.lower())])
+                    continue
+                if _latin(word):
+                    found.append(one(word))
+                    continue
             head = word.rstrip(_ENDS)
             if head.isalpha() and _latin(head):
                 end = word[len(head) :]
@@ -171,7 +176,7 @@ class Encoder:
         new = list(new.difference(old))
         ids = self._new(new)
         ends = np.cumsum([len(i) for i in ids]) * width
-        packed = np.fromiter((i for found in ids for i in found), f"<u{width}").tobytes()
+        packed = np.fromiter(chain.from_iterable(ids), f"<u{width}").tobytes()
         made = zip(new, [packed[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())])
         young.update(made)
         out = [b"".join(map(young.__getitem__, words)) for words in lists]

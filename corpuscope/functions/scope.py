@@ -127,6 +127,7 @@ def match_brackets(cls: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...
         return np.where(usable, found, -1)
 
     after = np.append(cls[1:], 0)
+    after[end - 1] = 0  # nothing stands behind a file's last token
     lists = (cls == PAREN) & (after[match] != ARROW)
     paren, body, typed = near(lists, "left", 0), near(cls == BODY, "right", 0), near(cls == TYPED, "left", -1)
 

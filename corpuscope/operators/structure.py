@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions import scope
 from corpuscope.functions.arrays import between, built_once, explode_structs, indexes, let
+from corpuscope.functions.modes import CLOSE, OPEN
 from corpuscope.operators.tokens import ID_PART, ID_START, with_tokens
 from corpuscope.rules import FUNCTION_KINDS, NODE_WEIGHTS
 
@@ -39,12 +40,12 @@ _NOT_CALLEE = _CONTROL + (
 _EXPRESSION_BEFORE = (
     "=", "(", ",", ":", "[", "?", "!", "~", "+", "-", "*", "/", "%", "&", "|", "^", "<", ">",
     "&&", "||", "??", "=>", "...", ".", "?.", "return", "typeof", "void", "new", "delete", "in",
-    "of", "instanceof", "case", "throw", "yield", "await", "extends",
+    "of", "instanceof", "case", "throw", "yield", "await", "extends", OPEN,
 )
 # Before an opening brace, one of these makes it an object literal.
 _OBJECT_BEFORE = (
     "=", "(", ",", ":", "[", "?", "&&", "||", "??", "!", "+", "...", "return", "default",
-    "yield", "await", "throw", "typeof", "in", "of",
+    "yield", "await", "throw", "typeof", "in", "of", OPEN,
 )
 _CANDIDATES = (
     "if", "?", "&&", "||", "switch", "case", "while", "do", "for", "try", "catch", "await",
@@ -77,12 +78,12 @@ def token_classes(toks: str) -> Column:
         inert = _is(F.get(toks, i - 1), ".", "?.") | _is(F.get(toks, i + 1), ":")
         # Most tokens are none of these: one set lookup lets them go.
         return (
-            F.when(~t.isin("(", "[", "{", ")", "]", "}", ";", ",", "=>", *_DECLARE, *_STATEMENT, *_BEGINS), 0)
+            F.when(~t.isin("(", "[", "{", ")", "]", "}", OPEN, CLOSE, ";", ",", "=>", *_DECLARE, *_STATEMENT, *_BEGINS), 0)
             .when(t == "(", scope.PAREN)
             .when(t == "{", F.when(_is(F.get(toks, i - 1), *_TYPE_BEFORE), scope.OPEN).otherwise(scope.BODY))
-            .when(t == "[", scope.OPEN)
+            .when(t.isin("[", OPEN), scope.OPEN)
             .when((t == ")") & _is(F.get(toks, i + 1), ":"), scope.TYPED)
-            .when(t.isin(")", "]", "}"), scope.CLOSE)
+            .when(t.isin(")", "]", "}", CLOSE), scope.CLOSE)
             .when(t == "=>", scope.ARROW)
             .when(t.isin(*_BEGINS), F.when(inert | _is(F.get(toks, i + 1), "(", ",", ")", "="), 0).otherwise(scope.BEGIN))
             .when(t == ";", scope.SEMI)

@@ -1,9 +1,10 @@
 """Lexing and dependency extraction, inside the row: no shuffle, no explode.
 
-Strings, templates, comments and regex literals are consumed as whole tokens, so
-keywords inside them do not count. Known limits against a full parser: code in a
-template's ``${}``, text between JSX tags, a regex literal right after ``)`` or
-``}``. Identifiers may use any letters.
+Strings, template texts, comments and regex literals are consumed as whole tokens, so
+keywords inside them do not count. Code in a template's ``${}`` and in JSX is laid open
+first (``functions.modes``): it stands between the tokens ``OPEN`` and ``CLOSE``, and
+tags and the text between them are no tokens. Known limits against a full parser: a
+regex literal right after ``)`` or ``}``. Identifiers may use any letters.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions.arrays import built_once, explode_structs, explode_values, let
+from corpuscope.functions.modes import OPEN, laid_open
 from corpuscope.rules import (
     PARSEABLE_EXTENSIONS,
     WEBPACK_SPLIT,
@@ -28,7 +30,7 @@ _STRINGS = (
 )
 # A regex literal stands behind one of these; the two are matched as one token, with any
 # white space between them, and split afterwards.
-_BEFORE_REGEX = r"(?:\A|&&|\|\||\?\?|[(,=:\[!&|?{;+\-~^%]|(?<![\w$.])(?:return|typeof|case)(?![\w$]))"
+_BEFORE_REGEX = r"(?:\A|&&|\|\||\?\?|=>|[(,=:\[!&|?{;+\-~^%" + OPEN + r"]|(?<![\w$.])(?:return|typeof|case)(?![\w$]))"
 _LITERAL = r"/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\[\n])++/[A-Za-z]*+"
 _REGEX = _BEFORE_REGEX + r"\s*+" + _LITERAL
 ID_START = r"[\p{L}\p{Nl}_$]"
@@ -89,8 +91,10 @@ def tokenize(content: Column) -> Column:
 def with_tokens(files: DataFrame) -> DataFrame:
     """Add ``toks``: empty for files that cannot hold code."""
     empty = F.array().cast("array<string>")
-    toks = F.when(is_parseable() & F.col("content").isNotNull(), tokenize(F.col("content")))
-    return files.withColumn("toks", F.coalesce(toks, empty))
+    source = F.when(is_parseable(), F.col("content"))
+    laid = files.withColumn("__laid", laid_open(source))
+    toks = F.when(is_parseable() & F.col("content").isNotNull(), tokenize(F.coalesce("__laid", "content")))
+    return laid.withColumn("toks", F.coalesce(toks, empty)).drop("__laid")
 
 
 @built_once

@@ -127,6 +127,12 @@ renames AS (
 ORACLES["scan_folder"] = (
     "SELECT page_id % 16 AS bucket, 'txt' AS ext, CAST(sum(length(html) + 1) AS BIGINT) AS chars FROM pages GROUP BY 1"
 )
+ORACLES["scan_hidden_folders"] = """
+WITH files AS (
+  SELECT page_id % 24 AS bucket, string_agg(coalesce(html, '') || chr(10), '' ORDER BY page_id) AS content FROM pages GROUP BY 1)
+SELECT concat(CASE bucket % 3 WHEN 0 THEN '_next' WHEN 1 THEN '.hid' ELSE 'plain' END, '/_sub/bucket=', CAST(bucket AS VARCHAR)) AS folder,
+  'txt' AS ext, CAST(length(content) AS INT) AS chars, left(sha256(content), 32) AS cache_key
+FROM files"""
 ORACLES["event_log_roundtrip"] = (
     _EVENTS
     + "SELECT seq, type, location, epoch_us(ts) // 1000 AS ms, array_to_string(json_keys(details), ', ') AS details FROM ev"

@@ -69,6 +69,23 @@ def scan_folder(spark: SparkSession, sf: str) -> DataFrame:
     return files.groupBy(bucket.alias("bucket"), "ext").agg(F.sum(F.length("content")).alias("chars"))
 
 
+@_query
+def scan_hidden_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """Folders with all kinds of names, found from their one root."""
+    folder = run_dir(spark, "site")
+    pages = fx.table(spark, sf, "pages").withColumn("bucket", F.col("page_id") % 24)
+    # One file per bucket, its lines in order.
+    dealt = pages.repartition(8, "bucket").sortWithinPartitions("bucket", "page_id")
+    for i, name in enumerate(("_next", ".hid", "plain")):
+        part = dealt.where(F.col("bucket") % 3 == i).select("bucket", "html")
+        part.write.partitionBy("bucket").text(f"{folder}/{name}/_sub")
+    files = scan_code_files(spark, folder, exts=("TXT",))
+    place = F.regexp_extract("path", r"/([^/]+/_sub/bucket=\d+)/", 1)
+    return files.select(
+        place.alias("folder"), "ext", F.length("content").alias("chars"), metrics.content_key(F.col("content")).alias("cache_key")
+    )
+
+
 @_query
 def event_log_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     folder = run_dir(spark, "event-log")

@@ -6,6 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpuscope.functions import scope
+from corpuscope.functions.modes import CLOSE, OPEN, lay_open
 from corpuscope.functions.scope import match_brackets, nest_spans
 from corpuscope.operators import complexity, modules, structure, tokens
 
@@ -34,7 +36,9 @@ def test_tokens_swallow_literals(files):
     code = "x = /[\"'{(]/g.test(y) / 2; // if\n/* for */ s = 'a\\'b' + `c ${d}`; z ?? w?.v; q ? .5 : 1"
     toks = [r.tok for r in tokens.code_tokens(files(("/a.js", code))).orderBy("pos").collect()]
     assert toks[:9] == ["x", "=", "/[\"'{(]/g", ".", "test", "(", "y", ")", "/"]
-    assert "'a\\'b'" in toks and "`c ${d}`" in toks and "if" not in toks and "for" not in toks
+    assert "'a\\'b'" in toks and "if" not in toks and "for" not in toks
+    at = toks.index("`c `")
+    assert toks[at : at + 5] == ["`c `", OPEN, "d", CLOSE, "``"]
     assert "??" in toks and "?." in toks and "?" in toks
 
 
@@ -150,48 +154,72 @@ def test_closed_form_equals_recursion(files):
         assert got[f"/{i}.js"] == score, forest
 
 
+_OPENS, _CLOSES = (scope.OPEN, scope.BODY, scope.PAREN), (scope.CLOSE, scope.TYPED)
+
+
 def _brute(cls):
-    """Stack-based bracket matching of one file."""
+    """Stack-based bracket matching of one file, and scans along the levels."""
     n, stack = len(cls), []
     match, parent = [-1] * n, [-1] * n
     for i, c in enumerate(cls):
-        if c == -1 and stack:
-            match[i], match[stack[-1]] = stack[-1], i
-            stack.pop()
+        if c in _CLOSES and stack:
+            match[i] = stack.pop()
+            match[match[i]] = i
         parent[i] = stack[-1] if stack else -1
-        if c == 1:
-            match[i] = n - 1
+        if c in _OPENS:
             stack.append(i)
+    for i, c in enumerate(cls):
+        if c in _OPENS and match[i] < 0:
+            match[i] = n - 1
 
-    def scan(i, wanted, step):
-        j = i + step
+    def scan(i, wanted, step, ends=()):
+        j = i
         while 0 <= j < n:
-            if parent[j] == parent[i] and cls[j] in wanted:
-                return j
-            j += step
+            if parent[j] == parent[i] and (j != i or not step):
+                if wanted(j):
+                    return j
+                if cls[j] in ends:
+                    return -1
+            j += step or 1
+            step = step or 1
         return -1
 
-    ends = [scan(i, (2, 3, 4, 5), 1) for i in range(n)]
+    def in_statement(i, wanted, step):
+        """The next wanted token on the level, this one included where step is 0."""
+        return scan(i, wanted, step, (scope.SEMI, scope.DECLARE, scope.STATEMENT, scope.BEGIN))
+
+    def is_list(j):
+        after = cls[match[j] + 1] if match[j] + 1 < n else 0
+        return cls[j] == scope.PAREN and after != scope.ARROW
+
+    ends = [scan(i, lambda j: cls[j] in (2, 3, 4, 5), 1) for i in range(n)]
     stop = [e if e >= 0 else (match[parent[i]] if parent[i] >= 0 else n) for i, e in enumerate(ends)]
-    return match, parent, stop, [scan(i, (2, 4, 5), -1) for i in range(n)]
+    head = [scan(i, lambda j: cls[j] in (2, 4, 5), -1) for i in range(n)]
+    paren = [in_statement(i, is_list, 0) for i in range(n)]
+    body = [in_statement(i, lambda j: cls[j] == scope.BODY, 1) for i in range(n)]
+    typed = [in_statement(i, lambda j: cls[j] == scope.TYPED, -1) for i in range(n)]
+    return match, parent, stop, head, paren, body, typed
 
 
 def _balanced(cls):
     depth = 0
     for c in cls:
-        depth += c if c in (1, -1) else 0
+        depth += (c in _OPENS) - (c in _CLOSES)
         if depth < 0:
             return False
     return True
 
 
-@settings(max_examples=150, deadline=None, database=None)
-@given(st.lists(st.lists(st.sampled_from([1, -1, 0, 2, 3, 4, 5]), max_size=14).filter(_balanced), max_size=5))
+_CLASSES = [0, scope.SEMI, scope.COMMA, scope.DECLARE, scope.STATEMENT, scope.BEGIN, scope.ARROW, *_OPENS, *_CLOSES]
+
+
+@settings(max_examples=300, deadline=None, database=None)
+@given(st.lists(st.lists(st.sampled_from(_CLASSES), max_size=16).filter(_balanced), max_size=5))
 def test_match_brackets(batch):
     starts = np.cumsum([0] + [len(c) for c in batch])
     flat = np.array([x for c in batch for x in c], dtype=np.int64)
     got = match_brackets(flat, starts)
-    want = [[x for c in batch for x in _brute(c)[k]] for k in range(4)]
+    want = [[x for c in batch for x in _brute(c)[k]] for k in range(len(scope.SCOPE_FIELDS))]
     assert [list(g) for g in got] == want
 
 
@@ -278,3 +306,75 @@ def test_imports_with_any_name(files):
     code = f"import déjà from 'lib-a'; import {name} = require('lib-b'); const ñ = require('lib-c');"
     got = [(r["specifier"], r["kind"]) for r in tokens.extract_dependencies(files(("/p/a.ts", code))).orderBy("ord").collect()]
     assert got == [("lib-a", "import"), ("lib-c", "require")]
+
+
+# --- modes ------------------------------------------------------------------------
+
+_PLAIN = ["x", "f(a)", "{ k: 1 }", "'a`${'", "/[`{<]/", "a < b", "// `${ <p>\n", "/* </p> */", "if (a) { b }", "q ? 1 : 2"]
+
+
+def _nested(inner):
+    """(source, what it becomes) of templates and elements around code."""
+    text = st.sampled_from(["", "t", "it's", "//", "\\`", "$", "$x", "}", "<p>", "/"])
+    words = st.sampled_from(["", " t ", " it's ", " // ", " ` ", " $ ", " if (a) "])
+    name = st.sampled_from(["p", "a.b", "x-y", "Foo"])
+
+    def template(parts):
+        source, want = "", []
+        for t, code in parts[:-1]:
+            source += t + "${" + code[0] + "}"
+            want.append(f"`{t}`{OPEN}{code[1]}{CLOSE}")
+        return f"`{source}{parts[-1][0]}`", "".join(want) + f"`{parts[-1][0]}`"
+
+    def build_element(draw):
+        tag, attributes, children = draw
+        head = f"<{tag}" + "".join(f' k{i}="v>" m={{{c[0]}}}' for i, c in enumerate(attributes))
+        want = "".join(OPEN + c[1] + CLOSE for c in attributes)
+        if children is None:
+            return f"({head} />)", f"({OPEN}{want}{CLOSE})"
+        body = "".join(w + "{" + c[0] + "}" for w, c in children)
+        want += "".join(OPEN + c[1] + CLOSE for _, c in children)
+        return f"({head}>{body}</{tag}>)", f"({OPEN}{want}{CLOSE})"
+
+    templates = st.lists(st.tuples(text, inner), min_size=1, max_size=3).map(template)
+    kids = st.none() | st.lists(st.tuples(words, inner), max_size=3)
+    elements = st.tuples(name, st.lists(inner, max_size=2), kids).map(build_element)
+    several = st.lists(inner, min_size=1, max_size=3).map(lambda cs: ("; ".join(c[0] for c in cs), "; ".join(c[1] for c in cs)))
+    return templates | elements | several
+
+
+_MODES = st.recursive(st.sampled_from(_PLAIN).map(lambda c: (c, c)), _nested, max_leaves=12)
+
+
+@settings(max_examples=500, deadline=None, database=None)
+@given(_MODES)
+def test_modes_at_any_depth(pair):
+    assert lay_open(pair[0]) == pair[1]
+
+
+def test_modes_leave_other_code_alone():
+    for code in (
+        "a < b && c > d", "f<T>(x)", "const g = <T,>(x: T) => x", "const h = <T extends U>(x: T) => x; a = '</p>'",
+        "x = <T>(y) => y; '/>'", "if (a <b/> c) {}", "`never ends ${x", "return <p>{x", "let r = /`${/; s = '`'", "}}}{", "a = b / c / `d`",
+    ):
+        assert lay_open(code) == code, code
+    deep = "`${" * 3000 + "x" + "}`" * 3000
+    assert lay_open(deep) == f"``{OPEN}" * 3000 + "x" + f"{CLOSE}``" * 3000
+
+
+@pytest.mark.parametrize(
+    "code, score, deps",
+    [
+        ("styled`${p => p.a ? 1 : 2}`", 3, []),
+        ("`${require('lib')}`", 0, ["lib"]),
+        ("x = <a>http://x.y {b ? 1 : 2}</a>; if (q) {}", 2, []),
+        ("`a ${`b ${c ? require('in') : 2} it's`} if (x) {}`; if (y) {}", 2, ["in"]),
+        ("const A = () => <ul>{xs.map(x => <li key={x}>{x && 'y'} don't</li>)}</ul>;", 7, []),
+        ("return <p title='// no' on={() => { if (a) {} }}/>; require('end')", 3, ["end"]),
+        ("f(`${() => 1}`); g(<p on={() => 1}/>)", 2, []),
+        ("x => /[`'\"]/.test(x) ? 1 : 2; require('after')", 3, ["after"]),
+    ],
+)
+def test_code_in_templates_and_elements(files, code, score, deps):
+    row = modules.module_table(files(("/a.tsx", code))).collect()[0]
+    assert (row.complexity, row.dependencies) == (score, deps)

@@ -1,19 +1,22 @@
 """Event operators, sources, queue and streaming on small literal tables."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpuscope.operators import docs_queue, events
 from corpuscope.operators.joins import hot_keys, hot_split_join
+from corpuscope.operators.modules import module_table
 from corpuscope.operators.ranking import top_n_by
 from corpuscope.plans import fixtures as fx
 from corpuscope.plans.reports import runtime_report
 from corpuscope.schemas import EVENTS_TABLE
 from corpuscope.session import materialize, run_dir
+from corpuscope.sources import folders
 from corpuscope.sources.events import read_runtime_events, write_runtime_events
-from corpuscope.sources.files import scan_code_files
+from corpuscope.sources.files import read_text, scan_code_files
 from corpuscope.sources.responses import append_response_cache, read_response_cache, read_response_table
 from corpuscope.streaming import events as streaming
 
@@ -124,15 +127,62 @@ def test_scan_folder(spark, tmp_path):
     ]
 
 
-def test_scan_reads_hidden_folders_given_as_roots(spark, tmp_path):
-    for folder in ("_next", "pages/_lib"):
-        (tmp_path / "site" / folder).mkdir(parents=True)
-        (tmp_path / "site" / folder / "m.js").write_text("x")
-    (tmp_path / "site" / "a.js").write_text("y")
-    root = str(tmp_path / "site")
-    assert scan_code_files(spark, root).count() == 1
-    roots = [root, f"{root}/_next", f"{root}/*/_*"]
-    assert scan_code_files(spark, roots).select("path").distinct().count() == 3
+def test_scan_finds_hidden_names_from_one_root(spark, tmp_path):
+    site = tmp_path / "site"
+    names = ["_app.tsx", "a.ts", ".hid.js", "_next/b.js", "C.JS", "pages/_lib/.x/d.html", "n.css", ".js", "_SUCCESS", "e.js/f.ts"]
+    for name in names:
+        (site / name).parent.mkdir(parents=True, exist_ok=True)
+        (site / name).write_text(name)
+    (site / "link.js").symlink_to(site / "a.ts")
+    (site / "round").symlink_to(site)
+    code = {"_app.tsx", "a.ts", ".hid.js", "_next/b.js", "C.JS", "pages/_lib/.x/d.html", "e.js/f.ts"}
+    for root in (str(site), f"file://{site}", [str(site), f"{site}/_next", f"{site}/*/_*"]):
+        rows = scan_code_files(spark, root).collect()
+        assert {r.path[len(str(site)) + 1 :] for r in rows} == code and len(rows) == len(code)
+        assert all(r.path.endswith(r.content) for r in rows)
+    assert {r.path[-5:] for r in scan_code_files(spark, [str(site / "a.ts"), f"{site}/_next"]).collect()} == {"/a.ts", "/b.js"}
+    assert scan_code_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_scan_opens_no_other_files_and_keeps_unreadable_ones(monkeypatch, tmp_path):
+    for name in ("a.js", "b.css", "c.ts"):
+        (tmp_path / name).write_text(name)
+    opened = []
+
+    def no_reading(path, *_):
+        opened.append(os.path.basename(path))
+        raise PermissionError(path)
+
+    found = list(folders.entries(str(tmp_path)))
+    assert {(os.path.basename(p), d, size) for p, d, size in found} == {("a.js", False, 4), ("b.css", False, 5), ("c.ts", False, 4)}
+    monkeypatch.setattr("builtins.open", no_reading)
+    assert folders.content_of(str(tmp_path / "a.js")) is None and opened == ["a.js"]
+    monkeypatch.undo()
+    assert folders.content_of(str(tmp_path / "gone.js")) is None
+    assert list(folders.entries(str(tmp_path / "gone"))) == []
+
+
+def test_an_unreadable_file_is_an_empty_module(spark, tmp_path):
+    (tmp_path / "a.js").write_text("if (a) { b(); }")
+    listed = folders.list_files(spark, [str(tmp_path)], ["js", "ts"])
+    gone = spark.createDataFrame([(str(tmp_path / "gone.ts"), "ts", 10)], "path string, ext string, size long")
+    files = read_text(folders.with_content(listed.unionByName(gone))).withColumn("seq", F.lit(1))
+    rows = {r.name: r for r in module_table(files).collect()}
+    assert rows["a"].complexity == 1 and rows["a"].size == 15
+    empty = rows["gone"]
+    assert (empty.dependencies, empty.exports, empty.functions, empty.classes, empty["size"], empty.complexity) == ([], [], [], [], 0, 0)
+
+
+def test_listing_by_uri(tmp_path, monkeypatch):
+    """What pyarrow opens is listed like a path: here its own view of local files."""
+    (tmp_path / "_d").mkdir()
+    (tmp_path / "_d" / "x.js").write_text("x")
+    monkeypatch.setattr(folders, "local_path", lambda path: None)
+    root = tmp_path.as_uri()
+    assert sorted(folders.entries(root)) == [(f"{root}/_d", True, 0)]
+    assert list(folders.entries(f"{root}/_d")) == [(f"{root}/_d/x.js", False, 1)]
+    assert folders.content_of(f"{root}/_d/x.js") == b"x"
+    assert folders.can_list(root) and not folders.can_list("viewfs://store/in")
 
 
 def test_response_cache(spark, tmp_path):

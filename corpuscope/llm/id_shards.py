@@ -62,6 +62,7 @@ _TRAILER = struct.Struct("<QQQQ8s")
 # Words of a generation of a worker's memo (it keeps two), and the longest one kept.
 MEMO_WORDS = 150_000
 MEMO_CHARS = 48
+MEMO_ENDS = 1_000
 # Characters of text that are encoded at once, and bytes of a reader's one request.
 SLICE_CHARS = 1 << 20
 READ_BYTES = 4 << 20
@@ -136,7 +137,11 @@ class Encoder:
             head = word.rstrip(_ENDS)
             if head.isalpha() and _latin(head):
                 end = word[len(head) :]
-                found.append(one(head) + (ends.get(end) or self._ids([end])[0]))
+                if end not in ends:
+                    if len(ends) >= MEMO_ENDS:
+                        ends.clear()
+                    ends[end] = self._ids([end])[0]
+                found.append(one(head) + ends[end])
             else:
                 found.append(None)
         others = iter(self._ids([w for w, f in zip(words, found) if f is None]))

@@ -27,10 +27,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscope.operators.ranking import top_n_by
 from corpuscope.session import materialize
 
 TOP = 20
@@ -40,6 +39,8 @@ BLOCK_POSTINGS = 1 << 20
 # Documents of a window, and the share of a block from which a list is a long one.
 WINDOW = 128
 LONG_SHARE = 8
+# Groups of tasks whose rows are ranked before they meet.
+GROUPS = 64
 # Text of the queries that are run at once.
 BATCH_BYTES = 16 << 20
 # Texts are read in slices of about this many bytes, cut between terms.
@@ -302,5 +303,11 @@ def _batch(docs: DataFrame, rows: list[tuple[int, bytes]], top: int, id_col: str
 
     found = blocks.select("ids", "lengths", "terms", "starts", "docs", "tfs").mapInArrow(run, f"query long, id {kind}, score long")
     found = materialize(found, "lexical-found")
+    # Each task has sent ``top`` rows a query at most; tasks are ranked in groups first.
+    group = F.pmod(F.spark_partition_id(), F.lit(GROUPS))
     order = [F.col("score").desc(), F.col("id").asc_nulls_last()]
-    return top_n_by(found, ["query"], order, top, ["id", "score"], "rank").select("query", "id", "score", "rank")
+    for keys in (["query", "group"], ["query"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        found = (found.withColumn("group", group) if "group" in keys else found).withColumn("rank", place).where(F.col("rank") <= top)
+        found = found.drop("group") if "group" not in keys else found.drop("rank")
+    return found.select("query", "id", "score", "rank")

@@ -47,6 +47,27 @@ def between(first: Column, last: Column) -> Column:
     return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
+def counted(array: Column) -> Column:
+    """``array<struct<value, n>>``: how often each value stands in the array, in order of
+    the values. One sort and one pass over the places where the value changes."""
+
+    def runs(env: Column) -> Column:
+        values, firsts = env.values, env.firsts
+        return F.transform(
+            firsts,
+            lambda at, k: F.struct(
+                F.get(values, at).alias("value"),
+                (F.coalesce(F.get(firsts, k + 1), F.size(values)) - at).cast("bigint").alias("n"),
+            ),
+        )
+
+    def with_firsts(values: Column) -> Column:
+        changes = F.filter(indexes(values), lambda i: ~F.get(values, i).eqNullSafe(F.get(values, i - 1)) | (i == 0))
+        return let(F.struct(values.alias("values"), changes.alias("firsts")), runs)
+
+    return let(F.array_sort(array), with_firsts)
+
+
 def explode_structs(df: DataFrame, array: Column, keep: list[str], probe: str, pos: str | None = None) -> DataFrame:
     """One row per struct in ``array`` next to the ``keep`` columns.
 

@@ -12,6 +12,7 @@ from corpuscope.rules import (
     BASE64_CALL,
     CHAR_CODES,
     EVAL_LITERAL,
+    EVAL_MARKED,
     HEX_ESCAPE,
     MEANINGFUL_NAMES,
     NOT_EOL,
@@ -107,7 +108,7 @@ def decode_hex_escapes(text: Column) -> Column:
 
 def mark_eval_payloads(text: Column) -> Column:
     """Put a literal eval argument between marker comments. Nothing is executed."""
-    return F.regexp_replace(text, EVAL_LITERAL, "// EVAL CONTENT:\n$1\n// END EVAL")
+    return F.regexp_replace(text, EVAL_LITERAL, EVAL_MARKED)
 
 
 def _bare(pattern: str) -> str:

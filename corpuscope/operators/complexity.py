@@ -4,6 +4,10 @@ A function's own score is R = floor(W + 0.5), W being the in-function weight of
 everything below it, plus one. Scores of nested functions are added at every
 level, so a function g nested k functions deep below f counts 2^(k-1) times in
 f, and one nested d deep counts 2^d times in its module.
+
+Scores are summed in double precision, as by the tool whose scores they match, and given
+as whole numbers; one beyond a bigint (some sixty nested functions double it each) is
+the largest bigint, in every way of computing it.
 """
 
 from __future__ import annotations
@@ -79,8 +83,7 @@ def _own_scores(nodes: DataFrame) -> DataFrame:
 def function_complexity(nodes: DataFrame) -> DataFrame:
     """``path, fn_id, complexity`` from ``path, node_id, kind, fn_ancestors``.
 
-    ``fn_ancestors`` lists the enclosing functions, innermost first. A score beyond
-    a bigint (some sixty nested functions double it each) is null.
+    ``fn_ancestors`` lists the enclosing functions, innermost first.
     """
     own = _own_scores(nodes).where(F.col("fn_id").isNotNull())
     itself = F.array(F.struct(F.col("fn_id").alias("target"), F.col("own").alias("part")))
@@ -90,7 +93,7 @@ def function_complexity(nodes: DataFrame) -> DataFrame:
     )
     parts = explode_structs(own, F.concat(itself, nested), ["path"], "target")
     return parts.groupBy("path", F.col("target").alias("fn_id")).agg(
-        F.sum("part").try_cast("bigint").alias("complexity")
+        F.floor(F.sum("part")).cast("bigint").alias("complexity")
     )
 
 

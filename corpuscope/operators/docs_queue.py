@@ -9,6 +9,7 @@ from corpuscope.functions.metrics import content_key
 from corpuscope.functions.paths import relative_path
 from corpuscope.functions.text import first_markdown_section
 from corpuscope.operators.graph import dependency_list
+from corpuscope.operators.in_place import ROW, choose, store, without_numbers
 from corpuscope.operators.joins import hot_split_join
 from corpuscope.operators.tokens import dependency_structs, with_tokens
 from corpuscope.session import materialize
@@ -20,11 +21,24 @@ PROMPT_HEAD = (
 PROMPT_TAIL = "\n```"
 
 
+# Paths of finished files that are sent to every task; more are looked up in place.
+BROADCAST_PATHS = 1_000_000
+
+
 def pending_files(files: DataFrame, done: DataFrame, force: bool = False) -> DataFrame:
-    """Files without a non-empty document in ``done(path, size)``; all when forced."""
+    """Files without a non-empty document in ``done(path, size)``; all when forced.
+
+    Contents are not shuffled: a short list of finished paths goes to the files, for a
+    longer one the files are stored and chosen in place.
+    """
     if force:
         return files
-    return files.join(done.where(F.col("size") > 0).select("path"), "path", "left_anti")
+    finished = materialize(done.where(F.col("size") > 0).select("path").distinct(), "finished")
+    if finished.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS:
+        return files.join(F.broadcast(finished), "path", "left_anti")
+    stored = store(files, "files")
+    left = stored.select(ROW, "path").join(finished, "path", "left_anti")
+    return without_numbers(choose(stored, left))
 
 
 def prompt_for(content: Column) -> Column:
@@ -95,25 +109,30 @@ def documentation_status(files: DataFrame, cache: DataFrame) -> DataFrame:
 def documentation_worklist(files: DataFrame, cache: DataFrame, root: str = "/") -> DataFrame:
     """``rel, cache_key, prompt, deps, status``.
 
-    Only pending rows carry a prompt: equal texts are one unit of work. A first
-    pass over the contents stores thin rows; contents are then joined with the
-    pending rows alone, which an incremental run keeps small enough to broadcast.
+    Only pending rows carry a prompt: equal texts are one unit of work. Contents are
+    lexed, keyed and stored in one pass; of what follows only keys and bitmaps are
+    shuffled, on a first run, too, when nearly every file is pending.
     """
     deps = F.array_distinct(F.transform(dependency_structs("toks"), lambda d: d.specifier))
-    thin = with_tokens(files).select(
-        "seq",
-        "path",
-        relative_path(F.col("path"), root).alias("rel"),
-        content_key(F.col("content")).alias("cache_key"),
-        dependency_list(deps).alias("deps"),
-    )
-    rows = _with_status(materialize(thin, "worklist"), cache)
-    pending = rows.where(F.col("status") == "pending").join(
-        files.select("path", "content"), "path"
+    stored = store(
+        with_tokens(files).select(
+            "seq",
+            "path",
+            relative_path(F.col("path"), root).alias("rel"),
+            content_key(F.col("content")).alias("cache_key"),
+            dependency_list(deps).alias("deps"),
+            "content",
+        ),
+        "worklist",
     )
-    asked = pending.withColumn("prompt", prompt_for(F.col("content")))
-    rest = rows.where(F.col("status") != "pending").withColumn(
-        "prompt", F.lit(None).cast("string")
+    status = materialize(_with_status(stored.select(ROW, "seq", "path", "cache_key"), cache), "worklist-status")
+    pending = choose(stored, status.where(F.col("status") == "pending"))
+    asked = pending.select(
+        "rel", "cache_key", prompt_for(F.col("content")).alias("prompt"), "deps", F.lit("pending").alias("status")
     )
-    columns = ["rel", "cache_key", "prompt", "deps", "status"]
-    return asked.select(columns).unionByName(rest.select(columns))
+    none = F.lit(None).cast("string").alias("prompt")
+    rest = [
+        choose(stored, status.where(F.col("status") == s)).select("rel", "cache_key", none, "deps", F.lit(s).alias("status"))
+        for s in ("cached", "shared")
+    ]
+    return asked.unionByName(rest[0]).unionByName(rest[1])

@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.operators.ranking import top_n_by
+from corpuscope.operators.ranking import GROUP_LIMIT, greatest_n, top_n_by
 from corpuscope.rules import EVENT_TYPES, MAX_EVENTS
 
 
@@ -177,5 +177,12 @@ def storage_access_stats(events: DataFrame) -> DataFrame:
 
 
 def latest_events(events: DataFrame, n: int = MAX_EVENTS, key: str | None = None) -> DataFrame:
-    """The last ``n`` events in log order, over the whole log or per ``key``."""
-    return top_n_by(events, [key] if key else [], [F.desc("seq")], n, unique=["seq"])
+    """The last ``n`` events in log order, over the whole log or per ``key``.
+
+    Up to the number that Spark cuts map-side (1000 unless the session raises it) by
+    ranking, beyond it by selection; the result is the same.
+    """
+    keys = [key] if key else []
+    if n <= int(events.sparkSession.conf.get(GROUP_LIMIT, "1000")):
+        return top_n_by(events, keys, [F.col("seq").desc_nulls_last()], n)
+    return greatest_n(events, keys, "seq", n)

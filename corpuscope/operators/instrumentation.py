@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope import rules
-from corpuscope.functions.arrays import explode_structs
+from corpuscope.functions.arrays import counted, explode_structs
 from corpuscope.operators.structure import with_structure
 
 
@@ -57,5 +57,9 @@ def instrumentation_sites(
         families.append(_sites("storage", _found(rules.SITE_STORAGE, 0)))
     if not families:
         return files.select("path", F.lit("").alias("family"), F.lit("").alias("target"), F.lit(0).cast("bigint").alias("n")).limit(0)
-    rows = explode_structs(df, F.concat(*families), ["path"], "family")
-    return rows.groupBy("path", "family", "target").agg(F.count("*").alias("n"))
+    # Counted inside the row: a file's sites never leave it before they are few.
+    sites = F.transform(
+        counted(F.concat(*families)),
+        lambda c: F.struct(c.value.family.alias("family"), c.value.target.alias("target"), c.n.alias("n")),
+    )
+    return explode_structs(df, sites, ["path"], "family")

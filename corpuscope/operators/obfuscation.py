@@ -36,7 +36,7 @@ def _unbundle(content: Column) -> Column:
     pieces = F.transform(
         bundle_pieces(content),
         lambda p, i: F.concat(
-            F.lit("// === MODULE "), i, F.lit(" ===\nfunction module"), i, F.lit("("), p
+            F.lit(rules.MODULE_HEAD), i, F.lit(rules.MODULE_OPEN), i, F.lit("("), p
         ),
     )
     return F.when(content.rlike(rules.WEBPACK_WRAPPER), F.array_join(pieces, "\n\n")).otherwise(
@@ -88,32 +88,38 @@ def register_pattern(
     return [*base, Pattern(name, confidence, detect, rewrite)]
 
 
+def _hits(chosen: Sequence[Pattern]) -> Column:
+    """What a content shows of the given patterns, in their order."""
+    return F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    p.detect(F.col("content")),
+                    F.struct(F.lit(p.name).alias("pattern"), F.lit(p.confidence).alias("confidence")),
+                )
+                for p in chosen
+            ]
+        )
+    )
+
+
 def detect_obfuscation(
     files: DataFrame, patterns: Sequence[Pattern] | None = None
 ) -> DataFrame:
     """``path, pattern, confidence``: one row per pattern a file shows."""
     chosen = default_patterns() if patterns is None else patterns
-    hits = F.array(
-        *[
-            F.when(
-                p.detect(F.col("content")),
-                F.struct(F.lit(p.name).alias("pattern"), F.lit(p.confidence).alias("confidence")),
-            )
-            for p in chosen
-        ]
-    )
-    return explode_structs(files, F.array_compact(hits), ["path"], "pattern")
+    return explode_structs(files, _hits(chosen), ["path"], "pattern")
 
 
-def ranked_patterns(detected: DataFrame, patterns: Sequence[Pattern] | None = None) -> DataFrame:
-    """Detected patterns with their ``rank`` by falling confidence per file.
+def ranked_patterns(files: DataFrame, patterns: Sequence[Pattern] | None = None) -> DataFrame:
+    """``path, pattern, confidence, rank``: the patterns a file shows, by falling confidence.
 
-    Equal confidence goes by the order of the rules, as in :func:`deobfuscate`.
+    Equal confidence goes by the order of the rules, as in :func:`deobfuscate`. The order
+    is known before any file is read, so ranks are places in the row: no shuffle.
     """
-    names = [p.name for p in (default_patterns() if patterns is None else patterns)]
-    place = F.array_position(F.array(*map(F.lit, names)), F.col("pattern"))
-    order = Window.partitionBy("path").orderBy(F.desc("confidence"), place)
-    return detected.withColumn("rank", F.row_number().over(order))
+    chosen = sorted(default_patterns() if patterns is None else patterns, key=lambda p: -p.confidence)
+    rows = explode_structs(files, _hits(chosen), ["path"], "pattern", pos="__place")
+    return rows.select("path", "pattern", "confidence", (F.col("__place") + 1).alias("rank"))
 
 
 def deobfuscate(files: DataFrame, patterns: Sequence[Pattern] | None = None) -> DataFrame:
@@ -166,21 +172,41 @@ def encoded_payloads(files: DataFrame) -> DataFrame:
     return explode_structs(files, rows, ["path"], "kind")
 
 
-def identifier_frequency(files: DataFrame) -> DataFrame:
-    """``path, ident, n, first_pos``: one-letter words per file.
+def _frequency(words: Column) -> Column:
+    """``array<struct<ident, n, first_pos>>`` of an array of one-letter words.
 
-    At most 52 rows per file leave each map task.
+    At most 52 entries; each is counted by one pass over the words.
     """
-    words = explode_values(
-        files, text.one_letter_words(F.col("content")), ["path"], "pos", "ident"
-    )
-    return words.groupBy("path", "ident").agg(
-        F.count("*").alias("n"), F.min("pos").alias("first_pos")
-    )
+
+    def histogram(found: Column) -> Column:
+        return F.transform(
+            F.array_distinct(found),
+            lambda w: F.struct(
+                w.alias("ident"),
+                F.size(F.filter(found, lambda x: x == w)).cast("bigint").alias("n"),
+                (F.array_position(found, w) - 1).cast("int").alias("first_pos"),
+            ),
+        )
+
+    return let(words, histogram)
+
+
+def identifier_frequency(files: DataFrame) -> DataFrame:
+    """``path, ident, n, first_pos``: one-letter words per file, counted inside the row."""
+    found = _frequency(text.one_letter_words(F.col("content")))
+    return explode_structs(files, found, ["path"], "ident")
+
+
+def file_renames(files: DataFrame, k: int = rules.RENAME_TOP) -> DataFrame:
+    """``path, ident, new_name, rank``: every file's own map, without a shuffle."""
+    rows = explode_structs(files, text.frequent_letters(F.col("content"), k), ["path"], "ident", pos="__place")
+    return rows.select("path", "ident", "new_name", (F.col("__place") + 1).alias("rank"))
 
 
 def rename_map(freq: DataFrame, k: int = rules.RENAME_TOP) -> DataFrame:
-    """``path, ident, new_name, rank`` for the k most frequent one-letter words."""
+    """``path, ident, new_name, rank`` for the k most frequent words of a given frequency
+    table, such as one summed over several files. A file's own map needs no table:
+    :func:`file_renames`."""
     order = Window.partitionBy("path").orderBy(F.desc("n"), "first_pos")
     names = F.array(*[F.lit(n) for n in rules.MEANINGFUL_NAMES])
     ranked = freq.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -192,8 +218,15 @@ def rename_map(freq: DataFrame, k: int = rules.RENAME_TOP) -> DataFrame:
     )
 
 
-def apply_renames(files: DataFrame, renames: DataFrame) -> DataFrame:
-    """Files with each mapped word replaced, in rank order."""
+def apply_renames(files: DataFrame, renames: DataFrame | None = None) -> DataFrame:
+    """Files with each mapped word replaced, in rank order.
+
+    Without a table every file's own map is used, inside the row. A given table of maps
+    is joined on the path.
+    """
+    if renames is None:
+        renamed = text.apply_rename_pairs(F.col("content"), text.frequent_letters(F.col("content")))
+        return files.withColumn("content", F.coalesce(renamed, F.col("content")))
     pairs = renames.groupBy("path").agg(
         F.array_sort(F.collect_list(F.struct("rank", "ident", "new_name"))).alias("__pairs")
     )

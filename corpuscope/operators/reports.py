@@ -72,7 +72,7 @@ def refactoring_candidates(modules: DataFrame, k: int = 5) -> DataFrame:
         complexity_band(F.col("complexity")).alias("band"), "seq", "path", "name", "complexity"
     ).where(F.col("band").isin("critical", "high"))
     order = [F.desc("complexity"), F.asc("seq"), F.asc("path")]
-    top = top_n_by(banded, ["band"], order, k, unique=["path"], rank="rank")
+    top = top_n_by(banded, ["band"], order, k, rank="rank")
     return top.select("band", "rank", "name", "complexity")
 
 
@@ -89,6 +89,6 @@ def layer_critical_modules(classified: DataFrame, k: int = 5) -> DataFrame:
         F.greatest(F.count("*") - k, F.lit(0)).alias("remaining")
     )
     top = top_n_by(
-        critical, ["layer"], [F.asc("seq"), F.asc("path")], k, unique=["path"], rank="rank"
+        critical, ["layer"], [F.asc("seq"), F.asc("path")], k, rank="rank"
     )
     return top.join(totals, "layer").select("layer", "rank", "name", "complexity", "remaining")

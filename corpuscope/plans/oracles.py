@@ -15,7 +15,14 @@ from corpuscope.plans.fixtures import (
     RESPONSES_SQL,
     RUNTIME_EVENTS_SQL,
 )
-from corpuscope.plans.queries import LATEST_N, LATEST_PER_TYPE, SIZE_LIMIT
+from corpuscope.plans.queries import (
+    ARCHITECTURE_SECTIONS,
+    LATEST_N,
+    LATEST_PER_LOCATION,
+    LATEST_PER_TYPE,
+    RUNTIME_SECTIONS,
+    SIZE_LIMIT,
+)
 
 ORACLES: dict[str, str] = {}
 
@@ -140,6 +147,12 @@ ORACLES["event_log_roundtrip"] = (
 ORACLES["response_cache_append"] = (
     "SELECT DISTINCT left(sha256(text), 32) AS cache_key, CAST(length(text) AS INT) AS chars FROM documents"
 )
+ORACLES["response_folder"] = f"SELECT cache_key, prompt, response FROM ({RESPONSES_SQL}) WHERE response IS NOT NULL"
+ORACLES["exported_logs"] = (
+    _EVENTS
+    + """SELECT row_number() OVER (ORDER BY CAST(ts AS DATE), seq) - 1 AS seq, type, location, epoch_us(ts) // 1000 AS ms,
+  concat('e', CAST(seq AS VARCHAR)) AS id FROM ev"""
+)
 ORACLES["pending_files"] = (
     "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality > 0)"
 )
@@ -241,6 +254,15 @@ ORACLES["dependency_matrix"] = (
 FROM (SELECT path, regexp_replace(specifier, '^[.]/', '') AS specifier FROM deps) d, mods m
 WHERE d.specifier IN (m.path, m.name, regexp_replace(m.path, '[.]ts$', ''), regexp_replace(m.path, '[.]js$', ''))"""
 )
+ORACLES["dependency_matrix_factors"] = (
+    _MODULES
+    + """SELECT specifier, sources, targets FROM (
+  SELECT specifier, count(DISTINCT path) AS sources FROM (
+    SELECT path, regexp_replace(specifier, '^[.]/', '') AS specifier FROM deps) GROUP BY specifier)
+JOIN (SELECT specifier, count(DISTINCT path) AS targets FROM (
+    SELECT path, unnest([path, name, regexp_replace(path, '[.]ts$', ''), regexp_replace(path, '[.]js$', '')]) AS specifier FROM mods)
+  GROUP BY specifier) USING (specifier)"""
+)
 _NODE = "concat('node_', regexp_replace({}, '[^a-zA-Z0-9]', '_', 'g'))"
 ORACLES["internal_edges"] = (
     _RESOLVED_ALL
@@ -345,6 +367,12 @@ ORACLES["latest_events_per_type"] = (
     + f"""SELECT seq, type, location FROM ev
 QUALIFY row_number() OVER (PARTITION BY type ORDER BY seq DESC) <= {LATEST_PER_TYPE}"""
 )
+ORACLES["latest_events_default"] = _EVENTS + "SELECT seq, type, location FROM ev ORDER BY seq DESC LIMIT 10000"
+ORACLES["latest_events_by_selection"] = (
+    _EVENTS
+    + f"""SELECT seq, type, location FROM ev
+QUALIFY row_number() OVER (PARTITION BY location ORDER BY seq DESC) <= {LATEST_PER_LOCATION}"""
+)
 ORACLES["stream_latest_events"] = ORACLES["latest_events_per_type"]
 ORACLES["stream_event_counts"] = (
     _EVENTS + "SELECT type, location, count(*) AS n FROM ev GROUP BY type, location"
@@ -382,6 +410,13 @@ ORACLES["registered_pattern"] = (
 UNION ALL SELECT 'storage_write', 0.5, count(*) FROM obf WHERE contains(content, 'localStorage.setItem')"""
 )
 
+ORACLES["registered_rewrite"] = (
+    _OBF
+    + """SELECT path, replace(replace(content, 'querySelector', 'SELECT'), 'localStorage.setItem', 'store') AS content,
+  concat_ws(',', CASE WHEN contains(content, 'querySelector') THEN 'dom_read' END,
+    CASE WHEN contains(content, 'localStorage.setItem') THEN 'storage_write' END) AS applied FROM obf"""
+)
+
 # The parts of each obfuscated file that the decoders should change, by formula.
 _PIECES = f"""WITH obf AS (
   SELECT o.*, p.p_name,
@@ -541,3 +576,46 @@ UNION ALL SELECT 'matrix', count(*) FROM (SELECT DISTINCT d.path, m.path FROM de
 UNION ALL SELECT 'overview', 1 UNION ALL SELECT 'most_complex', least(10, count(*)) FROM mods UNION ALL SELECT 'distribution', 4
 UNION ALL SELECT 'candidates', least(5, count(*) FILTER (complexity > 30)) + least(5, count(*) FILTER (complexity > 20 AND complexity <= 30)) FROM mods"""
 )
+
+
+def _report_rows(columns: dict[str, tuple[str, ...]], tables: dict[str, str]) -> str:
+    """The rows of a report's sections, each from the SQL of its own query."""
+    parts = []
+    for section, names in columns.items():
+        cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'null')" for c in names)
+        parts.append(f"SELECT '{section}' AS section, concat_ws('|', {cells}) AS line FROM ({tables[section]}) t")
+    return " UNION ALL ".join(parts)
+
+
+ORACLES["runtime_report_rows"] = _report_rows(
+    RUNTIME_SECTIONS,
+    {
+        "summary": ORACLES["event_summary"],
+        "event_types": ORACLES["event_type_counts"],
+        "function_calls": ORACLES["function_call_stats"],
+        "most_called": ORACLES["most_called"],
+        "call_frequency": ORACLES["function_call_frequency"],
+        "api_calls": ORACLES["api_call_stats"],
+        "endpoints": ORACLES["api_endpoints"],
+        "methods": ORACLES["api_methods"],
+        "dom_access": ORACLES["dom_access_stats"],
+        "storage_access": ORACLES["storage_access_stats"],
+        "timeline": ORACLES["event_timeline"],
+    },
+)
+ORACLES["architecture_report_rows"] = _report_rows(
+    ARCHITECTURE_SECTIONS,
+    {
+        "nodes": ORACLES["architecture_nodes"],
+        "edges": ORACLES["internal_edges"],
+        "layers": ORACLES["layer_summary"],
+        "layer_critical": ORACLES["layer_critical_modules"],
+        "matrix": _MODULES
+        + """SELECT DISTINCT d.path AS src, m.path AS dst FROM deps d, mods m
+WHERE d.specifier IN (m.path, m.name, regexp_replace(m.path, '[.]ts$', ''), regexp_replace(m.path, '[.]js$', ''))""",
+        "overview": ORACLES["complexity_overview"],
+        "most_complex": ORACLES["most_complex_modules"],
+        "distribution": ORACLES["complexity_distribution"],
+        "candidates": ORACLES["refactoring_candidates"],
+    },
+)

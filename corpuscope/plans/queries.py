@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuscope.functions import metrics, paths, text
 from corpuscope.operators import complexity, docs_queue, graph, layers, modules, obfuscation, reports, structure, tokens
@@ -18,7 +21,7 @@ from corpuscope.session import materialize, run_dir
 from corpuscope.sources import events as event_log
 from corpuscope.sources import responses as response_cache
 from corpuscope.sources.files import scan_code_files
-from corpuscope.sources.reports import write_report_tables
+from corpuscope.sources.reports import read_report_table, write_report_tables
 from corpuscope.streaming import events as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,9 +29,37 @@ QUERIES: dict[str, Query] = {}
 
 LATEST_N = 1000
 LATEST_PER_TYPE = 200
+LATEST_PER_LOCATION = 1500
 SIZE_LIMIT = 4000
 
 
+# Columns of the sections of both reports.
+RUNTIME_SECTIONS = {
+    "summary": ("total_events", "duration_ms"),
+    "event_types": ("type", "n"),
+    "function_calls": ("total_calls", "unique_functions"),
+    "most_called": ("location", "n"),
+    "call_frequency": ("location", "n"),
+    "api_calls": ("total_calls", "unique_endpoints"),
+    "endpoints": ("endpoint", "first_seq"),
+    "methods": ("method", "n"),
+    "dom_access": ("method", "n"),
+    "storage_access": ("operation", "n"),
+    "timeline": ("seq", "type", "location", "details"),
+}
+ARCHITECTURE_SECTIONS = {
+    "nodes": ("node", "name", "complexity", "band", "layer", "color"),
+    "edges": ("src_key", "dst_key"),
+    "layers": ("layer", "modules", "avg_complexity", "total_kb", "critical"),
+    "layer_critical": ("layer", "rank", "name", "complexity", "remaining"),
+    "matrix": ("src", "dst"),
+    "overview": ("total_modules", "total_complexity", "avg_complexity"),
+    "most_complex": ("rank", "name", "complexity", "functions", "classes", "size_kb"),
+    "distribution": ("band", "n"),
+    "candidates": ("band", "rank", "name", "complexity"),
+}
+
+
 def _query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
     return fn
@@ -109,14 +140,41 @@ def response_cache_append(spark: SparkSession, sf: str) -> DataFrame:
     return stored.select("cache_key", F.length("response").alias("chars"))
 
 
+@_query
+def response_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored answers as a folder of files, one per key, read back."""
+    folder = run_dir(spark, "answers")
+    response_cache.write_response_files(fx.responses(spark, sf), folder)
+    return response_cache.read_response_cache(spark, folder)
+
+
+@_query
+def exported_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """Events exported as indented arrays, one per day, and read in the order of the files."""
+    folder = run_dir(spark, "exports")
+    events = fx.runtime_events(spark, sf)
+    lines = F.concat(
+        F.lit('  {\n    "type": "'), F.col("type"), F.lit('",\n    "timestamp": '), F.unix_millis(F.col("ts").cast("timestamp")).cast("string"),
+        F.lit(',\n    "location": "'), F.col("location"), F.lit('",\n    "stackTrace": [],\n    "id": "e'), F.col("seq").cast("string"), F.lit('"\n  }'),
+    )
+    part = F.date_format("ts", "yyyyMMdd")
+    dealt = events.select("seq", part.alias("day"), lines.alias("line")).repartition(8, "day").sortWithinPartitions("day", "seq")
+    first = F.row_number().over(Window.partitionBy("day").orderBy("seq")) == 1
+    last = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("seq"))) == 1
+    opened = F.when(first, F.lit("[\n")).otherwise(F.lit(",\n"))
+    text = dealt.select("day", "seq", F.concat(opened, F.col("line"), F.when(last, F.lit("\n]")).otherwise(F.lit(""))).alias("value"))
+    ordered = text.repartition(8, "day").sortWithinPartitions("day", "seq").select("day", "value")
+    ordered.write.option("lineSep", " ").partitionBy("day").text(folder)
+    back = event_log.read_runtime_events(spark, folder)
+    return back.select("seq", "type", "location", F.unix_millis("ts").alias("ms"), "id")
+
+
 @_query
 def report_tables_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     folder = run_dir(spark, "report")
     found = _modules(spark, sf)
     write_report_tables({"overview": reports.complexity_overview(found)}, folder)
-    return spark.read.schema(
-        "total_modules bigint, total_complexity bigint, avg_complexity double"
-    ).parquet(f"{folder}/overview")
+    return read_report_table(spark, folder, "overview")
 
 
 @_query
@@ -419,7 +477,7 @@ def layer_critical_modules(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def rename_map(spark: SparkSession, sf: str) -> DataFrame:
-    return obfuscation.rename_map(obfuscation.identifier_frequency(fx.prose_files(spark, sf)))
+    return obfuscation.file_renames(fx.prose_files(spark, sf))
 
 
 @_query
@@ -433,10 +491,33 @@ def latest_events_per_type(spark: SparkSession, sf: str) -> DataFrame:
     return latest.select("seq", "type", "location")
 
 
+@_query
+def latest_events_default(spark: SparkSession, sf: str) -> DataFrame:
+    """The last 10,000 events, the default, found by selection."""
+    events = materialize(fx.runtime_events(spark, sf), "events")
+    return ev.latest_events(events).select("seq", "type", "location")
+
+
+@_query
+def latest_events_by_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """The last 1,500 events of each location."""
+    events = materialize(fx.runtime_events(spark, sf), "events")
+    return ev.latest_events(events, LATEST_PER_LOCATION, "location").select("seq", "type", "location")
+
+
+@_query
+def dependency_matrix_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """How many sources and targets meet in each name of the factored matrix."""
+    modules = _stored_modules(spark, sf)
+    edges = graph.module_edges(modules).withColumn("specifier", F.regexp_replace("specifier", r"^\./", ""))
+    sources, targets = graph.matrix_factors(modules, edges)
+    per_name = [side.groupBy("specifier").agg(F.count("*").alias(n)) for side, n in ((sources, "sources"), (targets, "targets"))]
+    return per_name[0].join(per_name[1], "specifier")
+
+
 @_query
 def ranked_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    found = obfuscation.detect_obfuscation(fx.obfuscated_files(spark, sf))
-    return obfuscation.ranked_patterns(found)
+    return obfuscation.ranked_patterns(fx.obfuscated_files(spark, sf))
 
 
 @_query
@@ -517,9 +598,24 @@ def reflow_terser(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def apply_renames(spark: SparkSession, sf: str) -> DataFrame:
-    files = fx.prose_files(spark, sf)
-    renames = obfuscation.rename_map(obfuscation.identifier_frequency(files))
-    return obfuscation.apply_renames(files, renames).select("path", "content")
+    return obfuscation.apply_renames(fx.prose_files(spark, sf)).select("path", "content")
+
+
+@_query
+def registered_rewrite(spark: SparkSession, sf: str) -> DataFrame:
+    """Rewrites of a user's own rules, one built of functions and one an Arrow function."""
+
+    @F.arrow_udf(T.StringType())
+    def upper_reads(column: pa.Array) -> pa.Array:
+        return pc.replace_substring(column, pattern="querySelector", replacement="SELECT")
+
+    rules = obfuscation.register_pattern(
+        "storage_write", 0.5, lambda c: c.contains("localStorage.setItem"),
+        lambda c: F.replace(c, F.lit("localStorage.setItem"), F.lit("store")), patterns=[],
+    )
+    rules = obfuscation.register_pattern("dom_read", 0.99, lambda c: c.contains("querySelector"), upper_reads, rules)
+    done = obfuscation.deobfuscate(fx.obfuscated_files(spark, sf), rules)
+    return done.select("path", "content", F.array_join("applied", ",").alias("applied"))
 
 
 @_query
@@ -573,15 +669,36 @@ def stream_event_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def stream_latest_events(spark: SparkSession, sf: str) -> DataFrame:
-    streaming.use_rocksdb(spark)
-    kept = streaming.stream_latest_events(_event_stream(spark, sf), LATEST_PER_TYPE, "type")
-    table = streaming.drain_to_table(kept, "append", "latest-events")
-    return ev.latest_events(table, LATEST_PER_TYPE, "type").select("seq", "type", "location")
+    table = streaming.drain_latest(_event_stream(spark, sf), LATEST_PER_TYPE, "type", "latest-events")
+    return table.select("seq", "type", "location")
 
 
 # --- reports --------------------------------------------------------------------
 
 
+def _report_rows(tables: dict[str, DataFrame], columns: dict[str, Sequence[str]]) -> DataFrame:
+    """``section, line``: the rows of a report's tables, column by column as text."""
+    out = None
+    for section, names in columns.items():
+        cells = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in names]
+        rows = tables[section].select(F.lit(section).alias("section"), F.concat_ws("|", *cells).alias("line"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@_query
+def runtime_report_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every section of the runtime report, row by row."""
+    events = materialize(fx.runtime_events(spark, sf), "events")
+    return _report_rows(runtime_report(events), RUNTIME_SECTIONS)
+
+
+@_query
+def architecture_report_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every section of the architecture report, row by row."""
+    return _report_rows(architecture_report(fx.code_files(spark, sf)), ARCHITECTURE_SECTIONS)
+
+
 @_query
 def runtime_report_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The counted sections of the runtime report in one long table."""

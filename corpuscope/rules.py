@@ -146,6 +146,10 @@ CONFIDENCE = {
     "custom_hex": 0.6,
     "eval_obfuscation": 0.95,
 }
+# Texts that the rewrites put in.
+MODULE_HEAD = "// === MODULE "
+MODULE_OPEN = " ===\nfunction module"
+EVAL_MARKED = "// EVAL CONTENT:\n$1\n// END EVAL"
 WEBPACK_MARKERS = r"webpackJsonp|__webpack_require__|webpackChunkName"
 WEBPACK_WRAPPER = (
     r"\(function\(modules\)" + WS + r"*\{([\s\S]*?)\}\)\(\[([\s\S]*?)\]\)"

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
 
+from corpuscope.operators.events import latest_events
 from corpuscope.rules import MAX_EVENTS
 from corpuscope.session import run_dir
-
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from corpuscope.sources import versions
 
 
 def stream_event_counts(stream: DataFrame) -> DataFrame:
@@ -28,58 +24,54 @@ def stream_event_counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy("type", "location").agg(F.count("*").alias("n"))
 
 
-class _KeepLatest(StatefulProcessor):
-    """Per key, remembers the ``seq`` of the n latest events and passes on each
-    new event that is among them."""
+def keep_latest(folder: str, n: int = MAX_EVENTS, key: str | None = "type") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: the table in ``folder`` holds the last ``n`` events of
+    every ``key`` of all batches so far, and nothing else.
 
-    def __init__(self, n: int, columns: list[str]) -> None:
-        self.n = n
-        self.columns = columns
+    A batch is first cut to its own last n, where it lies; those few rows and the table
+    make the next version of the table, which replaces it in one commit. The commit
+    carries the batch's number, so a batch that is run again after a failure changes
+    nothing. The state of the stream is the table itself: n rows per key, however long the
+    stream has run.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([T.StructField("seq", T.LongType())])
-        self.kept = handle.getListState("kept", schema)
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        done, what = versions.current(spark, folder)
+        if done and what["batch"] >= number:
+            return
+        latest = latest_events(batch, n, key)
+        if done:
+            before = versions.read_folders(spark, folder, [what["folder"]], batch.schema)
+            latest = latest_events(before.unionByName(latest), n, key)
+        name = versions.new_folder()
+        latest.write.parquet(f"{folder.rstrip('/')}/{name}")
+        versions.commit(spark, folder, done + 1, {"folder": name, "batch": number, "before": what.get("folder")})
+        if what.get("before"):
+            versions.drop_folder(spark, folder, what["before"])
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = None
-        for batch in rows:
-            # Trim as batches arrive: at most n rows are held besides the batch.
-            fresh = batch if fresh is None else pd.concat([fresh, batch])
-            fresh = fresh.nlargest(self.n, "seq")
-        old = pd.Series([r[0] for r in self.kept.get()], dtype="int64")
-        latest = pd.concat([old, fresh["seq"]]).nlargest(self.n)
-        self.kept.put([(int(s),) for s in latest])
-        admitted = fresh[fresh["seq"] >= latest.min()]
-        yield admitted[self.columns]
+    return merge
 
-    def close(self) -> None:
-        pass
 
+def retain_latest(
+    stream: DataFrame, folder: str, checkpoint: str, n: int = MAX_EVENTS, key: str | None = "type"
+) -> DataStreamWriter:
+    """The writer, to be started, that keeps the last ``n`` events of every ``key`` of a
+    stream as a table in ``folder``; read it by :func:`read_latest`."""
+    return stream.writeStream.foreachBatch(keep_latest(folder, n, key)).option("checkpointLocation", checkpoint)
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Choose the state store that :func:`stream_latest_events` needs, for a session."""
-    spark.conf.set(_PROVIDER, _ROCKSDB)
 
+def read_latest(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The retained events as of the last batch; none before the first."""
+    _, what = versions.current(spark, folder)
+    return versions.read_folders(spark, folder, [what["folder"]] if what else [], schema)
 
-def stream_latest_events(
-    stream: DataFrame, n: int = MAX_EVENTS, key: str = "type", salts: int = 8
-) -> DataFrame:
-    """Bounded retention on a stream: the events that are, on arrival, among the
-    last ``n`` of their ``key``.
 
-    A hot key is dealt over ``salts`` state instances, each keeping its own n, so
-    the output holds the last n of every key and some older ones. Reading it
-    through ``operators.events.latest_events(df, n, key)`` gives exactly them.
-    """
-    if stream.sparkSession.conf.get(_PROVIDER, None) != _ROCKSDB:
-        raise ValueError(f"set {_PROVIDER} to {_ROCKSDB}, or call use_rocksdb(spark) first")
-    salted = stream.withColumn("__salt", F.pmod(F.xxhash64("seq"), F.lit(salts)).cast("int"))
-    return salted.groupBy(key, "__salt").transformWithStateInPandas(
-        statefulProcessor=_KeepLatest(n, stream.columns),
-        outputStructType=stream.schema,
-        outputMode="append",
-        timeMode="none",
-    )
+def drain_latest(stream: DataFrame, n: int, key: str | None, name: str) -> DataFrame:
+    """Retention over all available input, and its result."""
+    folder, checkpoint = run_dir(stream.sparkSession, name), run_dir(stream.sparkSession, f"{name}-progress")
+    retain_latest(stream, folder, checkpoint, n, key).trigger(availableNow=True).start().awaitTermination()
+    return read_latest(stream.sparkSession, folder, stream.schema)
 
 
 def drain_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
@@ -103,7 +95,3 @@ def drain_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
 def read_event_stream(spark: SparkSession, schema: T.StructType, folder: str, name: str) -> DataFrame:
     """A Parquet table of a folder as a file stream."""
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-
-
-# Send the processor with the plan, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

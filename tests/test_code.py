@@ -96,6 +96,17 @@ def test_golden_complexity(files):
     assert modules.module_table(df).collect()[0].complexity == 21
 
 
+def test_scores_beyond_a_bigint_agree(files):
+    deep = "function f() { " * 70 + "if (a) {}" + " }" * 70
+    df = files(("/deep.js", deep))
+    nodes = structure.code_nodes(df)
+    most = 2**63 - 1
+    assert modules.module_table(df).collect()[0].complexity == most
+    assert complexity.module_complexity(nodes).collect()[0].complexity == most
+    scores = sorted(r.complexity for r in complexity.function_complexity(nodes).collect())
+    assert len(scores) == 70 and scores[0] == 2 and scores[-1] == most and None not in scores
+
+
 def test_long_form_golden(spark):
     nodes = spark.createDataFrame(
         [("p", 1, "fn_decl", []), ("p", 2, "if", [1]), ("p", 3, "fn_decl", [1]), ("p", 4, "logical", [3, 1]),

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscope.operators import docs_queue, events
+from corpuscope.operators import docs_queue, events, in_place, ranking
 from corpuscope.operators.joins import hot_keys, hot_split_join
 from corpuscope.operators.modules import module_table
 from corpuscope.operators.ranking import top_n_by
@@ -14,10 +14,11 @@ from corpuscope.plans import fixtures as fx
 from corpuscope.plans.reports import runtime_report
 from corpuscope.schemas import EVENTS_TABLE
 from corpuscope.session import materialize, run_dir
-from corpuscope.sources import folders
+from corpuscope.sources import folders, versions
 from corpuscope.sources.events import read_runtime_events, write_runtime_events
 from corpuscope.sources.files import read_text, scan_code_files
-from corpuscope.sources.responses import append_response_cache, read_response_cache, read_response_table
+from corpuscope.sources.reports import read_report_table, write_report_tables
+from corpuscope.sources.responses import append_response_cache, read_response_cache, read_response_table, write_response_files
 from corpuscope.streaming import events as streaming
 
 SCHEMA = "seq long, ts timestamp, type string, location string, details string"
@@ -69,7 +70,7 @@ def test_switches_and_ids(spark):
 @pytest.mark.parametrize("n", [1, 50, 2500])
 def test_top_n_with_a_hot_key(spark, n):
     df = spark.range(6000).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("key"))
-    got = {(r.key, r.seq) for r in top_n_by(df, ["key"], [F.desc("seq")], n, unique=["seq"]).collect()}
+    got = {(r.key, r.seq) for r in top_n_by(df, ["key"], [F.desc("seq")], n).collect()}
     want, seen = set(), {}
     for i in range(5999, -1, -1):
         key = "hot" if i % 3 == 0 else f"k{i % 7}"
@@ -97,7 +98,7 @@ def test_exported_log(spark, tmp_path):
     (tmp_path / "export.json").write_text(json.dumps(log, indent=2))
     df = read_runtime_events(spark, str(tmp_path / "export.json"))
     rows = df.orderBy("seq").collect()
-    assert [r.details for r in rows] == ['{"url": "/a","n": [1]}', 'plain "text"', None]
+    assert [r.details for r in rows] == ['{"url":"/a","n":[1]}', 'plain "text"', None]
     assert rows[0].stack_trace == ["s1", "s2"] and rows[0].ts.timestamp() == 1.5
     out = str(tmp_path / "lines")
     write_runtime_events(df, out)
@@ -224,20 +225,181 @@ def test_stream_twins(spark, sf_dir):
     stream = fx.derive(raw, "events", fx.RUNTIME_EVENTS_SQL)
     counts = streaming.drain_to_table(streaming.stream_event_counts(stream), "complete", "counts")
     assert counts.exceptAll(streaming.stream_event_counts(batch)).count() == 0 and counts.count() > 0
-    streaming.use_rocksdb(spark)
-    kept = streaming.drain_to_table(streaming.stream_latest_events(stream, 20, "type"), "append", "kept")
-    assert events.latest_events(kept, 20, "type").exceptAll(events.latest_events(batch, 20, "type")).count() == 0
-
-
-def test_stream_over_several_batches(spark, tmp_path):
-    """Later micro-batches see the state of earlier ones, out-of-order rows included."""
-    source = str(tmp_path / "in")
-    order = [range(0, 40), range(100, 140), range(60, 100), range(40, 60)]
-    for part in order:
-        spark.createDataFrame([(i, "t") for i in part], "seq long, type string").coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema("seq long, type string").option("maxFilesPerTrigger", 1).parquet(source)
-    streaming.use_rocksdb(spark)
-    kept = streaming.drain_to_table(streaming.stream_latest_events(stream, 10, "type", salts=2), "append", "kept")
-    latest = events.latest_events(kept, 10, "type").orderBy("seq").collect()
-    assert [r.seq for r in latest] == list(range(130, 140))
-    assert kept.count() < 140
+    kept = streaming.drain_latest(stream, 20, "type", "kept")
+    assert kept.exceptAll(events.latest_events(batch, 20, "type")).count() == 0 and kept.count() == 100
+
+
+def _batches(spark, source, *parts):
+    for part in parts:
+        rows = [(i, "hot" if i % 3 else f"k{i % 2}") for i in part]
+        spark.createDataFrame(rows, "seq long, type string").coalesce(1).write.mode("append").parquet(source)
+
+
+def test_retention_holds_n_per_key_over_many_batches(spark, tmp_path):
+    """Out-of-order batches; the table never holds more, and old versions go."""
+    source, folder, checkpoint = (str(tmp_path / n) for n in ("in", "kept", "progress"))
+    parts = [range(0, 40), range(100, 140), range(60, 100), range(40, 60)]
+    sizes, seen = [], []
+    for part in parts:
+        _batches(spark, source, part)
+        stream = spark.readStream.schema("seq long, type string").parquet(source)
+        # A new query over the same checkpoint, as after a restart.
+        streaming.retain_latest(stream, folder, checkpoint, 10, "type").trigger(availableNow=True).start().awaitTermination()
+        seen += part
+        kept = streaming.read_latest(spark, folder, stream.schema)
+        want = {}
+        for i in sorted(seen, reverse=True):
+            key = "hot" if i % 3 else f"k{i % 2}"
+            if len(want.setdefault(key, [])) < 10:
+                want[key].append(i)
+        assert sorted(r.seq for r in kept.collect()) == sorted(i for v in want.values() for i in v)
+        sizes.append(len([f for f in os.listdir(folder) if f.startswith("data-")]))
+    assert max(sizes) <= 2
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    folder = str(tmp_path / "kept")
+    merge = streaming.keep_latest(folder, 3, "type")
+    one = spark.createDataFrame([(i, "t") for i in range(5)], "seq long, type string")
+    two = spark.createDataFrame([(i, "t") for i in range(3, 9)], "seq long, type string")
+    merge(one, 0)
+    merge(two, 1)
+    for batch, number in ((two, 1), (one, 0)):
+        merge(batch, number)
+        assert sorted(r.seq for r in streaming.read_latest(spark, folder, one.schema).collect()) == [6, 7, 8]
+    assert streaming.read_latest(spark, str(tmp_path / "none"), one.schema).count() == 0
+
+
+@pytest.mark.parametrize("edge", [1, 40, 100_000])
+def test_selection_equals_ranking(spark, monkeypatch, edge):
+    monkeypatch.setattr(ranking, "BINS", 8)
+    rows = [("hot", (i * 7919) % 5000 - 900) for i in range(4000)] + [("few", i) for i in range(30)] + [("tie", 5)] * 300
+    rows += [(None, i) for i in range(200)] + [("null", None)] * 50 + [("null", i) for i in range(60)] + [("far", 2**62 - i) for i in range(120)]
+    rows += [("far", -(2**62) + i) for i in range(120)]
+    df = materialize(spark.createDataFrame(rows, "key string, seq long").repartition(5), "events")
+    for n in (1, 90, 110, 3999):
+        got = ranking.greatest_n(df, ["key"], "seq", n, edge_rows=edge).collect()
+        want = {}
+        for key, seq in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0))):
+            if len(want.setdefault(key, [])) < n:
+                want[key].append(seq)
+        found = {}
+        for r in got:
+            found.setdefault(r.key, []).append(r.seq)
+        order = lambda v: sorted(v, key=lambda x: (x is None, x or 0))
+        assert {k: order(v) for k, v in found.items()} == {k: order(v) for k, v in want.items()}
+    everything = ranking.greatest_n(df, [], "seq", 777, edge_rows=edge).collect()
+    values = sorted((r[1] for r in rows if r[1] is not None), reverse=True)[:777]
+    assert sorted((r.seq for r in everything), reverse=True) == values
+    assert ranking.greatest_n(df.where("false"), ["key"], "seq", 5).count() == 0
+
+
+def test_selection_shuffles_no_more_than_n_and_an_edge(spark):
+    df = materialize(spark.range(60_000).selectExpr("id AS seq", "'hot' AS type"), "events")
+    latest = events.latest_events(df, 10_000, "type")
+    assert sorted(r.seq for r in latest.select("seq").collect()) == list(range(50_000, 60_000))
+    cuts = ranking._cuts(df.select(F.struct("type").alias("__key"), F.col("seq").alias("v")), 10_000, 500).collect()
+    assert len(cuts) == 1 and cuts[0].high - cuts[0].low < 500
+
+
+def test_rows_are_chosen_in_place(spark):
+    rows = spark.range(0, 100_000, 1, 3).selectExpr("id", "concat('content ', id) AS content")
+    stored = in_place.store(rows, "in-place")
+    some = stored.where("id % 7 = 0 AND id < 90000").select(in_place.ROW)
+    assert sorted(r.id for r in in_place.choose(stored, some).select("id").collect()) == [i for i in range(90_000) if i % 7 == 0]
+    left = in_place.without_numbers(in_place.choose(stored, some, inside=False))
+    assert left.columns == ["id", "content"] and left.count() == 100_000 - len(range(0, 90_000, 7))
+    assert in_place.choose(stored, some.where("false")).count() == 0
+    # A task that writes fewer rows than a bitmap has bits writes one file or two.
+    assert len(stored.inputFiles()) <= 6
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("in_place")]
+
+
+def test_no_exchange_carries_contents(spark, files, monkeypatch):
+    monkeypatch.setattr(docs_queue, "BROADCAST_PATHS", 0)
+    df = materialize(files(*[(f"/r/{i}.js", f"text {i % 5}") for i in range(40)]), "files")
+    cache = spark.createDataFrame([], "cache_key string, prompt string, response string")
+    done = spark.createDataFrame([("/r/1.js", 5)], "path string, size long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        work = docs_queue.documentation_worklist(df, cache, "/r")
+        left = docs_queue.pending_files(df, done)
+        for plan_of in (work, left):
+            plan = plan_of._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+            steps = [p for p in plan.split("\n\n") if ") Exchange" in p or ") Sort" in p]
+            assert steps and not [p for p in steps if "content" in p or "prompt" in p]
+        assert work.where("prompt IS NOT NULL").count() == 5 and work.count() == 40
+        assert left.count() == 39
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_an_answer_is_stored_once_by_two_writers(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "cache")
+    answers = lambda *keys: spark.createDataFrame([(k, "p", f"r {k}") for k in keys], "cache_key string, prompt string, response string")
+    append_response_cache(answers("a", "b", "b"), path)
+    real, raced = versions.commit, []
+
+    def raced_commit(session, folder, number, what):
+        if not raced:
+            raced.append(1)
+            append_response_cache(answers("b", "c"), path)  # another writer is faster
+        real(session, folder, number, what)
+
+    monkeypatch.setattr(versions, "commit", raced_commit)
+    append_response_cache(answers("c", "d"), path)
+    assert sorted(r.cache_key for r in read_response_table(spark, path).collect()) == ["a", "b", "c", "d"]
+    with pytest.raises(versions.Taken):
+        real(spark, path, 1, {})
+
+
+def test_a_failed_report_leaves_the_old_one(spark, tmp_path):
+    folder = str(tmp_path / "report")
+    good = spark.createDataFrame([(1,)], "n int")
+    write_report_tables({"a": good, "b": good}, folder)
+    bad = good.select(F.raise_error(F.lit("broken")).cast("int").alias("n"))
+    with pytest.raises(Exception, match="broken"):
+        write_report_tables({"a": good.selectExpr("n + 1 AS n"), "b": bad}, folder)
+    assert [read_report_table(spark, folder, t).collect() for t in "ab"] == [[(1,)], [(1,)]]
+    for i in (2, 3):
+        write_report_tables({"a": good.selectExpr(f"n + {i} AS n")}, folder)
+    assert read_report_table(spark, folder, "a").collect() == [(4,)]
+    with pytest.raises(FileNotFoundError):
+        read_report_table(spark, str(tmp_path / "none"), "a")
+
+
+def test_answers_as_files(spark, tmp_path):
+    folder = str(tmp_path / "answers")
+    rows = [("k1", "p", "# a\né"), ("k2", None, "x"), ("k3", "p", None), (None, "p", "r")]
+    assert write_response_files(spark.createDataFrame(rows, "cache_key string, prompt string, response string"), folder) == 3
+    assert sorted(os.listdir(folder)) == ["k1.json", "k2.json", "k3.json"]
+    assert sorted(map(tuple, read_response_cache(spark, folder).collect())) == [("k1", "p", "# a\né"), ("k2", None, "x")]
+
+
+def test_a_large_export_is_many_tasks_and_keeps_its_order(spark, tmp_path):
+    log = [
+        {"type": "t", "timestamp": i, "location": f"l{i}", "details": {"deep": {"x": [i, {"y": "}"}]}, "s": "\n  }"}, "stackTrace": ["a"]}
+        for i in range(3000)
+    ]
+    (tmp_path / "b.json").write_text(json.dumps(log[1000:], indent=2))
+    (tmp_path / "a.json").write_text(json.dumps(log[:1000], indent=2))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = read_runtime_events(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 10
+        rows = df.orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r.seq, r.location) for r in rows] == [(i, f"l{i}") for i in range(3000)]
+    assert json.loads(rows[2999].details) == log[2999]["details"] and rows[0].stack_trace == ["a"]
+
+
+@pytest.mark.parametrize("indent, split", [(None, True), (2, True), (None, False), (4, False), (1, False)])
+def test_exports_of_any_layout(spark, tmp_path, indent, split):
+    log = [{"type": "t", "timestamp": 5, "location": "x", "details": {"a": {}}, "stackTrace": []}, {}, {"type": "u"}]
+    (tmp_path / "e.json").write_text(json.dumps(log, indent=indent))
+    (tmp_path / "f.json").write_text(json.dumps([], indent=indent))
+    rows = read_runtime_events(spark, str(tmp_path), split=split).orderBy("seq").collect()
+    assert [(r.seq, r.type) for r in rows] == [(0, "t"), (1, None), (2, "u")]

@@ -3,9 +3,12 @@
 import base64
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpuscope.functions import metrics, paths, text
+from corpuscope.functions.arrays import counted
 from corpuscope.operators import obfuscation, tokens
 from corpuscope.operators.instrumentation import instrumentation_sites
 
@@ -106,6 +109,8 @@ def test_in_row_renames_agree_with_the_table(spark, files):
     df = files(("/a.js", body))
     table = obfuscation.apply_renames(df, obfuscation.rename_map(obfuscation.identifier_frequency(df)))
     inline = df.select(text.apply_rename_pairs(F.col("content"), text.frequent_letters(F.col("content"))).alias("c"))
+    assert [r.content for r in obfuscation.apply_renames(df).collect()] == [r.content for r in table.collect()]
+    assert sorted(obfuscation.file_renames(df).collect()) == sorted(obfuscation.rename_map(obfuscation.identifier_frequency(df)).collect())
     assert table.collect()[0].content == inline.collect()[0].c == "element=data;" * 9 + "config(config)" * 4
 
 
@@ -164,3 +169,21 @@ def test_call_sites(files):
     }
     only = instrumentation_sites(df, track_functions=False, track_variables=False, track_dom_access=False, track_storage_access=False)
     assert {r.family for r in only.collect()} == {"api"}
+
+
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.sampled_from("xyz")), max_size=30))
+@settings(max_examples=5, deadline=None, database=None)
+def test_counts_inside_the_row(spark, pairs):
+    df = spark.createDataFrame([(pairs,)], "a array<struct<f:string,t:string>>")
+    got = df.select(counted(F.col("a")).alias("c")).collect()[0].c
+    want = sorted((p, pairs.count(p)) for p in set(pairs))
+    assert [(tuple(c.value), c.n) for c in got] == want
+
+
+def test_histograms_need_no_shuffle(spark, files):
+    df = files(("/a.js", "k = v; eval('atob(1)'); fetch('/a'); fetch('/b')"))
+    for made in (
+        obfuscation.file_renames(df), obfuscation.apply_renames(df), obfuscation.identifier_frequency(df),
+        obfuscation.ranked_patterns(df), instrumentation_sites(df),
+    ):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()

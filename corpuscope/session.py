@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,13 +53,36 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_SCRATCH: list[str] = []
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder name (not yet created) below :func:`shared_dir`.
+    """A fresh sub-folder name (not yet created) below :func:`shared_dir`, or below the
+    scratch folder in use.
 
     Whoever runs the job removes the shared folder's contents after it, as results
     read from these tables may be used for as long as the session lives.
     """
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    parent = _SCRATCH[-1] if _SCRATCH else shared_dir(spark)
+    return f"{parent}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """While it lasts, every stored table goes into one folder of its own, so that a job
+    whose result has been stored elsewhere can be cleaned up at once (:func:`drop`)."""
+    folder = run_dir(spark, name)
+    _SCRATCH.append(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.remove(folder)
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    """Removes a scratch folder with all its tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

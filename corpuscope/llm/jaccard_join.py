@@ -135,14 +135,17 @@ def link(
             found = sketches(part.column(2))
             blank = (found == 0xFFFFFFFF).all(axis=1)
             column = pa.array([None if b else s.tobytes() for b, s in zip(blank, found)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), column], ["row", "id", "digest", "sketch"])
+            # One byte of each token tells sketches apart: chance agreement is 1/256.
+            marks = pa.array([None if b else s.tobytes() for b, s in zip(blank, found.astype(np.uint8))], pa.binary())
+            columns = [part.column(0), part.column(1), part.column(3), column, marks]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "digest", "sketch", "marks"])
 
     source = base.select("row", "id", "text", "digest")
-    rows = materialize(source.mapInArrow(sketch, f"row long, id {kind}, digest string, sketch binary"), "jaccard-rows")
+    rows = materialize(source.mapInArrow(sketch, f"row long, id {kind}, digest string, sketch binary, marks binary"), "jaccard-rows")
     classes = rows.where(F.col("sketch").isNotNull()).groupBy("digest").agg(
-        F.min("row").alias("rep"), F.count("*").alias("n"), F.min_by("sketch", "row").alias("sketch")
+        F.min("row").alias("rep"), F.count("*").alias("n"), F.min_by(F.struct("sketch", "marks"), "row").alias("s")
     )
-    classes = materialize(classes, "jaccard-classes")
+    classes = materialize(classes.select("digest", "rep", "n", "s.*"), "jaccard-classes")
     met = _nodes(classes, similarity, target_recall, depth, small)
     candidates = materialize(_candidates(met, classes, similarity, small), "jaccard-candidates")
     links = materialize(_verified(candidates, base, classes, similarity), "jaccard-links")
@@ -197,7 +200,7 @@ def _nodes(classes: DataFrame, similarity: float, target: float, depth: int, sma
     final = []
     for level in range(1, depth + 1):
         # Sizes aggregate map-side; most nodes hold one set and go no further.
-        sizes = materialize(live.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-sizes")
+        sizes = live.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         sized = materialize(live.join(sizes, "node").select("rep", "node", "size"), "jaccard-sized")
         if level == depth:
             final.append(sized)
@@ -216,25 +219,24 @@ def _candidates(met: DataFrame, classes: DataFrame, similarity: float, small: in
     """(grp, rep, n, partners): sets of a node (or pair of blocks) that need an exact look."""
     # A set is in at most a few dozen nodes: runs times the children of a path.
     places = met.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("node", "size"))).alias("places"))
-    rows = places.join(classes.select("rep", "n", "sketch"), "rep")
+    rows = places.join(classes.select("rep", "n", "marks"), "rep")
     rows = rows.withColumn("nodes", F.transform("places", lambda p: p["node"]))
-    rows = rows.select("rep", "n", "sketch", "nodes", F.explode("places").alias("place"))
+    rows = rows.select("rep", "n", "marks", "nodes", F.explode("places").alias("place"))
     blocks = F.ceil(F.col("place.size") / F.lit(small)).cast("int")
     mine = F.pmod(F.xxhash64("rep", "place.node"), blocks).cast("int")
-    rows = rows.select("rep", "n", "sketch", "nodes", F.col("place.node").alias("node"), blocks.alias("blocks"), mine.alias("block"))
+    rows = rows.select("rep", "n", "marks", "nodes", F.col("place.node").alias("node"), blocks.alias("blocks"), mine.alias("block"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
         F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("grp"),
         (F.col("block") > F.col("other")).alias("late"), (F.col("block") == F.col("other")).alias("same"),
-        "node", "rep", "n", "sketch", "nodes",
+        "node", "rep", "n", "marks", "nodes",
     )
     dealt = rows.repartition("grp").sortWithinPartitions("grp", "rep")
     least = similarity - SKETCH_SLACK * math.sqrt(similarity * (1 - similarity) / POSITIONS)
 
     def compare(part: pa.Table) -> pa.RecordBatch | None:
         reps = part["rep"].to_numpy()
-        # One byte of each token tells sketches apart: chance agreement is 1/256.
-        marks = _tokens(part["sketch"].combine_chunks(), POSITIONS).astype(np.uint8)
+        marks = np.frombuffer(b"".join(part["marks"].to_pylist()), np.uint8).reshape(len(reps), POSITIONS)
         same = (marks[:, None, :] == marks[None, :, :]).sum(axis=2, dtype=np.int16) / POSITIONS if len(reps) <= 64 else _agreement(marks)
         close = (same - 1 / 256) / (1 - 1 / 256) >= least
         close &= reps[:, None] < reps[None, :]

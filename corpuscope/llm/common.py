@@ -50,4 +50,7 @@ def bucketed(rows: DataFrame, key: str, name: str) -> DataFrame:
     writer = rows.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
     path = run_dir(spark, name)
     writer.option("path", path).option("compression", "zstd").saveAsTable(table_name)
-    return spark.table(table_name)
+    stored = spark.table(table_name)
+    # Spark knows buckets through its catalog only; the files stay when the entry goes.
+    spark.sql(f"DROP TABLE {table_name}")
+    return stored

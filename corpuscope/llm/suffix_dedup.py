@@ -15,8 +15,13 @@ blocks are the repeated intervals, and the earliest document of a block is known
 suffixes of different shards are ever compared.
 
 Crowded hashes. A hash of very many runs (a common phrase among ever other words) would
-be one task's work. Its strings are looked up one by one instead: the earliest document
-of each is a map-side aggregate over 128-bit digests, which no hash can crowd.
+be one task's work. Strings that hold its piece are told apart by how many bytes of them
+stand before the piece: those with a number from a to b all hold the a bytes before it and
+the bytes behind it that the b-th one has, so segments are dealt by these, too, trimmed to
+such strings, and equal ones are one. A group that is still crowded is dealt again with
+half the numbers and thus more bytes in common, until it is not; at a single number a
+group is one string. Every group is merged like any hash, and what is found goes back up
+to the segments it was cut from.
 
 Texts are written once, bucketed by row, so that the thin results come to them and
 texts are not shuffled.
@@ -51,7 +56,7 @@ RUN = 64
 # Bytes of one shard, suffix sorted alone, and of the shards merged at once.
 SHARD_BYTES = 1 << 15
 BIN_BYTES = 1 << 17
-# Runs of one hash that are merged in one task at most.
+# Runs of one hash, or different segments of one group, that are merged in one task at most.
 CROWDED = 20_000
 _LAST = 2**63 - 1
 
@@ -242,17 +247,19 @@ def remove_repeats(
 
     shared = materialize(_shared_hashes(heads.select("row", "text"), length), "suffix-hashes")
     crowded = materialize(_crowded(shared), "suffix-crowded")
-    found = None
-    if crowded.limit(1).count():
+    followed = heads.join(shared.select("row", "hashes"), "row")
+    if crowded.isEmpty():
+        mins = _merged(_segments(followed, length), length)
+    else:
         each = shared.select("row", F.explode("hashes").alias("hash"))
         by_row = F.collect_list("hash").alias("hashes")
-        alone = each.join(crowded, "hash", "left_semi").groupBy("row").agg(by_row)
-        found = _looked_up(heads.join(materialize(alone, "suffix-alone"), "row"), length)
-        shared = materialize(each.join(crowded, "hash", "left_anti").groupBy("row").agg(by_row), "suffix-merged")
-    followed = heads.join(shared.select("row", "hashes"), "row")
-    mins = materialize(_earliest(followed, length), "suffix-earliest")
-    merged = _found(followed, mins, length)
-    spans = (merged if found is None else merged.union(found)).groupBy("row").agg(F.collect_list("span").alias("spans"))
+        split = [
+            materialize(each.join(crowded, "hash", how).groupBy("row").agg(by_row), "suffix-rows") for how in ("left_anti", "left_semi")
+        ]
+        merged, refined = (_segments(heads.join(rows_, "row"), length) for rows_ in split)
+        mins = _merged(merged, length).unionByName(_refined(refined, length))
+    mins = materialize(mins, "suffix-earliest")
+    spans = _found(followed, mins, length).groupBy("row").agg(F.collect_list("span").alias("spans"))
 
     # Copies of a text: of a later document all is gone; of the same one, the same.
     known = texts.select("row", "ord", "digest").join(firsts, "digest")
@@ -339,31 +346,6 @@ def _crowded(shared: DataFrame) -> DataFrame:
     return once.union(more).groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") > CROWDED).select("hash")
 
 
-def _looked_up(followed: DataFrame, length: int) -> DataFrame:
-    """(row, span): strings of the followed hashes that an earlier document has."""
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            rows, ords = part.column(0).to_numpy(), part.column(1).to_numpy()
-            for data, offsets, text, start, count, _ in _followed_runs(part, length):
-                nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                at, of = np.repeat(start, count) + nth, np.repeat(text, count)
-                raw = memoryview(data)
-                for low in range(0, len(at), 1 << 16):
-                    a, o = at[low : low + (1 << 16)], of[low : low + (1 << 16)]
-                    digests = [hashlib.blake2b(raw[s : s + length], digest_size=16).digest() for s in a.tolist()]
-                    columns = [pa.array(digests, pa.binary()), pa.array(rows[o]), pa.array(ords[o]), pa.array((a - offsets[o]).astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["digest", "row", "ord", "start"])
-
-    placed = followed.select("row", "ord", "text", "hashes").mapInArrow(strings, "digest binary, row long, ord long, start long")
-    placed = materialize(placed, "suffix-strings")
-    owners = placed.groupBy("digest").agg(F.min("ord").alias("least"), F.max("ord").alias("last")).where("least < last")
-    # A string that very many texts have is a hot key; Spark splits its side.
-    met = placed.join(owners.select("digest", "least"), "digest").where(F.col("least") < F.col("ord"))
-    span = F.shiftleft("start", 32).bitwiseOR(F.col("start") + F.lit(length))
-    return met.select("row", span.alias("span"))
-
-
 def _followed_runs(part: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(data, text, start, count, hash) of runs under a hash that other texts have."""
     hashes = np.unique(part.column(3).flatten().to_numpy())
@@ -374,13 +356,15 @@ def _followed_runs(part: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarr
         yield data, offsets, text[keep], start[keep], count[keep], h[keep]
 
 
-def _key(segment: bytes, hash_: int) -> int:
-    return int.from_bytes(hashlib.blake2b(segment, digest_size=8, key=hash_.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
+def _key(segment: bytes, group: int) -> tuple[int, int]:
+    """128 bits that stand for a segment of a group (a hash, or what it was dealt by)."""
+    digest = hashlib.blake2b(segment, digest_size=16, key=group.to_bytes(8, "little", signed=True)).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _earliest(followed: DataFrame, length: int) -> DataFrame:
-    """(key, first, last, least): for each segment that a later text has too, or has in
-    part, the earliest document of its strings, a row per stretch that has one."""
+def _segments(followed: DataFrame, length: int) -> DataFrame:
+    """(grp, hash, segment, low, high): segments under the followed hashes, with the first
+    and last document that a task has seen each in. They are grouped by their hash."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -403,17 +387,23 @@ def _earliest(followed: DataFrame, length: int) -> DataFrame:
                 columns = [pa.array(hashes, pa.int64()), pa.array(list(seen), pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["hash", "segment", "low", "high"])
 
-    segments = followed.select("row", "ord", "text", "hashes").mapInArrow(cut, "hash long, segment binary, low long, high long")
-    dealt = segments.repartition("hash").sortWithinPartitions("hash", "segment")
+    found = followed.select("row", "ord", "text", "hashes").mapInArrow(cut, "hash long, segment binary, low long, high long")
+    return found.select(F.col("hash").alias("grp"), "*")
+
+
+def _merged(segments: DataFrame, length: int) -> DataFrame:
+    """(key, key2, first, last, least): for each segment that a later text has too, or has
+    in part, the earliest document of its strings, a row per stretch that has one."""
+    dealt = segments.select("grp", "hash", "segment", "low", "high").repartition("grp").sortWithinPartitions("grp", "segment")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in batches:
             part = pa.Table.from_batches([batch])
             table = pa.concat_tables([rest, part]).combine_chunks() if rest is not None else part
-            hashes = table["hash"].to_numpy()
-            cuts = np.flatnonzero(hashes[1:] != hashes[:-1]) + 1
-            # Whole hashes, in bins of bounded size.
+            groups = table["grp"].to_numpy()
+            cuts = np.flatnonzero(groups[1:] != groups[:-1]) + 1
+            # Whole groups, in bins of bounded size.
             if len(cuts):
                 yield from _bins(table.slice(0, int(cuts[-1])), length)
                 rest = table.slice(int(cuts[-1]))
@@ -422,7 +412,84 @@ def _earliest(followed: DataFrame, length: int) -> DataFrame:
         if rest is not None and len(rest):
             yield from _bins(rest, length)
 
-    return dealt.mapInArrow(merge, "key long, first int, last int, least long")
+    return dealt.mapInArrow(merge, "key long, key2 long, first int, last int, least long")
+
+
+_PART = ["grp", "hash", "a", "b", "at", "segment", "low", "high", "key", "key2", "up", "up2", "shift"]
+_PART_SCHEMA = (
+    "grp long, hash long, a int, b int, at int, segment binary, low long, high long,"
+    " key long, key2 long, up long, up2 long, shift int"
+)
+
+
+def _refined(segments: DataFrame, length: int) -> DataFrame:
+    """As :func:`_merged`, for segments of crowded hashes."""
+    both = [F.min("low").alias("low"), F.max("high").alias("high")]
+    span = length - PIECE_BYTES
+    level = segments.groupBy("grp", "hash", "segment").agg(*both)
+    level = level.select("grp", "hash", F.lit(0).alias("a"), F.lit(span).alias("b"), F.lit(-1).alias("at"), "segment", "low", "high")
+    level = materialize(level, "suffix-level")
+    found, links = [], []
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for part in zip(*(c.to_pylist() for c in batch.columns)) for r in _halves(*part, length)]
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.binary(), *[pa.int64()] * 6, pa.int32()]
+            for low in range(0, len(rows), 10_000):
+                columns = zip(*rows[low : low + 10_000])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _PART)
+
+    while True:
+        made = materialize(level.mapInArrow(split, _PART_SCHEMA), "suffix-halves")
+        links.append(made.select("key", "key2", "up", "up2", "shift"))
+        # Equal segments of a group are one, map-side first.
+        parts = made.groupBy("grp", "hash", "a", "b", "at", "segment").agg(*both)
+        parts = materialize(parts, "suffix-level")
+        crowded = materialize(parts.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("grp"), "suffix-crowded")
+        found.append(_merged(parts.join(crowded, "grp", "left_anti"), length))
+        if crowded.isEmpty():
+            break
+        level = parts.join(crowded, "grp", "left_semi").select("grp", "hash", "a", "b", "at", "segment", "low", "high")
+    # What was found in a part holds in all that it was cut from.
+    out = found[-1]
+    for k in range(len(links) - 1, -1, -1):
+        above = materialize(out, "suffix-found").join(links[k], ["key", "key2"])
+        moved = [(F.col(c) + F.col("shift")).cast("int").alias(c) for c in ("first", "last")]
+        out = above.select(F.col("up").alias("key"), F.col("up2").alias("key2"), *moved, "least")
+        if k:
+            out = out.unionByName(found[k - 1])
+    return out
+
+
+def _halves(grp: int, hash_: int, a: int, b: int, at: int, segment: bytes, low: int, high: int, length: int) -> Iterator[tuple]:
+    """The parts of a segment by half of the numbers a..b of bytes before the piece."""
+    up = _key(segment, grp)
+    span = length - PIECE_BYTES
+    last = len(segment) - length
+    # A string's piece is the first one in it; a part of a segment has one, at ``at``.
+    pieces = [at] if at >= 0 else _places(segment, hash_)
+    halves = [(a, (a + b) // 2), ((a + b) // 2 + 1, b)] if a < b else [(a, b)]
+    before = -1
+    for piece in pieces:
+        for from_, to in halves:
+            begin, end = max(before + 1, piece - to, 0), min(last, piece - from_)
+            if begin > end:
+                continue
+            part = segment[begin : end + length]
+            common = segment[piece - from_ : piece + PIECE_BYTES + span - to]
+            name = hash_.to_bytes(8, "little", signed=True) + bytes((from_, to)) + common
+            group = int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little", signed=True)
+            yield (group, hash_, from_, to, piece - begin, part, low, high, *_key(part, group), *up, begin)
+        before = piece
+
+
+def _places(segment: bytes, hash_: int) -> list[int]:
+    """Where the piece of a hash stands in a segment."""
+    n = len(segment)
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = np.frombuffer(segment, np.uint8)
+    eight = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1)).copy().view(np.uint64).ravel()
+    return np.flatnonzero(_piece_hashes(eight, n).view(np.int64) == hash_).tolist()
 
 
 def _may_share(segments: list[bytes], hashes: np.ndarray, length: int) -> np.ndarray:
@@ -466,25 +533,25 @@ def _may_share(segments: list[bytes], hashes: np.ndarray, length: int) -> np.nda
 
 
 def _bins(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
-    hashes = table["hash"].to_numpy()
+    groups, hashes = table["grp"].to_numpy(), table["hash"].to_numpy()
     segments = table["segment"].to_pylist()
     low, high = table["low"].to_numpy(), table["high"].to_numpy()
     # Equal segments (from different tasks) stand together: one of each, with its range.
-    new = np.r_[True, hashes[1:] != hashes[:-1]]
+    new = np.r_[True, groups[1:] != groups[:-1]]
     new[1:] |= np.fromiter((a != b for a, b in zip(segments[1:], segments[:-1])), bool, len(segments) - 1)
     firsts = np.flatnonzero(new)
     low, high = np.minimum.reduceat(low, firsts), np.maximum.reduceat(high, firsts)
-    segments, hashes = [segments[i] for i in firsts.tolist()], hashes[firsts]
+    segments, hashes, groups = [segments[i] for i in firsts.tolist()], hashes[firsts], groups[firsts]
     out = _Earliest()
-    begins = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-    group = np.cumsum(np.r_[True, hashes[1:] != hashes[:-1]]) - 1
+    border = np.r_[True, groups[1:] != groups[:-1]]
+    begins, group = np.flatnonzero(border), np.cumsum(border) - 1
     merged = _may_share(segments, hashes, length)
     # The others share no string: all their strings are their own earliest owner's.
     for i in np.flatnonzero(~merged & (low < high)).tolist():
-        out.add(segments[i], hashes[i], length, [0], [low[i]])
+        out.add(segments[i], groups[i], length, [0], [low[i]])
     sizes = np.array([len(s) for s in segments])
-    filled = np.cumsum(np.where(merged, sizes, 0))[np.r_[begins[1:] - 1, len(hashes) - 1]]
-    # Bins of whole hashes, of about as many bytes each.
+    filled = np.cumsum(np.where(merged, sizes, 0))[np.r_[begins[1:] - 1, len(groups) - 1]]
+    # Bins of whole groups, of about as many bytes each.
     bin_of = (filled // BIN_BYTES)[group]
     at = np.flatnonzero(merged)
     for bin_ in np.split(at, np.flatnonzero(np.diff(bin_of[at])) + 1) if len(at) else []:
@@ -492,26 +559,27 @@ def _bins(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
             # What is not earlier than the segment's last user takes nothing.
             if found.min() < high[i]:
                 cut = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
-                out.add(segments[i], hashes[i], length, cut.tolist(), found[cut].tolist())
+                out.add(segments[i], groups[i], length, cut.tolist(), found[cut].tolist())
     if out.keys:
         yield out.batch()
 
 
 class _Earliest:
-    """Rows (key, from, to, least): stretches of starts with one earliest owner."""
+    """Rows (key, key2, from, to, least): stretches of starts with one earliest owner."""
 
     def __init__(self):
         self.keys, self.first, self.last, self.least = [], [], [], []
 
-    def add(self, segment: bytes, hash_: int, length: int, cut: list[int], least: list[int]) -> None:
-        self.keys += [_key(segment, int(hash_))] * len(cut)
+    def add(self, segment: bytes, group: int, length: int, cut: list[int], least: list[int]) -> None:
+        self.keys += [_key(segment, int(group))] * len(cut)
         self.first += cut
         self.last += [*(c - 1 for c in cut[1:]), len(segment) - length]
         self.least += least
 
     def batch(self) -> pa.RecordBatch:
-        columns = [pa.array(self.keys, pa.int64()), pa.array(self.first, pa.int32()), pa.array(self.last, pa.int32())]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(self.least, pa.int64())], ["key", "first", "last", "least"])
+        columns = [pa.array(k, pa.int64()) for k in zip(*self.keys)]
+        columns += [pa.array(self.first, pa.int32()), pa.array(self.last, pa.int32()), pa.array(self.least, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["key", "key2", "first", "last", "least"])
 
 
 def _found(followed: DataFrame, mins: DataFrame, length: int) -> DataFrame:
@@ -523,13 +591,13 @@ def _found(followed: DataFrame, mins: DataFrame, length: int) -> DataFrame:
             for data, offsets, text, start, count, h in _followed_runs(part, length):
                 raw = data.tobytes() if len(data) < 1 << 26 else data
                 keys = [_key(bytes(raw[s : s + c + length - 1]), k) for s, c, k in zip(start.tolist(), count.tolist(), h.tolist())]
-                columns = [pa.array(keys, pa.int64()), pa.array(rows[text]), pa.array(ords[text])]
-                columns.append(pa.array((start - offsets[text]).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays(columns, ["key", "row", "ord", "start"])
+                columns = [pa.array(k, pa.int64()) for k in (zip(*keys) if keys else ([], []))]
+                columns += [pa.array(rows[text]), pa.array(ords[text]), pa.array((start - offsets[text]).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "key2", "row", "ord", "start"])
 
-    placed = followed.select("row", "ord", "text", "hashes").mapInArrow(place, "key long, row long, ord long, start long")
+    placed = followed.select("row", "ord", "text", "hashes").mapInArrow(place, "key long, key2 long, row long, ord long, start long")
     # A segment that very many texts have is a hot key; Spark splits its side.
-    met = placed.join(mins, "key")
+    met = placed.join(mins, ["key", "key2"])
 
     found = met.where(F.col("least") < F.col("ord"))
     begin = (F.col("start") + F.col("first")).cast("long")

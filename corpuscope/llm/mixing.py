@@ -25,8 +25,10 @@ from corpuscope.session import materialize
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MAX_EPOCHS = 2.0
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 1_000
 SEED = "mix"
+# Sources whose ends are sent to every task; more are joined.
+BROADCAST_SOURCES = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -74,6 +76,10 @@ def budgets(
     return left.withColumn("target", target).select("source", "source_size", "n_rows", "rank", "target")
 
 
+def _random_key(id_: Column, seed: str) -> Column:
+    return F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(id_.cast("string"), F.lit(""))), 256)
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -85,15 +91,19 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     keep: Sequence[str] = (),
+    row_col: str | None = None,
 ) -> DataFrame:
     """(id, source, size, source_size, target, epochs, part, taken) of every row.
 
-    ``epochs`` whole passes and the first ``part`` words of one more are taken.
+    ``epochs`` whole passes and the first ``part`` words of one more are taken. With
+    ``row_col``, a column that numbers the rows, ties are in its order, and ``place``
+    tells where each row stands in its source's order, for :func:`take`.
     """
-    key = F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256)
+    key = _random_key(F.col(id_col), seed)
+    tie = F.col(row_col) if row_col else F.lit(0).cast("long")
     thin = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
-        key.alias("key"), *[F.col(c).alias(f"__keep_{c}") for c in keep],
+        key.alias("key"), tie.alias("tie"), *[F.col(c).alias(f"__keep_{c}") for c in keep],
     )
     thin = materialize(thin, "mix-sizes")
     sums = thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
@@ -107,7 +117,7 @@ def mix(
     blocks = rows.groupBy("rank", "block").agg(F.sum("size").alias("block_size"))
     earlier = Window.partitionBy("rank").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("rank", "block", F.coalesce(F.sum("block_size").over(earlier), F.lit(0)).alias("block_start"))
-    inside = Window.partitionBy("rank", "block").orderBy("key", "id", "size")
+    inside = Window.partitionBy("rank", "block").orderBy("key", "id", "size", "tie")
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("upto", F.sum("size").over(inside)).join(starts, ["rank", "block"])
     start = F.col("block_start") + F.col("upto") - F.col("size")
@@ -119,6 +129,7 @@ def mix(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
         epochs.cast("long").alias("epochs"), part.cast("long").alias("part"),
         (epochs * F.col("size") + part).cast("long").alias("taken"), *[F.col(f"__keep_{c}").alias(c) for c in keep],
+        *([F.struct("key", "id", "size", "tie").alias("place")] if row_col else []),
     )
 
 
@@ -132,17 +143,35 @@ def first_words(text: Column, words: Column) -> Column:
     return F.regexp_replace(upto, r"[\x20\x09-\x0D]+$", "")
 
 
-def take(docs: DataFrame, mixed: DataFrame, row: str, text_col: str = "text") -> DataFrame:
+def take(
+    docs: DataFrame,
+    mixed: DataFrame,
+    row: str,
+    seed: str = SEED,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
     """The mixed rows themselves: whole copies, and the boundary row's first words.
 
-    ``row`` identifies a row in both tables (``keep`` it in :func:`mix`).
+    ``mixed`` is :func:`mix` of ``docs`` with ``row_col=row``. What a row gives follows
+    from its place in its source's order and from where the source's budget ends, one
+    place per source; so texts stay where they are.
     """
-    counts = mixed.select(row, *[F.col(c).alias(f"__{c}") for c in ("epochs", "part", "size")])
-    joined = docs.join(counts, row)
+    at = F.when(F.col("part") > 0, F.struct("place", "part"))
+    cuts = mixed.groupBy(F.col(source_col).alias("__source")).agg(F.max("epochs").alias("__epochs"), F.max(at).alias("__cut"))
+    cuts = materialize(cuts, "mix-cuts")
+    if cuts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        cuts = F.broadcast(cuts)
+    size = n_words(F.col(text_col))
+    place = F.struct(_random_key(F.col(id_col), seed).alias("key"), F.col(id_col).alias("id"), size.alias("size"), F.col(row).alias("tie"))
+    joined = docs.withColumn("__place", place).join(cuts, F.col(source_col).eqNullSafe(F.col("__source")))
     whole = F.array_repeat(F.lit(-1).cast("long"), F.col("__epochs").cast("int"))
     # All words of a row are the row itself, with its white space.
-    part = F.when(F.col("__part") < F.col("__size"), F.col("__part")).otherwise(F.lit(-1))
-    tail = F.when(F.col("__part") > 0, F.array(part)).otherwise(F.array().cast("array<bigint>"))
+    words, end = F.col("__place.size"), F.col("__cut.place")
+    part = F.when(F.col("__place") < end, words).when(F.col("__place") == end, F.col("__cut.part")).otherwise(F.lit(0).cast("long"))
+    part = F.when(F.coalesce(part, F.lit(0)) < words, F.coalesce(part, F.lit(0))).otherwise(F.when(words > 0, F.lit(-1)).otherwise(F.lit(0)))
+    tail = F.when(part != 0, F.array(part.cast("long"))).otherwise(F.array().cast("array<bigint>"))
     rows = joined.withColumn("__words", F.explode(F.concat(whole, tail)))
     text = F.when(F.col("__words") < 0, F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("__words")))
-    return rows.withColumn(text_col, text).drop("__words", "__epochs", "__part", "__size", row)
+    return rows.withColumn(text_col, text).drop("__words", "__epochs", "__cut", "__source", "__place", row)

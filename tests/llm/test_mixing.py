@@ -45,7 +45,7 @@ def test_all_texts_null(spark):
 
 def test_take_gives_the_words_counted(spark, odd):
     docs = materialize(odd.selectExpr("*", "monotonically_increasing_id() AS nr"), "mix-test")
-    mixed = materialize(mixing.mix(docs, keep=("nr",)), "mix-test")
+    mixed = materialize(mixing.mix(docs, row_col="nr"), "mix-test")
     words = {}
     taken = mixing.take(docs, mixed, "nr")
     assert taken.columns == odd.columns

@@ -1,19 +1,24 @@
-"""Embedding near-duplicates by projection passes.
+"""Embedding near-duplicates by sorted projection passes.
 
-Each pass draws random hyperplanes; vectors on the same sides of all of them share a cell,
-and all pairs of a cell are compared, whatever its size: a crowded one block against
+Each pass draws random hyperplanes; the sides of a vector are the bits of a key, and
+vectors are sorted by it. Every vector is compared with its ``window`` neighbours behind
+it, over the borders of tasks, too. Vectors on the same sides of the first planes, the
+prefix, stand together: a run of them no longer than the window is compared as a whole
+by that, and in a run more crowded than the window all pairs are compared block against
 block, in many tasks. So the recall holds for any data: a pair at the threshold shares
-the cell of a pass with a chance that its angle and the number of planes alone give, and
-the number of passes follows from that chance. How many planes are drawn follows from
-the cost of the cells they would make of all the rows; where planes do not separate the
-vectors, that is none, and one pass compares all pairs. Equal vectors are one class.
+the prefix of a pass with a chance that its angle and the number of planes alone give,
+and the number of passes follows from that chance. How many planes make the prefix
+follows from the cost of the runs they would make of all the rows; where planes do not
+separate the vectors, that is none, and one pass compares all pairs. Linked pairs are
+united across passes. Equal vectors are one class.
 
 Inside a component all members are then compared exactly, block against block, so link
 counts miss nothing there, however many near copies it has; pairs leave no task.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing; vectors of different length do not link; null ids keep
-their row; repeated rows are copies of each other; an empty table gives an empty result.
+their row; repeated rows are copies of each other; other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.llm.components import components
@@ -32,9 +37,14 @@ from corpuscope.session import materialize
 
 COSINE = 0.95
 TARGET_RECALL = 0.9999
-# Cells are not cut to fewer vectors than half of this, on average.
+# Neighbours that a vector is compared with in a pass. Runs are not cut to fewer vectors
+# than half of this, on average.
 WINDOW = 48
+# Vectors of a block, in the sorted order and of a crowded run, and of a component.
 BLOCK = 512
+LINK_BLOCK = 4096
+# Planes behind the prefix that put like vectors of a run next to each other.
+ORDER_BITS = 16
 # Passes whose cells are counted, over all rows, to choose the number of planes.
 COUNTED = 2
 # Bits of a key at most, and signs computed at once in a worker.
@@ -96,7 +106,11 @@ def near_duplicates(
     most = min(KEY_BITS, max(0, math.ceil(math.log2(max(classes.count(), 1) / window))))
     bits = _cheapest_bits(classes, most, cosine, target_recall)
     passes = passes_needed(bits, cosine, target_recall)
-    edges = materialize(_cell_links(classes, passes, bits, cosine), "embed-edges")
+    keys = materialize(_cells(classes, passes, min(KEY_BITS, bits + ORDER_BITS)), "embed-keys")
+    shift = min(KEY_BITS, bits + ORDER_BITS) - bits
+    near = _window_links(keys, classes, cosine, window)
+    crowded = _crowded_links(keys, shift, classes, cosine, window)
+    edges = materialize(near.unionByName(crowded).distinct(), "embed-edges")
     roots = components(edges)
     links = _links(classes.join(roots.withColumnRenamed("node", "rep"), "rep"), cosine)
 
@@ -155,11 +169,48 @@ def _cheapest_bits(classes: DataFrame, most: int, cosine: float, target: float)
     return min(costs, key=lambda b: (costs[b] * passes_needed(b, cosine, target), b), default=0)
 
 
-def _cell_links(classes: DataFrame, passes: int, bits: int, cosine: float) -> DataFrame:
-    """(a, b): links between vectors that share a cell, joined up within each task's blocks."""
-    cells = materialize(_cells(classes, passes, bits), "embed-cells")
+def _window_links(keys: DataFrame, classes: DataFrame, cosine: float, window: int) -> DataFrame:
+    """(a, b): links between neighbours in the order of each pass's keys."""
+    order = ["dim", "pass", "key", "rep"]
+    ranked = keys.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranked = ranked.select("rep", "dim", "pass", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
+    ranked = materialize(ranked, "embed-sorted")
+    # One row per task meets here.
+    parts = ranked.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    placed = ranked.join(parts, "part").withColumn("pos", F.col("base") + F.col("id") - F.col("first"))
+    block = F.floor(F.col("pos") / F.lit(BLOCK)).cast("long")
+    # A block's first rows are neighbours of the last ones of the blocks before it.
+    back = F.floor((F.col("pos") - F.lit(window)) / F.lit(BLOCK)).cast("long")
+    placed = placed.withColumn("own", block).withColumn("grp", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), back), block)))
+    placed = placed.select("rep", "dim", "pass", "pos", "grp", (F.col("grp") < F.col("own")).alias("late"))
+    dealt = placed.join(classes.select("rep", "unit"), "rep").repartition("grp").sortWithinPartitions("grp", "pos")
+
+    def compare(part: pa.Table) -> pa.RecordBatch | None:
+        reps, pos, late = part["rep"].to_numpy(), part["pos"].to_numpy(), part["late"].to_numpy()
+        run = part["dim"].to_numpy().astype(np.int64) << 32 | part["pass"].to_numpy()
+        units = part["unit"].to_pylist()
+        union = _Union(len(reps))
+        bounds = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(reps)]
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            matrix = np.frombuffer(b"".join(units[low:high]), np.float64).reshape(high - low, -1)
+            for step in range(1, min(window, high - low - 1) + 1):
+                near = np.einsum("ij,ij->i", matrix[:-step], matrix[step:]) >= cosine
+                # Rows of later blocks are compared with each other there.
+                for i in (np.flatnonzero(near & ~late[low : high - step]) + low).tolist():
+                    if pos[i + step] - pos[i] <= window:
+                        union.join(i, i + step)
+        return union.edges(reps)
+
+    return dealt.mapInArrow(by_group("grp", compare), "a long, b long")
+
+
+def _crowded_links(keys: DataFrame, shift: int, classes: DataFrame, cosine: float, window: int) -> DataFrame:
+    """(a, b): links between vectors of a prefix that more than a window of them share."""
+    cells = keys.withColumn("key", F.shiftright("key", shift))
     # Sizes aggregate map-side; both sides of the join are plain exchanges.
-    sizes = cells.groupBy("pass", "dim", "key").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = cells.groupBy("pass", "dim", "key").agg(F.count("*").alias("size")).where(F.col("size") > window + 1)
     sizes = sizes.withColumn("blocks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int"))
     met = cells.join(sizes, ["pass", "dim", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -168,20 +219,42 @@ def _cell_links(classes: DataFrame, passes: int, bits: int, cosine: float) -> Da
         (F.col("block") > F.col("other")).alias("late"), (F.col("block") == F.col("other")).alias("same"),
     )
     dealt = met.join(classes.select("rep", "unit"), "rep").repartition("grp").sortWithinPartitions("grp", "rep")
-    return dealt.mapInArrow(by_group("grp", lambda part: _group_links(part, cosine)), "a long, b long").distinct()
+    return dealt.mapInArrow(by_group("grp", lambda part: _group_links(part, cosine)), "a long, b long")
 
 
-def _group_links(part: pa.Table, cosine: float) -> pa.RecordBatch | None:
-    reps, late = part["rep"].to_numpy(), part["late"].to_numpy()
-    same, units = part["same"].to_numpy().any(), part["unit"].to_pylist()
-    root = np.arange(len(reps))
+class _Union:
+    """Rows of a group joined by links."""
 
-    def find(x: int) -> int:
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def find(self, x: int) -> int:
+        root = self.root
         while root[x] != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
+    def join(self, *rows: int) -> None:
+        tops = set(map(self.find, rows))
+        if len(tops) > 1:
+            least = min(tops)
+            for top in tops:
+                self.root[top] = least
+
+    def edges(self, reps: np.ndarray) -> pa.RecordBatch | None:
+        tops = np.array([self.find(i) for i in range(len(reps))], np.int64)
+        # The same vector may stand in a group twice, in two passes.
+        linked = np.flatnonzero((tops != np.arange(len(reps))) & (reps != reps[tops]))
+        if len(linked) == 0:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(reps[linked]), pa.array(reps[tops[linked]])], ["a", "b"])
+
+
+def _group_links(part: pa.Table, cosine: float) -> pa.RecordBatch | None:
+    reps, late = part["rep"].to_numpy(), part["late"].to_numpy()
+    same, units = part["same"].to_numpy().any(), part["unit"].to_pylist()
+    union = _Union(len(reps))
     # One length only, but for two cells of one hash.
     size = np.array([len(u) for u in units])
     for length in np.unique(size).tolist():
@@ -191,21 +264,13 @@ def _group_links(part: pa.Table, cosine: float) -> pa.RecordBatch | None:
         a, b = (np.frombuffer(b"".join(units[i] for i in at.tolist()), np.float64).reshape(len(at), length // 8) for at in (first, second))
         for i, near in enumerate(a @ b.T >= cosine):
             # Rows linked to one row are joined at once.
-            tops = {find(int(first[i])), *map(find, second[near].tolist())}
-            if len(tops) > 1:
-                least = min(tops)
-                for top in tops:
-                    root[top] = least
-    tops = np.array([find(i) for i in range(len(reps))])
-    linked = np.flatnonzero(tops != np.arange(len(reps)))
-    if len(linked) == 0:
-        return None
-    return pa.RecordBatch.from_arrays([pa.array(reps[linked]), pa.array(reps[tops[linked]])], ["a", "b"])
+            union.join(int(first[i]), *second[near].tolist())
+    return union.edges(reps)
 
 
 def _links(members: DataFrame, cosine: float) -> DataFrame:
     """(rep, links): other vectors linked to each, all members of a component compared."""
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / F.lit(LINK_BLOCK)).cast("int").alias("blocks"))
     rows = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
@@ -217,13 +282,21 @@ def _links(members: DataFrame, cosine: float) -> DataFrame:
 
     def count(part: pa.Table) -> pa.RecordBatch:
         matrix = np.frombuffer(b"".join(part["unit"].to_pylist()), np.float64).reshape(len(part), -1)
-        n = part["n"].to_numpy()
-        near = matrix @ matrix.T >= cosine
-        np.fill_diagonal(near, False)
-        if not part["same"][0].as_py():
-            late = part["late"].to_numpy()
-            near &= late[:, None] != late[None, :]
-        return pa.RecordBatch.from_arrays([part["rep"].combine_chunks(), pa.array(near @ n)], ["rep", "links"])
+        n, links = part["n"].to_numpy(), np.zeros(len(part), np.int64)
+        late = part["late"].to_numpy()
+        same = part["same"][0].as_py()
+        second = np.arange(len(part)) if same else np.flatnonzero(late)
+        first = second if same else np.flatnonzero(~late)
+        # A few rows at a time against all others, so that no matrix of all pairs is held.
+        for low in range(0, len(first), BLOCK):
+            here = first[low : low + BLOCK]
+            near = matrix[here] @ matrix[second].T >= cosine
+            if same:
+                near[np.arange(len(here)), here] = False
+            else:
+                links[second] += near.T @ n[here]
+            links[here] += near @ n[second]
+        return pa.RecordBatch.from_arrays([part["rep"].combine_chunks(), pa.array(links)], ["rep", "links"])
 
     counts = dealt.mapInArrow(by_group("grp", count), "rep long, links long")
     return counts.groupBy("rep").agg(F.sum("links").alias("links"))

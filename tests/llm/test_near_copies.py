@@ -305,6 +305,37 @@ def test_clusters_larger_than_window_and_block(spark, monkeypatch):
     assert got == {i: (int(near[i].sum()), roots[i]) for i in range(len(vectors))}
 
 
+def test_neighbours_meet_over_the_borders_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(11)
+    vectors = rng.standard_normal((120, 6))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    classes = materialize(spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(vectors)], "rep long, unit binary").repartition(5), "vec-test")
+    keys = materialize(embedding_dedup._cells(classes, 3, 10), "vec-test")
+    ordered = sorted((r.dim, r["pass"], r.key, r.rep) for r in keys.collect())
+    for window in (1, 5, 20):
+        want = set()
+        for i, (dim, pass_, _, a) in enumerate(ordered):
+            for _, other, _, b in ordered[i + 1 : i + 1 + window]:
+                if other == pass_ and vectors[a] @ vectors[b] >= 0.8:
+                    want.add((min(a, b), max(a, b)))
+        edges = embedding_dedup._window_links(keys, classes, 0.8, window).collect()
+        got = roots_of(range(120), [(r.a, r.b) for r in edges])
+        assert want and got == roots_of(range(120), want)
+
+
+def test_links_of_a_component_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 4)
+    monkeypatch.setattr(embedding_dedup, "LINK_BLOCK", 16)
+    rng = np.random.default_rng(4)
+    vectors = np.array([1.0, 0, 0]) + rng.standard_normal((90, 3)) * 0.2
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    df = materialize(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"), "vec-test")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    near = vectors @ vectors.T >= 0.95
+    assert got == {i: int(near[i].sum()) - 1 for i in range(90)}
+
+
 @pytest.mark.parametrize("most", [None, 7])
 def test_pairs_in_a_dense_cone_meet(spark, monkeypatch, most):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 64)

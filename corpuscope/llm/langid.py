@@ -31,6 +31,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 # The classifier is fitted on about this many labelled documents at most, drawn by a
 # hash of id and text; every document is classified.
 MAX_TRAIN_DOCS = 10_000
+# Languages learned at most.
+MAX_LANGS = 128
 EM_ROUNDS = 2
 # Weight of the vocabulary's own scores, in pieces.
 PRIOR_STRENGTH = 300.0
@@ -115,6 +117,7 @@ def fit(
     train: Column | None = None,
     vocabulary: str = lattice.VOCABULARY,
     max_docs: int = MAX_TRAIN_DOCS,
+    max_langs: int = MAX_LANGS,
     rounds: int = EM_ROUNDS,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -122,11 +125,14 @@ def fit(
 ) -> Model:
     """Learns from the rows where ``train`` holds and text and label are not null.
 
-    What reaches the driver has one row per language, or per language and piece.
+    At most ``max_langs`` languages are learned, those with the most rows (of equal ones
+    the first by name); rows of other labels teach nothing. So the model, and what reaches
+    the driver, one row per language and piece, are of bounded size.
     """
     rows = docs.where(F.lit(True) if train is None else train)
     rows = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    shares = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy("lang").collect()
+    shares = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    shares.sort(key=lambda r: r["lang"].encode())
     vocab = lattice.pieces(vocabulary)
     if not shares:
         return Model([], np.empty(0), np.empty((vocab.size, 0)), vocabulary)
@@ -158,7 +164,7 @@ def predict(
     """``docs`` with the likeliest language and its posterior probability added."""
     kept = docs.drop(*out)
     spark = docs.sparkSession
-    # Bounded by vocabulary size times languages: about a quarter megabyte a language.
+    # Bounded by vocabulary size times ``max_langs``: about a quarter megabyte a language.
     shared = spark.sparkContext.broadcast(model)
     # The text stands once more in front, as bytes: words are cut without decoding.
     source = kept.select(F.col(text_col).cast("binary").alias("__text"), *[F.col(f"`{c}`") for c in kept.columns])

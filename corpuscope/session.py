@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -53,6 +54,30 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application.
+
+    Functions that run in Python workers name their helpers by module; so an executor
+    needs the modules, wherever the driver was started.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="corpuscope-"), "corpuscope-package.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(target)
+
+
 _SCRATCH: list[str] = []
 
 
@@ -63,6 +88,7 @@ def run_dir(spark: SparkSession, name: str) -> str:
     Whoever runs the job removes the shared folder's contents after it, as results
     read from these tables may be used for as long as the session lives.
     """
+    ship_package(spark)
     parent = _SCRATCH[-1] if _SCRATCH else shared_dir(spark)
     return f"{parent}/{name}-{uuid.uuid4().hex}"
 

@@ -290,8 +290,10 @@ class _File:
         def build(o: Column) -> Column:
             callee = self.tok(o - 1)
             after_body = _is(callee, "}") & _is(self.tok(self.match(o - 1) - 1), ")")
-            callable_ = (_word(callee) & ~_is(callee, *_NOT_CALLEE)) | _is(callee, ")", "]", ">") | after_body
             dotted = _is(self.tok(o - 2), ".")
+            # Behind a dot any word is a name: p.catch(e => 1).
+            named = _word(callee) & (dotted | ~_is(callee, *_NOT_CALLEE))
+            callable_ = named | _is(callee, ")", "]", ">") | after_body
             twice = dotted & _is(self.tok(o - 4), ".")
             constructed = (
                 _is(self.tok(o - 2), "new")

@@ -72,6 +72,22 @@ SELECT concat('c', CAST(conv_id AS VARCHAR(12)), '-', CAST(turn AS VARCHAR(12)))
 FROM conversations
 """
 
+# One file of a kind each: together they hold every construct that is scored.
+RICH_FILES = (
+    "async function load(u) { try { const r = await fetch(u); for (const k in r) { if (k) { use(k); } } } catch (e) { throw e; } }",
+    "export class A extends B { get x() { return this.y ? 1 : 2; } run() { while (this.go) { this.step(); } } }",
+    "export default function main(a) { switch (a) { case 1: return 1; case 2: return 2; default: return 0; } }",
+    "const sum = (xs) => xs.reduce((a, b) => a + b, 0), two = function () { do { go(); } while (x); };",
+    "const o = { m(a) { return a && b || c; }, get p() { return 1; }, async *q() { await 1; }, k: 2 };",
+    "for (let i = 0; i < 3; i++) { for (const v of l) { if (v) continue; } }",
+    "const t = `a ${x ? `b ${y && z}` : ''} c`; require('t');",
+    "export const V = () => <ul>{xs.map((x) => <li key={x}>{x ? 'y' : \"it's\"} // if (a)</li>)}</ul>;",
+    "import d, { e } from './d'; export * from 'f'; export { g } from \"h\"; import 'side'; const i = require('i');",
+    "new Promise((res, rej) => { setTimeout(() => res(1), 5); }).then(function done() {}).catch((e) => { if (e) throw e; });",
+    "label: while (true) { if (a) { break label; } else if (b) { continue label; } }",
+    "function* gen() { yield* other(); } export async function go() { for await (const x of gen()) { await x; } } export { gen };",
+)
+
 _TABLES = (
     "part",
     "events",
@@ -105,6 +121,18 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rich_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``seq, path, ext, content``: a file per part, of each of the rich kinds in turn."""
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey"))
+    kinds = F.array(*map(F.lit, RICH_FILES))
+    return parts.select(
+        F.col("p_partkey").alias("seq"),
+        F.concat(F.lit("/rich/f"), F.col("p_partkey"), F.lit(".tsx")).alias("path"),
+        F.lit("tsx").alias("ext"),
+        F.element_at(kinds, (F.col("p_partkey") % len(RICH_FILES) + 1).cast("int")).alias("content"),
+    )
+
+
 def obfuscated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``seq, path, ext, content``: one obfuscated source file per part."""
     parts = spread(

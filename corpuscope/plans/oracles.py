@@ -232,6 +232,28 @@ ORACLES["module_table"] = (
   CASE WHEN html THEN '' ELSE concat(export_name, '|', export_name) END AS functions, '' AS classes,
   CAST(size AS BIGINT) AS size, complexity FROM mods LEFT JOIN {_DEP_LIST} d ON d.path = mods.path"""
 )
+# What the files of fixtures.RICH_FILES must give, counted by hand from the scoring rules:
+# dependencies, exports, functions, classes, complexity, kinds.
+_RICH = [
+    ("", "", "load", "", 8, "await,catch,fn_decl,for_each,if,try"),
+    ("", "A", "", "A|A", 4, "class_decl,ternary,while"),
+    ("", "default", "main", "", 4, "case,case,fn_decl,switch"),
+    ("", "", "sum|two", "", 7, "arrow,arrow,callback_call,do_while,fn_expr"),
+    ("", "", "m|p|q", "", 7, "await,logical,logical,method,method,method"),
+    ("", "", "", "", 2, "for,for_each,if"),
+    ("t", "", "", "", 2, "logical,ternary"),
+    ("", "", "V", "", 9, "arrow,arrow,callback_call,ternary"),
+    ("./d|f|h|side|i", "", "", "", 0, ""),
+    ("", "", "", "", 10, "arrow,arrow,arrow,callback_call,callback_call,callback_call,fn_expr,if"),
+    ("", "", "", "", 3, "if,if,while"),
+    ("", "go", "gen|go|go", "", 5, "await,fn_decl,fn_decl,for_each"),
+]
+ORACLES["rich_modules"] = (
+    "SELECT concat('/rich/f', CAST(p_partkey AS VARCHAR), '.tsx') AS path, dependencies, exports, functions, classes,"
+    " CAST(complexity AS BIGINT) AS complexity, kinds FROM part JOIN (VALUES "
+    + ", ".join(f"({i}, '{d}', '{e}', '{f}', '{c}', {n}, '{k}')" for i, (d, e, f, c, n, k) in enumerate(_RICH))
+    + f") t(i, dependencies, exports, functions, classes, complexity, kinds) ON p_partkey % {len(_RICH)} = i"
+)
 ORACLES["split_bundle_modules"] = (
     f"WITH obf AS (SELECT o.*, p_brand FROM ({OBFUSCATED_FILES_SQL}) o JOIN part ON seq = p_partkey) "
     + """SELECT path, CAST(0 AS INT) AS module_idx,

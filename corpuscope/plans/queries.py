@@ -315,6 +315,16 @@ def module_table(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@_query
+def rich_modules(spark: SparkSession, sf: str) -> DataFrame:
+    """The module table over files of every construct, with the kinds found in each."""
+    files = fx.rich_files(spark, sf)
+    kinds = structure.code_nodes(files).groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("kinds"))
+    found = modules.module_table(files).join(kinds, "path", "left")
+    names = [_joined(c) for c in ("dependencies", "exports", "functions", "classes")]
+    return found.select("path", *names, "complexity", F.coalesce("kinds", F.lit("")).alias("kinds"))
+
+
 @_query
 def split_bundle_modules(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.split_bundle_modules(fx.obfuscated_files(spark, sf))

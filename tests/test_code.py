@@ -66,6 +66,7 @@ def _kinds(files, code):
         ("try { a } catch { b }; p.catch(e)", ["try", "catch"]),
         ("x.map(function (e) {}); y.then(1, z => z)", ["callback_call", "fn_expr", "callback_call", "arrow"]),
         ("new P(() => 1); a?.b(() => 1); (() => 1)()", ["arrow", "arrow", "arrow"]),
+        ("p.catch(e => 1).finally(() => 2); a.if(() => 3)", ["callback_call", "arrow", "callback_call", "arrow", "callback_call", "arrow"]),
         ("!function (a) {}(this, function () {})", ["fn_expr", "callback_call", "fn_expr"]),
         ("class A {}; const B = class {}; export default class {}", ["class_decl", "export_default", "class_decl"]),
         ("class A { m() {} get x() {} }", ["class_decl"]),

@@ -58,6 +58,8 @@ SHARD_BYTES = 1 << 15
 BIN_BYTES = 1 << 17
 # Runs of one hash, or different segments of one group, that are merged in one task at most.
 CROWDED = 20_000
+# Parts of the numbers of bytes before a piece in which segments are looked at for company.
+SHARE_PARTS = 8
 _LAST = 2**63 - 1
 
 
@@ -492,14 +494,15 @@ def _places(segment: bytes, hash_: int) -> list[int]:
     return np.flatnonzero(_piece_hashes(eight, n).view(np.int64) == hash_).tolist()
 
 
-def _may_share(segments: list[bytes], hashes: np.ndarray, length: int) -> np.ndarray:
-    """Which segments can share a string with another one of their hash.
+def _may_share(segments: list[bytes], hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) start of the strings that each segment can share with another one of
+    its hash; the last is before the first where there are none.
 
-    A shared string holds the least piece at one place in both, and of the other bytes
-    half or more lie on one side of it: there the segments agree on that many bytes next
-    to the piece. A segment that agrees with no other on either side shares nothing.
+    A shared string holds the least piece at one place in both. Strings with from a to b
+    bytes before the piece all hold the a bytes before it and those behind it that the
+    b-th one has; a segment that agrees with no other in these shares none of them.
     """
-    side = -(-(length - PIECE_BYTES) // 2)
+    span = length - PIECE_BYTES
     sizes = np.array([len(s) for s in segments])
     ends = np.cumsum(sizes)
     joined = np.frombuffer(b"".join(segments) + bytes(8), np.uint8)
@@ -512,24 +515,26 @@ def _may_share(segments: list[bytes], hashes: np.ndarray, length: int) -> np.nda
     of = segment[at]
     begin = ends[of] - sizes[of]
 
-    def agree(start: np.ndarray, whole: np.ndarray, tag: int) -> tuple[np.ndarray, np.ndarray]:
-        start, owner = start[whole], of[whole]
-        key = mix(hashes[owner].view(np.uint64) + np.uint64(tag))
-        for k in [*range(0, side - 8, 8), side - 8]:
+    bounds = [k * (span + 1) // SHARE_PARTS for k in range(SHARE_PARTS + 1)]
+    first, last = sizes.copy(), np.full(len(segments), -1)
+    for part, (a, b) in enumerate((x, y - 1) for x, y in zip(bounds[:-1], bounds[1:]) if x < y):
+        whole = np.flatnonzero((at - a >= begin) & (at + PIECE_BYTES + span - b <= ends[of]))
+        start, owner, size = at[whole] - a, of[whole], a + PIECE_BYTES + span - b
+        key = mix(hashes[owner].view(np.uint64) + np.uint64(part + 1))
+        for k in [*range(0, size - 8, 8), size - 8]:
             key = mix(key ^ eight[start + k])
-        return key, owner
-
-    left = agree(at - side, at - side >= begin, 1)
-    right = agree(at + PIECE_BYTES, at + PIECE_BYTES + side <= ends[of], 2)
-    keys, owners = np.concatenate([left[0], right[0]]), np.concatenate([left[1], right[1]])
-    order = np.lexsort((owners, keys))
-    keys, owners = keys[order], owners[order]
-    near = (keys[1:] == keys[:-1]) & (owners[1:] != owners[:-1])
-    out = np.zeros(len(segments), bool)
-    # Of a run of equal keys with several owners every row is next to another owner's,
-    # or stands in a run of rows of its own owner that is.
-    out[owners[1:][near]] = out[owners[:-1][near]] = True
-    return out
+        order = np.lexsort((owner, key))
+        keys, owners = key[order], owner[order]
+        near = (keys[1:] == keys[:-1]) & (owners[1:] != owners[:-1])
+        # Of a run of equal keys with several owners every row is next to another owner's,
+        # or stands in a run of rows of its own owner that is: mark the owners.
+        shares = np.zeros(len(segments), bool)
+        shares[owners[1:][near]] = shares[owners[:-1][near]] = True
+        mine = whole[shares[owner]]
+        place = at[mine] - begin[mine]
+        np.minimum.at(first, of[mine], np.maximum(place - b, 0))
+        np.maximum.at(last, of[mine], place - a)
+    return first, np.minimum(last, sizes - length)
 
 
 def _bins(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
@@ -545,17 +550,21 @@ def _bins(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     out = _Earliest()
     border = np.r_[True, groups[1:] != groups[:-1]]
     begins, group = np.flatnonzero(border), np.cumsum(border) - 1
-    merged = _may_share(segments, hashes, length)
+    first, last = _may_share(segments, hashes, length)
+    merged = first <= last
     # The others share no string: all their strings are their own earliest owner's.
     for i in np.flatnonzero(~merged & (low < high)).tolist():
         out.add(segments[i], groups[i], length, [0], [low[i]])
-    sizes = np.array([len(s) for s in segments])
-    filled = np.cumsum(np.where(merged, sizes, 0))[np.r_[begins[1:] - 1, len(groups) - 1]]
+    filled = np.cumsum(np.where(merged, last - first + length, 0))[np.r_[begins[1:] - 1, len(groups) - 1]]
     # Bins of whole groups, of about as many bytes each.
     bin_of = (filled // BIN_BYTES)[group]
     at = np.flatnonzero(merged)
     for bin_ in np.split(at, np.flatnonzero(np.diff(bin_of[at])) + 1) if len(at) else []:
-        for i, found in zip(bin_.tolist(), earliest([segments[i] for i in bin_.tolist()], low[bin_], length)):
+        # Only the strings that can be shared are merged.
+        trimmed = [segments[i][first[i] : last[i] + length] for i in bin_.tolist()]
+        for i, shared in zip(bin_.tolist(), earliest(trimmed, low[bin_], length)):
+            found = np.full(len(segments[i]) - length + 1, low[i])
+            found[first[i] : last[i] + 1] = shared
             # What is not earlier than the segment's last user takes nothing.
             if found.min() < high[i]:
                 cut = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])

@@ -7,8 +7,8 @@ driver. Where a single value spans the median (a source with a third of all rows
 the cut goes through it by a hash of the row. Only native functions.
 
 Defined results: a null text counts 8 bytes (the row's overhead); null metadata sort
-first; repeated rows are rows of their own; with fewer rows than leaves some shards
-stay empty; an empty table gives an empty result.
+first; repeated rows are rows of their own; columns that are no dimension are ignored;
+with fewer rows than leaves some shards stay empty; an empty table gives an empty result.
 """
 
 from __future__ import annotations

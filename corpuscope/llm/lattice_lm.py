@@ -1,7 +1,7 @@
 """Subword lattice likelihood: the summed probability of all segmentations of a text.
 
-The pieces are those of an existing public vocabulary. Its own scores (ranks) give the
-first weights; expectation maximisation over the segmentations of all training words
+The pieces are those of an existing public vocabulary. Its own scores are merge ranks, no
+probabilities of a unigram model; they serve as first weights only: expectation maximisation over the segmentations of all training words
 turns them into piece probabilities, one set per class of documents (the label column,
 rare labels pooled). A word's probability is the sum over its lattice: every path of
 pieces (forward recursion in log space), and one edge over the whole word with its

@@ -9,7 +9,7 @@ meet in one window.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a source
 of its own, the last; sources without words have budget 0; repeated rows count each;
-an empty table gives an empty result. Reruns over the same rows agree.
+other columns are ignored; an empty table gives an empty result. Reruns over the same rows agree.
 """
 
 from __future__ import annotations

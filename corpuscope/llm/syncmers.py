@@ -8,8 +8,8 @@ two fingerprints are compared as bottom-k samples of the two anchor sets.
 Defined results: a null text is an empty one, with an empty fingerprint; a text without
 an anchor (shorter than a k-mer, or a single one that is none) has the hash of the whole
 text instead; two empty fingerprints have likeness 1, an empty and another 0; null ids
-come last in the order of documents; repeated rows are documents of their own; an empty
-table gives an empty result. A text is handled in one row: some 40 bytes a code point.
+come last in the order of documents; repeated rows are documents of their own; other
+columns are ignored; an empty table gives an empty result. A text is handled in one row: some 40 bytes a code point.
 """
 
 from __future__ import annotations

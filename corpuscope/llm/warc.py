@@ -16,8 +16,9 @@ Its line separator is the last byte of each record: LF for plain files; for gzip
 zero byte that ends a member of less than 16 MiB (a longer one gets an empty member
 behind it, which ends in zero too).
 
-Defined results: a null payload is an empty one; repeated rows are records of their
-own; an empty table gives no archive; an empty or unreadably short file is one gap.
+Defined results: a null payload is an empty one; repeated rows, and rows of one page id,
+are records of their own; a null page id is written as "none", read as null, and never
+the response that others refer to; other columns are ignored; an empty table gives no archive; an empty or unreadably short file is one gap.
 """
 
 from __future__ import annotations

@@ -40,7 +40,7 @@ def test_sound_files():
     assert seen(b"".join(map(gzip.compress, records))) == (names(0, 1, 2, 3), [])
 
 
-@pytest.mark.parametrize("at", [0, 7, 60, -3])
+@pytest.mark.parametrize("at", [0, 7, 50, -3])
 def test_a_damaged_plain_record_is_passed_over(at):
     records = [record(i, b"p" * 50) for i in range(4)]
     bad = bytearray(records[1])
@@ -48,7 +48,7 @@ def test_a_damaged_plain_record_is_passed_over(at):
     records[1] = bytes(bad)
     ids, gaps = seen(b"".join(records))
     a, b = len(records[0]), len(records[0]) + len(records[1])
-    if at == 60:  # inside the id: the header still holds
+    if at == 50:  # inside the id: the header still holds
         assert len(ids) == 4 and gaps == []
     else:
         assert ids == names(0, 2, 3) and gaps == [(a, b)]

@@ -98,6 +98,6 @@ def test_stages_take_odd_and_no_rows(spark, odd, empty):
 def test_registered(spark, sf_dir):
     import __spark_entry__ as entry
 
-    assert set(f"op{i}" for i in range(1, 11)) == {q.split("_")[0] for q in entry.queries() if re.match(r"op\d+_", q)}
+    assert set(f"op{i}" for i in range(1, 14)) == {q.split("_")[0] for q in entry.queries() if re.match(r"op\d+_", q)}
     assert entry.queries()["pipeline"] is pipeline.run
     assert pipeline.run(spark, sf_dir).count() > 0

@@ -157,14 +157,19 @@ def exported_logs(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('  {\n    "type": "'), F.col("type"), F.lit('",\n    "timestamp": '), F.unix_millis(F.col("ts").cast("timestamp")).cast("string"),
         F.lit(',\n    "location": "'), F.col("location"), F.lit('",\n    "stackTrace": [],\n    "id": "e'), F.col("seq").cast("string"), F.lit('"\n  }'),
     )
-    part = F.date_format("ts", "yyyyMMdd")
-    dealt = events.select("seq", part.alias("day"), lines.alias("line")).repartition(8, "day").sortWithinPartitions("day", "seq")
-    first = F.row_number().over(Window.partitionBy("day").orderBy("seq")) == 1
-    last = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("seq"))) == 1
-    opened = F.when(first, F.lit("[\n")).otherwise(F.lit(",\n"))
-    text = dealt.select("day", "seq", F.concat(opened, F.col("line"), F.when(last, F.lit("\n]")).otherwise(F.lit(""))).alias("value"))
-    ordered = text.repartition(8, "day").sortWithinPartitions("day", "seq").select("day", "value")
-    ordered.write.option("lineSep", " ").partitionBy("day").text(folder)
+    thin = events.select("seq", "ts", "type", "location", F.date_format("ts", "yyyyMMdd").alias("day"))
+    # A day is one file, so one task's work; with four ranges a day, few tasks have two.
+    days = thin.select("day").distinct().count()
+    dealt = thin.repartitionByRange(max(1, 4 * days), "day")
+    # Both ends are found in the one order in which the events are written; texts are made
+    # behind it, so no sort holds them.
+    in_day = Window.partitionBy("day").orderBy("seq")
+    ends = {"first": F.lag(F.lit(1)).over(in_day).isNull(), "last": F.lead(F.lit(1)).over(in_day).isNull()}
+    ordered = dealt.withColumns(ends).sortWithinPartitions("day", "seq")
+    opened = F.when(F.col("first"), F.lit("[\n")).otherwise(F.lit(",\n"))
+    closed = F.when(F.col("last"), F.lit("\n]")).otherwise(F.lit(""))
+    text = ordered.select("day", F.concat(opened, lines, closed).alias("value"))
+    text.write.option("lineSep", " ").partitionBy("day").text(folder)
     back = event_log.read_runtime_events(spark, folder)
     return back.select("seq", "type", "location", F.unix_millis("ts").alias("ms"), "id")
 

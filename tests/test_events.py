@@ -403,3 +403,21 @@ def test_exports_of_any_layout(spark, tmp_path, indent, split):
     (tmp_path / "f.json").write_text(json.dumps([], indent=indent))
     rows = read_runtime_events(spark, str(tmp_path), split=split).orderBy("seq").collect()
     assert [(r.seq, r.type) for r in rows] == [(0, "t"), (1, None), (2, "u")]
+
+
+def test_every_day_is_exported_by_its_own_task(spark, tmp_path, monkeypatch):
+    from corpuscope.plans import queries
+
+    # Twenty days of a hundred events, and a copy of each day's last one.
+    events = spark.range(2000).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(int(id DIV 100), 0, 0, id % 100) AS ts",
+        "id % 7 AS user_id", "IF(id % 2 = 0, 'click', 'view') AS event_type", "0.5D AS value", "'{\"k\": 1}' AS props",
+    )
+    events.unionByName(events.where("event_id % 100 = 99")).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(queries, "run_dir", lambda _, name: str(tmp_path / name))
+    rows = queries.exported_logs(spark, str(tmp_path)).orderBy("seq").collect()
+    wanted = [f"e{i}" for i in range(2000) for _ in range(1 + (i % 100 == 99))]
+    assert [(r.seq, r.id) for r in rows] == list(enumerate(wanted))
+    found = sorted((tmp_path / "exports").glob("day=*/part-*"))
+    assert [len(json.loads(f.read_text())) for f in found] == [101] * 20
+    assert len({f.name.split("-")[1] for f in found}) == 20

@@ -1,16 +1,18 @@
 """Bracket matching and span nesting over an array column.
 
 Running sums over an array are the one thing Spark SQL cannot do inside a row in
-linear time, so these two Arrow UDFs do them with numpy, a whole batch of files
-at once and without a Python loop. Everything around them (lexing,
-classification, scoring) is built-in expressions. Doing it inside the row matters
-at scale: exploding tokens and running windows over them would shuffle and sort
-several times the size of the corpus.
+linear time, so these two Arrow UDFs do them with numpy, many files at once and
+without a Python loop. They take a batch in pieces of a bounded number of tokens,
+as work and results are many times the size of what Spark sends. Everything around
+them (lexing, classification, scoring) is built-in expressions. Doing it inside the
+row matters at scale: exploding tokens and running windows over them would shuffle
+and sort several times the size of the corpus.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ OPEN, CLOSE, SEMI, COMMA, DECLARE, STATEMENT = 1, -1, 2, 3, 4, 5
 # literal), a parenthesis, a word that begins another declaration, an arrow, and a
 # closing parenthesis before ":".
 BODY, PAREN, BEGIN, ARROW, TYPED = -2, -3, -4, -5, -6
+# Tokens, or nodes, that are worked on at once; a file of more is a piece of its own.
+_AT_ONCE = 1 << 16
 
 
 def _int_arrays(*names: str) -> T.StructType:
@@ -181,6 +185,19 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values.astype(np.int64), offsets - offsets[0]
 
 
+def _pieces(starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(low, high): runs of files that hold at most ``_AT_ONCE`` values, or one file.
+    A batch without files is one empty run."""
+    low, n = 0, len(starts) - 1
+    while True:
+        fits = int(np.searchsorted(starts, starts[low] + _AT_ONCE, side="right")) - 1
+        high = min(n, max(fits, low + 1))
+        yield low, high
+        low = high
+        if low >= n:
+            return
+
+
 def _struct_of_lists(names: list[str], starts: np.ndarray, values: tuple[np.ndarray, ...]) -> pa.Array:
     offsets = pa.array(starts.astype(np.int32))
     lists = [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in values]
@@ -188,16 +205,23 @@ def _struct_of_lists(names: list[str], starts: np.ndarray, values: tuple[np.ndar
 
 
 @F.arrow_udf(SCOPE_TYPE)
-def _scope_udf(classes: pa.Array) -> pa.Array:
-    cls, starts = _lists(classes)
-    return _struct_of_lists(list(SCOPE_FIELDS), starts, match_brackets(cls, starts))
+def _scope_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for classes in batches:
+        bounds = classes.offsets.to_numpy(zero_copy_only=False)
+        for low, high in _pieces(bounds):
+            cls, starts = _lists(classes.slice(low, high - low))
+            yield _struct_of_lists(list(SCOPE_FIELDS), starts, match_brackets(cls, starts))
 
 
 @F.arrow_udf(NEST_TYPE)
-def _nest_udf(pos: pa.Array, end: pa.Array, weight: pa.Array) -> pa.Array:
-    first, starts = _lists(pos)
-    spans = nest_spans(first, _lists(end)[0], _lists(weight)[0], starts)
-    return _struct_of_lists(["inner", "depth", "outer"], starts, spans)
+def _nest_udf(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for columns in batches:
+        bounds = columns[0].offsets.to_numpy(zero_copy_only=False)
+        for low, high in _pieces(bounds):
+            lists = [_lists(column.slice(low, high - low)) for column in columns]
+            starts = lists[0][1]
+            spans = nest_spans(*(values for values, _ in lists), starts)
+            yield _struct_of_lists(["inner", "depth", "outer"], starts, spans)
 
 
 # Marked so that Catalyst never copies the call into a pushed-down filter or a

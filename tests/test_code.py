@@ -1,13 +1,16 @@
 """Lexer, dependencies, structure, complexity."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpuscope.functions import scope
-from corpuscope.functions.modes import CLOSE, OPEN, lay_open
+from corpuscope.functions.modes import CLOSE, OPEN, _lay_open, lay_open
 from corpuscope.functions.scope import match_brackets, nest_spans
 from corpuscope.operators import complexity, modules, structure, tokens
 
@@ -390,3 +393,36 @@ def test_modes_leave_other_code_alone():
 def test_code_in_templates_and_elements(files, code, score, deps):
     row = modules.module_table(files(("/a.tsx", code))).collect()[0]
     assert (row.complexity, row.dependencies) == (score, deps)
+
+
+def test_a_batch_of_files_is_worked_on_in_pieces():
+    one = [scope.BODY, 0, scope.SEMI, scope.PAREN, 0, scope.CLOSE, scope.CLOSE] * 30
+    sizes = [(7 * i) % 211 for i in range(4000)] + [0, 0, 200_000, 0]
+    files = [(one * 1000)[:n] for n in sizes]
+    batch = pa.array(files, pa.list_(pa.int8()))
+    starts = np.cumsum([0, *sizes])
+    wanted = match_brackets(np.concatenate([np.array(f, np.int64) for f in files]), starts)
+    got = []
+    tracemalloc.start()
+    for piece in scope._scope_udf.func(iter([batch.slice(0, 4000)])):
+        got.append(piece)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 40e6  # in one piece: over 100 MB
+    got += scope._scope_udf.func(iter([batch.slice(4000)]))
+    assert [len(p) for p in got][-3:] == [2, 1, 1]
+    for name, values in zip(scope.SCOPE_FIELDS, wanted):
+        found = np.concatenate([np.concatenate([[], *p.field(name).to_pylist()]) for p in got])
+        assert (found == values).all()
+    lists = [pa.array(rows, pa.list_(pa.int32())) for rows in ([[0, 2], [], [1]] * 40_000, [[5, -1], [], [4]] * 40_000, [[1, 2], [], [3]] * 40_000)]
+    spans = list(scope._nest_udf.func(iter([tuple(lists)])))
+    assert len(spans) == 2 and sum(map(len, spans)) == 120_000
+    rows = [row for p in spans for row in p.to_pylist()]
+    assert rows[:3] * 40_000 == rows and rows[0] == {"inner": [2, 0], "depth": [0, 1], "outer": [-1, 0]}
+
+
+def test_laid_open_texts_go_back_in_pieces():
+    texts = ["`" + "a" * 400_000 + "${x}`", None, "", "<p>{y}</p>"] * 4
+    pieces = list(_lay_open.func(iter([pa.array(texts)])))
+    assert len(pieces) == 2
+    assert [t for p in pieces for t in p.to_pylist()] == [t if t is None else lay_open(t) for t in texts]

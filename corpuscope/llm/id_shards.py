@@ -31,8 +31,9 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from itertools import chain
 
@@ -59,21 +60,31 @@ BITS_PER_KEY = 2
 MAX_LEVELS = 64
 MAGIC = b"IDSHARD\0"
 _TRAILER = struct.Struct("<QQQQ8s")
-# Words of a generation of a worker's memo (it keeps two), and the longest one kept.
-MEMO_WORDS = 150_000
+# Words of a generation of a worker's memo (it keeps two), the longest one kept, and ids
+# of both generations.
+MEMO_WORDS = 300_000
 MEMO_CHARS = 48
-MEMO_ENDS = 1_000
+MEMO_IDS = 8_000_000
+# Words that the library's model is given at once.
+WORDS_AT_ONCE = 1_000
 # Characters of text that are encoded at once, and bytes of a reader's one request.
 SLICE_CHARS = 1 << 20
 READ_BYTES = 4 << 20
-# Punctuation that is cut off the end of a word before it is encoded.
-_ENDS = ".,;:!?"
-# White space to Python, not to the library.
-_CONTROLS = "\x1c\x1d\x1e\x1f"
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+# Kinds of bytes, and letters: ASCII ones, and the second bytes of those behind C3.
+_OTHERS, _SPACES, _MARKS = range(3)
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[0x20, *range(0x09, 0x0E)]] = _SPACES
+_KINDS[list(string.punctuation.encode())] = _MARKS
+_LETTER = np.isin(np.arange(256), list(string.ascii_letters.encode()))
+_HIGH_LETTER = np.array([0x80 <= c < 0xC0 and chr(c + 0x40).isalpha() for c in range(256)])
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
-_BYTE_LETTERS = dict(enumerate(byte_letters()))
-_MARK = "<|"  # what the library's special tokens begin with
+# The space stays: it parts words.
+_BYTE_LETTERS = {byte: letter for byte, letter in enumerate(byte_letters()) if byte != 0x20}
+_MARK = b"<|"  # what the library's special tokens begin with
+_LATIN_BYTES = bytes([*range(0xC0), 0xC2, 0xC3])
+# Words of up to so many times eight bytes are compared as numbers.
+LANES = 3
+_LANE_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 # --- encoding -------------------------------------------------------------------
@@ -86,6 +97,7 @@ class Encoder:
     def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         path = vocabulary
         if not os.path.isabs(path):
@@ -95,57 +107,59 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.model = self.library.model
         # White space that the library keeps would have to be encoded with its words.
         a, b = self._ids(["a", "b"])
         self.by_word = all(self._ids([s, f"a{s}b"]) == [[], a + b] for s in " \t\n\v\f\r\x85\xa0\u2028\u3000")
         # Words of letters up to 255 are one piece to this kind of library, in lower case,
         # spelled by the letters of their bytes, and punctuation behind them is another: its
-        # model takes them as they are, where that holds.
+        # model takes them as they are, cut at spaces, where that holds.
+        self.spelled = Tokenizer(self.library.model)
+        self.spelled.pre_tokenizer = WhitespaceSplit()
+        self.size = self.library.get_vocab_size(with_added_tokens=True)
+        # The last id of a piece is told by its token.
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        tokens = (self.library.id_to_token(i) or "" for i in range(self.size))
+        self.last = np.array([bool(suffix) and token.endswith(suffix) for token in tokens])
         letters = [chr(c) for c in range(256) if chr(c).isalpha()]
         probe = [x + y for x in letters for y in ("", "a", x)]
-        self.ends = {end: self._ids([end])[0] for end in _ENDS}
-        self.plain = [self._one(w) for w in probe] == self._ids(probe)
-        self.plain &= self._ids(["a" + end for end in _ENDS]) == [a + self.ends[end] for end in _ENDS]
-        self.size = self.library.get_vocab_size(with_added_tokens=True)
-        # Two generations of remembered words, by bytes an id.
-        self.memos: dict[int, list[dict[str, bytes]]] = {2: [{}, {}], 4: [{}, {}]}
+        found = self._pieces(probe)
+        ends = np.cumsum(found[1]).tolist() if found else []
+        self.plain = [found[0][a:b].tolist() for a, b in zip([0, *ends], ends)] == self._ids(probe)
+        # Punctuation behind a letter is a piece of its own.
+        tails = [*string.punctuation, string.punctuation, string.punctuation[::-1]]
+        self.plain &= all(self._ids(["a" + t, "\xe9" + t]) == [x + y for x in self._ids(["a", "\xe9"]) for y in self._ids([t])] for t in tails)
+        self.memo = _Memo()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _one(self, word: str) -> list[int]:
-        """The ids of a word of letters up to 255."""
-        spelled = word.lower()
+    def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of words of letters up to 255, and how many each has; none if the model
+        does not tell where a piece ends."""
+        spelled = " ".join(words).lower()
         if not spelled.isascii():
             spelled = spelled.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return [token.id for token in self.model.tokenize(spelled)]
-
-    def _new(self, words: list[str]) -> list[list[int]]:
-        if not self.plain:
-            return self._ids(words)
-        one, ends, tokenize = self._one, self.ends, self.model.tokenize
-        found: list[list[int] | None] = []
-        for word in words:
-            if word.isalpha():
-                if word.isascii():
-                    found.append([token.id for token in tokenize(word.lower())])
-                    continue
-                if _latin(word):
-                    found.append(one(word))
-                    continue
-            head = word.rstrip(_ENDS)
-            if head.isalpha() and _latin(head):
-                end = word[len(head) :]
-                if end not in ends:
-                    if len(ends) >= MEMO_ENDS:
-                        ends.clear()
-                    ends[end] = self._ids([end])[0]
-                found.append(one(head) + ends[end])
+        ids = np.array(self.spelled.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return None
+        return ids, np.diff(ends, prepend=0)
+
+    def _new(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """A block of words at a time: their places in the list, ids, and how many each has."""
+        fit = [self.plain and word.isalpha() and _latin(word) for word in words]
+        letters, others = ([i for i, f in enumerate(fit) if f == kind] for kind in (True, False))
+        for at in range(0, len(letters), WORDS_AT_ONCE):
+            places = letters[at : at + WORDS_AT_ONCE]
+            found = self._pieces([words[i] for i in places])
+            if found:
+                yield places, *found
             else:
-                found.append(None)
-        others = iter(self._ids([w for w, f in zip(words, found) if f is None]))
-        return [next(others) if f is None else f for f in found]
+                others += places
+        for at in range(0, len(others), WORDS_AT_ONCE):
+            places = others[at : at + WORDS_AT_ONCE]
+            ids = self._ids([words[i] for i in places])
+            yield places, np.fromiter(chain.from_iterable(ids), "<u4"), np.array([len(i) for i in ids])
 
     def width(self, end_id: int) -> int:
         """Bytes an id: two if all ids fit and the end id leaves its second byte zero, else four."""
@@ -172,23 +186,77 @@ class Encoder:
         return self._looked_up(texts, width)
 
     def _looked_up(self, texts: list[str], width: int) -> list[bytes]:
-        lists = [_words(t, self.plain) for t in texts]
-        young, old = self.memos[width]
-        if len(young) > MEMO_WORDS:
-            self.memos[width] = young, old = [{}, young]
-        new = set().union(*lists).difference(young)
-        young.update([(w, old[w]) for w in new if w in old])
-        new = list(new.difference(old))
-        ids = self._new(new)
-        ends = np.cumsum([len(i) for i in ids]) * width
-        packed = np.fromiter(chain.from_iterable(ids), f"<u{width}").tobytes()
-        made = zip(new, [packed[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())])
-        young.update(made)
-        out = [b"".join(map(young.__getitem__, words)) for words in lists]
-        for word in new:
+        data, starts, sizes, n = _words(texts, self.plain)
+        memo = self.memo
+        memo.make_room()
+        # A look-up for each distinct word; the memo lists the new ones.
+        first, codes = _distinct(data, starts, sizes)
+        lows = starts[first]
+        cut = map(data.__getitem__, map(slice, lows.tolist(), (lows + sizes[first]).tolist()))
+        rows = np.fromiter(map(memo.__getitem__, cut), np.int64, len(first))[codes]
+        memo.fill(self._new)
+        ids, ends = memo.take(rows)
+        packed = ids.astype(f"<u{width}").tobytes()
+        cuts = (np.r_[0, ends][np.cumsum(n)] * width).tolist()
+        return [packed[a:b] for a, b in zip([0, *cuts], cuts)]
+
+
+class _Memo(dict):
+    """Word -> row of its ids, in two generations: words of the older one that are not met
+    again are forgotten when the younger one is full."""
+
+    def __init__(self):
+        self.old: dict[bytes, int] = {}
+        self.new: list[bytes] = []
+        # The ids of all rows, where each row starts, and how many it has.
+        self.ids = np.empty(0, "<u4")
+        self.starts = self.sizes = np.empty(0, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        row = self.old.get(word)
+        if row is None:
+            row = len(self.sizes) + len(self.new)
+            self.new.append(word)
+        self[word] = row
+        return row
+
+    def fill(self, encode: Callable[[list[str]], Iterator[tuple[list[int], np.ndarray, np.ndarray]]]) -> None:
+        """Takes the ids of the new words; the longest words are not met again."""
+        if not self.new:
+            return
+        places, ids, sizes = zip(*encode(b" ".join(self.new).decode().split(" ")))
+        places, ids, sizes = np.concatenate(places), np.concatenate(ids), np.concatenate(sizes)
+        rows = np.empty((2, len(places)), np.int64)
+        rows[:, places] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
+        self.ids = np.concatenate([self.ids, ids])
+        self.starts, self.sizes = np.concatenate([[self.starts, self.sizes], rows], axis=1)
+        for word in self.new:
             if len(word) > MEMO_CHARS:
-                del young[word]
-        return out
+                del self[word]
+        self.new = []
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows, one row after the other, and where each row ends."""
+        sizes = self.sizes[rows]
+        ends = np.cumsum(sizes)
+        # Ids stand behind the start of their row by as much here as there.
+        at = np.repeat(self.starts[rows] - (ends - sizes), sizes)
+        return self.ids[at + np.arange(len(at))], ends
+
+    def make_room(self) -> None:
+        if len(self) <= MEMO_WORDS and len(self.ids) <= MEMO_IDS:
+            return
+        rows = np.fromiter(self.values(), np.int64, len(self))
+        sizes = self.sizes[rows]
+        self.ids, ends = self.take(rows)
+        self.starts, self.sizes = ends - sizes, sizes
+        self.old = dict(zip(self, range(len(rows))))
+        self.clear()
+
+
+def _lists(ids: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+    ends = np.cumsum(sizes).tolist()
+    return [ids[a:b].tolist() for a, b in zip([0, *ends], ends)]
 
 
 def _latin(text: str) -> bool:
@@ -202,12 +270,56 @@ def _latin(text: str) -> bool:
         return False
 
 
-def _words(text: str, lower: bool) -> list[str]:
-    """A text cut at white space, in lower case where the library does that letter by
-    letter, so that fewer words are new."""
-    if lower and _MARK not in text and (_latin(text)):
-        text = text.lower()
-    return _WORDS.findall(text) if any(c in text for c in _CONTROLS) else text.split()
+def _words(texts: list[str], plain: bool) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts cut at ASCII white space: UTF-8 data with room behind it, where words start,
+    their bytes, and the number of words of each text.
+
+    Where the library has it so, A-Z come in lower case and punctuation that stands between
+    a letter and white space is a word of its own, so that fewer words are new.
+    """
+    parts = [text.encode() for text in texts]
+    # Only letters below 256, whose UTF-8 starts with C2 or C3 at most: no marks that join them.
+    simple = np.array([plain and _MARK not in p and not p.translate(None, _LATIN_BYTES) for p in parts], bool)
+    parts = [p.lower() if s else p for p, s in zip(parts, simple)]
+    stops = np.cumsum([len(p) + 1 for p in parts])
+    data = b" ".join([b"", *parts, bytes([0x20]) * (8 * LANES)])
+    codes = np.frombuffer(data, np.uint8)
+    kinds = _KINDS[codes]
+    # Runs of one kind. The data begins and ends with a space.
+    runs = np.r_[0, np.flatnonzero(kinds[1:] != kinds[:-1]) + 1]
+    kind = kinds[runs]
+    starts = kind != _SPACES
+    starts[1:] &= kind[:-1] == _SPACES
+    behind = np.flatnonzero((kind[1:-1] == _MARKS) & (kind[:-2] == _OTHERS) & (kind[2:] == _SPACES)) + 1
+    at = runs[behind]
+    letter = _LETTER[codes[at - 1]] | (_HIGH_LETTER[codes[at - 1]] & (codes[at - 2] == 0xC3))
+    starts[behind] = letter & simple[np.searchsorted(stops, at)]
+    # A word ends where the next one or a space begins.
+    ends = runs[np.flatnonzero(starts | (kind == _SPACES))]
+    starts = runs[starts]
+    ends = ends[np.searchsorted(ends, starts, "right")]
+    return data, starts, ends - starts, np.diff(np.searchsorted(starts, stops), prepend=0)
+
+
+def _distinct(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One word for each distinct one (long ones may be repeated), and each word's place among these."""
+    wide = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    lanes, key = [], sizes.astype(np.uint64)
+    for lane in range(LANES):
+        # Eight bytes of each word, zero beyond its end.
+        low = np.minimum(starts + 8 * lane, len(wide) - 1)
+        lanes.append(wide[low] & _LANE_MASK[np.clip(sizes - 8 * lane, 0, 8)])
+        key = mix(key ^ lanes[-1])
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    # Hashes only bring equal words together: bytes tell whether they are.
+    for column in (sizes, *lanes):
+        same &= (column := column[order])[1:] == column[:-1]
+    same &= sizes[order][1:] <= 8 * LANES
+    heads = np.r_[True, ~same][: len(order)]
+    codes = np.empty(len(order), np.int64)
+    codes[order] = np.cumsum(heads) - 1
+    return order[heads], codes
 
 
 def _slices(text: str) -> Iterator[tuple[int, int]]:
@@ -269,8 +381,8 @@ def write_shards(
         keys, lengths = [], []
         for batch in batches:
             keys += batch.column(0).to_pylist()
-            for low in range(0, len(batch), 512):
-                ids = [x + end for x in coder.encode(batch.column(1).slice(low, 512).to_pylist(), width)]
+            for low in range(0, len(batch), 2048):
+                ids = [x + end for x in coder.encode(batch.column(1).slice(low, 2048).to_pylist(), width)]
                 lengths += [len(x) // width for x in ids]
                 yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in ids], pa.binary())], ["value"])
         if keys:

@@ -49,6 +49,22 @@ def test_words_are_encoded_as_the_whole_text_is(library, text):
     assert np.frombuffer(id_shards.encoder().encode([text], 2)[0], "<u2").tolist() == want
 
 
+def test_a_word_is_new_once_whatever_stands_behind_it(library, monkeypatch):
+    coder, seen = id_shards.Encoder(id_shards.VOCABULARY), []
+    monkeypatch.setattr(coder, "_new", lambda words, new=coder._new: seen.extend(words) or new(words))
+    text = "word word, Word. wörd$$$ wörd%%% 7. «. ×. word's. a.b. wörd"
+    packed = coder.encode([text], 2)[0]
+    assert np.frombuffer(packed, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sorted(seen) == sorted(["word", "wörd", ",", ".", "$$$", "%%%", "7.", "«.", "×.", "word's", "a.b"])
+
+
+def test_words_of_one_hash_stay_apart(library, monkeypatch):
+    monkeypatch.setattr(id_shards, "mix", lambda x: x & np.uint64(1))
+    text = "b a ab a b " + "long" * 9 + " abcdefgh abcdefghi abcdefgh " + "long" * 9 + " a"
+    packed = id_shards.Encoder(id_shards.VOCABULARY).encode([text], 2)[0]
+    assert np.frombuffer(packed, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("text", ["", "  ", "a<|endoftext|>b <|startoftext|>", "## # ###", "word " * 9, "x" * 500])
 def test_slices_and_a_full_memo_change_nothing(library, monkeypatch, text):
     monkeypatch.setattr(id_shards, "SLICE_CHARS", 7)

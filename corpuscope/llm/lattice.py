@@ -17,6 +17,7 @@ MARK = "▁"
 # Byte pieces stand at these code points inside a lattice; real characters of this
 # private range are spelt in bytes like any other unknown character.
 _BYTES = 0x10FE00
+_CODES = 0x110000
 # Edges handled at once; bounds a worker's memory.
 EDGE_BLOCK = 400_000
 
@@ -41,7 +42,14 @@ class Pieces:
                 # runs carry none and come last.
                 self.index[piece] = i
                 self.rank[i] = min(-model.get_score(i), self.size)
-        self.stems = {p[:k] for p in self.index for k in range(1, len(p))}
+        # A trie of the pieces: node and character -> node, the root being 0. Pieces of the
+        # nodes (-1 if none), and whether longer ones begin there.
+        stems = {p[:k] for p in self.index for k in range(1, len(p))}
+        number = {s: i for i, s in enumerate(["", *stems.union(self.index)])}
+        steps = sorted((number[s[:-1]] * _CODES + ord(s[-1]), i) for s, i in number.items() if s)
+        self.steps, self.nodes = np.array(steps, np.int64).reshape(-1, 2).T.copy()
+        self.piece_of = np.array([self.index.get(s, -1) for s in number], np.int64)
+        self.grows = np.array([s in stems for s in number])
         self.known = frozenset(p for p in self.index if len(p) == 1 and ord(p) < _BYTES)
 
     def prior(self) -> np.ndarray:
@@ -75,34 +83,34 @@ class Lattice:
     """The edges of a batch of words, ordered by end position, then word."""
 
     def __init__(self, vocab: Pieces, words: list[str]):
-        index, stems = vocab.index, vocab.stems
-        word, start, end, piece, lengths = [], [], [], [], []
-        for w, text in enumerate(map(vocab.spell, words)):
-            n = len(text)
-            lengths.append(n)
-            for i in range(n):
-                j = i + 1
-                s = text[i]
-                while True:
-                    p = index.get(s)
-                    if p is not None:
-                        word.append(w)
-                        start.append(i)
-                        end.append(j)
-                        piece.append(p)
-                    if j == n or s not in stems:
-                        break
-                    j += 1
-                    s = text[i:j]
+        texts = [vocab.spell(word) for word in words]
         self.n_words = len(words)
-        self.lengths = np.array(lengths, np.int64)
+        self.lengths = np.array([len(text) for text in texts], np.int64)
         # One node per position of each word, laid out word after word.
         self.base = np.concatenate([[0], np.cumsum(self.lengths + 1)])
-        word = np.array(word, np.int64)
-        self.start = np.array(start, np.int64)
-        self.end = np.array(end, np.int64)
-        self.word = word
-        self.piece = np.array(piece, np.int64)
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        owner = np.repeat(np.arange(self.n_words), self.lengths)
+        stops = np.cumsum(self.lengths)
+        # All starts go down the trie together, a character at a time.
+        at, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        found, n = [np.empty((3, 0), np.int64)], 0
+        while len(at):
+            step = node * _CODES + codes[at + n]
+            place = np.minimum(np.searchsorted(vocab.steps, step), len(vocab.steps) - 1)
+            hit = vocab.steps[place] == step
+            at, node, n = at[hit], vocab.nodes[place[hit]], n + 1
+            piece = vocab.piece_of[node]
+            whole = piece >= 0
+            found.append(np.stack([at[whole], np.full(int(whole.sum()), n), piece[whole]]))
+            on = vocab.grows[node] & (at + n < stops[owner[at]])
+            at, node = at[on], node[on]
+        at, size, self.piece = np.concatenate(found, axis=1)
+        # By word, start and end.
+        order = np.argsort(at * (n + 1) + size, kind="stable")
+        at, size, self.piece = at[order], size[order], self.piece[order]
+        self.word = owner[at]
+        self.start = at - (stops - self.lengths)[self.word]
+        self.end = self.start + size
 
     def _steps(self, near: np.ndarray, far: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Edges by ``near`` position and word: (edge order, first edge of each node)."""

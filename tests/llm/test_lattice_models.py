@@ -175,3 +175,22 @@ def test_likelihood_of_odd_rows(odd, empty):
     nothing = lattice_lm.fit(empty, rounds=1)
     assert all(math.isfinite(r.score) and r.n_known == 0 for r in lattice_lm.score(odd, nothing).collect())
     assert lattice_lm.score(empty, model).count() == 0
+
+
+def test_all_starts_of_a_block_go_down_the_pieces_together(monkeypatch):
+    vocab = lattice.pieces()
+    words = ["", "token", "日本語", "\U0010fe41a😀", "token", "tokenization"]
+    texts = [vocab.spell(w) for w in words]
+    want = [
+        (w, i, j, vocab.index[t[i:j]])
+        for w, t in enumerate(texts) for i in range(len(t)) for j in range(i + 1, len(t) + 1) if t[i:j] in vocab.index
+    ]
+
+    class Untouched(dict):
+        def get(self, *_):
+            raise AssertionError("a substring was looked up by itself")
+
+    monkeypatch.setattr(vocab, "index", Untouched(vocab.index))
+    made = lattice.Lattice(vocab, words)
+    assert list(zip(*(x.tolist() for x in (made.word, made.start, made.end, made.piece)))) == want
+    assert lattice.Lattice(vocab, []).forward(np.zeros((vocab.size, 2))).shape == (0, 2)

@@ -33,16 +33,13 @@ def placed_anchors(text: Column) -> Column:
     their 32-bit hashes."""
     pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{INNER}}}))."), F.lit(1))
 
-    def least(a: Column, shift: int) -> Column:
-        # Padding is null, and null is never the least.
-        return F.zip_with(a, F.slice(a, F.lit(shift + 1), F.greatest(F.size(a), F.lit(1))), lambda x, y: F.least(x, y))
-
     def found(h: Column) -> Column:
-        # Least of four in a row; two of them cover the six inner ones of a k-mer.
-        places = let(least(least(h, 1), 2), lambda four: F.filter(
-            F.sequence(F.lit(0), F.size(h) - INNERS),
-            lambda i: F.least(F.get(h, i), F.get(h, i + (INNERS - 1))) <= F.least(F.get(four, i + 1), F.get(four, i + 3)),
-        ))
+        # Straight from the hashes: arrays of window minima cost more to build than they save.
+        def closed(i: Column) -> Column:
+            ends = F.least(F.get(h, i), F.get(h, i + (INNERS - 1)))
+            return ends <= F.least(*[F.get(h, i + k) for k in range(1, INNERS - 1)])
+
+        places = F.filter(F.sequence(F.lit(0), F.size(h) - INNERS), closed)
 
         def hashed(i: Column) -> Column:
             return F.shiftrightunsigned(F.xxhash64(F.get(h, i), F.get(h, i + (INNERS - 1))), 32)
@@ -56,14 +53,15 @@ def placed_anchors(text: Column) -> Column:
 
 def anchors(text: Column) -> Column:
     """Sorted distinct hashes of a text's closed syncmers."""
-    return F.array_sort(F.array_distinct(placed_anchors(text)["hashes"]))
+    return F.sort_array(F.array_distinct(placed_anchors(text)["hashes"]))
 
 
 def sketch(hashes: Column, text: Column, kept: int = KEPT) -> Column:
     """The least of a text's anchor hashes; of a text without any, its own hash."""
     whole = F.when(F.length(text) > 0, F.array(F.shiftrightunsigned(F.xxhash64(text), 32)))
     none = F.array().cast("array<bigint>")
-    least = F.slice(F.array_sort(F.array_distinct(hashes)), 1, kept)
+    # ``array_sort`` would call an interpreted comparator for every comparison.
+    least = F.slice(F.sort_array(F.array_distinct(hashes)), 1, kept)
     return F.when(F.size(hashes) > 0, least).otherwise(F.coalesce(whole, none))
 
 
@@ -73,7 +71,7 @@ def as_string(hashes: Column) -> Column:
 
 def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
     """Share of the anchors common to both, among the least of their union."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, kept)
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, kept)
     share = let(union, lambda u: F.size(F.array_intersect(u, F.array_intersect(a, b))) / F.size(u))
     return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(share)
 

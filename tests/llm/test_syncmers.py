@@ -105,3 +105,16 @@ def test_only_native_functions(spark, sf_dir):
         with redirect_stdout(text):
             df.explain("extended")
         assert not any(word in text.getvalue() for word in ("Python", "Pandas", "ArrowEval"))
+
+
+def test_no_interpreted_sort_or_window_arrays(spark, sf_dir):
+    import io
+    from contextlib import redirect_stdout
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for df in (syncmers.fingerprints(docs), docs.select(syncmers.sketch(syncmers.placed_anchors(F.col("text"))["hashes"], F.col("text")))):
+        text = io.StringIO()
+        with redirect_stdout(text):
+            df.explain("extended")
+        assert "sort_array(" in text.getvalue()
+        assert not any(word in text.getvalue() for word in ("array_sort(", "zip_with("))

@@ -35,6 +35,7 @@ more than once and must give the same rows in the same splits, as stored tables
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -49,8 +50,9 @@ from corpuscope.session import materialize
 
 LENGTH = 50
 PIECE_BYTES = 16
-# Bytes hashed at once in a worker.
+# Bytes told apart at once in a worker, and hashed at once: what a core's cache holds.
 AT_ONCE = 1 << 20
+HASHED = 1 << 15
 # Strings in one segment at most; a longer run is cut (strings stay whole).
 RUN = 64
 # Bytes of one shard, suffix sorted alone, and of the shards merged at once.
@@ -76,15 +78,18 @@ def _least_hashes(piece: np.ndarray, length: int) -> np.ndarray:
     n = len(piece)
     padded = np.zeros(n + 8, np.uint8)
     padded[:n] = piece
-    eight = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1)).copy().view(np.uint64).ravel()
-    least = _piece_hashes(eight, n)
-    width, span = length - PIECE_BYTES + 1, 1
-    while span * 2 <= width:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if width > span:
-        least = np.minimum(least[: -(width - span)], least[width - span :])
-    return least
+    out = np.empty(max(0, n - length + 1), np.uint64)
+    for at in range(0, len(out), HASHED):
+        m = min(HASHED + length - 1, n - at)
+        least = _piece_hashes(np.ndarray((m,), np.uint64, padded, at, (1,)).copy(), m)
+        width, span = length - PIECE_BYTES + 1, 1
+        while span * 2 <= width:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        if width > span:
+            least = np.minimum(least[: -(width - span)], least[width - span :])
+        out[at : at + len(least)] = least
+    return out
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
@@ -358,10 +363,25 @@ def _followed_runs(part: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarr
         yield data, offsets, text[keep], start[keep], count[keep], h[keep]
 
 
+def _digest(segment: bytes, group: bytes) -> bytes:
+    """16 bytes that stand for a segment of a group (a hash, or what it was dealt by)."""
+    return hashlib.blake2b(group + segment, digest_size=16).digest()
+
+
+def _group_bytes(groups: np.ndarray) -> list[bytes]:
+    raw = groups.astype("<i8").tobytes()
+    return [raw[i : i + 8] for i in range(0, len(raw), 8)]
+
+
+def _keys(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Digests as two columns of longs."""
+    both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def _key(segment: bytes, group: int) -> tuple[int, int]:
-    """128 bits that stand for a segment of a group (a hash, or what it was dealt by)."""
-    digest = hashlib.blake2b(segment, digest_size=16, key=group.to_bytes(8, "little", signed=True)).digest()
-    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+    """:func:`_digest` as two longs."""
+    return struct.unpack("<qq", _digest(segment, group.to_bytes(8, "little", signed=True)))
 
 
 def _segments(followed: DataFrame, length: int) -> DataFrame:
@@ -547,14 +567,14 @@ def _bins(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     firsts = np.flatnonzero(new)
     low, high = np.minimum.reduceat(low, firsts), np.maximum.reduceat(high, firsts)
     segments, hashes, groups = [segments[i] for i in firsts.tolist()], hashes[firsts], groups[firsts]
-    out = _Earliest()
+    out, named = _Earliest(), _group_bytes(groups)
     border = np.r_[True, groups[1:] != groups[:-1]]
     begins, group = np.flatnonzero(border), np.cumsum(border) - 1
     first, last = _may_share(segments, hashes, length)
     merged = first <= last
     # The others share no string: all their strings are their own earliest owner's.
     for i in np.flatnonzero(~merged & (low < high)).tolist():
-        out.add(segments[i], groups[i], length, [0], [low[i]])
+        out.add(segments[i], named[i], length, [0], [low[i]])
     filled = np.cumsum(np.where(merged, last - first + length, 0))[np.r_[begins[1:] - 1, len(groups) - 1]]
     # Bins of whole groups, of about as many bytes each.
     bin_of = (filled // BIN_BYTES)[group]
@@ -567,9 +587,9 @@ def _bins(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
             found[first[i] : last[i] + 1] = shared
             # What is not earlier than the segment's last user takes nothing.
             if found.min() < high[i]:
-                cut = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
-                out.add(segments[i], groups[i], length, cut.tolist(), found[cut].tolist())
-    if out.keys:
+                cut = [0, *(np.flatnonzero(found[1:] != found[:-1]) + 1).tolist()]
+                out.add(segments[i], named[i], length, cut, found[cut].tolist())
+    if out.digests:
         yield out.batch()
 
 
@@ -577,16 +597,17 @@ class _Earliest:
     """Rows (key, key2, from, to, least): stretches of starts with one earliest owner."""
 
     def __init__(self):
-        self.keys, self.first, self.last, self.least = [], [], [], []
+        self.digests, self.rows, self.first, self.last, self.least = [], [], [], [], []
 
-    def add(self, segment: bytes, group: int, length: int, cut: list[int], least: list[int]) -> None:
-        self.keys += [_key(segment, int(group))] * len(cut)
+    def add(self, segment: bytes, group: bytes, length: int, cut: list[int], least: list[int]) -> None:
+        self.digests.append(_digest(segment, group))
+        self.rows.append(len(cut))
         self.first += cut
         self.last += [*(c - 1 for c in cut[1:]), len(segment) - length]
         self.least += least
 
     def batch(self) -> pa.RecordBatch:
-        columns = [pa.array(k, pa.int64()) for k in zip(*self.keys)]
+        columns = [pa.array(np.repeat(k, self.rows), pa.int64()) for k in _keys(self.digests)]
         columns += [pa.array(self.first, pa.int32()), pa.array(self.last, pa.int32()), pa.array(self.least, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["key", "key2", "first", "last", "least"])
 
@@ -599,8 +620,9 @@ def _found(followed: DataFrame, mins: DataFrame, length: int) -> DataFrame:
             rows, ords = part.column(0).to_numpy(), part.column(1).to_numpy()
             for data, offsets, text, start, count, h in _followed_runs(part, length):
                 raw = data.tobytes() if len(data) < 1 << 26 else data
-                keys = [_key(bytes(raw[s : s + c + length - 1]), k) for s, c, k in zip(start.tolist(), count.tolist(), h.tolist())]
-                columns = [pa.array(k, pa.int64()) for k in (zip(*keys) if keys else ([], []))]
+                ends = (start + count + length - 1).tolist()
+                digests = [_digest(bytes(raw[s:e]), k) for s, e, k in zip(start.tolist(), ends, _group_bytes(h))]
+                columns = [pa.array(k, pa.int64()) for k in _keys(digests)]
                 columns += [pa.array(rows[text]), pa.array(ords[text]), pa.array((start - offsets[text]).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "key2", "row", "ord", "start"])
 

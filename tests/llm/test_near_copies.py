@@ -355,3 +355,24 @@ def test_pairs_in_a_dense_cone_meet(spark, monkeypatch, most):
     roots = roots_of(range(len(vectors)), zip(*np.nonzero(near)))
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, window=4).collect()}
     assert got == {i: (int(near[i].sum()), roots[i]) for i in range(len(vectors))}
+
+
+def test_pieces_are_hashed_in_bounded_blocks(monkeypatch):
+    rng = np.random.default_rng(5)
+    piece = rng.integers(97, 101, 3 * suffix_dedup.HASHED + 77).astype(np.uint8)
+    hash_of, sizes = suffix_dedup._piece_hashes, []
+    monkeypatch.setattr(suffix_dedup, "_piece_hashes", lambda eight, n: sizes.append(n) or hash_of(eight, n))
+    for n in (50, 51, suffix_dedup.HASHED + 48, suffix_dedup.HASHED + 49, suffix_dedup.HASHED + 50, len(piece)):
+        padded = np.r_[piece[:n], np.zeros(8, np.uint8)]
+        eight = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n].copy().view(np.uint64).ravel()
+        each = np.lib.stride_tricks.sliding_window_view(hash_of(eight, n), 35)
+        assert np.array_equal(suffix_dedup._least_hashes(piece[:n], 50), each.min(axis=1))
+    assert max(sizes) < suffix_dedup.HASHED + 50
+
+
+def test_digests_agree_with_keys():
+    groups, segments = np.array([-(2**63), -1, 0, 7, 2**63 - 1]), [b"", b"a", b"ab" * 60, b"x" * 200, b"\0" * 8]
+    digests = [suffix_dedup._digest(s, g) for s, g in zip(segments, suffix_dedup._group_bytes(groups))]
+    assert list(zip(*(k.tolist() for k in suffix_dedup._keys(digests)))) == [suffix_dedup._key(s, g) for s, g in zip(segments, groups.tolist())]
+    assert len(set(digests)) == 5
+    assert [len(k) for k in suffix_dedup._keys([])] == [0, 0]

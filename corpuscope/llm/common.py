@@ -44,11 +44,14 @@ def bucketed(rows: DataFrame, key: str, name: str) -> DataFrame:
     """Writes wide rows once, bucketed by ``key``, and reads them back.
 
     Joins of thin tables on that key then come to the rows; the rows are not shuffled.
+    Each task writes a file for each bucket, so small splits are put together: as many
+    tasks as there are cores, or an eighth of the buckets.
     """
     spark = rows.sparkSession
     table_name = f"{name}_{uuid.uuid4().hex}"
     # As many buckets as the shuffles of this session have partitions.
-    writer = rows.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = rows.coalesce(max(spark.sparkContext.defaultParallelism, buckets // 8)).write.bucketBy(buckets, key)
     path = run_dir(spark, name)
     writer.option("path", path).option("compression", "zstd").saveAsTable(table_name)
     stored = spark.table(table_name)

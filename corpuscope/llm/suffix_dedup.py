@@ -9,10 +9,10 @@ one text. Runs of neighbouring strings under one hash form a segment.
 
 What repeats. Segments are dealt by hash and cut into shards. Each shard is suffix
 sorted and transformed; then all transforms of a bin are merged by refining their
-interleave: a stable counting sort of the sources by the next symbol, once per byte of
-depth. The block borders of each step are the common prefixes, so after 50 steps the
-blocks are the repeated intervals, and the earliest document of a block is known. No
-suffixes of different shards are ever compared.
+interleave: a stable counting sort of the rows by the next symbol, once per byte of
+depth. After 50 steps neighbours that begin with the same string are the repeated
+intervals, and the earliest document of an interval is known. No suffixes of different
+shards are ever sorted against each other.
 
 Crowded hashes. A hash of very many runs (a common phrase among ever other words) would
 be one task's work. Strings that hold its piece are told apart by how many bytes of them
@@ -63,6 +63,7 @@ CROWDED = 20_000
 # Parts of the numbers of bytes before a piece in which segments are looked at for company.
 SHARE_PARTS = 8
 _LAST = 2**63 - 1
+NONE = np.empty(0, np.int64)
 
 
 # --- strings filed under their least piece hash -----------------------------------
@@ -70,7 +71,13 @@ _LAST = 2**63 - 1
 
 def _piece_hashes(eight: np.ndarray, n: int) -> np.ndarray:
     """Hash of the 16 bytes at each place, from the 8 bytes at each place."""
-    return mix(mix(eight[: n - 15]) ^ (eight[8 : n - 7] * np.uint64(0x94D049BB133111EB)))
+    x = eight[: n - 15] * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x += eight[8 : n - 7] * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def _least_hashes(piece: np.ndarray, length: int) -> np.ndarray:
@@ -93,13 +100,20 @@ def _least_hashes(piece: np.ndarray, length: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, first start, number of starts, hash) of runs of strings under one hash."""
-    last = int(offsets[-1])
-    for at in range(int(offsets[0]), last, AT_ONCE):
-        piece = data[at : min(at + AT_ONCE + length - 1, last)]
+    """(text, first start, number of starts, hash) of runs of strings under one hash.
+
+    A text's runs are the same whatever other texts stand beside it: what is looked at at
+    once ends with a text, or a fixed number of bytes after the start of a longer one.
+    """
+    to, last = int(offsets[0]), int(offsets[-1])
+    while to < last:
+        at, to = to, int(offsets[np.searchsorted(offsets, to + AT_ONCE, "right") - 1])
+        if to <= at:
+            to = at + AT_ONCE
+        piece = data[at : min(to + length - 1, last)]
         if len(piece) < length:
             continue
-        least = _least_hashes(piece, length)[:AT_ONCE]
+        least = _least_hashes(piece, length)[: to - at]
         n = len(least)
         # Strings may not run over the end of their text.
         out = np.zeros(n, bool)
@@ -130,66 +144,93 @@ def suffix_order(text: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """Suffixes of a shard in order. ``text`` holds symbols from 1 and a 0 after each
     string (at ``stops``); equal suffixes stand in the order of their strings."""
     n = len(text)
-    position = np.arange(n)
-    stop = np.repeat(stops, np.diff(np.r_[-1, stops]))
+    left = np.repeat(stops, np.diff(np.r_[-1, stops])) - np.arange(n)
+    longest = int(left.max())
     # The first seven symbols at once, nine bits each; nothing behind a string's end.
-    key = np.zeros(n, np.int64)
-    for k in range(7):
-        ahead = np.minimum(position + k, n - 1)
-        key = key * 512 + np.where(position + k <= stop, text[ahead], 0)
+    ahead = np.zeros(n + 6, np.int64)
+    ahead[:n] = text
+    key = ahead[:n]
+    for k in range(1, 7):
+        key = (key << 9) | np.where(left >= k, ahead[k : k + n], 0)
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.r_[True, ranked[1:] != ranked[:-1]]
+    rank = np.empty(n, np.int64)
     depth = 7
     while True:
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        new = np.r_[True, ranked[1:] != ranked[:-1]]
-        rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
-        if new.all() or depth > int((stop - position).max()):
+        # Only suffixes that are equal so far are told apart further.
+        tied = ~new
+        tied[:-1] |= tied[1:]
+        places = np.flatnonzero(tied)
+        if not len(places):
             return order
-        ahead = position + depth
-        key = rank * (n + 1) + np.where(ahead <= stop, rank[np.minimum(ahead, n - 1)], 0)
+        here = order[places]
+        if depth > longest:
+            order[places] = here[np.argsort(rank[here] * n + here)]
+            return order
+        key = rank[here] * (n + 1) + np.where(left[here] >= depth, rank[np.minimum(here + depth, n - 1)], 0)
+        finer = np.argsort(key)
+        order[places], key = here[finer], key[finer]
+        new[places] = np.r_[True, key[1:] != key[:-1]]
         depth *= 2
 
 
-def merge_transforms(transforms: list[np.ndarray], ends: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def merge_transforms(
+    transforms: list[np.ndarray], ends: list[int], depth: int, borders: bool = True
+) -> tuple[np.ndarray, np.ndarray | None]:
     """Interleave of several transforms refined to ``depth``.
 
     Gives, for every row of the transforms laid end to end, its place in the merged
     order, and for every place whether a new block (another first ``depth`` symbols)
-    starts there. ``ends`` counts each transform's strings; symbol 0 ends a string.
+    starts there (if ``borders`` are asked for). ``ends`` counts each transform's strings;
+    symbol 0 ends a string.
     """
     symbols = np.concatenate(transforms)
-    sources = np.arange(len(transforms), dtype=np.uint16 if len(transforms) > 255 else np.uint8)
-    interleave = np.repeat(sources, [len(t) for t in transforms])
+    # Where a row's suffix goes in its own transform when the symbol before is put to it;
+    # the interleave holds the rows, each transform's in their order.
+    bases = np.cumsum([0, *(len(t) for t in transforms)])[:-1].tolist()
+    ahead = np.empty(len(symbols), np.int32)
+    for base, t in zip(bases, transforms):
+        ahead[base + np.argsort(t, kind="stable")] = np.arange(base, base + len(t))
+    interleave = np.arange(len(symbols), dtype=np.int32)
     n_ends = sum(ends)
-    first_ends = np.repeat(sources, ends)
+    first_ends = np.concatenate([np.arange(base, base + n) for base, n in zip(bases, ends)])
     # Buckets of first symbols are the same at every step; each end of a string is a
     # symbol of its own.
     buckets = np.r_[0, np.cumsum(np.bincount(symbols))]
     border = np.zeros(len(symbols), bool)
     block = np.zeros(len(symbols), np.int32)
-    here = np.empty_like(symbols)
     for step in range(depth):
-        here[np.argsort(interleave, kind="stable")] = symbols
         # Rows move to the bucket of the symbol before them, keeping their order.
-        moved = np.argsort(here, kind="stable")
-        refined = interleave[moved]
+        moved = np.argsort(symbols[interleave], kind="stable")
+        refined = ahead[interleave[moved]]
         refined[:n_ends] = first_ends
-        of = block[moved]
-        np.not_equal(of[1:], of[:-1], out=border[1:])
-        border[buckets[buckets < len(symbols)]] = True
-        border[: n_ends + 1] = True
-        renewed = np.cumsum(border, dtype=np.int32)
-        done = step % 8 == 7 and renewed[-1] == block[-1] and np.array_equal(refined, interleave) and np.array_equal(renewed, block)
-        interleave, block = refined, renewed
+        done = step % 8 == 7 and np.array_equal(refined, interleave)
+        interleave = refined
+        if borders:
+            of = block[moved]
+            np.not_equal(of[1:], of[:-1], out=border[1:])
+            border[buckets[buckets < len(symbols)]] = True
+            border[: n_ends + 1] = True
+            renewed = np.cumsum(border, dtype=np.int32)
+            done = done and renewed[-1] == block[-1] and np.array_equal(renewed, block)
+            block = renewed
         if done:
             break
-    places = np.argsort(interleave, kind="stable")
-    return places, np.r_[True, block[1:] != block[:-1]]
+    places = np.empty(len(symbols), np.int64)
+    places[interleave] = np.arange(len(symbols))
+    return places, np.r_[True, block[1:] != block[:-1]] if borders else None
 
 
 def earliest(segments: list[bytes], owners: np.ndarray, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
     """For each start of a string in each segment, the least owner of an equal string."""
+    least, n = _earliest_joined(segments, owners, length, shard_bytes)
+    return np.split(least, np.cumsum(n)[:-1])
+
+
+def _earliest_joined(segments: list[bytes], owners: np.ndarray, length: int, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`earliest` of all segments in one array, and how many each has."""
     sizes = np.array([len(s) for s in segments])
     shard = np.cumsum(sizes) // shard_bytes
     transforms, ends, suffixes = [], [], []
@@ -208,19 +249,34 @@ def earliest(segments: list[bytes], owners: np.ndarray, length: int = LENGTH, sh
         base += len(text)
     if max(int(t.max()) for t in transforms) < 256:
         transforms = [t.astype(np.uint8) for t in transforms]
-    places, border = merge_transforms(transforms, ends, length)
+    places, _ = merge_transforms(transforms, ends, length, borders=False)
     suffix = np.empty(base, np.int64)
     suffix[places] = np.concatenate(suffixes)
     segment = np.searchsorted(stop_of, suffix)
     whole = suffix + length <= stop_of[segment]
-    # Repeated intervals: the blocks. Rows too short for a string are blocks of their own.
+    # Repeated intervals: neighbours that begin with one string. Rows too short for one are
+    # intervals of their own.
     owner = np.where(whole, owners[segment], _LAST)
+    joined = np.frombuffer(b"\0".join(segments) + bytes(8), np.uint8)
+    eight = np.ndarray((len(joined) - 7,), np.uint64, joined, 0, (1,)).copy()
+    if length < 8:
+        eight <<= np.uint64(8 * (8 - length))
+    same = np.flatnonzero(whole[1:] & whole[:-1])
+    for k in [max(0, length - 8), *range(0, length - 8, 8)]:
+        same = same[eight[suffix[same] + k] == eight[suffix[same + 1] + k]]
+    border = np.ones(base, bool)
+    border[same + 1] = False
     firsts = np.flatnonzero(border)
     least = np.repeat(np.minimum.reduceat(owner, firsts), np.diff(np.r_[firsts, base]))
     at = np.full(base, _LAST)
     at[suffix] = least
-    begins = stop_of - sizes
-    return [at[b : b + max(0, n - length + 1)] for b, n in zip(begins.tolist(), sizes.tolist())]
+    n = np.maximum(0, sizes - length + 1)
+    return at[_places_in(stop_of - sizes, n)], n
+
+
+def _places_in(begins: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each of several stretches, ``n`` of each."""
+    return np.arange(int(n.sum())) + np.repeat(begins - (np.cumsum(n) - n), n)
 
 
 # --- the operator ---------------------------------------------------------------------
@@ -252,19 +308,15 @@ def remove_repeats(
     firsts = materialize(firsts, "suffix-firsts")
     heads = texts.select("row", "ord", "text").join(firsts.select(F.col("first_row").alias("row")), "row", "left_semi")
 
-    shared = materialize(_shared_hashes(heads.select("row", "text"), length), "suffix-hashes")
-    crowded = materialize(_crowded(shared), "suffix-crowded")
-    followed = heads.join(shared.select("row", "hashes"), "row")
-    if crowded.isEmpty():
-        mins = _merged(_segments(followed, length), length)
-    else:
-        each = shared.select("row", F.explode("hashes").alias("hash"))
-        by_row = F.collect_list("hash").alias("hashes")
-        split = [
-            materialize(each.join(crowded, "hash", how).groupBy("row").agg(by_row), "suffix-rows") for how in ("left_anti", "left_semi")
-        ]
-        merged, refined = (_segments(heads.join(rows_, "row"), length) for rows_ in split)
-        mins = _merged(merged, length).unionByName(_refined(refined, length))
+    filed = materialize(_shared_hashes(heads.select("row", "text"), length), "suffix-hashes")
+    shared = filed.where(F.col("row").isNotNull())
+    # At most one for every CROWDED runs of the whole input.
+    crowded = np.array([r.hash for r in filed.where(F.col("row").isNull()).select(F.explode("hashes").alias("hash")).collect()], np.int64)
+    followed = heads.join(shared, "row")
+    mins = _merged(_segments(followed, length, crowded), length)
+    if len(crowded):
+        refined = _segments(heads.join(_among(shared, crowded), "row"), length)
+        mins = mins.unionByName(_refined(refined, length))
     mins = materialize(mins, "suffix-earliest")
     spans = _found(followed, mins, length).groupBy("row").agg(F.collect_list("span").alias("spans"))
 
@@ -315,8 +367,13 @@ def _keep(data: bytes, copy: bool, spans: pa.Scalar, length: int) -> tuple[bytes
 
 
 def _shared_hashes(heads: DataFrame, length: int) -> DataFrame:
-    """(row, hashes, often): the hashes of each text that another text has too; those of
-    several runs in the text stand in ``often`` with the number of further runs."""
+    """(row, hashes): the hashes of each text that another text has too. Those of more than
+    CROWDED runs are named once more, under the row null.
+
+    Hashes go in packs: a row for the hashes of one block (of all hashes) and one batch.
+    """
+    crowded = CROWDED
+    n_blocks = np.uint64(max(1024, int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -325,42 +382,119 @@ def _shared_hashes(heads: DataFrame, length: int) -> DataFrame:
             if not found:
                 continue
             text, hashes = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-            order = np.lexsort((text, hashes))
+            order = np.argsort(hashes)
             text, hashes = text[order], hashes[order]
-            new = np.r_[True, (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])]
-            text, hashes, n = text[new], hashes[new], np.diff(np.r_[np.flatnonzero(new), len(new)])
-            # A hash of several texts here is settled: two rows tell the others about it.
             begin = np.r_[True, hashes[1:] != hashes[:-1]]
-            nth = np.arange(len(hashes)) - np.maximum.accumulate(np.where(begin, np.arange(len(hashes)), 0))
+            # The texts of one hash in their order.
+            tied = ~begin
+            tied[:-1] |= tied[1:]
+            places = np.flatnonzero(tied)
+            text[places] = np.sort((np.cumsum(begin[places]) << 32) + text[places]) & 0xFFFFFFFF
+            new = begin | np.r_[True, text[1:] != text[:-1]]
+            n_runs = np.diff(np.r_[np.flatnonzero(begin), len(begin)])
+            text, hashes, begin = text[new], hashes[new], begin[new]
+            # A hash of several texts here is settled: two rows tell the others about it, the
+            # first one with the number of its runs that no other row stands for.
+            at = np.flatnonzero(begin)
+            nth = np.arange(len(hashes)) - np.repeat(at, np.diff(np.r_[at, len(hashes)]))
             settled = nth > 1
-            columns = [pa.array(hashes), pa.array(rows[text]), pa.array(settled), pa.array(n - 1)]
-            yield pa.RecordBatch.from_arrays(columns, ["hash", "row", "settled", "more"])
-
-    filed = heads.mapInArrow(file, "hash long, row long, settled boolean, more long")
-    # Settled rows need no company: they are dealt by their row, not by a hot hash.
-    filed = filed.withColumn("deal", F.when(F.col("settled"), F.xxhash64("hash", "row")).otherwise(F.col("hash")))
-    company = Window.partitionBy("deal")
-    met = filed.withColumn("lo", F.min("row").over(company)).withColumn("hi", F.max("row").over(company))
-    met = met.where(F.col("settled") | (F.col("lo") < F.col("hi")))
-    often = F.collect_list(F.when(F.col("more") > 0, F.struct("hash", "more"))).alias("often")
-    return met.groupBy("row").agg(F.collect_list("hash").alias("hashes"), often)
-
+            n = np.zeros(len(hashes), np.int32)
+            n[at] = n_runs
+            yield from _packed(hashes[settled], rows[text[settled]], None, n_blocks)
+            yield from _packed(hashes[~settled], rows[text[~settled]], n[~settled], n_blocks)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[tuple[int, bytes, bytes, bytes]] = []
+        held = 0
+        for batch in batches:
+            for pack in zip(*(c.to_pylist() for c in batch.columns)):
+                # Whole blocks: equal hashes are met together.
+                if held > AT_ONCE and pack[0] != rest[-1][0]:
+                    yield from _met(rest, crowded)
+                    rest, held = [], 0
+                rest.append(pack)
+                held += len(pack[1]) // 8
+        if rest:
+            yield from _met(rest, crowded)
+
+    packs = heads.mapInArrow(file, "block int, hashes binary, rows binary, n binary")
+    met = packs.repartition("block").sortWithinPartitions("block").mapInArrow(meet, "row long, hash long")
+    return met.groupBy("row").agg(F.collect_list("hash").alias("hashes"))
+
+
+def _packed(hashes: np.ndarray, rows: np.ndarray, n: np.ndarray | None, n_blocks: np.uint64) -> Iterator[pa.RecordBatch]:
+    """A row for each block: its hashes, their texts' rows, and numbers of runs. Without
+    numbers, they are settled, need no company and are dealt by their text."""
+    if not len(hashes):
+        return
+    block = ((hashes if n is not None else rows ^ hashes).view(np.uint64) % n_blocks).astype(np.uint16 if n_blocks <= 1 << 16 else np.int32)
+    order = np.argsort(block, kind="stable")
+    block, hashes, rows = block[order], hashes[order], rows[order]
+    begins = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    offsets = np.r_[begins, len(block)]
+    packs = [pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(c)]) for c in (hashes, rows)]
+    if n is not None:
+        packs.append(pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(n[order])]))
+    else:
+        packs.append(pa.nulls(len(begins), pa.binary()))
+    yield pa.RecordBatch.from_arrays([pa.array(block[begins].astype(np.int32)), *packs], ["block", "hashes", "rows", "n"])
+
+
+def _met(packs: list[tuple[int, bytes, bytes, bytes]], crowded: int) -> Iterator[pa.RecordBatch]:
+    """(row, hash) of packs of whole blocks: hashes that several texts have."""
+    settled = [p for p in packs if p[3] is None]
+    packs = [p for p in packs if p[3] is not None]
+    hashes, rows = (np.frombuffer(b"".join(p[k] for p in packs), np.int64) for k in (1, 2))
+    n = np.frombuffer(b"".join(p[3] for p in packs), np.int32)
+    order = np.argsort(hashes)
+    hashes, rows, n = hashes[order], rows[order], n[order]
+    at = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.empty(0, np.int64)
+    if len(at):
+        shared = np.minimum.reduceat(rows, at) < np.maximum.reduceat(rows, at)
+        many = hashes[at][shared & (np.add.reduceat(n, at, dtype=np.int64) > crowded)]
+        keep = np.repeat(shared, np.diff(np.r_[at, len(hashes)]))
+        hashes, rows = hashes[keep], rows[keep]
+    else:
+        many = hashes
+    hashes, rows = (np.concatenate([c, np.frombuffer(b"".join(p[k] for p in settled), np.int64)]) for k, c in ((1, hashes), (2, rows)))
+    # A text's hashes stand together, and so go on together.
+    order = np.argsort(rows)
+    yield pa.RecordBatch.from_arrays([pa.array(rows[order]), pa.array(hashes[order])], ["row", "hash"])
+    if len(many):
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(many), pa.int64()), pa.array(many)], ["row", "hash"])
 
-def _crowded(shared: DataFrame) -> DataFrame:
-    """(hash): those of more than CROWDED runs, counted map-side."""
-    once = shared.select(F.explode("hashes").alias("hash"), F.lit(1).cast("long").alias("n"))
-    more = shared.select(F.explode("often").alias("o")).select("o.hash", F.col("o.more").alias("n"))
-    return once.union(more).groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") > CROWDED).select("hash")
 
+def _among(shared: DataFrame, some: np.ndarray) -> DataFrame:
+    """(row, hashes): the texts that have one of some hashes, with those."""
+    some = np.sort(some)
 
-def _followed_runs(part: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(data, text, start, count, hash) of runs under a hash that other texts have."""
-    hashes = np.unique(part.column(3).flatten().to_numpy())
+    def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            lists = part.column(1)
+            hashes, rows = lists.flatten().to_numpy(), np.repeat(part.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+            keep = some[np.minimum(np.searchsorted(some, hashes), len(some) - 1)] == hashes
+            hashes, rows = hashes[keep], rows[keep]
+            if len(rows):
+                at = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[at, len(rows)], pa.int32()), pa.array(hashes))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[at]), lists], ["row", "hashes"])
+
+    return shared.select("row", "hashes").mapInArrow(among, "row long, hashes array<long>")
+
+
+def _followed_runs(
+    part: pa.RecordBatch, length: int, left_out: np.ndarray
+) -> Iterator[tuple[bytes | np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, offsets, text, start, count, hash) of runs under a hash that other texts have."""
+    hashes = np.setdiff1d(part.column(3).flatten().to_numpy(), left_out)
+    if not len(hashes):
+        return
     data, offsets = buffers(part.column(2))
+    raw = data.tobytes() if len(data) < 1 << 26 else data
     for text, start, count, h in runs(data, offsets, length):
         at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
         keep = hashes[at] == h
-        yield data, offsets, text[keep], start[keep], count[keep], h[keep]
+        yield raw, offsets, text[keep], start[keep], count[keep], h[keep]
 
 
 def _digest(segment: bytes, group: bytes) -> bytes:
@@ -384,7 +518,7 @@ def _key(segment: bytes, group: int) -> tuple[int, int]:
     return struct.unpack("<qq", _digest(segment, group.to_bytes(8, "little", signed=True)))
 
 
-def _segments(followed: DataFrame, length: int) -> DataFrame:
+def _segments(followed: DataFrame, length: int, left_out: np.ndarray = NONE) -> DataFrame:
     """(grp, hash, segment, low, high): segments under the followed hashes, with the first
     and last document that a task has seen each in. They are grouped by their hash."""
 
@@ -392,8 +526,7 @@ def _segments(followed: DataFrame, length: int) -> DataFrame:
         for part in batches:
             ords = part.column(1).to_numpy()
             seen: dict[bytes, list] = {}
-            for data, _, text, start, count, h in _followed_runs(part, length):
-                raw = data.tobytes() if len(data) < 1 << 26 else data
+            for raw, _, text, start, count, h in _followed_runs(part, length, left_out):
                 for t, s, c, k in zip(text.tolist(), start.tolist(), count.tolist(), h.tolist()):
                     segment = bytes(raw[s : s + c + length - 1])
                     o = ords[t]
@@ -416,7 +549,7 @@ def _segments(followed: DataFrame, length: int) -> DataFrame:
 def _merged(segments: DataFrame, length: int) -> DataFrame:
     """(key, key2, first, last, least): for each segment that a later text has too, or has
     in part, the earliest document of its strings, a row per stretch that has one."""
-    dealt = segments.select("grp", "hash", "segment", "low", "high").repartition("grp").sortWithinPartitions("grp", "segment")
+    dealt = segments.select("grp", "hash", "segment", "low", "high").repartition("grp").sortWithinPartitions("grp")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -543,13 +676,14 @@ def _may_share(segments: list[bytes], hashes: np.ndarray, length: int) -> tuple[
         key = mix(hashes[owner].view(np.uint64) + np.uint64(part + 1))
         for k in [*range(0, size - 8, 8), size - 8]:
             key = mix(key ^ eight[start + k])
-        order = np.lexsort((owner, key))
+        order = np.argsort(key)
         keys, owners = key[order], owner[order]
-        near = (keys[1:] == keys[:-1]) & (owners[1:] != owners[:-1])
-        # Of a run of equal keys with several owners every row is next to another owner's,
-        # or stands in a run of rows of its own owner that is: mark the owners.
         shares = np.zeros(len(segments), bool)
-        shares[owners[1:][near]] = shares[owners[:-1][near]] = True
+        if len(keys):
+            # All of several owners' equal keys.
+            equal = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            several = np.minimum.reduceat(owners, equal) < np.maximum.reduceat(owners, equal)
+            shares[owners[np.repeat(several, np.diff(np.r_[equal, len(keys)]))]] = True
         mine = whole[shares[owner]]
         place = at[mine] - begin[mine]
         np.minimum.at(first, of[mine], np.maximum(place - b, 0))
@@ -561,55 +695,67 @@ def _bins(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     groups, hashes = table["grp"].to_numpy(), table["hash"].to_numpy()
     segments = table["segment"].to_pylist()
     low, high = table["low"].to_numpy(), table["high"].to_numpy()
-    # Equal segments (from different tasks) stand together: one of each, with its range.
-    new = np.r_[True, groups[1:] != groups[:-1]]
-    new[1:] |= np.fromiter((a != b for a, b in zip(segments[1:], segments[:-1])), bool, len(segments) - 1)
-    firsts = np.flatnonzero(new)
-    low, high = np.minimum.reduceat(low, firsts), np.maximum.reduceat(high, firsts)
+    # Equal segments of a group (from different tasks) are one, with its range.
+    known: dict[tuple[int, bytes], int] = {}
+    which = np.fromiter((known.setdefault(k, len(known)) for k in zip(groups.tolist(), segments)), np.int64, len(segments))
+    firsts = np.flatnonzero(np.r_[True, which[1:] > np.maximum.accumulate(which)[:-1]])
+    lows, highs = low[firsts], high[firsts]
+    np.minimum.at(lows, which, low)
+    np.maximum.at(highs, which, high)
+    low, high = lows, highs
     segments, hashes, groups = [segments[i] for i in firsts.tolist()], hashes[firsts], groups[firsts]
-    out, named = _Earliest(), _group_bytes(groups)
+    out = _Earliest(segments, _group_bytes(groups), length)
     border = np.r_[True, groups[1:] != groups[:-1]]
     begins, group = np.flatnonzero(border), np.cumsum(border) - 1
     first, last = _may_share(segments, hashes, length)
     merged = first <= last
     # The others share no string: all their strings are their own earliest owner's.
-    for i in np.flatnonzero(~merged & (low < high)).tolist():
-        out.add(segments[i], named[i], length, [0], [low[i]])
+    alone = np.flatnonzero(~merged & (low < high))
+    out.add(alone, np.ones(len(alone), np.int64), np.zeros(len(alone), np.int64), low[alone])
     filled = np.cumsum(np.where(merged, last - first + length, 0))[np.r_[begins[1:] - 1, len(groups) - 1]]
     # Bins of whole groups, of about as many bytes each.
     bin_of = (filled // BIN_BYTES)[group]
     at = np.flatnonzero(merged)
     for bin_ in np.split(at, np.flatnonzero(np.diff(bin_of[at])) + 1) if len(at) else []:
         # Only the strings that can be shared are merged.
-        trimmed = [segments[i][first[i] : last[i] + length] for i in bin_.tolist()]
-        for i, shared in zip(bin_.tolist(), earliest(trimmed, low[bin_], length)):
-            found = np.full(len(segments[i]) - length + 1, low[i])
-            found[first[i] : last[i] + 1] = shared
-            # What is not earlier than the segment's last user takes nothing.
-            if found.min() < high[i]:
-                cut = [0, *(np.flatnonzero(found[1:] != found[:-1]) + 1).tolist()]
-                out.add(segments[i], named[i], length, cut, found[cut].tolist())
-    if out.digests:
-        yield out.batch()
+        trimmed = [segments[i][f:t] for i, f, t in zip(bin_.tolist(), first[bin_].tolist(), (last[bin_] + length).tolist())]
+        shared, n_shared = _earliest_joined(trimmed, low[bin_], length)
+        n = out.n_starts[bin_]
+        begin = np.cumsum(n) - n
+        found = np.repeat(low[bin_], n)
+        found[_places_in(begin + first[bin_], n_shared)] = shared
+        # What is not earlier than the segment's last user takes nothing.
+        takes = np.minimum.reduceat(found, begin) < high[bin_]
+        new = np.r_[True, found[1:] != found[:-1]]
+        new[begin] = True
+        new &= np.repeat(takes, n)
+        of = np.repeat(np.arange(len(bin_)), n)[new]
+        out.add(bin_[takes], np.bincount(of, minlength=len(bin_))[takes], np.flatnonzero(new) - begin[of], found[new])
+    yield from out.batches()
 
 
 class _Earliest:
     """Rows (key, key2, from, to, least): stretches of starts with one earliest owner."""
 
-    def __init__(self):
-        self.digests, self.rows, self.first, self.last, self.least = [], [], [], [], []
+    def __init__(self, segments: list[bytes], named: list[bytes], length: int):
+        self.segments, self.named = segments, named
+        self.n_starts = np.array([len(s) for s in segments]) - length + 1
+        self.parts: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, segment: bytes, group: bytes, length: int, cut: list[int], least: list[int]) -> None:
-        self.digests.append(_digest(segment, group))
-        self.rows.append(len(cut))
-        self.first += cut
-        self.last += [*(c - 1 for c in cut[1:]), len(segment) - length]
-        self.least += least
+    def add(self, which: np.ndarray, n: np.ndarray, first: np.ndarray, least: np.ndarray) -> None:
+        """``n`` stretches of each of the segments ``which``, all from their ``first`` start."""
+        if len(which):
+            last = np.r_[first[1:] - 1, 0]
+            last[np.cumsum(n) - 1] = self.n_starts[which] - 1
+            self.parts.append((which, n, first, last, least))
 
-    def batch(self) -> pa.RecordBatch:
-        columns = [pa.array(np.repeat(k, self.rows), pa.int64()) for k in _keys(self.digests)]
-        columns += [pa.array(self.first, pa.int32()), pa.array(self.last, pa.int32()), pa.array(self.least, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["key", "key2", "first", "last", "least"])
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            which, n, first, last, least = (np.concatenate(c) for c in zip(*self.parts))
+            digests = [_digest(self.segments[i], self.named[i]) for i in which.tolist()]
+            columns = [pa.array(np.repeat(k, n), pa.int64()) for k in _keys(digests)]
+            columns += [pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(least, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "key2", "first", "last", "least"])
 
 
 def _found(followed: DataFrame, mins: DataFrame, length: int) -> DataFrame:
@@ -618,8 +764,7 @@ def _found(followed: DataFrame, mins: DataFrame, length: int) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             rows, ords = part.column(0).to_numpy(), part.column(1).to_numpy()
-            for data, offsets, text, start, count, h in _followed_runs(part, length):
-                raw = data.tobytes() if len(data) < 1 << 26 else data
+            for raw, offsets, text, start, count, h in _followed_runs(part, length, NONE):
                 ends = (start + count + length - 1).tolist()
                 digests = [_digest(bytes(raw[s:e]), k) for s, e, k in zip(start.tolist(), ends, _group_bytes(h))]
                 columns = [pa.array(k, pa.int64()) for k in _keys(digests)]

@@ -11,6 +11,7 @@ from oracle_check import compare, connect
 from pyspark.sql import functions as F
 
 from corpuscope.llm import embedding_dedup, jaccard_join, suffix_dedup
+from corpuscope.llm.common import bucketed
 from corpuscope.llm.components import components
 from corpuscope.llm.queries import ORACLES, QUERIES
 from corpuscope.llm.shingles import buffers, shingle_hashes, word_hashes
@@ -263,6 +264,60 @@ def test_removal_of_odd_rows(odd, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [256, 1000])
+def test_a_text_is_cut_the_same_beside_any_others(monkeypatch, at_once):
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", at_once)
+    rng = random.Random(21)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(n)).encode() for n in (0, 49, 50, 300, 1700, 90, 2500, 700)]
+
+    def cut(these):
+        data, offsets = np.frombuffer(b"".join(these), np.uint8), np.cumsum([0, *map(len, these)])
+        found = {}
+        for text, start, count, h in suffix_dedup.runs(data, offsets):
+            for t, s, c, k in zip(text.tolist(), (start - offsets[text]).tolist(), count.tolist(), h.tolist()):
+                found.setdefault(t, []).append((s, c, k))
+        return found
+
+    for k, text in enumerate(texts):
+        alone = cut([text]).get(0, [])
+        assert sum(c for _, c, _ in alone) == max(0, len(text) - 49)
+        assert cut(texts[::-1]).get(len(texts) - 1 - k, []) == alone == cut(texts).get(k, [])
+
+
+def test_filed_hashes_of_two_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWDED", 12)
+    rng = random.Random(22)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(70)) for _ in range(12)]
+    texts = ["".join(rng.choice(passages)[rng.randrange(9) :] for _ in range(4)) + str(d) * 9 for d in range(40)] + ["-" * 200, "", "short"]
+    df = spark.createDataFrame([(d * 2**33, t.encode()) for d, t in enumerate(texts)], "row long, text binary").repartition(3)
+    filed = suffix_dedup._shared_hashes(materialize(df, "filed-test"), 50)
+    # Hashes cross the network in packs, not a row each.
+    assert "Window" not in filed._jdf.queryExecution().executedPlan().toString()
+    rows = {r.row: sorted(r.hashes) for r in filed.collect()}
+    of, n = {}, {}
+    for d, t in enumerate(texts):
+        for _, _, _, h in suffix_dedup.runs(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])):
+            for k in h.tolist():
+                of.setdefault(k, set()).add(d * 2**33)
+                n[k] = n.get(k, 0) + 1
+    expected = {}
+    for k, those in of.items():
+        for d in those if len(those) > 1 else ():
+            expected.setdefault(d, []).append(k)
+    many = sorted(k for k in of if len(of[k]) > 1 and n[k] > 12)
+    assert many and rows.pop(None) == many
+    assert rows == {d: sorted(v) for d, v in expected.items()}
+
+
+def test_few_files_of_many_splits(spark):
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(spark.sparkContext.defaultParallelism, buckets // 8)
+    rows = materialize(spark.range(0, 6000, 1, 8 * tasks).withColumnRenamed("id", "row"), "splits-test").repartition(8 * tasks)
+    stored = bucketed(rows, "row", "splits")
+    assert len(stored.inputFiles()) <= tasks * buckets
+    assert sorted(r.row for r in stored.collect()) == list(range(6000))
+
+
 # --- embeddings -----------------------------------------------------------------------
 
 
